@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import url_filters, warc
+from factloom.llm import sentencepiece_codec, url_filters, warc
 from factloom.llm.common import table
 
 URL_RULES = (
@@ -18,11 +18,21 @@ def op2_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), piece_model(), keep_ids=False)
+
+
 def op6_url_filters(spark, sf_dir):
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op6_url_filters)}
+QUERIES = {f.__name__: f for f in (op2_warc, op5_sentencepiece, op6_url_filters)}
 
 ORACLE_SQL = {
     "op6_url_filters": r"""
