@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import sentencepiece_codec, url_filters, warc
+from factloom.llm import jaccard_join, sentencepiece_codec, url_filters, warc
 from factloom.llm.common import table
 
 URL_RULES = (
@@ -32,7 +32,11 @@ def op6_url_filters(spark, sf_dir):
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op5_sentencepiece, op6_url_filters)}
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op10_jaccard_join, op2_warc, op5_sentencepiece, op6_url_filters)}
 
 ORACLE_SQL = {
     "op6_url_filters": r"""
