@@ -5,12 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Bits of the filter that keeps documents which no later step needs out of a shuffle: 8 MB at most.
+MAX_FILTER_BITS = 1 << 26
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,5 +44,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def digest_hex(column) -> F.Column:
-    return F.sha2(F.encode(column, "UTF-8"), 256)
+def batch_texts(batch: pa.RecordBatch) -> list[bytes]:
+    """The column text in UTF-8; null is empty."""
+    return [b"" if t is None else t for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def bit_filter(keys: DataFrame) -> np.ndarray:
+    """A one-hash Bloom filter of the keys as 64-bit words; its size follows their number up to MAX_FILTER_BITS."""
+    n = keys.count()
+    bits = min(MAX_FILTER_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
+    at = F.col("key").bitwiseAND(F.lit(bits - 1).cast("long"))
+    word, bit = F.shiftright(at, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    found = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("v")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[found["w"].to_numpy()] = found["v"].to_numpy(np.int64).view(np.uint64)
+    return out

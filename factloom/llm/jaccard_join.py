@@ -32,12 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from factloom.llm import grams
-from factloom.llm.common import cut
+from factloom.llm.common import batch_texts as _texts
+from factloom.llm.common import bit_filter, cut
 from factloom.llm.components import connected_components
 
-#: Bits of the filter that passes documents needed for verification: 8 MB at most.
-MAX_FILTER_BITS = 1 << 26
-
 
 def shingle_sets(texts: list[bytes], n: int, seed: int) -> Iterator[np.ndarray]:
     """Each text's sorted distinct shingle hashes; with fewer than n words one shingle of all of them."""
@@ -95,10 +93,6 @@ class Measure:
         return self.t.denominator * common >= self.t.numerator * (n_a + n_b - common)
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [b"" if t is None else t for t in batch.column("text").cast(pa.binary()).to_pylist()]
-
-
 def _survey(n: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,18 +211,6 @@ def _fetch(n: int, seed: int, bits: np.ndarray):
     return run
 
 
-def _bit_filter(keys: DataFrame) -> np.ndarray:
-    """A one-hash Bloom filter of the keys as 64-bit words; its size follows their number up to MAX_FILTER_BITS."""
-    n = keys.count()
-    bits = min(MAX_FILTER_BITS, max(1 << 12, 1 << (16 * n).bit_length()))
-    at = F.col("key").bitwiseAND(F.lit(bits - 1).cast("long"))
-    word, bit = F.shiftright(at, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63).cast("long")).cast("int"))
-    found = keys.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("v")).toPandas()
-    out = np.zeros(bits // 64, np.uint64)
-    out[found["w"].to_numpy()] = found["v"].to_numpy(np.int64).view(np.uint64)
-    return out
-
-
 def _likely(measure: Measure):
     """Rows (n_a, n_b, bitmap_a, bitmap_b) -> whether the bitmaps allow a link."""
     t = measure.t
@@ -393,7 +375,7 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
 
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(crowd.select("a")).distinct()
     wanted = cut(wanted.join(classes.select("key", F.col("rep").alias("id")), "key"))
-    fetched = rows.mapInArrow(_fetch(n, seed, _bit_filter(wanted)), f"key long, id {kind}, n long, elements binary, bitmap binary")
+    fetched = rows.mapInArrow(_fetch(n, seed, bit_filter(wanted)), f"key long, id {kind}, n long, elements binary, bitmap binary")
     sets = cut(fetched.join(wanted, (fetched["key"] == wanted["key"]) & fetched["id"].eqNullSafe(wanted["id"]), "left_semi").dropDuplicates(["key"]))
 
     maps = sets.select("key", "n", "bitmap")

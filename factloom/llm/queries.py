@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import jaccard_join, sentencepiece_codec, url_filters, warc
+from factloom.llm import jaccard_join, sentencepiece_codec, substring_dedup, url_filters, warc
 from factloom.llm.common import table
 
 URL_RULES = (
@@ -18,6 +18,10 @@ def op2_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def piece_model() -> str:
     import public_tokenizers
 
@@ -36,7 +40,7 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_jaccard_join, op2_warc, op5_sentencepiece, op6_url_filters)}
+QUERIES = {f.__name__: f for f in (op10_jaccard_join, op2_warc, op4_substring_dedup, op5_sentencepiece, op6_url_filters)}
 
 ORACLE_SQL = {
     "op6_url_filters": r"""
