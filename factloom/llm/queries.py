@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import jaccard_join, sentencepiece_codec, substring_dedup, url_filters, warc
+from factloom.llm import jaccard_join, sentencepiece_codec, substring_dedup, topk_search, url_filters, warc
 from factloom.llm.common import table
 
 URL_RULES = (
@@ -14,6 +14,11 @@ URL_RULES = (
 )
 
 
+def op1_topk_search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.top_k_search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op2_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -40,9 +45,16 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_jaccard_join, op2_warc, op4_substring_dedup, op5_sentencepiece, op6_url_filters)}
+QUERIES = {f.__name__: f for f in (op10_jaccard_join, op1_topk_search, op2_warc, op4_substring_dedup, op5_sentencepiece, op6_url_filters)}
 
 ORACLE_SQL = {
+    "op1_topk_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+        ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
     "op6_url_filters": r"""
         WITH rules(action, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
         parted AS (
