@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import jaccard_join, sentencepiece_codec, substring_dedup, topk_search, url_filters, warc
+from factloom.llm import jaccard_join, pii, sentencepiece_codec, substring_dedup, topk_search, url_filters, warc
 from factloom.llm.common import table
 
 URL_RULES = (
@@ -41,11 +41,18 @@ def op6_url_filters(spark, sf_dir):
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+PII_KEY = "example-key-for-tests"
+
+
+def op9_pii(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_jaccard_join, op1_topk_search, op2_warc, op4_substring_dedup, op5_sentencepiece, op6_url_filters)}
+QUERIES = {f.__name__: f for f in (op10_jaccard_join, op1_topk_search, op2_warc, op4_substring_dedup, op5_sentencepiece, op6_url_filters, op9_pii)}
 
 ORACLE_SQL = {
     "op1_topk_search": """
