@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import jaccard_join, pii, sentencepiece_codec, substring_dedup, topk_search, url_filters, warc
+from factloom.llm import decontamination, jaccard_join, pii, sentencepiece_codec, substring_dedup, topk_search, url_filters, warc
 from factloom.llm.common import table
 
 URL_RULES = (
@@ -23,6 +23,10 @@ def op2_warc(spark, sf_dir):
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_decontamination(spark, sf_dir):
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -52,7 +56,7 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_jaccard_join, op1_topk_search, op2_warc, op4_substring_dedup, op5_sentencepiece, op6_url_filters, op9_pii)}
+QUERIES = {f.__name__: f for f in (op10_jaccard_join, op1_topk_search, op2_warc, op3_decontamination, op4_substring_dedup, op5_sentencepiece, op6_url_filters, op9_pii)}
 
 ORACLE_SQL = {
     "op1_topk_search": """
