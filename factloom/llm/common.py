@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,9 +46,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def batch_texts(batch: pa.RecordBatch) -> list[bytes]:
-    """The column text in UTF-8; null is empty."""
-    return [b"" if t is None else t for t in batch.column("text").cast(pa.binary()).to_pylist()]
+def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with about limit bytes of a text or binary column, or one longer value."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = size = 0
+        for i, n in enumerate(sizes.tolist()):
+            if size and size + n > limit:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def batch_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+    """A string column in UTF-8; null is empty."""
+    return [b"" if t is None else t for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
 def bit_filter(keys: DataFrame) -> np.ndarray:

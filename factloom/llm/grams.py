@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _random = np.random.default_rng(20240229)
@@ -91,3 +91,22 @@ def window_sums(hashes: np.ndarray, n: int) -> np.ndarray:
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * _power(_BASE, len(hashes)), out=sums[1:])
     return mix((sums[n:] - sums[:-n]) * _power(_INVERSE, len(hashes))[:size])
+
+
+def words_and_prefixes(texts: list[bytes], lengths: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Like words(), and for each length the hash of every word's first bytes (0 for shorter words)."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = _SPACE[data]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edges = np.concatenate(([0], edges))
+    starts, ends = edges[0::2], edges[1::2]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * _power(_BASE, len(data)), out=sums[1:])
+    scale = _power(_INVERSE, len(data) + 1)[starts]
+    whole = mix((sums[ends] - sums[starts]) * scale + (ends - starts).astype(np.uint64))
+    parts = []
+    for n in lengths:
+        cut = np.minimum(starts + n, len(data))
+        parts.append(np.where(ends - starts > n, mix((sums[cut] - sums[starts]) * scale + np.uint64(n << 32)), np.uint64(0)))
+    return whole, parts, np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in texts)]))

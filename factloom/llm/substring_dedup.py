@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from factloom.llm import grams
 from factloom.llm.common import batch_texts as _texts
-from factloom.llm.common import bit_filter, cut
+from factloom.llm.common import bit_filter, cut, small_batches
 
 
 def anchors(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -61,7 +61,7 @@ def text_keys(texts: list[bytes], hashes: np.ndarray, first: np.ndarray) -> tupl
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches, "text"):
         out = [[], [], []]
         for _, part in grams.chunks(_texts(batch)):
             hashes, first = grams.words(part)
@@ -76,7 +76,7 @@ def _fingerprints(window: int, anchor: int):
     """Rows of the index. A fingerprint that stands at two places of a chunk already repeats: all its rows are ``known`` and one of them is the ``witness`` that meets other chunks' rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             for _, part in grams.chunks(_texts(batch)):
                 hashes, first = grams.words(part)
                 keys, _ = text_keys(part, hashes, first)
@@ -168,21 +168,24 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _keyed(bits: np.ndarray | None, inside: bool):
-    """(id, key, packed): texts whose key the bit filter lets pass (inside) or surely doesn't hold, compressed for the shuffle."""
+def _passes(keys: np.ndarray, bits: np.ndarray, mask: np.uint64) -> np.ndarray:
+    at = keys.view(np.uint64) & mask
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _keyed(bits: np.ndarray):
+    """(id, key, packed): texts whose key the bit filter lets pass, compressed for the shuffle."""
     import zstandard
 
     mask = np.uint64(len(bits) * 64 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             for start, part in grams.chunks(_texts(batch)):
                 hashes, first = grams.words(part)
                 keys, _ = text_keys(part, hashes, first)
-                at = keys.view(np.uint64) & mask
-                hit = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-                take = np.flatnonzero(hit == inside)
+                take = np.flatnonzero(_passes(keys, bits, mask))
                 if len(take):
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(take + start)), pa.array(keys[take]), pa.array([pack.compress(part[i]) for i in take], pa.binary())], ["id", "key", "packed"])
 
@@ -203,7 +206,7 @@ def _windows(window: int):
     """Of texts with their candidate anchors: the hashes of each anchor's windows. Windows that repeat in a chunk are ``known``; a row with only such, but for one witness each, carries no hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "packed", 2 << 20):
             texts, keys = _unpacked(batch), batch.column("key").to_numpy(zero_copy_only=False)
             spots = batch.column("spots")
             lengths = np.diff(spots.offsets.to_numpy())
@@ -237,12 +240,22 @@ def _windows(window: int):
     return run
 
 
+STRIPPED = ["id", "n_words", "n_removed", "kept_sha256", "kept_text"]
+
+
+def _stripped(ids, found: list[tuple[int, bytes]], n_kept: list[int]) -> pa.RecordBatch:
+    texts = [kept for _, kept in found]
+    digests = [hashlib.sha256(x).hexdigest() for x in texts]
+    removed = [n - k for (n, _), k in zip(found, n_kept, strict=True)]
+    return pa.RecordBatch.from_arrays([ids, pa.array([n for n, _ in found], pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.binary()).cast(pa.string())], STRIPPED)
+
+
 def _strip(window: int):
     """Whole texts and the masks of their repeated windows -> what is left, as digests and as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, n_removed, kept_texts = [], [], []
+        for batch in small_batches(batches, "packed", 2 << 20):
+            found, n_kept = [], []
             for text, spans, whole in zip(_unpacked(batch), batch.column("spans").to_pylist(), batch.column("whole").to_pylist(), strict=True):
                 words = kept = text.split()
                 if whole and len(words) >= window:
@@ -253,11 +266,25 @@ def _strip(window: int):
                     np.add.at(edge, starts, 1)
                     np.add.at(edge, starts + window, -1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(kept))
-                kept_texts.append(b" ".join(kept))
-            digests = [hashlib.sha256(x).hexdigest() for x in kept_texts]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                found.append((len(words), b" ".join(kept)))
+                n_kept.append(len(kept))
+            yield _stripped(batch.column("id"), found, n_kept)
+
+    return run
+
+
+def _untouched(bits: np.ndarray):
+    """Texts that surely have no repeated window: all their words are kept."""
+    mask = np.uint64(len(bits) * 64 - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            for start, part in grams.chunks(_texts(batch)):
+                hashes, first = grams.words(part)
+                take = np.flatnonzero(~_passes(text_keys(part, hashes, first)[0], bits, mask))
+                if len(take):
+                    found = [(len(w), b" ".join(w)) for w in (part[i].split() for i in take)]
+                    yield _stripped(batch.column("id").take(pa.array(take + start)), found, [n for n, _ in found])
 
     return run
 
@@ -297,7 +324,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     spots = cut(spots)
 
     packed = f"id {kind}, key long, packed binary"
-    texts = rows.mapInArrow(_keyed(bit_filter(spots.select("key")), True), packed)
+    texts = rows.mapInArrow(_keyed(bit_filter(spots.select("key"))), packed)
     windows = texts.select("key", "packed").join(spots, "key").mapInArrow(_windows(window), WINDOWS)
     matched = _matched(windows)
     spans = cut(matched.groupBy("key").agg(F.collect_list(F.struct("low", "mask")).alias("spans")))
@@ -306,18 +333,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     spans = spans.join(whole, "key", "full").select("key", F.when(F.col("whole").isNull(), F.col("spans")).alias("spans"), F.coalesce("whole", F.lit(False)).alias("whole"))
     spans = cut(spans)
     bits = bit_filter(spans.select("key"))
-    touched = rows.mapInArrow(_keyed(bits, True), packed).join(spans, "key", "left").select("id", "packed", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
-    clean = rows.mapInArrow(_keyed(bits, False), packed).select("id", "packed", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), F.lit(False).alias("whole"))
-    out = _union([part.mapInArrow(_strip(window), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string") for part in (touched, clean)])
+    schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    touched = rows.mapInArrow(_keyed(bits), packed).join(spans, "key", "left").select("id", "packed", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
+    out = touched.mapInArrow(_strip(window), schema).unionByName(rows.mapInArrow(_untouched(bits), schema))
     out = out.withColumnRenamed("id", key)
     return out if keep_text else out.drop("kept_text")
 
 
 def _matched(windows: DataFrame) -> DataFrame:
     """(key, low, mask): which windows of an anchor start elsewhere too."""
-    place = F.when(F.size("sums") > 0, F.col("print")).otherwise(F.xxhash64("key", "low"))
-    met = cut(windows.withColumn("place", place).repartition("place").drop("place"))
-    each = met.where(F.size("sums") > 0).select("print", "key", "low", "offset", F.posexplode("sums").alias("step", "sum"))
+    met = cut(windows)
+    # rows of an anchor meet with their hashes still in arrays; windows of one anchor can only equal each other
+    each = met.where(F.size("sums") > 0).repartition("print").select("print", "key", "low", "offset", F.posexplode("sums").alias("step", "sum"))
     spot = F.xxhash64("key", F.col("low") + F.col("step"))
     group = Window.partitionBy("print", "sum")
     again = each.withColumns({"a": F.min(spot).over(group), "b": F.max(spot).over(group)}).where("a <> b")
