@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import decontamination, jaccard_join, pii, sentencepiece_codec, substring_dedup, topk_search, url_filters, warc
+from factloom.llm import decontamination, jaccard_join, pii, quality_crf, sentencepiece_codec, substring_dedup, topk_search, toxicity, url_filters, warc
 from factloom.llm.common import table
 
 URL_RULES = (
@@ -45,6 +45,14 @@ def op6_url_filters(spark, sf_dir):
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_quality_crf(spark, sf_dir):
+    return quality_crf.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 PII_KEY = "example-key-for-tests"
 
 
@@ -56,7 +64,10 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_jaccard_join, op1_topk_search, op2_warc, op3_decontamination, op4_substring_dedup, op5_sentencepiece, op6_url_filters, op9_pii)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_topk_search, op2_warc, op3_decontamination, op4_substring_dedup, op5_sentencepiece, op6_url_filters, op7_quality_crf, op8_toxicity, op9_pii, op10_jaccard_join)
+}
 
 ORACLE_SQL = {
     "op1_topk_search": """
