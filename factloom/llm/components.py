@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import cut
 
+#: Edges that one task of a round takes; small graphs don't need as many tasks as the tables they came from.
+EDGES_A_TASK = 100_000
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges (a, b) of one orderable type -> (node, component), component the smallest node reachable.
@@ -16,21 +19,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     checkpointed, and their number grows with the logarithm of the longest path.
     """
     kind = edges.schema["a"].dataType
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b"))
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    edges = cut(edges)
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    n, mark = now.count(), None
     for _ in range(max_rounds):
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tasks = n // EDGES_A_TASK + 1
+        now = now.coalesce(tasks)
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        now = cut(small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").coalesce(tasks).distinct().coalesce(tasks)
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        turned = small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        now = cut(turned.where("a <> b").coalesce(tasks).distinct().coalesce(tasks))
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
             break
-        mark = seen
+        n, mark = seen[0], seen
     else:
         raise RuntimeError("components did not settle")
     roots = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
-    return nodes.distinct().join(roots, "node", "left").select("node", F.coalesce("component", "node").cast(kind).alias("component"))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").cast(kind).alias("component"))

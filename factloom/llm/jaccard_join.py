@@ -5,12 +5,13 @@ sets are one class and only one of them takes part. Two sets with Jaccard >= t s
 ceil(t n) elements, so among the first p + l - 1 elements of both, p = n - ceil(t n) + 1, they share
 l or more (the l-prefix scheme).
 
-Which l a document takes depends on what its candidates would cost. Elements that stand in the
-prefixes of more than ``heavy`` classes (shared passages) cost most. l is made one larger than the
-number of heavy elements in the prefix: a partner then shares at least one light element beside all
-heavy ones, and only the short lists of light elements have to be joined. Documents for which no
-such l exists within the slack (mostly made of heavy elements: large groups of near copies) are
-compared in blocks.
+Which l a document needs depends on what its candidates would cost. Elements that stand in the
+prefixes of more than ``heavy`` classes (shared passages) cost most. With l one larger than the number
+of heavy elements in the prefix a partner shares at least one light element beside all heavy
+ones, so only the short lists of light elements have to be joined. Prefixes are as long as the
+slack allows, and a pair must share as many light elements as its l asks for beyond the heavy ones.
+Documents for which no such l exists within the slack (mostly made of heavy elements: large groups
+of near copies) are compared in blocks.
 
 Candidates pass a bitmap filter (the Hamming distance of parity bitmaps bounds the symmetric
 difference from below), are gathered into clusters, and each cluster is verified exactly in
@@ -29,11 +30,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from factloom.llm import grams
 from factloom.llm.common import batch_texts as _texts
-from factloom.llm.common import bit_filter, cut
+from factloom.llm.common import bit_filter, cut, small_batches
 from factloom.llm.components import connected_components
 
 
@@ -95,7 +97,7 @@ class Measure:
 
 def _survey(n: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             sizes, keys, checks = [], [], []
             for elements in shingle_sets(_texts(batch), n, seed):
                 key, check = set_key(elements) if len(elements) else (0, 0)
@@ -112,8 +114,7 @@ def _prefixes(n: int, seed: int, measure: Measure, heavy: int):
 
     def emit(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         keys = np.fromiter(sets, np.int64, len(sets))
-        sizes = np.array([len(x) for x in sets.values()], np.int64)
-        lengths = np.array([min(m, measure.prefix(m) + measure.slack(m) - 1) for m in sizes.tolist()], np.int64)
+        lengths = np.array([min(m, measure.prefix(m) + measure.slack(m) - 1) for m in map(len, sets.values())], np.int64)
         elements = np.concatenate([x[:m] for x, m in zip(sets.values(), lengths, strict=True)] or [np.empty(0, np.uint64)]).view(np.int64)
         owner = np.repeat(np.arange(len(keys)), lengths)
         rank = np.arange(len(elements)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -123,14 +124,13 @@ def _prefixes(n: int, seed: int, measure: Measure, heavy: int):
         if known.any():
             order = np.flatnonzero(known)
             witness[order[np.unique(elements[order], return_index=True)[1]]] = True
-        # state 0: to be counted; 1: known to be heavy; 2: known, and tells the others
-        state = known.astype(np.int32) + witness
-        return pa.RecordBatch.from_arrays([pa.array(elements), pa.array(keys[owner]), pa.array(sizes[owner].astype(np.int32)), pa.array(rank.astype(np.int32)), pa.array(state)], ["element", "key", "n", "rank", "state"])
+        # rank * 4 + state; state 0: to be counted; 1: known to be heavy; 2: known, and tells the others
+        return pa.RecordBatch.from_arrays([pa.array(elements), pa.array(keys[owner]), pa.array(rank * 4 + known + witness)], ["element", "key", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
         size = 0
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             for elements in shingle_sets(_texts(batch), n, seed):
                 if len(elements) and (key := set_key(elements)[0]) not in sets:
                     sets[key] = elements
@@ -148,11 +148,12 @@ def _shared(heavy: int):
     """From rows sorted by (element, key): those whose element belongs to two classes or more, and whether it is heavy. Keeps one element's first rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "n", "rank", "element", "heavy"]
+        names = ["key", "rank", "element", "heavy"]
         held: pd.DataFrame | None = None  # the last element's rows so far, while it isn't known to be heavy
         last, last_heavy = None, False
         for batch in _with_end(batches):
-            rows = batch.to_pandas() if batch is not None else pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("element", "key", "n", "rank", "state")})
+            rows = batch.to_pandas() if batch is not None else pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("element", "key", "place")})
+            rows = rows.assign(rank=rows["place"] // 4, state=rows["place"] % 4)
             flagged = rows[rows["state"] == 1]
             rows = rows[rows["state"] != 1]
             out = [flagged.assign(heavy=True)[names]] if len(flagged) else []
@@ -180,7 +181,7 @@ def _shared(heavy: int):
                 keep = np.repeat((counts > 1) | is_heavy, counts)
                 out.append(rows.assign(heavy=np.repeat(is_heavy, counts))[keep][names])
             if out and len(whole := pd.concat(out, ignore_index=True)):
-                yield pa.RecordBatch.from_arrays([pa.array(whole["key"], pa.int64()), pa.array(whole["n"], pa.int32()), pa.array(whole["rank"], pa.int32()), pa.array(whole["element"], pa.int64()), pa.array(whole["heavy"].astype(bool))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(whole["key"], pa.int64()), pa.array(whole["rank"], pa.int32()), pa.array(whole["element"], pa.int64()), pa.array(whole["heavy"].astype(bool))], names)
 
     return run
 
@@ -195,7 +196,7 @@ def _fetch(n: int, seed: int, bits: np.ndarray):
     mask = np.uint64(len(bits) * 64 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             ids, rows = batch.column("id").to_pylist(), []
             for doc, elements in zip(ids, shingle_sets(_texts(batch), n, seed), strict=True):
                 if not len(elements):
@@ -334,43 +335,45 @@ def _compare(measure: Measure):
     return run
 
 
-def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fraction, heavy: int, block_rows: int, block_elements: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(survey: id, n, key for every row; links: a, b between classes' keys, a spanning forest)."""
-    spark = docs.sparkSession
+def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fraction, heavy: int, block_rows: int, block_elements: int, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """(survey: id, n, key for every row; links: a, b between classes' keys, a spanning forest; the hashes' seed)."""
     measure = Measure(threshold)
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     survey = cut(rows.mapInArrow(_survey(n, seed), f"id {kind}, n long, key long, check long"))
-    classes = survey.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.min("check").alias("low"), F.max("check").alias("high"))
+    classes = survey.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
     if classes.where("low <> high").limit(1).count():
         if seed > 8:
             raise RuntimeError("set keys collide under every seed")
         return link_classes(docs, key, text, n, threshold, heavy, block_rows, block_elements, seed + 1)
 
-    prefixes = rows.mapInArrow(_prefixes(n, seed, measure, heavy), "element long, key long, n int, rank int, state int")
+    prefixes = rows.mapInArrow(_prefixes(n, seed, measure, heavy), "element long, key long, place long")
     # rows that are known to be heavy go anywhere; the rest meet by element
-    place = F.when(F.col("state") == 1, F.xxhash64("element", "key")).otherwise(F.col("element"))
-    met = prefixes.withColumn("place", place).repartition(F.col("place")).drop("place").sortWithinPartitions("element", "key")
-    shared = met.mapInArrow(_shared(heavy), "key long, n int, rank int, element long, heavy boolean").repartition("key").dropDuplicates(["key", "rank"])
+    where = F.when(F.col("place") % 4 == 1, F.xxhash64("element", "key")).otherwise(F.col("element"))
+    met = prefixes.withColumn("where", where).repartition(F.col("where")).drop("where").sortWithinPartitions("element", "key")
+    shared = met.mapInArrow(_shared(heavy), "key long, rank int, element long, heavy boolean").repartition("key").dropDuplicates(["key", "rank"])
 
     order = Window.partitionBy("key").orderBy("rank")
     whole = Window.partitionBy("key")
     slack = lambda c: F.floor(c * 6 / 100).cast("int") + 3
-    ranked = shared.withColumns({"p": _exact_prefix(threshold), "before": F.sum(F.col("heavy").cast("int")).over(order) - F.col("heavy").cast("int")})
-    ranked = ranked.withColumn("place", F.col("rank") - F.col("before"))
+    is_heavy = F.col("heavy").cast("int")
+    ranked = shared.join(classes.select("key", F.col("n").cast("int").alias("n")), "key").withColumn("p", _exact_prefix(threshold))
+    ranked = ranked.withColumn("place", F.col("rank") - F.sum(is_heavy).over(order) + is_heavy)
     ranked = ranked.withColumns({
-        "heavies": F.sum(F.col("heavy").cast("int")).over(whole),
+        "heavies": F.sum(is_heavy).over(whole).cast("int"),
         "met": F.sum((F.col("heavy") & (F.col("place") < F.col("p"))).cast("int")).over(whole),
         "length": F.least(F.col("n"), F.col("p") + slack(F.col("n")) - 1),
     })
     partner = F.col("n") - F.col("p") + 1
     dense = (F.col("length") - F.col("heavies") < F.col("p")) | (F.col("met") + 1 > slack(partner))
-    ranked = cut(ranked.withColumn("dense", dense).where(F.col("heavy") & F.col("dense") & (F.col("rank") < F.col("p")) | ~F.col("heavy") & (F.col("dense") | (F.col("place") < F.col("p")))).select("key", "n", "element", "heavy", "dense"))
-
-    light = ranked.where("not heavy").select("element", "key", "n")
-    other = light.select("element", F.col("key").alias("b"), F.col("n").alias("n_b"))
-    close = (F.col("n") * threshold.denominator >= F.col("n_b") * threshold.numerator) & (F.col("n_b") * threshold.denominator >= F.col("n") * threshold.numerator)
-    pairs = cut(light.join(other, "element").where((F.col("key") < F.col("b")) & close).select(F.col("key").alias("a"), "b").distinct())
+    ranked = ranked.withColumns({"dense": dense, "l": F.col("length") - F.col("p") + 1})
+    ranked = cut(ranked.where(~F.col("heavy") | F.col("dense") & (F.col("rank") < F.col("p"))).select("key", "n", "element", "heavy", "dense", "l", "heavies"))
+
+    light = ranked.where("not heavy").select("element", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("heavies").alias("h_a"))
+    other = light.toDF("element", "b", "n_b", "l_b", "h_b")
+    close = (F.col("n_a") * threshold.denominator >= F.col("n_b") * threshold.numerator) & (F.col("n_b") * threshold.denominator >= F.col("n_a") * threshold.numerator)
+    met_pairs = light.join(other, "element").where((F.col("a") < F.col("b")) & close).groupBy("a", "b").agg(F.count("*").alias("common"), F.first(F.least("l_a", "l_b") - F.least("h_a", "h_b")).alias("needed"))
+    pairs = cut(met_pairs.where("common >= needed").select("a", "b"))
     crowd = ranked.where("heavy and dense").select(F.col("key").alias("a"), F.col("element").alias("b"))
 
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(crowd.select("a")).distinct()
@@ -398,12 +401,15 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
         .mapInPandas(_pack(block_rows, block_elements), "cluster long, block int, least long, most long, data binary")
         .withColumn("id", F.monotonically_increasing_id())
     )
-    right = blocks.select(F.col("cluster").alias("c"), F.col("id").alias("id_b"), F.col("least").alias("least_b"), F.col("most").alias("most_b"), F.col("data").alias("other"))
+    # which blocks meet is settled without their data, which then travels by block, not by cluster
+    here = blocks.select("cluster", "id", "least", "most")
+    there = here.toDF("cluster", "id_b", "least_b", "most_b")
     near = (F.col("least_b") * threshold.numerator <= F.col("most") * threshold.denominator) & (F.col("least") * threshold.numerator <= F.col("most_b") * threshold.denominator)
-    compared = blocks.join(right, (F.col("cluster") == F.col("c")) & (F.col("id") <= F.col("id_b")) & near)
-    compared = compared.select((F.col("id") == F.col("id_b")).alias("same"), "data", F.when(F.col("id") != F.col("id_b"), F.col("other")).alias("other"))
-    links = cut(compared.repartition(max(1, spark.sparkContext.defaultParallelism * 2)).mapInPandas(_compare(measure), "a long, b long"))
-    return survey, links
+    meet = here.join(there, "cluster").where((F.col("id") <= F.col("id_b")) & near).select("id", "id_b", (F.col("id") == F.col("id_b")).alias("same"))
+    data = blocks.select("id", "data")
+    compared = meet.join(data, "id").join(data.toDF("id_b", "other"), "id_b").withColumn("other", F.when(~F.col("same"), F.col("other")))
+    links = cut(compared.repartition("id", "id_b").mapInPandas(_compare(measure), "a long, b long"))
+    return survey, links, seed
 
 
 def _exact_prefix(threshold: Fraction):
@@ -421,9 +427,33 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sets are linked. Rows with a null key take part and get their component's smallest key (null
     if it has none). Sets are compared by 64-bit hashes of their shingles.
     """
-    survey, links = link_classes(docs, key, text, n, threshold, heavy, block_rows, block_elements)
+    survey, links, _ = link_classes(docs, key, text, n, threshold, heavy, block_rows, block_elements)
     roots = connected_components(links).withColumnRenamed("node", "key")
     placed = survey.join(roots, "key", "left").withColumn("root", F.coalesce("component", "key"))
     least = placed.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     out = placed.withColumn("root", F.when(F.col("n") > 0, F.col("root"))).join(least, "root", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5), heavy: int = 20, block_rows: int = 512, block_elements: int = 200_000) -> DataFrame:
+    """One row of each group that jaccard_components() finds: one with the smallest key (null keys are the largest).
+
+    Rows without shingles all stay. Of each class of equal sets every partition sends on one row,
+    so even a class that a third of all rows belong to is no burden for one task.
+    """
+    survey, links, seed = link_classes(docs, key, text, n, threshold, heavy, block_rows, block_elements)
+    roots = connected_components(links).withColumnRenamed("node", "key")
+    classes = survey.where("n > 0").groupBy("key").agg(F.min("id").alias("rep")).join(roots, "key", "left")
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key"))
+    kept = classes.groupBy(F.coalesce("component", "key").alias("root")).agg(first.alias("first")).select(F.col("first.key").alias("_set"))
+    mark = T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, text):
+            sets = [set_key(x)[0] if len(x) else None for x in shingle_sets(_texts(batch, text), n, seed)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.int64())], names=[*batch.schema.names, "_set"])
+
+    rows = docs.mapInArrow(marked, mark)
+    order = Window.partitionBy("_set").orderBy(F.col(f"`{key}`").asc_nulls_last())
+    one = rows.where("_set is not null").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place").join(kept, "_set", "left_semi")
+    return one.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(rows.where("_set is null").drop("_set"))
