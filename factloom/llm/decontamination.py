@@ -109,12 +109,18 @@ def _lengths(items: DataFrame, window: int, least: int) -> list[int]:
     return [window, *sorted(r["n"] for r in short.collect())]
 
 
-def _windows(rows: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """keys, length, at, hash, slots: each window with its slots' values in order."""
-    own = rows.withColumn("hashes", window_hashes(F.col("tokens"), length))
-    each = own.select(*keys, "tokens", F.posexplode("hashes").alias("at", "hash"))
-    words = F.slice("tokens", F.col("at") + 1, F.lit(length))
-    return each.select(*keys, F.lit(length).alias("length"), "at", "hash", F.filter(words, _is_slot).alias("slots"))
+def _windows(rows: DataFrame, keys: list[str], length: int, bits: BitArray | None = None) -> DataFrame:
+    """keys, length, at, hash, slots: each window (with bits only those it holds) with its slots' values in order. A row per window carries nothing of the text but these."""
+
+    def described(hashes: Column) -> Column:
+        places = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
+        if bits is not None and bits.fits:
+            places = F.filter(places, lambda i: bits.holds(F.get(hashes, i)))
+        slots = lambda i: F.filter(F.slice("tokens", i + 1, F.lit(length)), _is_slot)
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.get(hashes, i).alias("hash"), slots(i).alias("slots")))
+
+    found = rows.select(*keys, _let(window_hashes(F.col("tokens"), length), described).alias("found"))
+    return found.select(*keys, F.lit(length).alias("length"), F.explode("found").alias("w")).select(*keys, "length", "w.at", "w.hash", "w.slots")
 
 
 def _item_windows(items: DataFrame, lengths: list[int], window: int) -> DataFrame:
@@ -126,8 +132,8 @@ def _item_windows(items: DataFrame, lengths: list[int], window: int) -> DataFram
     return reduce(DataFrame.unionByName, parts)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, window: int, least: int, max_bits: int) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(docs with _hit: may the row share a window; the items' windows; window lengths)."""
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, window: int, least: int, max_bits: int) -> tuple[DataFrame, DataFrame, list[int], BitArray]:
+    """(docs with _hit: may the row share a window; the items' windows; window lengths; the items' bit array)."""
     items = cut(benchmark.select("item", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= least))
     lengths = _lengths(items, window, least)
     known = cut(_item_windows(items, lengths, window))
@@ -137,13 +143,13 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, window: int, lea
         hit = _let(found, lambda t: reduce(lambda a, b: a | b, (F.exists(window_hashes(t, n), bits.holds) for n in lengths)))
     else:  # too large a benchmark to test in the scan: every row goes to the join
         hit = F.lit(True)
-    return docs.withColumn("_hit", F.coalesce(hit, F.lit(False))), known, lengths
+    return docs.withColumn("_hit", F.coalesce(hit, F.lit(False))), known, lengths, bits
 
 
-def matches(rows: DataFrame, known: DataFrame, lengths: list[int], text: str, max_broadcast: int = 1_000_000) -> DataFrame:
+def matches(rows: DataFrame, known: DataFrame, lengths: list[int], bits: BitArray, text: str, max_broadcast: int = 1_000_000) -> DataFrame:
     """row, item, n_windows (distinct windows of the item that the row has with consistent slots), n_changed (of those with other values)."""
     found = rows.select("_row", tokens(F.col(f"`{text}`")).alias("tokens"))
-    windows = reduce(DataFrame.unionByName, (_windows(found, ["_row"], n) for n in lengths))
+    windows = reduce(DataFrame.unionByName, (_windows(found, ["_row"], n, bits) for n in lengths))
     theirs = known.select("item", F.col("length").alias("n"), F.col("at").alias("item_at"), F.col("hash").alias("h"), F.col("slots").alias("item_slots"))
     if known.count() <= max_broadcast:
         theirs = F.broadcast(theirs)
@@ -169,16 +175,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     (they are common phrases); windows of which more than half are slots are not used. Null texts
     have no tokens. Repeated rows give a row each; an empty table gives none.
     """
-    marked, known, lengths = with_hits(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text")), benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")), "text", window, least, max_bits)
+    marked, known, lengths, bits = with_hits(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text")), benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")), "text", window, least, max_bits)
     rows = cut(marked.where("_hit").withColumn("_row", F.monotonically_increasing_id()))
-    found = matches(rows, known, lengths, "text").join(rows.select("_row", "_key"), "_row")
+    found = matches(rows, known, lengths, bits, "text").join(rows.select("_row", "_key"), "_row")
     return found.select(F.col("_key").alias(key), F.col("item").alias(item), "n_windows", "n_changed")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, least: int = 6, max_bits: int = 1 << 24) -> DataFrame:
     """docs without the rows that find_leaks() would name; only rows with a possible hit are joined."""
-    marked, known, lengths = with_hits(docs, benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")), text, window, least, max_bits)
+    marked, known, lengths, bits = with_hits(docs, benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")), text, window, least, max_bits)
     marked = cut(marked)
     rows = cut(marked.where("_hit").withColumn("_row", F.monotonically_increasing_id()))
-    leaks = matches(rows, known, lengths, text).select("_row").distinct()
+    leaks = matches(rows, known, lengths, bits, text).select("_row").distinct()
     return marked.where("not _hit").drop("_hit").unionByName(rows.join(leaks, "_row", "left_anti").drop("_row", "_hit"))
