@@ -29,16 +29,23 @@ from factloom.llm.common import cut
 #: Sums of products below this are exact as doubles.
 EXACT = 1 << 53
 LONG = (-(1 << 63), (1 << 63) - 1)
+#: Scores below this can be summed up in 64 bits; beyond, a block has one list of whole scores.
+SUMMABLE = 1 << 61
+
+
+def _bound(queries: np.ndarray, rows: np.ndarray) -> float:
+    """No score or partial score is beyond this."""
+    return float(_most(queries)) * float(_most(rows)) * max(1, queries.shape[1])
 
 
 def _product(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer inner products: by BLAS where doubles hold them exactly, else with unbounded integers."""
-    if queries.dtype != object and rows.dtype != object and queries.size and rows.size:
-        bound = float(np.abs(queries.astype(np.float64)).max()) * float(np.abs(rows.astype(np.float64)).max()) * queries.shape[1]
-        if bound < EXACT:
-            return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-    exact = queries.astype(object) @ rows.astype(object).T
-    return np.clip(exact, *LONG).astype(np.int64)
+    """Integer inner products: by BLAS where doubles hold them exactly, in 64 bits where those do, else unbounded and then cut."""
+    bound = _bound(queries, rows)
+    if bound < EXACT:
+        return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
+    if bound < SUMMABLE:
+        return queries.astype(np.int64) @ rows.astype(np.int64).T
+    return np.clip(queries.astype(object) @ rows.astype(object).T, *LONG).astype(np.int64)
 
 
 def _pack(batch: pd.DataFrame) -> list[tuple]:
@@ -81,12 +88,12 @@ def _slices(width: int, slices: int) -> list[slice]:
 
 def phase_one(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, slices: int) -> tuple[np.ndarray, np.ndarray]:
     """(query number, exact score) of the rows that stand among the best k of any of the local lists, the k best of them."""
+    slices = slices if _bound(queries, rows) < SUMMABLE else 1
     parts = [_product(queries[:, s], rows[:, s]) for s in _slices(queries.shape[1], slices)]
     total = sum(parts[1:], parts[0])
     own = query_ids[:, None] == ids[None, :]
-    mine, scores = [], []
-    for part in parts:
-        part[own] = LONG[0]
+    mine, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    parts = [np.where(own, LONG[0], part) for part in parts]
     m = min(k, len(ids))
     top = np.concatenate([np.argpartition(part, len(ids) - m, axis=1)[:, len(ids) - m :] for part in parts], axis=1)
     for i in range(len(queries)):
@@ -100,7 +107,7 @@ def phase_one(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids:
 
 def phases_two_three(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, cutoffs: np.ndarray, k: int, slices: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, row id, score) of this block's k best rows that reach the cutoff."""
-    cuts = _slices(queries.shape[1], slices)
+    cuts = _slices(queries.shape[1], slices if _bound(queries, rows) < SUMMABLE else 1)
     share = -(-cutoffs // len(cuts))  # an entry below the ceiling of cutoff / slices is below cutoff / slices
     known = np.zeros((len(queries), len(ids)), np.int64)
     missing = np.zeros((len(queries), len(ids)), np.int8)
@@ -113,12 +120,16 @@ def phases_two_three(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarra
         missing += ~sent
     given &= query_ids[:, None] != ids[None, :]
     # a list that didn't give the row up holds at most share - 1 of it
-    given &= known + missing * (share[:, None] - 1) >= cutoffs[:, None]
+    if len(cuts) > 1:
+        given &= known + missing * (share[:, None] - 1) >= cutoffs[:, None]
     who, row = np.nonzero(given)
     scores = np.empty(len(who), np.int64)
     for at in range(0, len(who), 1 << 16):
         a, b = queries[who[at : at + (1 << 16)]], rows[row[at : at + (1 << 16)]]
-        scores[at : at + (1 << 16)] = np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64)) if max(_most(a), _most(b)) < 1 << 26 else np.clip((a.astype(object) * b.astype(object)).sum(axis=1), *LONG).astype(np.int64)
+        if _bound(queries, rows) < SUMMABLE:
+            scores[at : at + (1 << 16)] = np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+        else:
+            scores[at : at + (1 << 16)] = np.clip((a.astype(object) * b.astype(object)).sum(axis=1), *LONG).astype(np.int64)
     order = np.lexsort((ids[row], -scores, who))
     who, row, scores = who[order], row[order], scores[order]
     start = np.r_[0, np.flatnonzero(np.diff(who)) + 1] if len(who) else np.empty(0, np.int64)
