@@ -150,7 +150,7 @@ def fit(sample: list[tuple[bytes, int]], categories: dict[str, tuple[str, ...]]
     _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
     frequent = counts[inverse] >= least
     owner, values = owner[frequent], values[frequent]
-    fold = np.arange(n) % folds
+    fold = np.random.default_rng(7).permutation(n) % folds
     out_of_fold = np.zeros((n, 0))
     names, links = [*categories, GENERAL], []
     for name in names:
