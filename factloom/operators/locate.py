@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -41,7 +42,7 @@ def page_spans(pages: DataFrame, starts: DataFrame, stop: Column, most: int = 4)
     return pages.join(ends, (F.col("doc_id") == F.col("d")) & F.col("page_num").between(F.col("start"), F.col("end"))).select("doc_id", "start", "page_num", "text")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; no built-in is equivalent."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
