@@ -6,16 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMERIC = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-DASHES = "^[-—–]+$"
 
 
 def to_number(text: Column, junk: str = r"[,\s¥$€£]|CHF") -> Column:
     """A double, negative in parentheses; blanks, dashes and all else that is no number are null."""
+    # one chain that names the text once, so that plans which inline it stay small
     clean = F.regexp_replace(F.regexp_replace(F.trim(text), junk, ""), "−", "-")
-    negative = clean.rlike(r"^\(.*\)$")
-    bare = F.when(negative, F.regexp_replace(clean, r"^\(|\)$", "")).otherwise(clean)
-    value = F.when(bare.rlike(NUMERIC), bare.try_cast("double"))
-    return F.when(clean.rlike(DASHES), F.lit(None)).when(negative, -value).otherwise(value)
+    signed = F.regexp_replace(F.regexp_replace(clean, r"^\((.*)\)$", "-$1"), "^--", "")
+    return F.regexp_extract(signed, NUMERIC, 0).try_cast("double")
 
 
 def clean_cell(text: Column) -> Column:

@@ -44,17 +44,17 @@ def official_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _number() -> F.Column:
     """A cell's number by key arithmetic, for planned defects."""
-    ords = {f[0]: i for i, f in enumerate(FIELDS)}
-    field = F.coalesce(*(F.when(F.col("field_id") == f, i) for f, i in ords.items()))
+    field = F.array_position(F.array(*(F.lit(f[0]) for f in FIELDS)), F.col("field_id")) - 1
     return F.substring("entity", 2, 2).cast("int") * 13 + F.col("fiscal_year") * 5 + field * 7
 
 
 def document_facts(official: DataFrame) -> DataFrame:
     """The same facts as a document would print them, read back from the text; some cells dropped, doubled, with the sign turned or off by a little."""
-    k = _number()
-    defect = F.when(k % 11 == 3, F.col("value") * 2).when(k % 13 == 4, -F.col("value")).when(k % 17 == 5, F.col("value") + 0.4).otherwise(F.col("value"))
-    text = display_number(F.round(defect, 2), F.lit(True))
-    return official.where(k % 7 != 2).select("entity", "field_id", "period_end", "fiscal_year", to_number(text).alias("value"), F.when(k % 2 == 0, "pdf_text").otherwise("esef_grid").alias("source"), F.lit(0).alias("ord"))
+    k, v = F.col("k"), F.col("value")
+    defect = F.when(k % 11 == 3, v * 2).when(k % 13 == 4, -v).when(k % 17 == 5, v + 0.4).otherwise(v)
+    # each step is a column of its own: the next ones use it several times
+    rows = official.withColumn("k", _number()).where(k % 7 != 2).withColumn("shown", F.round(defect, 2)).withColumn("text", display_number(F.col("shown"), F.lit(True)))
+    return rows.select("entity", "field_id", "period_end", "fiscal_year", to_number(F.col("text")).alias("value"), F.when(k % 2 == 0, "pdf_text").otherwise("esef_grid").alias("source"), F.lit(0).alias("ord"))
 
 
 ENTRY = T.StructType([T.StructField(n, T.StringType()) for n in ("start", "end")] + [T.StructField("val", T.DoubleType()), T.StructField("fp", T.StringType()), T.StructField("form", T.StringType()), T.StructField("filed", T.StringType())])

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions import labels, numbers, periods
+from factloom.functions import labels, lines, numbers, periods
 from factloom.operators import facts as fx
-from factloom.operators import glyphs, locate, reconcile, tables
+from factloom.operators import align, glyphs, locate, reconcile, refine, tables
 from factloom.plans import oracles
 from factloom.streaming import usage
 
@@ -498,3 +498,88 @@ def session_usage(spark, sf_dir):
 @query
 def log_summary(spark, sf_dir):
     return usage.log_summary(fx.read(spark, sf_dir, "events"))
+
+
+# lines, tags and truth ----------------------------------------------------------------------
+
+
+@query
+def label_prefixes(spark, sf_dir):
+    line = F.concat(F.lit("Total revenue "), F.format_number("o_totalprice", 0), F.lit(" more"))
+    return fx.read(spark, sf_dir, "orders").select("o_orderkey", lines.label_before_amounts(line).alias("label"))
+
+
+@query
+def eps_line_parts(spark, sf_dir):
+    shown = F.format_number(F.col("o_totalprice") / 1000, 2)
+    line = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Basic "), shown, F.lit(" — Diluted 1.00"))).otherwise(F.concat(F.lit("Basic and diluted "), shown))
+    return fx.read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.get(numbers.per_share_amounts(F.replace(lines.basic_part(line), F.lit(","), F.lit(""))), F.lit(0)), 2).alias("eps"))
+
+
+@query
+def cell_amounts(spark, sf_dir):
+    price = F.format_number("o_totalprice", 0)
+    cell = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("{"), price, F.lit("}"))).when(F.col("o_orderkey") % 3 == 1, price).otherwise(F.col("o_orderkey").cast("string"))
+    return fx.read(spark, sf_dir, "orders").select("o_orderkey", lines.cell_amount(cell).alias("amount"))
+
+
+@query
+def repaired_parentheses(spark, sf_dir):
+    cells = F.array(F.col("p_name"), F.concat(F.lit("("), F.col("p_size").cast("string")), F.concat(F.col("p_partkey").cast("string"), F.lit(")")), F.lit("x"))
+    return fx.read(spark, sf_dir, "part").select("p_partkey", F.array_join(refine.join_parentheses(cells), "|").alias("cells"))
+
+
+@query
+def spilled_amounts(spark, sf_dir):
+    cells = F.array(F.lit("row"), F.concat(F.lit("$ "), F.col("p_size").cast("string"), F.lit(" $ "), F.col("p_partkey").cast("string")), F.when(F.col("p_partkey") % 2 == 0, "").otherwise("9"))
+    return fx.read(spark, sf_dir, "part").select("p_partkey", F.array_join(refine.split_amounts(cells), "|").alias("cells"))
+
+
+@query
+def period_columns(spark, sf_dir):
+    columns = F.array(*(F.lit(x) for x in ("1997-12-31", "1996-06-30", "1996-12-31", "1995-09-30")))
+    period = F.concat(F.year("o_orderdate").cast("string"), F.when(F.col("o_orderkey") % 2 == 0, "-12-31").otherwise("-06-30"))
+    return fx.read(spark, sf_dir, "orders").select("o_orderkey", align.column_of_period(columns, period).alias("col"))
+
+
+@query
+def equity_tag_refine(spark, sf_dir):
+    official, document = _sides(spark, sf_dir)
+    equity = official.where("field_id = 'total_equity'")
+    tags = F.explode(F.array(F.struct(F.lit("Equity").alias("tag"), F.lit(0).alias("tag_ord"), F.lit(1.0).alias("by")), F.struct(F.lit("EquityAll").alias("tag"), F.lit(1).alias("tag_ord"), F.when(F.col("fiscal_year") % 2 == 0, 1.0).otherwise(3.0).alias("by")), F.struct(F.lit("Other").alias("tag"), F.lit(2).alias("tag_ord"), F.lit(2.0).alias("by"))))
+    rows = equity.select("entity", "period_end", "value", tags.alias("t")).select("entity", "period_end", "t.tag", "t.tag_ord", (F.col("value") * F.col("t.by")).alias("value"))
+    return align.refine_tag(rows, document, "total_equity")
+
+
+@query
+def truth_hits(spark, sf_dir):
+    official, document = _sides(spark, sf_dir)
+    return align.truth_hits(official, document)
+
+
+@query
+def field_coverage(spark, sf_dir):
+    return align.field_coverage(_sides(spark, sf_dir)[1], 7)
+
+
+@query
+def merged_grids(spark, sf_dir):
+    rows = fx.read(spark, sf_dir, "part").select((F.col("p_partkey") % 10).cast("int").alias("doc_id"), F.col("p_partkey").alias("grid_ord"), F.col("p_name").alias("label"), F.array(F.col("p_brand"), F.when(F.col("p_size") % 2 == 0, F.col("p_type"))).alias("values"))
+    return align.merge_grids(rows).select("doc_id", "label", "grid_ord", "filled")
+
+
+@query
+def page_signals(spark, sf_dir):
+    """Documents' pages scored by signal words of two kinds."""
+    pages = locate.into_pages(fx.read(spark, sf_dir, "documents"))
+    signals = spark.createDataFrame([("a", "the", 1000), ("a", "100", -5000), ("b", "ing", 300)], "statement string, pattern string, points int")
+    return align.statement_scores(pages, signals)
+
+
+@query
+def document_sections(spark, sf_dir):
+    """Pages by an ordered list of key words in their first 150 characters, with shares of the whole."""
+    head = F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 150))
+    bucket = F.when(head.contains("the"), "the").when(head.contains("der"), "der").when(head.contains("le"), "le").otherwise("other")
+    rows = fx.read(spark, sf_dir, "documents").withColumn("section", bucket)
+    return rows.groupBy("section").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))

@@ -180,4 +180,18 @@ SQL: dict[str, str] = {
     "session_usage": """WITH l AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM l)
         SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY user_id, session""",
     "log_summary": "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 20",
+    "label_prefixes": "SELECT o_orderkey, 'Total revenue ' AS label FROM orders",
+    "cell_amounts": "WITH v AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN -round_even(o_totalprice, 0) WHEN 1 THEN round_even(o_totalprice, 0) ELSE CAST(o_orderkey AS DOUBLE) END AS v FROM orders) SELECT o_orderkey, CASE WHEN abs(v) >= 1000 THEN v END AS amount FROM v",
+    "repaired_parentheses": "SELECT p_partkey, p_name || '|(' || p_size || p_partkey || ')||x' AS cells FROM part",
+    "spilled_amounts": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'row|' || p_size || '|' || p_partkey ELSE 'row|$ ' || p_size || ' $ ' || p_partkey || '|9' END AS cells FROM part",
+    "period_columns": "WITH v AS (SELECT o_orderkey, year(o_orderdate) AS y, o_orderkey % 2 = 0 AS e FROM orders) SELECT o_orderkey, CAST(CASE y WHEN 1997 THEN 0 WHEN 1996 THEN CASE WHEN e THEN 2 ELSE 1 END WHEN 1995 THEN 3 END AS INT) AS col FROM v",
+    "equity_tag_refine": f"""WITH {BASE}, t(tag, tag_ord) AS (VALUES ('Equity', 0), ('EquityAll', 1), ('Other', 2)), c AS (SELECT o.entity, o.period_end, t.tag, t.tag_ord, o.value * CASE t.tag_ord WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN o.y % 2 = 0 THEN 1.0 ELSE 3.0 END ELSE 2.0 END AS value FROM official o, t WHERE field_id = 'total_equity'),
+        g AS (SELECT c.entity, c.tag, c.tag_ord, count(*) AS agreements FROM c JOIN document d ON d.entity = c.entity AND d.field_id = 'total_equity' AND d.period_end = c.period_end WHERE abs(c.value - d.value) <= greatest(1.0, greatest(abs(c.value), abs(d.value), 1.0) * 0.001) GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY agreements DESC, tag_ord) AS k FROM g) SELECT entity, tag, agreements FROM ranked WHERE k = 1""",
+    "truth_hits": f"WITH {BASE} SELECT o.entity, count(*) AS total, count(*) FILTER (abs(d.value - o.value) < 1.0) AS hits FROM official o LEFT JOIN document d USING (entity, field_id, period_end) GROUP BY o.entity",
+    "field_coverage": f"WITH {BASE} SELECT entity, count(*) AS filled, round(count(*) / 91.0::DOUBLE, 4) AS coverage FROM document GROUP BY entity",
+    "merged_grids": "WITH r AS (SELECT CAST(p_partkey % 10 AS INT) AS doc_id, p_partkey AS grid_ord, p_name AS label, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS filled FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(trim(label)) ORDER BY filled DESC, grid_ord) AS n FROM r) SELECT doc_id, label, grid_ord, CAST(filled AS INT) AS filled FROM k WHERE n = 1",
+    "page_signals": r"""WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents), pg AS (SELECT doc_id, CAST(i + 1 AS INT) AS page_num, array_to_string(p[i * 5 + 1 : i * 5 + 5], chr(10)) AS text FROM parts, unnest(range(0, CAST(ceil(len(p) / 5.0) AS BIGINT))) AS u(i)), s(statement, pattern, points) AS (VALUES ('a', 'the', 1000), ('a', '100', -5000), ('b', 'ing', 300))
+        SELECT doc_id, page_num, statement, CAST(sum(points) AS BIGINT) AS score FROM pg JOIN s ON contains(text, pattern) GROUP BY ALL""",
+    "document_sections": "WITH v AS (SELECT lower(substr(coalesce(text, ''), 1, 150)) AS h, n_chars FROM documents) SELECT CASE WHEN contains(h, 'the') THEN 'the' WHEN contains(h, 'der') THEN 'der' WHEN contains(h, 'le') THEN 'le' ELSE 'other' END AS section, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM v GROUP BY 1",
 }

@@ -8,8 +8,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.functions import labels, numbers, periods
-from factloom.operators import facts, glyphs, locate, reconcile, refine, tables
+from factloom.functions import labels, lines, numbers, periods
+from factloom.operators import align, facts, glyphs, locate, reconcile, refine, tables
 from factloom.sources import packages, workbooks
 from factloom.streaming import usage
 
@@ -56,6 +56,25 @@ def test_labels(spark):
     assert column(spark, ["<p>a&amp;b</p><script>x<y</script> c"], labels.html_blocks_text) == ["a&b c"]
 
 
+def test_lines(spark):
+    assert column(spark, ["Total revenue $ 1,000", "no amount here at all, only a label that goes on and on"], lines.label_before_amounts) == ["Total revenue ", "no amount here at all, only a label that goes on a"]
+    assert column(spark, ["Total liabilities and equity 5 Liabilities 7", "Liabilities 5"], lines.before_liabilities) == ["Total liabilities and equity 5 ", "Liabilities 5"]
+    assert column(spark, ["Basic 1.20 — Diluted 1.10", "Basic and diluted 1.20"], lines.basic_part) == ["Basic 1.20", "Basic and diluted 1.20"]
+    assert column(spark, ["(in RMB) — 12 RMB 0.55", "0.55"], lines.without_footnote) == ["0.55", "0.55"]
+    assert column(spark, ["(1,234)", "{2,l00}", "12", "$ 5,000", "—"], lines.cell_amount) == [-1234.0, -2100.0, None, 5000.0, None]
+    assert column(spark, ["1.21", "5"], lambda v: lines.cell_amount(v, per_share=True)) == [1.21, None]
+    assert column(spark, ["11223344", "12345678", "1122"], lines.doubled_digits) == ["1234", "12345678", "1122"]
+    assert column(spark, ["1,234 (5) 7.5", None], lines.packed_amounts) == [["1,234", "(5)", "7.5"], []]
+
+
+def test_alignment(spark):
+    columns = [["2024-09-28", "2023-09-30", "2023-12-31"], []]
+    assert column(spark, columns, lambda v: align.column_of_period(v, F.lit("2023-09-30")), "array<string>") == [1, None]
+    assert column(spark, columns, lambda v: align.column_of_period(v, F.lit("2023-01-01")), "array<string>") == [2, None]
+    rows = [("d", 0, "Cash", ["1", ""]), ("d", 1, "cash ", ["1", "2"]), ("d", 2, "CASH", ["3", "4"])]
+    assert [r["grid_ord"] for r in align.merge_grids(spark.createDataFrame(rows, "doc_id string, grid_ord int, label string, values array<string>")).collect()] == [1]
+
+
 def test_periods(spark):
     heads = ["September 28, 2024 September 30, 2023", "31 December 2023 and 31 December 2022", "2024 2023 note", "February 31, 2023 and March 1, 2022", "none"]
     assert column(spark, heads, periods.dates_in) == [["2024-09-28", "2023-09-30"], ["2023-12-31", "2022-12-31"], ["2024-12-31", "2023-12-31"], ["2023-02-28", "2022-03-01"], []]
