@@ -40,6 +40,14 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """base, with as many underscores as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and go on from the files: reliable if executors are lost."""
     shared_dir(df.sparkSession)

@@ -441,6 +441,9 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     Rows without shingles all stay. Of each class of equal sets every partition sends on one row,
     so even a class that a third of all rows belong to is no burden for one task.
     """
+    columns = docs.columns
+    docs = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    key, text = (docs.columns[[c.lower() for c in columns].index(x.lower())] for x in (key, text))
     survey, links, seed = link_classes(docs, key, text, n, threshold, heavy, block_rows, block_elements)
     roots = connected_components(links).withColumnRenamed("node", "key")
     classes = survey.where("n > 0").groupBy("key").agg(F.min("id").alias("rep")).join(roots, "key", "left")
@@ -456,4 +459,4 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     rows = docs.mapInArrow(marked, mark)
     order = Window.partitionBy("_set").orderBy(F.col(f"`{key}`").asc_nulls_last())
     one = rows.where("_set is not null").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place").join(kept, "_set", "left_semi")
-    return one.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(rows.where("_set is null").drop("_set"))
+    return one.drop("_set").unionByName(rows.where("_set is null").drop("_set")).toDF(*columns)

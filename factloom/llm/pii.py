@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import free_name
+
 #: The alphabets that characters stay in.
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 #: Days in 400 years of the Gregorian calendar, as a product, and the first day of those that are permuted.
@@ -189,10 +191,10 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_
     column = F.col(f"`{text}`").cast("string")
     searched = column.rlike("[0-9@]")
     found = F.when(searched, F.regexp_extract_all(column, F.lit(whole), F.lit(0)))
-    staged = docs.withColumns({"_found": found})
-    replaced = F.transform(F.col("_found"), lambda m: pseudonym(m, key))
-    staged = staged.withColumn("_new", F.when(F.size("_found") > 0, replaced))
+    old, fresh = free_name(docs, "_found"), free_name(docs, "_new")
+    staged = docs.withColumn(old, found)
+    staged = staged.withColumn(fresh, F.when(F.size(old) > 0, F.transform(F.col(old), lambda m: pseudonym(m, key))))
     pieces = F.split(column, whole, -1)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size("_new")), F.col("_new"), lambda a, b: F.concat(a, b)), ""), F.get(pieces, F.size("_new")))
-    changed = F.size(F.filter(F.arrays_zip(F.col("_found").alias("a"), F.col("_new").alias("b")), lambda x: x["a"] != x["b"]))
-    return staged.withColumns({text: F.when(F.size("_new") > 0, joined).otherwise(column), count: F.when(F.size("_new") > 0, changed).otherwise(0)}).drop("_found", "_new")
+    joined = F.concat(F.array_join(F.zip_with(F.slice(pieces, F.lit(1), F.size(fresh)), F.col(fresh), lambda a, b: F.concat(a, b)), ""), F.get(pieces, F.size(fresh)))
+    changed = F.size(F.filter(F.arrays_zip(F.col(old).alias("a"), F.col(fresh).alias("b")), lambda x: x["a"] != x["b"]))
+    return staged.withColumns({text: F.when(F.size(fresh) > 0, joined).otherwise(column), count: F.when(F.size(fresh) > 0, changed).otherwise(0)}).drop(old, fresh)

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import free_name
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -162,4 +164,5 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", defau
 
     fits = F.sort_array(F.array_compact(F.transform(keys, judged)), asc=False)
     best = F.get(fits, F.lit(0))
-    return parted.withColumn("_best", best).withColumns({"rule": F.col("_best.rank.key"), "verdict": F.coalesce(F.col("_best.action"), F.lit(default))}).drop("_best")
+    name = free_name(pages, "_best")
+    return parted.withColumn(name, best).withColumns({"rule": F.col(f"{name}.rank.key"), "verdict": F.coalesce(F.col(f"{name}.action"), F.lit(default))}).drop(name)
