@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from factloom.functions import labels, lines, numbers, periods
 from factloom.operators import facts as fx
-from factloom.operators import align, glyphs, locate, reconcile, refine, tables
+from factloom.operators import align, glyphs, locate, markets, reconcile, refine, tables
 from factloom.plans import oracles
 from factloom.streaming import usage
 
@@ -583,3 +583,24 @@ def document_sections(spark, sf_dir):
     bucket = F.when(head.contains("the"), "the").when(head.contains("der"), "der").when(head.contains("le"), "le").otherwise("other")
     rows = fx.read(spark, sf_dir, "documents").withColumn("section", bucket)
     return rows.groupBy("section").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+# markets ------------------------------------------------------------------------------------
+
+
+@query
+def company_facts_extract(spark, sf_dir):
+    found, _ = markets.company_facts(fx.parse_filings(fx.filings_json(spark, sf_dir)))
+    return found.select("entity", "field_id", "period_end", F.round(F.col("value") * 1e6, 2).alias("value"), "currency", "standard", "tag")
+
+
+@query
+def company_facts_errors(spark, sf_dir):
+    return markets.company_facts(fx.parse_filings(fx.filings_json(spark, sf_dir)))[1].groupBy("line").agg(F.count("*").alias("entities"))
+
+
+@query
+def industry_skips(spark, sf_dir):
+    codes = F.array(*(F.lit(c) for c in ("5.hk", "0700.HK", "2318", "883", "AAPL", "1211")))
+    companies = fx.read(spark, sf_dir, "supplier").select(F.get(codes, (F.col("s_suppkey") % 6).cast("int")).alias("ticker"))
+    return markets.industry_skips(companies)

@@ -194,4 +194,8 @@ SQL: dict[str, str] = {
     "page_signals": r"""WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents), pg AS (SELECT doc_id, CAST(i + 1 AS INT) AS page_num, array_to_string(p[i * 5 + 1 : i * 5 + 5], chr(10)) AS text FROM parts, unnest(range(0, CAST(ceil(len(p) / 5.0) AS BIGINT))) AS u(i)), s(statement, pattern, points) AS (VALUES ('a', 'the', 1000), ('a', '100', -5000), ('b', 'ing', 300))
         SELECT doc_id, page_num, statement, CAST(sum(points) AS BIGINT) AS score FROM pg JOIN s ON contains(text, pattern) GROUP BY ALL""",
     "document_sections": "WITH v AS (SELECT lower(substr(coalesce(text, ''), 1, 150)) AS h, n_chars FROM documents) SELECT CASE WHEN contains(h, 'the') THEN 'the' WHEN contains(h, 'der') THEN 'der' WHEN contains(h, 'le') THEN 'le' ELSE 'other' END AS section, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM v GROUP BY 1",
+    "company_facts_extract": f"""WITH {ENTRIES}, d AS (SELECT *, row_number() OVER (PARTITION BY entity, tag, "end" ORDER BY filed DESC) AS n FROM annual), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY "end" DESC) AS r FROM d WHERE n = 1)
+        SELECT entity, 'revenue' AS field_id, "end" AS period_end, round(val / 1e6 * 1e6, 2) AS value, 'USD' AS currency, 'US-GAAP' AS standard, tag FROM k WHERE r <= 3""",
+    "company_facts_errors": f"WITH fields(field_id, statement, field_ord) AS (VALUES {FIELD_LIST}) SELECT 'Missing XBRL tag: ' || field_id AS line, (SELECT count(DISTINCT c_nationkey) FROM customer JOIN orders ON o_custkey = c_custkey) AS entities FROM fields WHERE field_id <> 'revenue'",
+    "industry_skips": "WITH u(code, field_id) AS (VALUES ('0005', 'gross_profit'), ('0005', 'operating_income'), ('0005', 'capex'), ('0700', 'gross_profit'), ('2318', 'gross_profit'), ('2318', 'operating_income'), ('2318', 'capex'), ('0883', 'gross_profit'), ('0883', 'operating_income'), ('1211', 'gross_profit')) SELECT * FROM u",
 }
