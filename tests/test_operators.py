@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import labels, lines, numbers, periods
-from factloom.operators import align, facts, glyphs, locate, reconcile, refine, tables
+from factloom.operators import align, facts, glyphs, locate, markets, reconcile, refine, tables
 from factloom.sources import packages, workbooks
 from factloom.streaming import usage
 
@@ -204,6 +204,27 @@ def test_registry_lookups(spark):
     assert {(r["entity"], r["url"]) for r in packages.pick_filing(filings, 2023).collect()} == {("e", "u2"), ("o", "u4")}
 
 
+def test_company_facts_of_both_taxonomies(spark):
+    entry = "entity string, taxonomy string, tag string, unit string, ord int, start string, `end` string, val double, fp string, form string, filed string"
+    year = lambda e, t, tag, y, v, unit="USD", filed="2025-01-01", start=True: (e, t, tag, unit, 0, f"{y}-01-01" if start else None, f"{y}-12-31", v, "FY", "10-K", filed)
+    rows = [
+        year("a", "us-gaap", "Revenues", 2023, 5e6), year("a", "us-gaap", "SalesRevenueNet", 2023, 7e6), year("a", "us-gaap", "Revenues", 2010, 1e6), year("a", "us-gaap", "EarningsPerShareBasic", 2023, 1.5, "USD/shares"),
+        year("a", "us-gaap", "CashCashEquivalentsAndShortTermInvestments", 2023, 9e6, start=False), year("a", "us-gaap", "CashAndCashEquivalentsAtCarryingValue", 2023, 8e6, start=False), year("a", "ifrs-full", "Equity", 2023, 3e6, start=False),
+        year("b", "ifrs-full", "Revenue", 2022, 4e6, "EUR"), year("b", "ifrs-full", "Revenue", 2022, 6e6, "EUR", "2026-01-01"), year("b", "ifrs-full", "Revenue", 2022, 1e6, "GBP"),
+        ("c", "us-gaap", "Revenues", "USD", 0, "2023-01-01", "2023-03-31", 1e6, "Q1", "10-Q", "2023-05-01"),
+    ]
+    found, errors = markets.company_facts(spark.createDataFrame(rows, entry))
+    got = {(r["entity"], r["field_id"], r["period_end"][:4], r["value"], r["currency"], r["standard"]) for r in found.collect()}
+    assert got == {("a", "revenue", "2023", 7.0, "USD", "US-GAAP"), ("a", "eps_basic", "2023", 1.5, "USD", "US-GAAP"), ("a", "cash", "2023", 8.0, "USD", "US-GAAP"), ("b", "revenue", "2022", 6.0, "EUR", "IFRS")}
+    assert {r["entity"]: r["n"] for r in errors.groupBy("entity").agg(F.count("*").alias("n")).collect()} == {"a": 10, "b": 12, "c": 13}
+
+
+def test_hong_kong_codes(spark):
+    assert column(spark, ["5.hk", " 0700.HK", "aapl", "12345"], markets.hk_code) == ["0005", "0700", "AAPL", "12345"]
+    got = markets.with_listings(spark.createDataFrame([("9618",), ("x",)], "ticker string")).collect()
+    assert {(r["code"], r["us_ticker"], r["industry"]) for r in got} == {("9618", "JD", "platform"), ("X", None, None)}
+
+
 def test_workbook_opens_again(spark, tmp_path):
     items = reconcile.reconcile(spark.createDataFrame([("e", "revenue", "2024", 5.0, 0)], FACTS), spark.createDataFrame([("e", "revenue", "2024", 5.0, 0)], FACTS))
     workbooks.verified_workbook(items, reconcile.report(items), tmp_path / "w.xlsx", ["2024"])
