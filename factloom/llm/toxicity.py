@@ -27,7 +27,7 @@ from factloom.llm.common import batch_texts, small_batches
 from factloom.llm.sampling import held_out, labelled_sample
 
 #: Bytes of a word's beginning that are features of their own, for compounds and inflections.
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5)
 #: Seeds of the categories that come before the general label.
 CATEGORIES = {
     "insult": ("idiot", "moron", "loser", "clown", "stupid"),
@@ -82,37 +82,59 @@ class Link:
         return odds
 
 
-def _choose(owner: np.ndarray, values: np.ndarray, y: np.ndarray, most: int, least: int) -> np.ndarray:
+def _choose(owner: np.ndarray, ids: np.ndarray, n_ids: int, y: np.ndarray, most: int, least: int) -> np.ndarray:
     """Features in at least ``least`` texts, the ``most`` with the largest z-score of the log odds ratio (3.5 or more)."""
-    names, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-    positive = np.bincount(inverse, weights=y[owner], minlength=len(names))
+    counts = np.bincount(ids, minlength=n_ids)
+    positive = np.bincount(ids, weights=y[owner], minlength=n_ids)
     a, b = positive + 0.5, counts - positive + 0.5
     p, q = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
     z = np.abs(np.log(a / (p - positive + 0.5)) - np.log(b / (q - (counts - positive) + 0.5))) / np.sqrt(1 / a + 1 / b)
     ok = np.flatnonzero((counts >= least) & (z >= 3.5))
-    return np.sort(names[ok[np.argsort(-z[ok], kind="stable")[:most]]])
-
-
-def _train(owner: np.ndarray, values: np.ndarray, y: np.ndarray, before: np.ndarray, most: int, least: int, rounds: int, ridge: float) -> Link:
+    return np.sort(ok[np.argsort(-z[ok], kind="stable")[:most]])
+
+
+def _frequent(texts: list[bytes], least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """features() of the texts, but for those in fewer than least or more than most texts, which no link would choose.
+
+    Two passes over chunks: counts by the hashes' low bits, then the features whose count allows them.
+    """
+    slots = np.uint64((1 << 20) - 1)
+    counts = np.zeros(1 << 20, np.int32)
+    for _, part in grams.chunks(texts, 1 << 18):
+        counts += np.bincount((features(part)[1] & slots).astype(np.int64), minlength=len(counts)).astype(np.int32)
+    owners, values = [np.empty(0, np.int32)], [np.empty(0, np.uint64)]
+    for start, part in grams.chunks(texts, 1 << 18):
+        owner, value = features(part)
+        held = counts[(value & slots).astype(np.int64)]
+        keep = (held >= least) & (held <= most)
+        owners.append((owner[keep] + start).astype(np.int32))
+        values.append(value[keep])
+    return np.concatenate(owners), np.concatenate(values)
+
+
+def _train(owner: np.ndarray, ids: np.ndarray, names: np.ndarray, y: np.ndarray, before: np.ndarray, most: int, least: int, rounds: int, ridge: float) -> Link:
+    """ids: numbers of the texts' features in names, which are sorted."""
     n = len(y)
     mean = float(np.clip(y.mean() if n else 0.5, 1e-4, 1 - 1e-4))
     if not n or y.min() == y.max():
         return Link(np.empty(0, np.uint64), np.empty(0), np.zeros(before.shape[1]), float(np.log(mean / (1 - mean))))
-    chosen = _choose(owner, values, y, most, least)
-    at = np.searchsorted(chosen, values).clip(max=max(len(chosen) - 1, 0))
-    hit = chosen[at] == values if len(chosen) else np.zeros(len(values), bool)
-    row, column = owner[hit], at[hit]
-    w = np.zeros(len(chosen) + before.shape[1] + 1)
+    chosen = _choose(owner, ids, len(names), y, most, least)
+    k = len(chosen)
+    place = np.full(len(names), -1, np.int32)
+    place[chosen] = np.arange(k, dtype=np.int32)
+    column = place[ids]
+    hit = column >= 0
+    row, column = owner[hit], column[hit]
+    w = np.zeros(k + before.shape[1] + 1)
     w[-1] = np.log(mean / (1 - mean))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    k = len(chosen)
     for step in range(1, rounds + 1):  # Adam
         odds = np.bincount(row, weights=w[column], minlength=n) + before @ w[k:-1] + w[-1]
         r = y - 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
         g = np.concatenate((np.bincount(column, weights=r[row], minlength=k), before.T @ r, [r.sum()])) / n - ridge * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w += 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-10)
-    return Link(chosen, w[:k], w[k:-1], float(w[-1]))
+    return Link(names[chosen], w[:k], w[k:-1], float(w[-1]))
 
 
 @dataclass
@@ -143,44 +165,43 @@ def fit(sample: list[tuple[bytes, int]], categories: dict[str, tuple[str, ...]]
     categories = CATEGORIES if categories is None else categories
     toxic = np.array([y for _, y in sample], np.int64)
     n = len(toxic)
-    found = [(start, *features(part)) for start, part in grams.chunks([t for t, _ in sample])]
-    owner = np.concatenate([o + start for start, o, _ in found] or [np.empty(0, np.int64)])
-    values = np.concatenate([v for _, _, v in found] or [np.empty(0, np.uint64)])
-    # what stands in fewer texts is never chosen
-    _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-    frequent = counts[inverse] >= least
-    owner, values = owner[frequent], values[frequent]
+    owner, values = _frequent([t for t, _ in sample], least, max(least, int(n * 0.4)))
+    # the features by number from here on: small integers that are counted, never sorted again
+    vocabulary = np.unique(values)
+    ids = np.searchsorted(vocabulary, values).astype(np.int32)
+    del values
     fold = np.random.default_rng(7).permutation(n) % folds
     out_of_fold = np.zeros((n, 0))
     names, links = [*categories, GENERAL], []
+
+    def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Owners (renumbered) and features of some rows."""
+        number = np.full(n, -1, np.int32)
+        number[rows] = np.arange(len(rows), dtype=np.int32)
+        inside = number[owner] >= 0
+        return number[owner[inside]], ids[inside]
+
     for name in names:
-        if name == GENERAL:
-            y = toxic
-        else:
+        y = toxic
+        if name != GENERAL:
             holds = np.zeros(n, np.int64)
-            holds[owner[np.isin(values, _seed_hashes(categories[name]))]] = 1
+            holds[owner[np.isin(vocabulary, _seed_hashes(categories[name]))[ids]]] = 1
             y = toxic * holds
         fresh = np.zeros(n)
         for f in range(folds):
-            rows = np.flatnonzero(fold != f)
-            number = np.full(n, -1)
-            number[rows] = np.arange(len(rows))
-            inside = number[owner] >= 0
-            link = _train(number[owner[inside]], values[inside], y[rows], out_of_fold[rows], most, least, rounds, ridge)
-            other = np.flatnonzero(fold == f)
-            number = np.full(n, -1)
-            number[other] = np.arange(len(other))
-            inside = number[owner] >= 0
-            fresh[other] = 1 / (1 + np.exp(-np.clip(link.odds(number[owner[inside]], values[inside], len(other), out_of_fold[other]), -500, 500)))
-        links.append(_train(owner, values, y, out_of_fold, most, least, rounds, ridge))
+            rows, other = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            link = _train(*part(rows), vocabulary, y[rows], out_of_fold[rows], most, least, rounds, ridge)
+            who, what = part(other)
+            fresh[other] = 1 / (1 + np.exp(-np.clip(link.odds(who, vocabulary[what], len(other), out_of_fold[other]), -500, 500)))
+        links.append(_train(owner, ids, vocabulary, y, out_of_fold, most, least, rounds, ridge))
         out_of_fold = np.column_stack((out_of_fold, fresh))
     return Chain(names, links)
 
 
-def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
     """docs with a column p_<category> for each link; a null text is an empty one. Columns of docs with such names are replaced."""
-    names = [f"p_{x}" for x in chain.names]
-    kept = [c for c in docs.columns if c not in names]
+    names = [prefix + x for x in chain.names]
+    kept = [c for c in docs.columns if c.lower() not in names]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept))
     schema = T.StructType([*rows.schema.fields, *(T.StructField(name, T.DoubleType()) for name in names)])
 
@@ -192,7 +213,7 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, label: str = GENERAL, max_docs: int = 6000, max_chars: int = 100_000, key: str = "doc_id", text: str = "text") -> Chain:
+def fit_on(docs: DataFrame, labels: DataFrame, label: str = GENERAL, max_docs: int = 4000, max_chars: int = 100_000, key: str = "doc_id", text: str = "text") -> Chain:
     """Fit on at most max_docs labelled rows that aren't held out."""
     return fit(labelled_sample(docs, labels, label, max_docs, max_chars, key, text))
 
@@ -207,8 +228,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: st
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose general probability stays below threshold, with docs' own columns."""
     chain = fit_on(docs, labels, key=key, text=text)
-    mark = f"p_{GENERAL}"
-    names = [f"p_{x}" for x in chain.names]
-    if set(names) & set(docs.columns):
-        raise ValueError(f"docs has a column of {names}")
-    return predict(docs, chain, text).where(F.col(mark) < threshold).select(*docs.columns)
+    columns = docs.columns
+    docs = docs.toDF(*(f"c{i}" for i in range(len(columns))))
+    text = docs.columns[[c.lower() for c in columns].index(text.lower())]
+    return predict(docs, chain, text).where(F.col(f"p_{GENERAL}") < threshold).drop(*(f"p_{x}" for x in chain.names)).toDF(*columns)

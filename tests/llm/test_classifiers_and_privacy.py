@@ -205,3 +205,18 @@ def test_pipeline_keeps_what_it_should(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     gone = [labels[d] for d in seen["start"] - seen["toxicity"] if d in labels]
     assert sum(gone) >= 0.9 * len(gone)
+
+
+def test_clashing_columns_stay(spark):
+    from factloom.llm import jaccard_join, url_filters
+    from factloom.llm.queries import URL_RULES
+
+    names = ["doc_id", "text", "_found", "_new", "_set", "_hit", "_row", "_place", "p_toxic", "_best", "key", "n"]
+    rows = [(i, f"plain text number {i} with a few more words", *("x" * 10)) for i in range(4)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    items = spark.createDataFrame([(1, "another thing that has enough words to be looked for in here at all")], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, toxic int")
+    for out in (pii.pseudonymise(docs, "k").drop("n_pseudonyms"), decontamination.drop_leaks(docs, items), jaccard_join.drop_near_duplicates(docs), toxicity.drop_toxic(docs, labels, threshold=1.1)):
+        assert out.columns == names and sorted(map(tuple, out.collect())) == rows
+    judged = url_filters.filter_urls(docs, URL_RULES, url="text")
+    assert [c for c in judged.columns if c in names] == names and judged.count() == 4
