@@ -97,8 +97,11 @@ class BitArray:
         mask = F.lit(self.bits - 1).cast("bigint")
         return [h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask)]
 
-    def holds(self, h: Column) -> Column:
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
+    def literal(self) -> Column:
+        """The words as one constant; a plan should hold it once, behind _let()."""
+        return F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
+
+    def holds(self, words: Column, h: Column) -> Column:
         tests = [F.call_function("shiftright", F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63).cast("bigint")).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1 for p in self._spots(h)]
         return tests[0] & tests[1]
 
@@ -112,14 +115,16 @@ def _lengths(items: DataFrame, window: int, least: int) -> list[int]:
 def _windows(rows: DataFrame, keys: list[str], length: int, bits: BitArray | None = None) -> DataFrame:
     """keys, length, at, hash, slots: each window (with bits only those it holds) with its slots' values in order. A row per window carries nothing of the text but these."""
 
-    def described(hashes: Column) -> Column:
+    def described(hashes: Column, words: Column | None = None) -> Column:
         places = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
-        if bits is not None and bits.fits:
-            places = F.filter(places, lambda i: bits.holds(F.get(hashes, i)))
+        if words is not None:
+            places = F.filter(places, lambda i: bits.holds(words, F.get(hashes, i)))
         slots = lambda i: F.filter(F.slice("tokens", i + 1, F.lit(length)), _is_slot)
         return F.transform(places, lambda i: F.struct(i.alias("at"), F.get(hashes, i).alias("hash"), slots(i).alias("slots")))
 
-    found = rows.select(*keys, _let(window_hashes(F.col("tokens"), length), described).alias("found"))
+    hashes = window_hashes(F.col("tokens"), length)
+    each = _let(bits.literal(), lambda w: _let(hashes, lambda h: described(h, w))) if bits is not None and bits.fits else _let(hashes, lambda h: described(h))
+    found = rows.select(*keys, each.alias("found"))
     return found.select(*keys, F.lit(length).alias("length"), F.explode("found").alias("w")).select(*keys, "length", "w.at", "w.hash", "w.slots")
 
 
@@ -140,7 +145,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, window: int, lea
     bits = BitArray(known.select("hash").distinct(), max_bits)
     found = tokens(F.col(f"`{text}`"))
     if bits.fits:
-        hit = _let(found, lambda t: reduce(lambda a, b: a | b, (F.exists(window_hashes(t, n), bits.holds) for n in lengths)))
+        hit = _let(bits.literal(), lambda w: _let(found, lambda t: reduce(lambda a, b: a | b, (F.exists(window_hashes(t, n), lambda h: bits.holds(w, h)) for n in lengths))))
     else:  # too large a benchmark to test in the scan: every row goes to the join
         hit = F.lit(True)
     return docs.withColumn("_hit", F.coalesce(hit, F.lit(False))), known, lengths, bits
@@ -182,9 +187,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, least: int = 6, max_bits: int = 1 << 24) -> DataFrame:
-    """docs without the rows that find_leaks() would name; only rows with a possible hit are joined."""
-    marked, known, lengths, bits = with_hits(docs, benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")), text, window, least, max_bits)
+    """docs without the rows that find_leaks() would name; only rows with a possible hit are joined. Columns keep their names."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    body = names[[c.lower() for c in docs.columns].index(text.lower())]
+    marked, known, lengths, bits = with_hits(docs.toDF(*names), benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")), body, window, least, max_bits)
     marked = cut(marked)
     rows = cut(marked.where("_hit").withColumn("_row", F.monotonically_increasing_id()))
-    leaks = matches(rows, known, lengths, bits, text).select("_row").distinct()
-    return marked.where("not _hit").drop("_hit").unionByName(rows.join(leaks, "_row", "left_anti").drop("_row", "_hit"))
+    leaks = matches(rows, known, lengths, bits, body).select("_row").distinct()
+    return marked.where("not _hit").drop("_hit").unionByName(rows.join(leaks, "_row", "left_anti").drop("_row", "_hit")).toDF(*docs.columns)
