@@ -22,6 +22,7 @@ forest of its links, so a group of k copies gives k - 1 rows, never k squared.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -287,50 +288,46 @@ def verify_blocks(a: list, b: list | None, measure: Measure) -> list[tuple[int,
     return out
 
 
-def _pack(limit_rows: int, limit_elements: int):
-    """Rows sorted by (cluster, n) -> blocks of a bounded number of rows and elements."""
+_BLOCK = pa.schema([("cluster", pa.int64()), ("block", pa.int32()), ("least", pa.int64()), ("most", pa.int64()), ("data", pa.binary())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_rows: list = []
-        state = {"cluster": None, "block": 0, "size": 0}
 
-        def flush():
-            import pickle
-
-            rows = [tuple(r[1:]) for r in open_rows]
-            return (state["cluster"], state["block"], rows[0][1], rows[-1][1], pickle.dumps(rows))
+def _pack(limit_rows: int, limit_elements: int):
+    """Rows sorted by (cluster, n) -> blocks of a bounded number of rows and elements."""
 
-        columns = ["cluster", "block", "least", "most", "data"]
-        for batch in batches:
-            out = []
-            for r in batch[["cluster", "key", "n", "elements", "bitmap"]].itertuples(index=False, name=None):
-                if open_rows and (r[0] != state["cluster"] or len(open_rows) >= limit_rows or state["size"] + r[2] > limit_elements):
-                    out.append(flush())
-                    state["block"] = state["block"] + 1 if r[0] == state["cluster"] else 0
-                    open_rows.clear()
-                    state["size"] = 0
-                if not open_rows and r[0] != state["cluster"]:
-                    state["block"] = 0
-                state["cluster"] = r[0]
-                open_rows.append(r)
-                state["size"] += r[2]
-            if out:
-                yield pd.DataFrame(out, columns=columns)
-        if open_rows:
-            yield pd.DataFrame([flush()], columns=columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        cluster, number, size = None, 0, 0
+
+        def block() -> pa.RecordBatch:
+            values = (cluster, number, held[0][1], held[-1][1], pickle.dumps(held))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCK, strict=True)], schema=_BLOCK)
+
+        for batch in small_batches(batches, "elements", 1 << 20):
+            columns = (batch.column(c).to_pylist() for c in ("cluster", "key", "n", "elements", "bitmap"))
+            for own, *row in zip(*columns, strict=True):
+                if held and (own != cluster or len(held) >= limit_rows or size + row[1] > limit_elements):
+                    yield block()
+                    number = number + 1 if own == cluster else 0
+                    held, size = [], 0
+                cluster = own
+                held.append(tuple(row))
+                size += row[1]
+        if held:
+            yield block()
 
     return run
 
 
 def _compare(measure: Measure):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pickle
+    """One pair of blocks in memory at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for same, data, other in zip(batch["same"], batch["data"], batch["other"], strict=True):
-                out += verify_blocks(pickle.loads(data), None if same else pickle.loads(other), measure)
-            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            for i in range(batch.num_rows):
+                same, data, other = (batch.column(c)[i].as_py() for c in ("same", "data", "other"))
+                found = verify_blocks(pickle.loads(data), None if same else pickle.loads(other), measure)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
 
     return run
 
@@ -398,7 +395,7 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
         .repartition("cluster", "class", "salt")
         .sortWithinPartitions("cluster", "class", "salt", "n")
         .select("cluster", "key", "n", "elements", "bitmap")
-        .mapInPandas(_pack(block_rows, block_elements), "cluster long, block int, least long, most long, data binary")
+        .mapInArrow(_pack(block_rows, block_elements), "cluster long, block int, least long, most long, data binary")
         .withColumn("id", F.monotonically_increasing_id())
     )
     # which blocks meet is settled without their data, which then travels by block, not by cluster
@@ -408,7 +405,7 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
     meet = here.join(there, "cluster").where((F.col("id") <= F.col("id_b")) & near).select("id", "id_b", (F.col("id") == F.col("id_b")).alias("same"))
     data = blocks.select("id", "data")
     compared = meet.join(data, "id").join(data.toDF("id_b", "other"), "id_b").withColumn("other", F.when(~F.col("same"), F.col("other")))
-    links = cut(compared.repartition("id", "id_b").mapInPandas(_compare(measure), "a long, b long"))
+    links = cut(compared.repartition("id", "id_b").mapInArrow(_compare(measure), "a long, b long"))
     return survey, links, seed
 
 
