@@ -8,7 +8,7 @@ drops the last token and tries the next shorter piece there; each position fails
 so time is linear in the text.
 
 Pieces of this model never hold a space mark behind another character; the text is cut where
-one follows, and the encodings of the short parts are kept in a bounded memo. Characters outside
+one follows, and the encodings of the short parts are kept in a memo of two bounded generations. Characters outside
 the vocabulary become their UTF-8 byte pieces.
 """
 
@@ -17,12 +17,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import small_batches
+
 SPACE = "▁"
 NO_TOKEN = -1
 
@@ -34,7 +38,7 @@ class SentencePieceCodec:
     unremoved white space and byte fallback; these are checked by a probe of the library.
     """
 
-    def __init__(self, path: str, memo_entries: int = 300_000):
+    def __init__(self, path: str, memo_entries: int = 150_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,7 +57,9 @@ class SentencePieceCodec:
         self.texts = [p.replace(SPACE, " ") for p in self.pieces]
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.compatible = lru_cache(1 << 18)(self._compatible)
-        self.memo: dict[str, tuple[int, str, str]] = {}
+        #: Two generations: what the older one holds moves up when it is met again, and else goes.
+        self.memo: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
+        self.older: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
         self.memo_entries = memo_entries
         automaton = ahocorasick.Automaton()
         #: Pieces that are not their own encoding are never produced by merging.
@@ -161,26 +167,34 @@ class SentencePieceCodec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids, SHA-256 of what they decode to."""
+        return self.digest_and_ids(text)[:3]
+
+    def digest_and_ids(self, text: str, keep_ids: bool = False) -> tuple[int, str, str, list[int]]:
+        """As digest(), and the ids themselves if they are to be kept."""
         memo, parts = self.memo, self._parts(text) if text else []
         try:
             known = [memo[p] for p in parts]
         except KeyError:
             if len(memo) > self.memo_entries:
-                memo.clear()
+                self.older, self.memo = memo, {}
             known = [self._part(p) for p in parts]
         ids = ",".join([k[1] for k in known])
         decoded = "".join([k[2] for k in known])
         if self.splits or not parts:
             decoded = decoded.removeprefix(" ")
-        return sum([k[0] for k in known]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()
+        flat = list(chain.from_iterable([k[3] for k in known])) if keep_ids else []
+        return sum([k[0] for k in known]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest(), flat
 
-    def _part(self, part: str) -> tuple[int, str, str]:
-        """Of a part: number of ids, the ids in decimal, their decoding with the prefix's space. Long parts aren't kept."""
+    def _part(self, part: str) -> tuple[int, str, str, tuple[int, ...]]:
+        """Of a part: number of ids, the ids in decimal, their decoding with the prefix's space, the ids. Long parts aren't kept."""
         if (known := self.memo.get(part)) is not None:
             return known
+        if (known := self.older.get(part)) is not None:
+            self.memo[part] = known
+            return known
         ids = [i for token in self.tokens(part) for i in self._token_ids(token)]
         # a part starts with a space mark; another mark before it keeps that space in decode()
-        known = len(ids), ",".join(map(str, ids)), self.decode([self.ids[SPACE], *ids])
+        known = len(ids), ",".join(map(str, ids)), self.decode([self.ids[SPACE], *ids]), tuple(ids)
         if len(part) <= 64:
             self.memo[part] = known
         return known
@@ -220,17 +234,18 @@ def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for batch in batches:
-            found = [own.digest(t) for t in batch["text"]]
-            out = pd.DataFrame({"key": batch["key"], "n_tokens": [x[0] for x in found], "ids_sha256": [x[1] for x in found], "decoded_sha256": [x[2] for x in found]})
-            if keep_ids:
-                out["ids"] = [own.encode(t) for t in batch["text"]]
-            yield out
+        for batch in small_batches(batches, "text"):
+            found = [own.digest_and_ids(t, keep_ids) for t in batch.column("text").to_pylist()]
+            n, ids, decoded, flat = (list(c) for c in zip(*found, strict=True))
+            arrays = [batch.column("key"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(flat, pa.list_(pa.int32()))] if keep_ids else arrays, names)
 
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return rows.mapInPandas(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def decode_documents(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
