@@ -69,6 +69,13 @@ QUERIES = {
     for f in (op1_topk_search, op2_warc, op3_decontamination, op4_substring_dedup, op5_sentencepiece, op6_url_filters, op7_quality_crf, op8_toxicity, op9_pii, op10_jaccard_join)
 }
 
+#: DuckDB: a text's words, as the contracts define them.
+WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_PLAIN_WORDS = WORDS.format(text="coalesce(text, '')")
+_LOWER_WORDS = WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+#: Five hex digits are four base32 digits.
+_BASE32 = ", ".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(floor(v[{g}] / {32**k}) AS BIGINT) % 32 + 1]" for g in range(1, 9) for k in (3, 2, 1, 0))
+
 ORACLE_SQL = {
     "op1_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
@@ -77,6 +84,27 @@ ORACLE_SQL = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
         ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op2_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, strlen(body) AS payload_bytes, list_transform(range(1, 41, 5), lambda i: CAST('0x' || substr(sha1(body), i, 5) AS BIGINT)) AS v, min(page_id) OVER (PARTITION BY body) AS first FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, concat({_BASE32}) AS payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d""",
+    "op4_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_PLAIN_WORDS} AS ws FROM documents),
+        win AS (SELECT doc_id, u.i, array_to_string(ws[u.i : u.i + 34], ' ') AS s FROM w, unnest(range(1, len(ws) - 33)) AS u(i)),
+        again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+        gone AS (SELECT win.doc_id, list_distinct(flatten(list(range(win.i, win.i + 35)))) AS js FROM win JOIN again USING (s) GROUP BY win.doc_id),
+        kept AS (SELECT w.doc_id, ws, coalesce(js, []) AS js FROM w LEFT JOIN gone USING (doc_id)),
+        out AS (SELECT doc_id, len(ws) AS n_words, len(js) AS n_removed, list_filter(ws, lambda x, i: NOT list_contains(js, i)) AS k FROM kept)
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM out""",
+    "op10_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_LOWER_WORDS} AS ws FROM documents),
+        sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))) END AS s FROM w),
+        n AS (SELECT doc_id, len(s) AS n FROM sets),
+        e AS (SELECT doc_id, unnest(s) AS t FROM sets),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+        reach(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT links.b, reach.root FROM reach JOIN links ON links.a = reach.doc_id)
+        SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(reach.root) AS component_id FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n.n""",
     "op6_url_filters": r"""
         WITH rules(action, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
         parted AS (

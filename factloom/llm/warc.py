@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from factloom.llm.common import fresh_path
+from factloom.llm.common import fresh_path, small_batches
 
 READ_SCHEMA = "record_id string, warc_type string, target_uri string, payload_digest string, refers_to string, payload_bytes long, payload binary, headers map<string,string>"
 WRITE_COLUMNS = ("record_id", "warc_type", "target_uri", "payload_digest", "refers_to", "payload_bytes", "payload")
@@ -187,13 +187,22 @@ class ArchiveFile(InputPartition):
         self.path = path
 
 
+_ARROW_READ = pa.schema([*((c, pa.string()) for c in HEADER_OF), ("payload_bytes", pa.int64()), ("payload", pa.binary()), ("headers", pa.map_(pa.string(), pa.string()))])
+
+
+def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    columns[7] = [list(h.items()) for h in columns[7]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_READ, strict=True)], schema=_ARROW_READ)
+
+
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, with_payload: bool):
-        self.path, self.with_payload, self.wanted = path, with_payload, {}
+    def __init__(self, path: str, with_payload: bool, pushdown: bool = True):
+        self.path, self.with_payload, self.pushdown, self.wanted = path, with_payload, pushdown, {}
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in HEADER_OF:
+            if self.pushdown and isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 and f.attribute[0] in HEADER_OF:
                 values = {f.value} if isinstance(f, EqualTo) else set(f.value)
                 self.wanted[f.attribute[0]] = self.wanted.get(f.attribute[0], values) & values
             else:
@@ -216,8 +225,16 @@ class WarcReader(DataSourceReader):
         if not isinstance(partition, ArchiveFile):
             return
         fs, name = file_system(partition.path)
+        held, size = [], 0
         with fs.open_input_file(name) as file:
-            yield from self.rows(Records(file))
+            for row in self.rows(Records(file)):
+                held.append(row)
+                size += len(row[6] or b"") + 200
+                if size >= 1 << 20:
+                    yield _read_batch(held)
+                    held, size = [], 0
+        if held:
+            yield _read_batch(held)
 
     def rows(self, records: Records):
         for record in records:
@@ -251,7 +268,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
         names, file, size = [], None, 0
-        for batch in iterator:
+        for batch in small_batches(iterator, "payload", 1 << 20):
             for row in batch.to_pylist():
                 if file is None:
                     names.append(f"{uuid.uuid4().hex}.warc.gz")
@@ -277,7 +294,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcDataSource(DataSource):
-    """Options: path; payload (``false`` leaves payloads null and undecoded); roll_bytes."""
+    """Options: path; payload (``false`` leaves payloads null and undecoded); pushdown, for frames that are read once; roll_bytes."""
 
     @classmethod
     def name(cls):
@@ -287,7 +304,7 @@ class WarcDataSource(DataSource):
         return READ_SCHEMA
 
     def reader(self, schema):
-        return WarcReader(self.options["path"], self.options.get("payload", "true") == "true")
+        return WarcReader(self.options["path"], self.options.get("payload", "true") == "true", self.options.get("pushdown", "false") == "true")
 
     def writer(self, schema, overwrite):
         return WarcWriter(self.options["path"], int(self.options.get("roll_bytes", 256 << 20)))
@@ -340,9 +357,15 @@ def write_archives(records: DataFrame, path: str, roll_bytes: int = 256 << 20) -
     records.select(*WRITE_COLUMNS).write.format("warc").mode("append").option("path", path).option("roll_bytes", roll_bytes).save()
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, payload: bool = True, where: str | None = None) -> DataFrame:
+    """Records of archives. A condition given as where is taken into the scan as far as it is on header fields.
+
+    Spark keeps filters that a Python source took in with the loaded frame, so that a second query
+    on the same frame would see them; frames without where take none in.
+    """
     register(spark)
-    return spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).load()
+    out = spark.read.format("warc").option("path", path).option("payload", str(payload).lower()).option("pushdown", str(where is not None).lower()).load()
+    return out if where is None else out.where(where)
 
 
 def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", path: str | None = None) -> DataFrame:

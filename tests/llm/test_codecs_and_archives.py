@@ -87,7 +87,9 @@ def test_filters_reach_the_scan(spark, tmp_path):
     warc.write_archives(warc.plan_records(pages, "page_id", "url", "html"), f"file://{tmp_path}/a", roll_bytes=100)
     read = warc.read_archives(spark, f"file://{tmp_path}/a")
     assert read.rdd.getNumPartitions() > 1
-    found = read.where("warc_type = 'response' and record_id in ('<urn:page:5>', '<urn:page:2>')").select("record_id", "payload").collect()
+    wanted = "warc_type = 'response' and record_id in ('<urn:page:5>', '<urn:page:2>')"
+    found = warc.read_archives(spark, f"file://{tmp_path}/a", where=wanted).select("record_id", "payload").collect()
+    assert read.where(wanted).count() == 1 and read.count() == len(PAGES)
     assert [(r["record_id"], len(r["payload"])) for r in found] == [("<urn:page:5>", 60_000)]
 
 
