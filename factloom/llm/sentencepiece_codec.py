@@ -17,9 +17,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,7 +38,7 @@ class SentencePieceCodec:
     unremoved white space and byte fallback; these are checked by a probe of the library.
     """
 
-    def __init__(self, path: str, memo_entries: int = 150_000):
+    def __init__(self, path: str, memo_entries: int = 300_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -56,10 +56,10 @@ class SentencePieceCodec:
         self.last_special = max(special)
         self.texts = [p.replace(SPACE, " ") for p in self.pieces]
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.compatible = lru_cache(1 << 18)(self._compatible)
+        self.pairs: dict[tuple[str, str], bool] = {}
         #: Two generations: what the older one holds moves up when it is met again, and else goes.
-        self.memo: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
-        self.older: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
+        self.memo: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
         self.memo_entries = memo_entries
         automaton = ahocorasick.Automaton()
         #: Pieces that are not their own encoding are never produced by merging.
@@ -83,7 +83,7 @@ class SentencePieceCodec:
                 scores[at] = get(symbols[at] + symbols[at + 1], none)
         return symbols
 
-    def _compatible(self, left: str, right: str) -> bool:
+    def compatible(self, left: str, right: str) -> bool:
         """Whether merging the two tokens' characters anew gives the two tokens."""
         return left + right not in self.ids and self._merge([*left, *right]) == [left, right]
 
@@ -95,29 +95,37 @@ class SentencePieceCodec:
         failed = bytearray((len(text) >> 3) + 1)
         out: list[str] = []
         choice: list[int] = []  # which of the pieces at its start each token of out is
-        at, next_choice, size = 0, None, len(text)
+        at, next_choice, size, last, fits = 0, None, len(text), None, self._fits
         while at < size:
             options = starts[at] or [text[at]]
             k = len(options) - 1 if next_choice is None else next_choice
             while k >= 0:
-                end = at + len(options[k])
-                if not failed[end >> 3] >> (end & 7) & 1 and (not out or self._fits(out[-1], options[k])):
+                piece = options[k]
+                end = at + len(piece)
+                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or fits(last, piece)):
                     break
                 k -= 1
             if k >= 0:
-                out.append(options[k])
+                out.append(piece)
                 choice.append(k)
-                at, next_choice = at + len(options[k]), None
+                at, next_choice, last = end, None, piece
             else:
                 if not out:
                     raise ValueError("no encoding")
                 failed[at >> 3] |= 1 << (at & 7)
                 at -= len(out.pop())
                 next_choice = choice.pop() - 1
+                last = out[-1] if out else None
         return out
 
     def _fits(self, left: str, right: str) -> bool:
-        return left not in self.ids or right not in self.ids or self.compatible(left, right)
+        """compatible() behind a plain memo, emptied when it is full."""
+        known = self.pairs.get((left, right))
+        if known is None:
+            if len(self.pairs) > 400_000:
+                self.pairs.clear()
+            known = self.pairs[left, right] = left not in self.ids or right not in self.ids or self.compatible(left, right)
+        return known
 
     def _token_ids(self, token: str) -> list[int]:
         return [self.ids[token]] if token in self.ids else [self.byte_ids[b] for b in token.encode("utf-8")]
@@ -169,7 +177,7 @@ class SentencePieceCodec:
         """Number of ids, SHA-256 of the ids, SHA-256 of what they decode to."""
         return self.digest_and_ids(text)[:3]
 
-    def digest_and_ids(self, text: str, keep_ids: bool = False) -> tuple[int, str, str, list[int]]:
+    def digest_and_ids(self, text: str, keep_ids: bool = False) -> tuple[int, str, str, np.ndarray | None]:
         """As digest(), and the ids themselves if they are to be kept."""
         memo, parts = self.memo, self._parts(text) if text else []
         try:
@@ -182,11 +190,11 @@ class SentencePieceCodec:
         decoded = "".join([k[2] for k in known])
         if self.splits or not parts:
             decoded = decoded.removeprefix(" ")
-        flat = list(chain.from_iterable([k[3] for k in known])) if keep_ids else []
+        flat = np.fromstring(ids, np.int32, sep=",") if keep_ids else None
         return sum([k[0] for k in known]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest(), flat
 
-    def _part(self, part: str) -> tuple[int, str, str, tuple[int, ...]]:
-        """Of a part: number of ids, the ids in decimal, their decoding with the prefix's space, the ids. Long parts aren't kept."""
+    def _part(self, part: str) -> tuple[int, str, str]:
+        """Of a part: number of ids, the ids in decimal, their decoding with the prefix's space. Long parts aren't kept."""
         if (known := self.memo.get(part)) is not None:
             return known
         if (known := self.older.get(part)) is not None:
@@ -194,7 +202,7 @@ class SentencePieceCodec:
             return known
         ids = [i for token in self.tokens(part) for i in self._token_ids(token)]
         # a part starts with a space mark; another mark before it keeps that space in decode()
-        known = len(ids), ",".join(map(str, ids)), self.decode([self.ids[SPACE], *ids]), tuple(ids)
+        known = len(ids), ",".join(map(str, ids)), self.decode([self.ids[SPACE], *ids])
         if len(part) <= 64:
             self.memo[part] = known
         return known
