@@ -180,7 +180,7 @@ def value_matched_periods(spark, sf_dir):
 @query
 def align_periods(spark, sf_dir):
     official, document = _sides(spark, sf_dir)
-    return reconcile.align_exact(official, document.where("fiscal_year % 2 = 0"))
+    return reconcile.align_exact(official, document)
 
 
 @query
@@ -198,7 +198,7 @@ def _dates(spark, sf_dir):
     """Period ends of customers' orders by nation: some fiscal ends, some opening days."""
     own = fx.read(spark, sf_dir, "orders").join(fx.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     day = F.when(F.col("o_orderkey") % 3 == 0, "-12-31").when(F.col("o_orderkey") % 3 == 1, "-01-01").otherwise("-06-30")
-    return own.where("year(o_orderdate) % 2 = 1 or o_orderkey % 3 = 1").select(F.col("c_nationkey").cast("string").alias("entity"), F.concat(F.year("o_orderdate").cast("string"), day).alias("period_end")).distinct()
+    return own.select(F.col("c_nationkey").cast("string").alias("entity"), F.concat(F.year("o_orderdate").cast("string"), day).alias("period_end")).distinct()
 
 
 @query
@@ -231,7 +231,7 @@ def pick_tag_entries(spark, sf_dir):
 @query
 def unit_preference(spark, sf_dir):
     lines = fx.read(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).cast("string").alias("entity"), F.lit("us-gaap").alias("taxonomy"), F.col("o_orderpriority").alias("tag"), F.element_at(F.array(F.lit("EUR"), F.lit("CNY"), F.lit("USD"), F.lit("GBP")), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("unit"), "o_orderkey")
-    return fx.preferred_unit(lines.where("(o_custkey + o_orderkey) % 3 <> 0" if "o_custkey" in lines.columns else "o_orderkey % 7 <> 2"), ["CNY", "USD"]).groupBy("entity", "tag", "unit").agg(F.count("*").alias("n"))
+    return fx.preferred_unit(lines, ["CNY", "USD"]).groupBy("entity", "tag", "unit").agg(F.count("*").alias("n"))
 
 
 @query
@@ -254,7 +254,7 @@ def fiscal_calendar(spark, sf_dir):
 @query
 def period_headers(spark, sf_dir):
     """Dates parsed out of headers that were printed from ship dates."""
-    rows = fx.read(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", F.concat(F.lit("Year ended "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" and "), F.date_format(F.add_months("o_orderdate", -12), "MMMM d, yyyy")).alias("head"))
+    rows = fx.read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Year ended "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" and "), F.date_format(F.add_months("o_orderdate", -12), "MMMM d, yyyy")).alias("head"))
     return rows.select("o_orderkey", F.array_join(periods.dates_in(F.col("head")), ",").alias("found"))
 
 
@@ -424,7 +424,7 @@ def feedback_corrections(spark, sf_dir):
 
 def _glyphs(spark, sf_dir):
     """Characters of part names set at eight units each, blanks at forty."""
-    part = fx.read(spark, sf_dir, "part").where("p_partkey % 10 = 0")
+    part = fx.read(spark, sf_dir, "part")
     chars = part.select((F.col("p_partkey") % 25).alias("doc_id"), F.col("p_partkey").alias("line"), "p_name", F.posexplode(F.split("p_name", "")).alias("ord", "text")).where("text <> '' and text <> ' '")
     blanks = F.col("ord") - F.length(F.regexp_replace(F.substring(F.col("p_name"), F.lit(1), F.col("ord")), " ", ""))
     return chars.withColumn("x0", (F.col("ord") * 8 + blanks * 40).cast("double")).withColumn("x1", F.col("x0") + 8).drop("p_name")

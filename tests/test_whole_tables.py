@@ -10,6 +10,13 @@ from tests.test_catalogue import SF, TABLES, plain
 CELLS = ("table_structure_score", "numeric_consistency", "cross_engine_jaccard", "table_quality", "merge_best_table", "total_row_check", "column_summary", "feedback_corrections")
 #: The SQL's filters, and what stands in their place.
 FILTERS = {name: {" WHERE l_orderkey % 20 = 0": ""} for name in CELLS}
+FILTERS |= {name: {" WHERE p_partkey % 10 = 0 AND": " WHERE"} for name in ("word_islands", "column_clusters", "nearest_column")}
+FILTERS |= {
+    "period_headers": {" WHERE o_orderkey % 5 = 0": ""},
+    "unit_preference": {" WHERE o_orderkey % 7 <> 2": ""},
+    "canonical_periods": {" WHERE year(o_orderdate) % 2 = 1 OR o_orderkey % 3 = 1": ""},
+    "align_periods": {" WHERE y % 2 = 0": ""},
+}
 
 
 @pytest.fixture(scope="module")
@@ -38,3 +45,20 @@ def test_grids_of_all_orders(spark, db):
     """grid_compare_offsets has no SQL; every order has a grid."""
     want = {x for (x,) in db.sql("SELECT DISTINCT l_orderkey FROM lineitem").fetchall()}
     assert [r["doc_id"] for r in catalogue.QUERIES["grid_compare_offsets"](spark, SF).sort("doc_id").collect()] == sorted(want)
+
+
+def test_columns_of_all_documents(spark, db):
+    """merged_columns has no SQL; every document has columns."""
+    want = {x for (x,) in db.sql("SELECT DISTINCT p_partkey % 25 FROM part").fetchall()}
+    assert {r["doc_id"] for r in catalogue.QUERIES["merged_columns"](spark, SF).collect()} == want
+
+
+def test_gaps_in_periods(spark):
+    """Years with opening days alone, and entities with a few common periods."""
+    from factloom.operators import facts, reconcile
+
+    rows = [("a", "1996-01-01"), ("a", "1997-06-30"), ("a", "1997-12-31"), ("a", "1998-01-01"), ("a", "1998-06-30"), ("b", "1996-01-01")]
+    got = facts.canonical_periods(spark.createDataFrame(rows, "entity string, period_end string"), limit=9).collect()
+    assert {(r["entity"], r["period_end"]) for r in got} == {("a", "1996-12-31"), ("a", "1997-12-31"), ("a", "1998-06-30"), ("b", "1996-12-31")}
+    left, right = (spark.createDataFrame([("a", f"{y}-12-31") for y in years], "entity string, period_end string") for years in ((1995, 1996, 1998, 1999), (1995, 1997, 1998)))
+    assert {(r["period_end"], r["ord"]) for r in reconcile.align_exact(left, right).collect()} == {("1998-12-31", 1), ("1995-12-31", 2)}
