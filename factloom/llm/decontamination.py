@@ -1,7 +1,8 @@
 """Benchmark decontamination by template windows, in native expressions only.
 
-Numbers, names (capitalised words inside a sentence) and units behind numbers become typed
-placeholders, all else lower-case words. Windows of ``window`` template tokens are hashed by doubling
+Numbers, names (capitalised words) and units behind numbers become typed placeholders, all else
+lower-case words. A capitalised word that opens a sentence may be a name or not, so texts are read
+in two ways: such openers as plain words, and as names. Windows of ``window`` template tokens are hashed by doubling
 (two, four, eight tokens, then the rest). A bit array of the benchmark's window hashes, tested in
 the scan, lets only documents with a possible hit go on; these are hash-joined window by window.
 A matching window counts if its slots are consistent: equal values of the item stand for equal
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 from factloom.llm.common import cut
 
 #: Marks of the slot types; they sort below every letter.
-NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
+NUMBER, NAME, UNIT, OPENER = "\x01", "\x02", "\x03", "\x04"
+#: The two ways to read an opener: as a name?
+READINGS = (False, True)
 #: Units that are slots when they follow a number.
 UNITS = (
     "mm cm dm km m kg mg g t lb lbs oz ml cl dl l s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years "
@@ -28,31 +31,34 @@ UNITS = (
     "percent degree degrees watt watts volt volts mph kmh hz khz mhz ghz kb mb gb tb"
 ).split()
 _NAME = r"(?<=[\p{L}\p{M}\p{N},;]\s)\p{Lu}\p{Ll}[\p{L}\p{M}]*"
+_OPENER = rf"(?<![\p{{L}}\p{{M}}{NAME}])\p{{Lu}}\p{{Ll}}[\p{{L}}\p{{M}}]*"
 _UNIT = rf"(?i)(?<=[0-9]\s?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}\p{{N}}])"
-_TOKEN = rf"{NAME}?[\p{{L}}\p{{M}}]+|{UNIT}[\p{{L}}]+|[0-9]+(?:[.,][0-9]+)*"
+_TOKEN = rf"[{NAME}{OPENER}]?[\p{{L}}\p{{M}}]+|{UNIT}[\p{{L}}]+|[0-9]+(?:[.,][0-9]+)*"
 
 
 def tokens(text: Column) -> Column:
-    """Words in lower case; names and units behind their marks; numbers. Null gives null."""
+    """Words in lower case; names, openers and units behind their marks; numbers. Null gives null."""
     text = text.cast("string")
     marked = F.regexp_replace(text, F.lit(_NAME), F.lit(f"{NAME}$0"))
+    marked = F.regexp_replace(marked, F.lit(_OPENER), F.lit(f"{OPENER}$0"))
     marked = F.when(text.rlike("[0-9]"), F.regexp_replace(marked, F.lit(_UNIT), F.lit(f"{UNIT}$0"))).otherwise(marked)
     return F.regexp_extract_all(F.lower(marked), F.lit(_TOKEN), F.lit(0))
 
 
-def _template(token: Column) -> Column:
-    return F.when(token >= "A", token).when(token < NAME + "￿", F.lit(NAME)).when(token < UNIT + "￿", F.lit(UNIT)).otherwise(F.lit(NUMBER))
+def _template(token: Column, named: bool) -> Column:
+    opener = F.lit(NAME) if named else F.substring(token, 2, 1 << 30)
+    return F.when(token >= "A", token).when(token < NAME + "￿", F.lit(NAME)).when(token < UNIT + "￿", F.lit(UNIT)).when(token < OPENER + "￿", opener).otherwise(F.lit(NUMBER))
 
 
-def _is_slot(token: Column) -> Column:
-    return token < "A"
+def _is_slot(token: Column, named: bool) -> Column:
+    return token < "A" if named else (token < OPENER) | token.between("0", "A")
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def window_hashes(found: Column, window: int) -> Column:
+def window_hashes(found: Column, window: int, named: bool) -> Column:
     """Hash of the window from each token on, as far as there is one; for fewer tokens than window an empty array."""
     size = lambda a, n: F.size(a) - n + 1
 
@@ -61,7 +67,7 @@ def window_hashes(found: Column, window: int) -> Column:
         n = F.size(a) - step
         return F.when(n > 0, F.transform(F.slice(a, F.lit(1), n), lambda x, i: F.xxhash64(x, F.get(a, i + step)))).otherwise(F.array().cast("array<bigint>"))
 
-    single = F.transform(found, lambda t: F.xxhash64(_template(t)))
+    single = F.transform(found, lambda t: F.xxhash64(_template(t, named)))
     parts = [1 << b for b in range(window.bit_length()) if window >> b & 1]
     parts.reverse()
     deepest = parts[0]
@@ -112,20 +118,20 @@ def _lengths(items: DataFrame, window: int, least: int) -> list[int]:
     return [window, *sorted(r["n"] for r in short.collect())]
 
 
-def _windows(rows: DataFrame, keys: list[str], length: int, bits: BitArray | None = None) -> DataFrame:
-    """keys, length, at, hash, slots: each window (with bits only those it holds) with its slots' values in order. A row per window carries nothing of the text but these."""
+def _windows(rows: DataFrame, keys: list[str], length: int, named: bool, bits: BitArray | None = None) -> DataFrame:
+    """keys, length, named, at, hash, slots: each window (with bits only those it holds) with its slots' values in order. A row per window carries nothing of the text but these."""
 
     def described(hashes: Column, words: Column | None = None) -> Column:
         places = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
         if words is not None:
             places = F.filter(places, lambda i: bits.holds(words, F.get(hashes, i)))
-        slots = lambda i: F.filter(F.slice("tokens", i + 1, F.lit(length)), _is_slot)
+        slots = lambda i: F.transform(F.filter(F.slice("tokens", i + 1, F.lit(length)), lambda t: _is_slot(t, named)), lambda t: F.translate(t, OPENER, NAME))
         return F.transform(places, lambda i: F.struct(i.alias("at"), F.get(hashes, i).alias("hash"), slots(i).alias("slots")))
 
-    hashes = window_hashes(F.col("tokens"), length)
+    hashes = window_hashes(F.col("tokens"), length, named)
     each = _let(bits.literal(), lambda w: _let(hashes, lambda h: described(h, w))) if bits is not None and bits.fits else _let(hashes, lambda h: described(h))
     found = rows.select(*keys, each.alias("found"))
-    return found.select(*keys, F.lit(length).alias("length"), F.explode("found").alias("w")).select(*keys, "length", "w.at", "w.hash", "w.slots")
+    return found.select(*keys, F.lit(length).alias("length"), F.lit(named).alias("named"), F.explode("found").alias("w")).select(*keys, "length", "named", "w.at", "w.hash", "w.slots")
 
 
 def _item_windows(items: DataFrame, lengths: list[int], window: int) -> DataFrame:
@@ -133,7 +139,7 @@ def _item_windows(items: DataFrame, lengths: list[int], window: int) -> DataFram
     parts = []
     for n in lengths:
         own = items if n == window else items.where(F.size("tokens") == n)
-        parts.append(_windows(own, ["item"], n).where(F.size("slots") * 2 <= n))
+        parts += [_windows(own, ["item"], n, named).where(F.size("slots") * 2 <= n) for named in READINGS]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -145,7 +151,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, window: int, lea
     bits = BitArray(known.select("hash").distinct(), max_bits)
     found = tokens(F.col(f"`{text}`"))
     if bits.fits:
-        hit = _let(bits.literal(), lambda w: _let(found, lambda t: reduce(lambda a, b: a | b, (F.exists(window_hashes(t, n), lambda h: bits.holds(w, h)) for n in lengths))))
+        hit = _let(bits.literal(), lambda w: _let(found, lambda t: reduce(lambda a, b: a | b, (F.exists(window_hashes(t, n, named), lambda h: bits.holds(w, h)) for n in lengths for named in READINGS))))
     else:  # too large a benchmark to test in the scan: every row goes to the join
         hit = F.lit(True)
     return docs.withColumn("_hit", F.coalesce(hit, F.lit(False))), known, lengths, bits
@@ -154,8 +160,8 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, window: int, lea
 def matches(rows: DataFrame, known: DataFrame, lengths: list[int], bits: BitArray, text: str, max_broadcast: int = 1_000_000) -> DataFrame:
     """row, item, n_windows (distinct windows of the item that the row has with consistent slots), n_changed (of those with other values)."""
     found = rows.select("_row", tokens(F.col(f"`{text}`")).alias("tokens"))
-    windows = reduce(DataFrame.unionByName, (_windows(found, ["_row"], n, bits) for n in lengths))
-    theirs = known.select("item", F.col("length").alias("n"), F.col("at").alias("item_at"), F.col("hash").alias("h"), F.col("slots").alias("item_slots"))
+    windows = reduce(DataFrame.unionByName, (_windows(found, ["_row"], n, named, bits) for n in lengths for named in READINGS))
+    theirs = known.select("item", F.col("length").alias("n"), F.col("named").alias("item_named"), F.col("at").alias("item_at"), F.col("hash").alias("h"), F.col("slots").alias("item_slots"))
     if known.count() <= max_broadcast:
         theirs = F.broadcast(theirs)
     met = windows.join(theirs, (F.col("hash") == F.col("h")) & (F.col("length") == F.col("n")))
@@ -166,8 +172,8 @@ def matches(rows: DataFrame, known: DataFrame, lengths: list[int], bits: BitArra
 
     met = met.where(F.size("slots") == F.size("item_slots")).withColumn("pairs", F.arrays_zip("slots", "item_slots")).where(bijective(F.col("pairs")))
     met = met.withColumn("changed", (F.col("slots") != F.col("item_slots")).cast("int"))
-    # values must agree along the whole passage too; windows with the item's own values count in any case
-    along = met.groupBy("_row", "item", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("all"), F.collect_set(F.struct("item_at", "changed")).alias("spots"))
+    # values must agree along the whole passage too, in the readings that met; windows with the item's own values count in any case
+    along = met.groupBy("_row", "item", "named", "item_named", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("all"), F.collect_set(F.struct("item_at", "changed")).alias("spots"))
     spots = along.select("_row", "item", F.explode(F.when(bijective(F.col("all")), F.col("spots")).otherwise(F.filter("spots", lambda x: x["changed"] == 0))).alias("x"))
     spots = spots.groupBy("_row", "item", "x.item_at").agg(F.min("x.changed").alias("changed"))
     return spots.groupBy("_row", "item").agg(F.count("*").alias("n_windows"), F.sum("changed").alias("n_changed"))

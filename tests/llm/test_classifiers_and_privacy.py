@@ -189,6 +189,25 @@ def test_reparameterised_questions(spark):
     assert decontamination.find_leaks(docs.limit(0), items).count() == 0 and decontamination.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_questions_whose_sentences_open_with_names(spark):
+    item = "Tom has 5 red apples. Anna has 3 green pears. Tom gives 2 of them to Anna. How many does Tom have now?"
+    other = item.replace("Tom", "Sue").replace("Anna", "Mary").replace("5", "9").replace("3", "7").replace("2", "4")
+    rows = [
+        (1, other),
+        (2, "So:  " + other + " Well."),
+        (3, f'"{other}"'),
+        (4, item),
+        (5, item.lower()),
+        (6, other.replace("7", "9").replace("4", "9").replace("Sue gives", "Kim gives")),  # one number for three, two names for one: no window is consistent
+        (7, "The dog has many old bones. My cat likes them too, but they belong to Rex. How many are left?"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r["n_changed"] > 0 for r in decontamination.find_leaks(docs, items).collect()}
+    assert {k: got.get(k) for k in (1, 2, 3, 4, 6, 7)} == {1: True, 2: True, 3: True, 4: False, 6: None, 7: None}
+    assert decontamination.drop_leaks(docs, items).where("doc_id < 5").count() == 0
+
+
 def test_pipeline_keeps_what_it_should(spark):
     import corpus_pipeline
 
