@@ -118,28 +118,38 @@ def _lengths(items: DataFrame, window: int, least: int) -> list[int]:
     return [window, *sorted(r["n"] for r in short.collect())]
 
 
+def _slots(tokens: Column, at: Column, length: int, named: bool) -> Column:
+    """The values of a window's slots in order; openers that are names look like other names."""
+    return F.transform(F.filter(F.slice(tokens, at + 1, F.lit(length)), lambda t: _is_slot(t, named)), lambda t: F.translate(t, OPENER, NAME))
+
+
+def _exact(tokens: Column, shape: Column, at: Column, length: int, named: bool) -> Column:
+    """A window's hash: of its template (shape) if half of its tokens are literal words, else of its slots' values too."""
+    return _let(_slots(tokens, at, length, named), lambda s: F.when(F.size(s) * 2 > length, F.xxhash64(shape, s)).otherwise(shape))
+
+
 def _windows(rows: DataFrame, keys: list[str], length: int, named: bool, bits: BitArray | None = None) -> DataFrame:
-    """keys, length, named, at, hash, slots: each window (with bits only those it holds) with its slots' values in order. A row per window carries nothing of the text but these."""
+    """keys, length, named, at, shape, hash, slots: each window (with bits only those it holds) with its slots' values in order. A row per window carries nothing of the text but these."""
 
     def described(hashes: Column, words: Column | None = None) -> Column:
+        exact = lambda i: _exact(F.col("tokens"), F.get(hashes, i), i, length, named)
         places = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
         if words is not None:
-            places = F.filter(places, lambda i: bits.holds(words, F.get(hashes, i)))
-        slots = lambda i: F.transform(F.filter(F.slice("tokens", i + 1, F.lit(length)), lambda t: _is_slot(t, named)), lambda t: F.translate(t, OPENER, NAME))
-        return F.transform(places, lambda i: F.struct(i.alias("at"), F.get(hashes, i).alias("hash"), slots(i).alias("slots")))
+            places = F.filter(places, lambda i: bits.holds(words, F.get(hashes, i)) & bits.holds(words, exact(i)))
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.get(hashes, i).alias("shape"), exact(i).alias("hash"), _slots(F.col("tokens"), i, length, named).alias("slots")))
 
     hashes = window_hashes(F.col("tokens"), length, named)
     each = _let(bits.literal(), lambda w: _let(hashes, lambda h: described(h, w))) if bits is not None and bits.fits else _let(hashes, lambda h: described(h))
     found = rows.select(*keys, each.alias("found"))
-    return found.select(*keys, F.lit(length).alias("length"), F.lit(named).alias("named"), F.explode("found").alias("w")).select(*keys, "length", "named", "w.at", "w.hash", "w.slots")
+    return found.select(*keys, F.lit(length).alias("length"), F.lit(named).alias("named"), F.explode("found").alias("w")).select(*keys, "length", "named", "w.at", "w.shape", "w.hash", "w.slots")
 
 
 def _item_windows(items: DataFrame, lengths: list[int], window: int) -> DataFrame:
-    """Windows of the items that have enough literal words: half of their tokens."""
+    """Windows of the items in both readings."""
     parts = []
     for n in lengths:
         own = items if n == window else items.where(F.size("tokens") == n)
-        parts += [_windows(own, ["item"], n, named).where(F.size("slots") * 2 <= n) for named in READINGS]
+        parts += [_windows(own, ["item"], n, named) for named in READINGS]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -148,10 +158,14 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, window: int, lea
     items = cut(benchmark.select("item", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= least))
     lengths = _lengths(items, window, least)
     known = cut(_item_windows(items, lengths, window))
-    bits = BitArray(known.select("hash").distinct(), max_bits)
+    bits = BitArray(known.select(F.explode(F.array("shape", "hash")).alias("hash")).distinct(), max_bits)
     found = tokens(F.col(f"`{text}`"))
+
+    def any_held(t: Column, w: Column, n: int, named: bool) -> Column:
+        return F.size(F.filter(window_hashes(t, n, named), lambda h, i: bits.holds(w, h) & bits.holds(w, _exact(t, h, i, n, named)))) > 0
+
     if bits.fits:
-        hit = _let(bits.literal(), lambda w: _let(found, lambda t: reduce(lambda a, b: a | b, (F.exists(window_hashes(t, n, named), lambda h: bits.holds(w, h)) for n in lengths for named in READINGS))))
+        hit = _let(bits.literal(), lambda w: _let(found, lambda t: reduce(lambda a, b: a | b, (any_held(t, w, n, named) for n in lengths for named in READINGS))))
     else:  # too large a benchmark to test in the scan: every row goes to the join
         hit = F.lit(True)
     return docs.withColumn("_hit", F.coalesce(hit, F.lit(False))), known, lengths, bits
@@ -183,7 +197,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """doc key, item key, n_windows, n_changed: every document that shares a consistent template window with an item.
 
     Items of fewer than window template tokens are matched whole, those of fewer than least never
-    (they are common phrases); windows of which more than half are slots are not used. Null texts
+    (they are common phrases); windows of which more than half are slots count with the item's own
+    values only. Null texts
     have no tokens. Repeated rows give a row each; an empty table gives none.
     """
     marked, known, lengths, bits = with_hits(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text")), benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")), "text", window, least, max_bits)

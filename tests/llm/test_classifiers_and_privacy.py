@@ -208,6 +208,15 @@ def test_questions_whose_sentences_open_with_names(spark):
     assert decontamination.drop_leaks(docs, items).where("doc_id < 5").count() == 0
 
 
+def test_windows_of_slots_count_verbatim(spark):
+    item = "Add 17 and 25 and 31 and 48 and 52 and 66 and 79 and 83 plus 90 minus 12 minus 34"
+    table = "1.5 2.5 3.5 4.5 5.5 6.5 7.5 8.5 9.5 10.5 11.5 12.5 13.5 14.5"
+    docs = spark.createDataFrame([(1, "See " + table + " end"), (2, table.replace("7.5", "7.6").replace("8.5", "8.6")), (3, "Rows: 17 25 31 48 52 66 79 83 90 12 34"), (4, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, table), (2, "17 25 31 48 52 66 79 83"), (3, item)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["n_changed"]) for r in decontamination.find_leaks(docs, items).collect()}
+    assert got == {(1, 1, 0), (3, 2, 0)}
+
+
 def test_pipeline_keeps_what_it_should(spark):
     import corpus_pipeline
 
