@@ -579,10 +579,12 @@ def page_signals(spark, sf_dir):
 @query
 def document_sections(spark, sf_dir):
     """Pages by an ordered list of key words in their first 150 characters, with shares of the whole."""
-    head = F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 150))
+    head = F.lower(F.substring("text", 1, 150))
     bucket = F.when(head.contains("the"), "the").when(head.contains("der"), "der").when(head.contains("le"), "le").otherwise("other")
-    rows = fx.read(spark, sf_dir, "documents").withColumn("section", bucket)
-    return rows.groupBy("section").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    rows = locate.into_pages(fx.read(spark, sf_dir, "documents")).withColumn("section", bucket)
+    counted = rows.groupBy("section").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    whole = counted.agg(F.sum("n").alias("all_n"), F.sum("chars").alias("all_chars"))
+    return counted.crossJoin(F.broadcast(whole)).select("section", "n", "chars", F.round(F.col("n") / F.col("all_n"), 6).alias("page_share"), F.round(F.try_divide("chars", "all_chars"), 6).alias("char_share"))
 
 
 # markets ------------------------------------------------------------------------------------

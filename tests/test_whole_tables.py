@@ -53,6 +53,22 @@ def test_columns_of_all_documents(spark, db):
     assert {r["doc_id"] for r in catalogue.QUERIES["merged_columns"](spark, SF).collect()} == want
 
 
+def test_sections_of_every_page(spark, db):
+    """document_sections against a loop over pages."""
+    want = {}
+    for (text,) in db.sql("SELECT text FROM documents").fetchall():
+        parts = (text or "").split("\n")
+        for i in range(0, len(parts), 5):
+            page = "\n".join(parts[i : i + 5])
+            section = next((x for x in ("the", "der", "le") if x in page[:150].lower()), "other")
+            n, chars = want.get(section, (0, 0))
+            want[section] = n + 1, chars + len(page)
+    got = catalogue.QUERIES["document_sections"](spark, SF).collect()
+    assert {r["section"]: (r["n"], r["chars"]) for r in got} == want
+    pages, chars = (sum(x[k] for x in want.values()) for k in (0, 1))
+    assert all(abs(r["page_share"] - r["n"] / pages) < 1e-6 and abs(r["char_share"] - r["chars"] / chars) < 1e-6 for r in got)
+
+
 def test_gaps_in_periods(spark):
     """Years with opening days alone, and entities with a few common periods."""
     from factloom.operators import facts, reconcile
