@@ -466,7 +466,7 @@ def locate_pages_topk(spark, sf_dir):
 def best_label_row(spark, sf_dir):
     """Part names against aliases by similarity; no SQL has this ratio."""
     rows = fx.read(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("doc_id"), F.col("p_partkey").alias("row_no"), F.col("p_name").alias("label"), F.lit(2).alias("n_values"))
-    names = rows.select(F.lower("label").alias("alias")).distinct().orderBy("alias").limit(13)
+    names = rows.select(F.lower("label").alias("alias")).distinct()
     aliases = names.select(F.concat(F.lit("f_"), "alias").alias("field_id"), "alias")
     return locate.best_rows(locate.label_scores(rows, aliases)).select("doc_id", "field_id", "row_no", "label", "score")
 

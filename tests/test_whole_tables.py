@@ -69,6 +69,11 @@ def test_sections_of_every_page(spark, db):
     assert all(abs(r["page_share"] - r["n"] / pages) < 1e-6 and abs(r["char_share"] - r["chars"] / chars) < 1e-6 for r in got)
 
 
+def test_every_name_is_an_alias(spark, db):
+    want = {"f_" + x for (x,) in db.sql("SELECT DISTINCT lower(p_name) FROM part").fetchall()}
+    assert len(want) > 13 and {r["field_id"] for r in catalogue.QUERIES["best_label_row"](spark, SF).collect()} == want
+
+
 def test_gaps_in_periods(spark):
     """Years with opening days alone, and entities with a few common periods."""
     from factloom.operators import facts, reconcile
