@@ -56,7 +56,7 @@ ERRORS = """errors AS (SELECT 'N' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0')
     CASE k % 4 WHEN 0 THEN 'Missing XBRL tag: ' || ['revenue', 'cash', 'capex', 'eps_basic', 'nothing'][k % 5 + 1] WHEN 1 THEN 'PDF extraction failed for: ' || ['revenue', 'cash', 'capex', 'eps_basic', 'nothing'][k % 3 + 1] WHEN 2 THEN 'Missing statement pages: cashflow' ELSE 'other trouble' END AS line
     FROM nation, unnest(range(n_nationkey, n_nationkey + 4)) AS u(k))"""
 CELLS = """
-l AS (SELECT l_orderkey, l_linenumber, sum(CAST(round(l_quantity) AS BIGINT)) AS q, sum(CAST(floor(l_extendedprice) AS BIGINT)) AS p, sum(CAST(round(l_tax * 100) AS BIGINT)) AS t FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY ALL),
+l AS (SELECT l_orderkey, l_linenumber, sum(CAST(round(l_quantity) AS BIGINT)) AS q, sum(CAST(floor(l_extendedprice) AS BIGINT)) AS p, sum(CAST(round(l_tax * 100) AS BIGINT)) AS t FROM lineitem GROUP BY ALL),
 r AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS INT) AS row_no, 'line ' || l_linenumber AS label, q, p, t FROM l),
 rr AS (SELECT * FROM r UNION ALL SELECT doc_id, max(row_no) + 1, 'Total', sum(q), sum(p), CASE WHEN doc_id % 60 = 0 THEN 0 ELSE sum(t) END FROM r GROUP BY doc_id),
 base AS (SELECT doc_id, row_no, u.c AS col_no, ['item', 'qty', 'price', 'tax'][u.c + 1] AS header, CASE u.c WHEN 0 THEN label WHEN 1 THEN CAST(q AS VARCHAR) WHEN 2 THEN CAST(p AS VARCHAR) ELSE CAST(t AS VARCHAR) END AS text, CASE u.c WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN t END AS v FROM rr, (VALUES (0), (1), (2), (3)) u(c)),
@@ -72,7 +72,7 @@ CONFIDENCE = """c0 AS (SELECT doc_id, (doc_id % 5) / 4.0 AS cross_, (doc_id % 3)
 c1 AS (SELECT *, st::DOUBLE * 0.25::DOUBLE + cross_::DOUBLE * 0.25::DOUBLE + nu::DOUBLE * 0.2::DOUBLE + (CASE WHEN scanned THEN 0.6 ELSE 1.0 END)::DOUBLE * 0.15::DOUBLE + least(0.95::DOUBLE, 0.5::DOUBLE + ch / 200.0::DOUBLE) * 0.15::DOUBLE AS total FROM c0),
 conf AS (SELECT doc_id, round(total, 3) AS score, total < 0.85 OR cross_ < 0.55 OR (merged AND st < 0.7) OR (scanned AND total < 0.9) OR (scanned AND NOT has) AS gated,
     list_filter([CASE WHEN cross_ < 0.55 THEN 'engines disagree' END, CASE WHEN nu < 0.7 THEN 'totals inconsistent' END, CASE WHEN scanned THEN 'scanned page' END, CASE WHEN ch <= 50 THEN 'little text' END, CASE WHEN merged AND st < 0.7 THEN 'merged cells' END, CASE WHEN scanned AND NOT has THEN 'scanned without tables' END], lambda x: x IS NOT NULL) AS reasons FROM c1)"""
-GLYPHS = """chars AS (SELECT p_partkey % 25 AS doc_id, p_partkey AS line, i - 1 AS ord, substr(p_name, i, 1) AS text, i - 1 - length(replace(substr(p_name, 1, i - 1), ' ', '')) AS blanks FROM part, unnest(range(1, length(p_name) + 1)) AS u(i) WHERE p_partkey % 10 = 0 AND substr(p_name, i, 1) <> ' '),
+GLYPHS = """chars AS (SELECT p_partkey % 25 AS doc_id, p_partkey AS line, i - 1 AS ord, substr(p_name, i, 1) AS text, i - 1 - length(replace(substr(p_name, 1, i - 1), ' ', '')) AS blanks FROM part, unnest(range(1, length(p_name) + 1)) AS u(i) WHERE substr(p_name, i, 1) <> ' '),
 placed AS (SELECT *, CAST(ord * 8 + blanks * 40 AS DOUBLE) AS x0 FROM chars),
 cuts AS (SELECT *, CASE WHEN x0 - lag(x0 + 8) OVER (PARTITION BY doc_id, line ORDER BY x0, ord) > 20 THEN 1 ELSE 0 END AS new FROM placed),
 numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, line ORDER BY x0, ord) AS word FROM cuts),
@@ -121,9 +121,9 @@ SQL: dict[str, str] = {
         SELECT coalesce(tier, 'all') AS tier, total, hits, round(hits / total::DOUBLE, 4) AS rate, CASE WHEN hits / total::DOUBLE >= 0.9 THEN 'GO' WHEN hits / total::DOUBLE < 0.8 THEN 'STOP' ELSE 'HOLD' END AS verdict FROM g""",
     "eps_split_match": "WITH v AS (SELECT p_partkey, CAST(p_size * 10 AS DOUBLE) AS x, CAST(p_size * 10 * (p_partkey % 13) AS DOUBLE) AS d FROM part) SELECT p_partkey, abs(x - d) <= 1.0 OR len(list_filter([2,3,4,5,6,8,10,12,20], lambda f: abs(x * f - d) <= 1.0 OR abs(x - d * f) <= 1.0)) > 0 AS agrees FROM v",
     "capex_magnitude_match": f"WITH {BASE} SELECT o.entity, o.period_end, abs(abs(o.value) - abs(d.value)) <= greatest(1.0, greatest(abs(o.value), abs(d.value), 1.0) * 0.001) AS agrees FROM official o JOIN document d USING (entity, field_id, period_end) WHERE field_id = 'capex'",
-    "align_periods": f"WITH {BASE}, c AS (SELECT entity, period_end FROM official INTERSECT SELECT entity, period_end FROM document WHERE y % 2 = 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY period_end DESC) AS INT) AS ord FROM c) SELECT * FROM r WHERE ord <= 3",
+    "align_periods": f"WITH {BASE}, c AS (SELECT entity, period_end FROM official INTERSECT SELECT entity, period_end FROM document), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY period_end DESC) AS INT) AS ord FROM c) SELECT * FROM r WHERE ord <= 3",
     "authoritative_pivot": f"WITH {BASE}, {GAPS} SELECT entity, field_id, " + ", ".join(f"max(authoritative_value) FILTER (period_end = '{y}-12-31') AS y{y}" for y in range(1995, 2002)) + " FROM items GROUP BY entity, field_id",
-    "canonical_periods": """WITH d AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS entity, year(o_orderdate) || ['-12-31', '-01-01', '-06-30'][o_orderkey % 3 + 1] AS p FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) % 2 = 1 OR o_orderkey % 3 = 1),
+    "canonical_periods": """WITH d AS (SELECT DISTINCT CAST(c_nationkey AS VARCHAR) AS entity, year(o_orderdate) || ['-12-31', '-01-01', '-06-30'][o_orderkey % 3 + 1] AS p FROM orders JOIN customer ON o_custkey = c_custkey),
         y AS (SELECT entity, substr(p, 1, 4) AS year, coalesce(max(p) FILTER (substr(p, 6) IN ('12-31', '03-31', '06-30', '09-30')), max(p) FILTER (substr(p, 6) NOT IN ('01-01', '01-02', '01-03')), substr(p, 1, 4) || '-12-31') AS period_end FROM d GROUP BY entity, substr(p, 1, 4)),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY year DESC) AS INT) AS ord FROM y) SELECT * FROM r WHERE ord <= 3""",
     "remap_facts_to_canonical": f"""WITH {REMAP}, j AS (SELECT r.entity, c.period_end, r.value, row_number() OVER (PARTITION BY r.entity, c.period_end ORDER BY substr(r.p, 6) IN ('12-31', '03-31', '06-30', '09-30') DESC, r.ord) AS n FROM r JOIN canon c ON r.entity = c.entity AND substr(r.p, 1, 4) = c.y AND c.o <= 3)
@@ -131,13 +131,13 @@ SQL: dict[str, str] = {
     "annual_filter": f"WITH {ENTRIES} SELECT * FROM annual",
     "dedupe_latest_filed": f"WITH {ENTRIES}, r AS (SELECT *, row_number() OVER (PARTITION BY entity, tag, \"end\" ORDER BY filed DESC, coalesce(start, '') , val) AS n FROM entries) SELECT entity, \"end\", val, form, filed FROM r WHERE n = 1",
     "pick_tag_entries": f"WITH {ENTRIES}, d AS (SELECT *, row_number() OVER (PARTITION BY entity, tag, \"end\" ORDER BY filed DESC) AS n FROM annual), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY entity ORDER BY \"end\" DESC) AS INT) AS rank FROM d WHERE n = 1) SELECT entity, tag, \"end\", val, rank FROM r WHERE rank <= 3",
-    "unit_preference": """WITH r AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS entity, o_orderpriority AS tag, ['EUR', 'CNY', 'USD', 'GBP'][o_orderkey % 4 + 1] AS unit FROM orders WHERE o_orderkey % 7 <> 2), b AS (SELECT entity, tag, arg_min(unit, (CASE unit WHEN 'CNY' THEN 0 WHEN 'USD' THEN 1 ELSE 2 END, unit)) AS unit FROM r GROUP BY ALL) SELECT entity, tag, unit, count(*) AS n FROM r JOIN b USING (entity, tag, unit) GROUP BY ALL""",
+    "unit_preference": """WITH r AS (SELECT CAST(o_custkey % 40 AS VARCHAR) AS entity, o_orderpriority AS tag, ['EUR', 'CNY', 'USD', 'GBP'][o_orderkey % 4 + 1] AS unit FROM orders), b AS (SELECT entity, tag, arg_min(unit, (CASE unit WHEN 'CNY' THEN 0 WHEN 'USD' THEN 1 ELSE 2 END, unit)) AS unit FROM r GROUP BY ALL) SELECT entity, tag, unit, count(*) AS n FROM r JOIN b USING (entity, tag, unit) GROUP BY ALL""",
     "derive_liabilities": f"""WITH {BASE}, s AS (SELECT entity, period_end, max(value) FILTER (field_id = 'total_assets') AS a, max(value) FILTER (field_id = 'total_equity') AS e, max(value) FILTER (field_id = 'total_liabilities' AND period_end > '1996') AS l FROM official GROUP BY ALL),
         p AS (SELECT entity, period_end, a - e AS q, floor(l * 40) / 100 + floor(l * 60) / 100 AS s FROM s)
         SELECT entity, period_end, round(CASE WHEN s IS NULL OR abs(q - s) > greatest(1.0, abs(q) * 0.02) THEN q ELSE s END, 2) AS liabilities FROM p WHERE q IS NOT NULL OR s IS NOT NULL""",
     "fiscal_calendar": """WITH r AS (SELECT o_orderkey, year(o_orderdate) AS y, CASE o_orderkey % 5 WHEN 0 THEN 'December 31, ' || year(o_orderdate) WHEN 1 THEN 'FY ' || year(o_orderdate) ELSE CAST(year(o_orderdate) AS VARCHAR) END AS label, CASE o_orderkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS power FROM orders)
         SELECT CAST(y AS INT) AS y, arg_max(label, (power, -o_orderkey)) AS label, max(power) AS power FROM r GROUP BY y""",
-    "period_headers": "WITH r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate - INTERVAL 12 MONTH AS DATE) AS b FROM orders WHERE o_orderkey % 5 = 0) SELECT o_orderkey, a || ',' || b AS found FROM r",
+    "period_headers": "WITH r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate - INTERVAL 12 MONTH AS DATE) AS b FROM orders) SELECT o_orderkey, a || ',' || b AS found FROM r",
     "parse_amounts_roundtrip": "WITH v AS (SELECT o_orderkey, floor(o_totalprice) AS v FROM orders) SELECT o_orderkey, CASE WHEN v < 100 THEN NULL WHEN o_orderkey % 3 = 0 THEN -v ELSE v END AS amount FROM v",
     "amount_pair_split": "SELECT p_partkey, CAST(p_size * 1000 AS DOUBLE) AS a, CAST(p_partkey AS DOUBLE) AS b FROM part",
     "stutter_repair": "SELECT p_partkey, p_name AS repaired FROM part",
@@ -193,7 +193,10 @@ SQL: dict[str, str] = {
     "merged_grids": "WITH r AS (SELECT CAST(p_partkey % 10 AS INT) AS doc_id, p_partkey AS grid_ord, p_name AS label, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END AS filled FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(trim(label)) ORDER BY filled DESC, grid_ord) AS n FROM r) SELECT doc_id, label, grid_ord, CAST(filled AS INT) AS filled FROM k WHERE n = 1",
     "page_signals": r"""WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents), pg AS (SELECT doc_id, CAST(i + 1 AS INT) AS page_num, array_to_string(p[i * 5 + 1 : i * 5 + 5], chr(10)) AS text FROM parts, unnest(range(0, CAST(ceil(len(p) / 5.0) AS BIGINT))) AS u(i)), s(statement, pattern, points) AS (VALUES ('a', 'the', 1000), ('a', '100', -5000), ('b', 'ing', 300))
         SELECT doc_id, page_num, statement, CAST(sum(points) AS BIGINT) AS score FROM pg JOIN s ON contains(text, pattern) GROUP BY ALL""",
-    "document_sections": "WITH v AS (SELECT lower(substr(coalesce(text, ''), 1, 150)) AS h, n_chars FROM documents) SELECT CASE WHEN contains(h, 'the') THEN 'the' WHEN contains(h, 'der') THEN 'der' WHEN contains(h, 'le') THEN 'le' ELSE 'other' END AS section, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM v GROUP BY 1",
+    "document_sections": """WITH p AS (SELECT u.i, string_split(coalesce(text, ''), chr(10))[5 * u.i + 1 : 5 * u.i + 5] AS lines FROM documents, unnest(range(0, CAST(ceil(len(string_split(coalesce(text, ''), chr(10))) / 5.0) AS BIGINT))) AS u(i)),
+        v AS (SELECT array_to_string(lines, chr(10)) AS t FROM p), h AS (SELECT lower(substr(t, 1, 150)) AS h, length(t) AS n_chars FROM v),
+        c AS (SELECT CASE WHEN contains(h, 'the') THEN 'the' WHEN contains(h, 'der') THEN 'der' WHEN contains(h, 'le') THEN 'le' ELSE 'other' END AS section, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM h GROUP BY 1)
+        SELECT section, n, chars, round(n / sum(n) OVER (), 6) AS page_share, round(chars / sum(chars) OVER (), 6) AS char_share FROM c""",
     "company_facts_extract": f"""WITH {ENTRIES}, d AS (SELECT *, row_number() OVER (PARTITION BY entity, tag, "end" ORDER BY filed DESC) AS n FROM annual), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY "end" DESC) AS r FROM d WHERE n = 1)
         SELECT entity, 'revenue' AS field_id, "end" AS period_end, round(val / 1e6 * 1e6, 2) AS value, 'USD' AS currency, 'US-GAAP' AS standard, tag FROM k WHERE r <= 3""",
     "company_facts_errors": f"WITH fields(field_id, statement, field_ord) AS (VALUES {FIELD_LIST}) SELECT 'Missing XBRL tag: ' || field_id AS line, (SELECT count(DISTINCT c_nationkey) FROM customer JOIN orders ON o_custkey = c_custkey) AS entities FROM fields WHERE field_id <> 'revenue'",

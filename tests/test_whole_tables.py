@@ -1,23 +1,11 @@
-"""Queries that read whole tables, against their SQL with its key filters left out (in memory only)."""
+"""Queries without SQL, or whose rows depend on whole tables, against loops over whole tables."""
 
 from __future__ import annotations
 
 import pytest
 
 from factloom.plans import catalogue
-from tests.test_catalogue import SF, TABLES, plain
-
-CELLS = ("table_structure_score", "numeric_consistency", "cross_engine_jaccard", "table_quality", "merge_best_table", "total_row_check", "column_summary", "feedback_corrections")
-#: The SQL's filters, and what stands in their place.
-FILTERS = {name: {" WHERE l_orderkey % 20 = 0": ""} for name in CELLS}
-FILTERS |= {name: {" WHERE p_partkey % 10 = 0 AND": " WHERE"} for name in ("word_islands", "column_clusters", "nearest_column")}
-FILTERS |= {
-    "period_headers": {" WHERE o_orderkey % 5 = 0": ""},
-    "unit_preference": {" WHERE o_orderkey % 7 <> 2": ""},
-    "canonical_periods": {" WHERE year(o_orderdate) % 2 = 1 OR o_orderkey % 3 = 1": ""},
-    "align_periods": {" WHERE y % 2 = 0": ""},
-}
-
+from tests.test_catalogue import SF, TABLES
 
 @pytest.fixture(scope="module")
 def db():
@@ -29,18 +17,6 @@ def db():
     return out
 
 
-@pytest.mark.parametrize("name", sorted(FILTERS))
-def test_whole_table(spark, db, name):
-    sql = catalogue.ORACLE_SQL[name]
-    for part, other in FILTERS[name].items():
-        sql = sql.replace(part, other)
-    got = catalogue.QUERIES[name](spark, SF)
-    columns = sorted(got.columns)
-    rows = sorted(repr([plain(r[c]) for c in columns]) for r in got.collect())
-    want = db.sql("SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({sql})").fetchall()
-    assert rows == sorted(repr([float(x) if type(x).__name__ == "Decimal" else plain(x) for x in r]) for r in want)
-
-
 def test_grids_of_all_orders(spark, db):
     """grid_compare_offsets has no SQL; every order has a grid."""
     want = {x for (x,) in db.sql("SELECT DISTINCT l_orderkey FROM lineitem").fetchall()}
