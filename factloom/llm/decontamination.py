@@ -86,12 +86,12 @@ def window_hashes(found: Column, window: int, named: bool) -> Column:
 
 
 class BitArray:
-    """Two bits for each hash; tested without a join. Its bits follow the number of hashes and are bounded."""
+    """A Bloom filter of hashes, tested without a join: four bits for each, among 64 bits a hash, or among fewer (16 at least) where max_bits asks for it."""
 
     def __init__(self, hashes: DataFrame, max_bits: int):
-        n = hashes.count()
-        self.bits = max(1 << 14, 1 << math.ceil(math.log2(max(1, n) * 256)))
-        self.fits = self.bits <= max_bits
+        n = max(1, hashes.count())
+        self.bits = min(max(1 << 14, 1 << math.ceil(math.log2(n * 64))), max_bits)
+        self.fits = n * 16 <= self.bits
         self.words = [0] * (self.bits // 64)
         if self.fits:
             spots = hashes.select(F.explode(F.array(*self._spots(F.col("hash")))).alias("p"))
@@ -101,7 +101,8 @@ class BitArray:
 
     def _spots(self, h: Column) -> list[Column]:
         mask = F.lit(self.bits - 1).cast("bigint")
-        return [h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask)]
+        low, high = h.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")), F.shiftrightunsigned(h, 32)
+        return [(low + high * i if i else low).bitwiseAND(mask) for i in range(4)]
 
     def literal(self) -> Column:
         """The words as one constant; a plan should hold it once, behind _let()."""
@@ -109,7 +110,7 @@ class BitArray:
 
     def holds(self, words: Column, h: Column) -> Column:
         tests = [F.call_function("shiftright", F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63).cast("bigint")).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1 for p in self._spots(h)]
-        return tests[0] & tests[1]
+        return reduce(lambda a, b: a & b, tests)
 
 
 def _lengths(items: DataFrame, window: int, least: int) -> list[int]:
@@ -128,36 +129,45 @@ def _exact(tokens: Column, shape: Column, at: Column, length: int, named: bool)
     return _let(_slots(tokens, at, length, named), lambda s: F.when(F.size(s) * 2 > length, F.xxhash64(shape, s)).otherwise(shape))
 
 
-def _windows(rows: DataFrame, keys: list[str], length: int, named: bool, bits: BitArray | None = None) -> DataFrame:
-    """keys, length, named, at, shape, hash, slots: each window (with bits only those it holds) with its slots' values in order. A row per window carries nothing of the text but these."""
+def _described(tokens: Column, length: int, named: bool, bits: BitArray | None, words: Column | None) -> Column:
+    """length, named, at, shape, hash, slots of each window (with bits only of those they hold), as an array."""
 
-    def described(hashes: Column, words: Column | None = None) -> Column:
-        exact = lambda i: _exact(F.col("tokens"), F.get(hashes, i), i, length, named)
+    def of(hashes: Column) -> Column:
+        exact = lambda i: _exact(tokens, F.get(hashes, i), i, length, named)
         places = F.when(F.size(hashes) > 0, F.sequence(F.lit(0), F.size(hashes) - 1)).otherwise(F.array().cast("array<int>"))
         if words is not None:
             places = F.filter(places, lambda i: bits.holds(words, F.get(hashes, i)) & bits.holds(words, exact(i)))
-        return F.transform(places, lambda i: F.struct(i.alias("at"), F.get(hashes, i).alias("shape"), exact(i).alias("hash"), _slots(F.col("tokens"), i, length, named).alias("slots")))
+        return F.transform(places, lambda i: F.struct(F.lit(length).alias("length"), F.lit(named).alias("named"), i.alias("at"), F.get(hashes, i).alias("shape"), exact(i).alias("hash"), _slots(tokens, i, length, named).alias("slots")))
 
-    hashes = window_hashes(F.col("tokens"), length, named)
-    each = _let(bits.literal(), lambda w: _let(hashes, lambda h: described(h, w))) if bits is not None and bits.fits else _let(hashes, lambda h: described(h))
-    found = rows.select(*keys, each.alias("found"))
-    return found.select(*keys, F.lit(length).alias("length"), F.lit(named).alias("named"), F.explode("found").alias("w")).select(*keys, "length", "named", "w.at", "w.shape", "w.hash", "w.slots")
+    return _let(window_hashes(tokens, length, named), of)
 
 
-def _item_windows(items: DataFrame, lengths: list[int], window: int) -> DataFrame:
-    """Windows of the items in both readings."""
-    parts = []
-    for n in lengths:
-        own = items if n == window else items.where(F.size("tokens") == n)
-        parts += [_windows(own, ["item"], n, named) for named in READINGS]
-    return reduce(DataFrame.unionByName, parts)
+def _windows(rows: DataFrame, keys: list[str], lengths: list[tuple[int, Column | None]], bits: BitArray | None = None) -> DataFrame:
+    """keys, length, named, at, shape, hash, slots: a row for each window in each reading, which carries nothing of the text but these.
+
+    lengths: a length, and which rows have windows of it (None: all). rows must be materialised: what
+    their tokens come from would be computed for every window. The generator is an outer one, as
+    Spark tests the arrays of others beforehand and so computes them twice.
+    """
+
+    def each(words: Column | None) -> Column:
+        parts = []
+        for n, where in lengths:
+            for named in READINGS:
+                part = _described(F.col("tokens"), n, named, bits, words)
+                parts.append(part if where is None else F.when(where, part).otherwise(F.filter(part, lambda _: F.lit(False))))
+        return F.concat(*parts)
+
+    found = _let(bits.literal(), each) if bits is not None and bits.fits else each(None)
+    return rows.select(*keys, F.explode_outer(found).alias("w")).where("w is not null").select(*keys, "w.*")
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, window: int, least: int, max_bits: int) -> tuple[DataFrame, DataFrame, list[int], BitArray]:
     """(docs with _hit: may the row share a window; the items' windows; window lengths; the items' bit array)."""
     items = cut(benchmark.select("item", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= least))
     lengths = _lengths(items, window, least)
-    known = cut(_item_windows(items, lengths, window))
+    own = [(n, None if n == window else F.size("tokens") == n) for n in lengths]
+    known = cut(_windows(items, ["item"], own))
     bits = BitArray(known.select(F.explode(F.array("shape", "hash")).alias("hash")).distinct(), max_bits)
     found = tokens(F.col(f"`{text}`"))
 
@@ -171,12 +181,16 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, window: int, lea
     return docs.withColumn("_hit", F.coalesce(hit, F.lit(False))), known, lengths, bits
 
 
-def matches(rows: DataFrame, known: DataFrame, lengths: list[int], bits: BitArray, text: str, max_broadcast: int = 1_000_000) -> DataFrame:
-    """row, item, n_windows (distinct windows of the item that the row has with consistent slots), n_changed (of those with other values)."""
-    found = rows.select("_row", tokens(F.col(f"`{text}`")).alias("tokens"))
-    windows = reduce(DataFrame.unionByName, (_windows(found, ["_row"], n, named, bits) for n in lengths for named in READINGS))
+def matches(rows: DataFrame, known: DataFrame, lengths: list[int], bits: BitArray, text: str, max_broadcast: int = 64 << 20) -> DataFrame:
+    """row, item, n_windows (distinct windows of the item that the row has with consistent slots), n_changed (of those with other values).
+
+    The items' windows are broadcast if they take at most max_broadcast bytes, else both sides are shuffled by hash.
+    """
+    found = cut(rows.select("_row", tokens(F.col(f"`{text}`")).alias("tokens")))
+    windows = _windows(found, ["_row"], [(n, None) for n in lengths], bits)
     theirs = known.select("item", F.col("length").alias("n"), F.col("named").alias("item_named"), F.col("at").alias("item_at"), F.col("hash").alias("h"), F.col("slots").alias("item_slots"))
-    if known.count() <= max_broadcast:
+    size = known.agg(F.sum(100 + 8 * F.size("slots") + F.aggregate("slots", F.lit(0), lambda n, s: n + F.octet_length(s)))).first()[0]
+    if (size or 0) <= max_broadcast:
         theirs = F.broadcast(theirs)
     met = windows.join(theirs, (F.col("hash") == F.col("h")) & (F.col("length") == F.col("n")))
     distinct = lambda c: F.size(F.array_distinct(c))
@@ -193,7 +207,7 @@ def matches(rows: DataFrame, known: DataFrame, lengths: list[int], bits: BitArra
     return spots.groupBy("_row", "item").agg(F.count("*").alias("n_windows"), F.sum("changed").alias("n_changed"))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, least: int = 6, max_bits: int = 1 << 24) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, least: int = 6, max_bits: int = 1 << 25) -> DataFrame:
     """doc key, item key, n_windows, n_changed: every document that shares a consistent template window with an item.
 
     Items of fewer than window template tokens are matched whole, those of fewer than least never
@@ -202,17 +216,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     have no tokens. Repeated rows give a row each; an empty table gives none.
     """
     marked, known, lengths, bits = with_hits(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text")), benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")), "text", window, least, max_bits)
-    rows = cut(marked.where("_hit").withColumn("_row", F.monotonically_increasing_id()))
+    rows = cut(marked.where("_hit").drop("_hit").withColumn("_row", F.monotonically_increasing_id()))
     found = matches(rows, known, lengths, bits, "text").join(rows.select("_row", "_key"), "_row")
     return found.select(F.col("_key").alias(key), F.col("item").alias(item), "n_windows", "n_changed")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, least: int = 6, max_bits: int = 1 << 24) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, least: int = 6, max_bits: int = 1 << 25) -> DataFrame:
     """docs without the rows that find_leaks() would name; only rows with a possible hit are joined. Columns keep their names."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     body = names[[c.lower() for c in docs.columns].index(text.lower())]
     marked, known, lengths, bits = with_hits(docs.toDF(*names), benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")), body, window, least, max_bits)
     marked = cut(marked)
-    rows = cut(marked.where("_hit").withColumn("_row", F.monotonically_increasing_id()))
+    rows = cut(marked.where("_hit").drop("_hit").withColumn("_row", F.monotonically_increasing_id()))
     leaks = matches(rows, known, lengths, bits, body).select("_row").distinct()
-    return marked.where("not _hit").drop("_hit").unionByName(rows.join(leaks, "_row", "left_anti").drop("_row", "_hit")).toDF(*docs.columns)
+    return marked.where("not _hit").drop("_hit").unionByName(rows.join(leaks, "_row", "left_anti").drop("_row")).toDF(*docs.columns)
