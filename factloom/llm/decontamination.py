@@ -2,8 +2,8 @@
 
 Numbers, names (capitalised words) and units behind numbers become typed placeholders, all else
 lower-case words. A capitalised word that opens a sentence may be a name or not, so texts are read
-in two ways: such openers as plain words, and as names. Windows of ``window`` template tokens are hashed by doubling
-(two, four, eight tokens, then the rest). A bit array of the benchmark's window hashes, tested in
+in two ways: such openers as plain words, and as names. Windows of ``window`` template tokens are hashed from
+hashes of four tokens. A bit array of the benchmark's window hashes, tested in
 the scan, lets only documents with a possible hit go on; these are hash-joined window by window.
 A matching window counts if its slots are consistent: equal values of the item stand for equal
 values of the document and the other way round, so a question with other numbers or names is
@@ -58,31 +58,21 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def window_hashes(found: Column, window: int, named: bool) -> Column:
-    """Hash of the window from each token on, as far as there is one; for fewer tokens than window an empty array."""
-    size = lambda a, n: F.size(a) - n + 1
+def gram_hashes(found: Column, step: int, named: bool) -> Column:
+    """Hash of the step template tokens from each token on, as far as there are."""
 
-    def doubled(a: Column, step: int) -> Column:
-        """Of hashes of step tokens those of 2 * step."""
-        n = F.size(a) - step
-        return F.when(n > 0, F.transform(F.slice(a, F.lit(1), n), lambda x, i: F.xxhash64(x, F.get(a, i + step)))).otherwise(F.array().cast("array<bigint>"))
+    def of(single: Column) -> Column:
+        n = F.size(single) - step + 1
+        return F.when(n > 0, F.transform(F.slice(single, F.lit(1), n), lambda x, i: F.xxhash64(x, *(F.get(single, i + k) for k in range(1, step))))).otherwise(F.array().cast("array<bigint>"))
 
-    single = F.transform(found, lambda t: F.xxhash64(_template(t, named)))
-    parts = [1 << b for b in range(window.bit_length()) if window >> b & 1]
-    parts.reverse()
-    deepest = parts[0]
+    return F.when(found.isNotNull(), _let(F.transform(found, lambda t: F.xxhash64(_template(t, named))), of))
 
-    def level(a: Column, step: int, kept: dict[int, Column]) -> Column:
-        kept = kept | {step: a}
-        if step < deepest:
-            return _let(doubled(a, step), lambda b: level(b, step * 2, kept))
-        n = size(kept[1], window)
-        first = kept[deepest]
-        offsets = [sum(parts[:k]) for k in range(len(parts))]
-        whole = F.transform(F.slice(first, F.lit(1), n), lambda x, i: F.xxhash64(x, *(F.get(kept[p], i + at) for p, at in zip(parts[1:], offsets[1:], strict=True)))) if len(parts) > 1 else F.slice(first, F.lit(1), n)
-        return F.when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
-    return F.when(found.isNotNull(), _let(single, lambda a: level(a, 1, {})))
+def window_hashes(grams: Column, step: int, window: int) -> Column:
+    """Hash of the window from each token on, as far as there is one, from the grams that cover it (the last two may overlap)."""
+    n = F.size(grams) + step - window
+    places = sorted({*range(0, window - step, step), window - step})
+    return F.when(n > 0, F.transform(F.slice(grams, F.lit(1), n), lambda x, i: F.xxhash64(x, *(F.get(grams, i + k) for k in places[1:])))).otherwise(F.array().cast("array<bigint>"))
 
 
 class BitArray:
@@ -129,7 +119,7 @@ def _exact(tokens: Column, shape: Column, at: Column, length: int, named: bool)
     return _let(_slots(tokens, at, length, named), lambda s: F.when(F.size(s) * 2 > length, F.xxhash64(shape, s)).otherwise(shape))
 
 
-def _described(tokens: Column, length: int, named: bool, bits: BitArray | None, words: Column | None) -> Column:
+def _described(tokens: Column, grams: Column, step: int, length: int, named: bool, bits: BitArray | None, words: Column | None) -> Column:
     """length, named, at, shape, hash, slots of each window (with bits only of those they hold), as an array."""
 
     def of(hashes: Column) -> Column:
@@ -139,25 +129,33 @@ def _described(tokens: Column, length: int, named: bool, bits: BitArray | None,
             places = F.filter(places, lambda i: bits.holds(words, F.get(hashes, i)) & bits.holds(words, exact(i)))
         return F.transform(places, lambda i: F.struct(F.lit(length).alias("length"), F.lit(named).alias("named"), i.alias("at"), F.get(hashes, i).alias("shape"), exact(i).alias("hash"), _slots(tokens, i, length, named).alias("slots")))
 
-    return _let(window_hashes(tokens, length, named), of)
+    return _let(window_hashes(grams, step, length), of)
 
 
-def _windows(rows: DataFrame, keys: list[str], lengths: list[tuple[int, Column | None]], bits: BitArray | None = None) -> DataFrame:
+def _step(lengths: list[int]) -> int:
+    return min(4, *lengths)
+
+
+def _windows(rows: DataFrame, keys: list[str], lengths: list[int], only: dict[int, Column], bits: BitArray | None = None) -> DataFrame:
     """keys, length, named, at, shape, hash, slots: a row for each window in each reading, which carries nothing of the text but these.
 
-    lengths: a length, and which rows have windows of it (None: all). rows must be materialised: what
+    only: which rows have windows of a length (else all). rows must be materialised: what
     their tokens come from would be computed for every window. The generator is an outer one, as
     Spark tests the arrays of others beforehand and so computes them twice.
     """
+    step = _step(lengths)
+
+    def reading(words: Column | None, named: bool) -> Column:
+        def of(grams: Column) -> Column:
+            parts = []
+            for n in lengths:
+                part = _described(F.col("tokens"), grams, step, n, named, bits, words)
+                parts.append(F.when(only[n], part).otherwise(F.filter(part, lambda _: F.lit(False))) if n in only else part)
+            return F.concat(*parts)
 
-    def each(words: Column | None) -> Column:
-        parts = []
-        for n, where in lengths:
-            for named in READINGS:
-                part = _described(F.col("tokens"), n, named, bits, words)
-                parts.append(part if where is None else F.when(where, part).otherwise(F.filter(part, lambda _: F.lit(False))))
-        return F.concat(*parts)
+        return _let(gram_hashes(F.col("tokens"), step, named), of)
 
+    each = lambda words: F.concat(*(reading(words, named) for named in READINGS))
     found = _let(bits.literal(), each) if bits is not None and bits.fits else each(None)
     return rows.select(*keys, F.explode_outer(found).alias("w")).where("w is not null").select(*keys, "w.*")
 
@@ -166,16 +164,22 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, window: int, lea
     """(docs with _hit: may the row share a window; the items' windows; window lengths; the items' bit array)."""
     items = cut(benchmark.select("item", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= least))
     lengths = _lengths(items, window, least)
-    own = [(n, None if n == window else F.size("tokens") == n) for n in lengths]
-    known = cut(_windows(items, ["item"], own))
+    known = cut(_windows(items, ["item"], lengths, {n: F.size("tokens") == n for n in lengths[1:]}))
     bits = BitArray(known.select(F.explode(F.array("shape", "hash")).alias("hash")).distinct(), max_bits)
     found = tokens(F.col(f"`{text}`"))
 
-    def any_held(t: Column, w: Column, n: int, named: bool) -> Column:
-        return F.size(F.filter(window_hashes(t, n, named), lambda h, i: bits.holds(w, h) & bits.holds(w, _exact(t, h, i, n, named)))) > 0
+    step = _step(lengths)
+    either = lambda parts: reduce(lambda a, b: a | b, parts)
+
+    def any_held(t: Column, w: Column, g: Column, n: int, named: bool) -> Column:
+        return F.exists(window_hashes(g, step, n), lambda h: bits.holds(w, h)) & (F.size(F.filter(window_hashes(g, step, n), lambda h, i: bits.holds(w, h) & bits.holds(w, _exact(t, h, i, n, named)))) > 0)
+
+    def held(t: Column, w: Column) -> Column:
+        read = lambda named: _let(gram_hashes(t, step, named), lambda g: either(any_held(t, w, g, n, named) for n in lengths))
+        return either(map(read, READINGS))
 
     if bits.fits:
-        hit = _let(bits.literal(), lambda w: _let(found, lambda t: reduce(lambda a, b: a | b, (any_held(t, w, n, named) for n in lengths for named in READINGS))))
+        hit = _let(bits.literal(), lambda w: _let(found, lambda t: held(t, w)))
     else:  # too large a benchmark to test in the scan: every row goes to the join
         hit = F.lit(True)
     return docs.withColumn("_hit", F.coalesce(hit, F.lit(False))), known, lengths, bits
@@ -187,7 +191,7 @@ def matches(rows: DataFrame, known: DataFrame, lengths: list[int], bits: BitArra
     The items' windows are broadcast if they take at most max_broadcast bytes, else both sides are shuffled by hash.
     """
     found = cut(rows.select("_row", tokens(F.col(f"`{text}`")).alias("tokens")))
-    windows = _windows(found, ["_row"], [(n, None) for n in lengths], bits)
+    windows = _windows(found, ["_row"], lengths, {}, bits)
     theirs = known.select("item", F.col("length").alias("n"), F.col("named").alias("item_named"), F.col("at").alias("item_at"), F.col("hash").alias("h"), F.col("slots").alias("item_slots"))
     size = known.agg(F.sum(100 + 8 * F.size("slots") + F.aggregate("slots", F.lit(0), lambda n, s: n + F.octet_length(s)))).first()[0]
     if (size or 0) <= max_broadcast:
