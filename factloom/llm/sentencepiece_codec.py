@@ -8,7 +8,8 @@ drops the last token and tries the next shorter piece there; each position fails
 so time is linear in the text.
 
 Pieces of this model never hold a space mark behind another character; the text is cut where
-one follows, and the encodings of the short parts are kept in a memo of two bounded generations. Characters outside
+one follows, and the encodings of the short parts are kept in a memo of two
+generations, bounded by bytes and emptied at the end of each task. Characters outside
 the vocabulary become their UTF-8 byte pieces.
 """
 
@@ -38,7 +39,7 @@ class SentencePieceCodec:
     unremoved white space and byte fallback; these are checked by a probe of the library.
     """
 
-    def __init__(self, path: str, memo_entries: int = 300_000):
+    def __init__(self, path: str, memo_bytes: int = 64 << 20, max_pairs: int = 100_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -60,7 +61,7 @@ class SentencePieceCodec:
         #: Two generations: what the older one holds moves up when it is met again, and else goes.
         self.memo: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
-        self.memo_entries = memo_entries
+        self.used, self.memo_bytes, self.max_pairs = 0, memo_bytes, max_pairs
         automaton = ahocorasick.Automaton()
         #: Pieces that are not their own encoding are never produced by merging.
         for piece in self.ids:
@@ -119,10 +120,10 @@ class SentencePieceCodec:
         return out
 
     def _fits(self, left: str, right: str) -> bool:
-        """compatible() behind a plain memo, emptied when it is full."""
+        """compatible() behind a plain memo of max_pairs, emptied when it is full."""
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > 400_000:
+            if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
             known = self.pairs[left, right] = left not in self.ids or right not in self.ids or self.compatible(left, right)
         return known
@@ -183,8 +184,6 @@ class SentencePieceCodec:
         try:
             known = [memo[p] for p in parts]
         except KeyError:
-            if len(memo) > self.memo_entries:
-                self.older, self.memo = memo, {}
             known = [self._part(p) for p in parts]
         ids = ",".join([k[1] for k in known])
         decoded = "".join([k[2] for k in known])
@@ -198,15 +197,26 @@ class SentencePieceCodec:
         if (known := self.memo.get(part)) is not None:
             return known
         if (known := self.older.get(part)) is not None:
-            self.memo[part] = known
+            self._keep(part, known)
             return known
         ids = [i for token in self.tokens(part) for i in self._token_ids(token)]
         # a part starts with a space mark; another mark before it keeps that space in decode()
         known = len(ids), ",".join(map(str, ids)), self.decode([self.ids[SPACE], *ids])
         if len(part) <= 64:
-            self.memo[part] = known
+            self._keep(part, known)
         return known
 
+    def _keep(self, part: str, known: tuple[int, str, str]) -> None:
+        """Note a part's encoding; a generation may hold half of memo_bytes, by an estimate of what its objects take."""
+        self.used += 320 + 2 * len(part) + len(known[1]) + 2 * len(known[2])
+        if self.used > self.memo_bytes // 2:
+            self.older, self.memo, self.used = self.memo, {}, 0
+        self.memo[part] = known
+
+    def forget(self) -> None:
+        """Empty the memos: workers outlive the stage, and other stages need the memory."""
+        self.memo, self.older, self.pairs, self.used = {}, {}, {}, 0
+
 
 def _lenient(data: bytes) -> str:
     """UTF-8 with one U+FFFD for each byte that is not part of a valid character."""
@@ -246,11 +256,14 @@ def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for batch in small_batches(batches, "text"):
-            found = [own.digest_and_ids(t, keep_ids) for t in batch.column("text").to_pylist()]
-            n, ids, decoded, flat = (list(c) for c in zip(*found, strict=True))
-            arrays = [batch.column("key"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(flat, pa.list_(pa.int32()))] if keep_ids else arrays, names)
+        try:
+            for batch in small_batches(batches, "text"):
+                found = [own.digest_and_ids(t, keep_ids) for t in batch.column("text").to_pylist()]
+                n, ids, decoded, flat = (list(c) for c in zip(*found, strict=True))
+                arrays = [batch.column("key"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(flat, pa.list_(pa.int32()))] if keep_ids else arrays, names)
+        finally:
+            own.forget()
 
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
