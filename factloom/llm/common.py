@@ -1,22 +1,25 @@
-"""Helpers that the training-data operators share: reading tables, the shared folder, cutting lineage."""
+"""Helpers that the training-data operators share: reading tables, the shared folder, cutting lineage, bit filters."""
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Bits of the filter that keeps documents which no later step needs out of a shuffle: 8 MB at most.
-MAX_FILTER_BITS = 1 << 26
+#: Bits of the filter that keeps documents which no later step needs out of a shuffle: 32 MB at most. Beyond
+#: some ten million keys it lets more and more rows pass, which then are shuffled; results stay whole.
+MAX_FILTER_BITS = 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +27,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session on this machine alone (master local) gets a temporary folder; on a
+    cluster that is an error, as no other machine would see its files.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or "file://" + tempfile.mkdtemp(prefix="factloom-")
-        if not current:
-            spark.sparkContext.setCheckpointDir(folder)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="factloom-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -40,6 +47,12 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that fresh_path() named."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """base, with as many underscores as it takes to be no column of df."""
     taken = {c.lower() for c in df.columns}
@@ -83,3 +96,47 @@ def bit_filter(keys: DataFrame) -> np.ndarray:
     out = np.zeros(bits // 64, np.uint64)
     out[found["w"].to_numpy()] = found["v"].to_numpy(np.int64).view(np.uint64)
     return out
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def constant(words: list[int] | tuple[int, ...]) -> Column:
+    """An array<bigint> that the optimizer folds to one literal; a plan should hold it once, behind let()."""
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+
+def bit_of(position: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(position, F.lit(64)).cast("int"))
+
+
+def gathered_words(spots: DataFrame, bits: int) -> list[int]:
+    """Column p of set positions -> the bit array's 64-bit words; only they reach the driver."""
+    words = [0] * (bits // 64)
+    for row in spots.groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(bit_of(F.col("p"))).alias("v")).collect():
+        words[row["w"]] = row["v"]
+    return words
+
+
+class BitArray:
+    """A Bloom filter of hashes for native plans, tested without a join: four bits for each, among 64 bits a hash, or among fewer (16 at least) where max_bits asks for it."""
+
+    def __init__(self, hashes: DataFrame, max_bits: int):
+        n = max(1, hashes.count())
+        self.bits = min(max(1 << 14, 1 << math.ceil(math.log2(n * 64))), max_bits)
+        self.fits = n * 16 <= self.bits
+        self.words = gathered_words(hashes.select(F.explode(F.array(*self._spots(F.col("hash")))).alias("p")), self.bits) if self.fits else []
+
+    def _spots(self, h: Column) -> list[Column]:
+        mask = F.lit(self.bits - 1).cast("bigint")
+        low, high = h.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")), F.shiftrightunsigned(h, 32)
+        return [(low + high * i if i else low).bitwiseAND(mask) for i in range(4)]
+
+    def literal(self) -> Column:
+        return constant(self.words)
+
+    def holds(self, words: Column, h: Column) -> Column:
+        tests = [F.get(words, F.shiftright(p, 6).cast("int")).bitwiseAND(bit_of(p)) != 0 for p in self._spots(h)]
+        return reduce(lambda a, b: a & b, tests)

@@ -12,13 +12,12 @@ caught, and a text that only has the same shape is not.
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut
+from factloom.llm.common import BitArray, cut, let
 
 #: Marks of the slot types; they sort below every letter.
 NUMBER, NAME, UNIT, OPENER = "\x01", "\x02", "\x03", "\x04"
@@ -54,10 +53,6 @@ def _is_slot(token: Column, named: bool) -> Column:
     return token < "A" if named else (token < OPENER) | token.between("0", "A")
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def gram_hashes(found: Column, step: int, named: bool) -> Column:
     """Hash of the step template tokens from each token on, as far as there are."""
 
@@ -65,7 +60,7 @@ def gram_hashes(found: Column, step: int, named: bool) -> Column:
         n = F.size(single) - step + 1
         return F.when(n > 0, F.transform(F.slice(single, F.lit(1), n), lambda x, i: F.xxhash64(x, *(F.get(single, i + k) for k in range(1, step))))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.when(found.isNotNull(), _let(F.transform(found, lambda t: F.xxhash64(_template(t, named))), of))
+    return F.when(found.isNotNull(), let(F.transform(found, lambda t: F.xxhash64(_template(t, named))), of))
 
 
 def window_hashes(grams: Column, step: int, window: int) -> Column:
@@ -75,34 +70,6 @@ def window_hashes(grams: Column, step: int, window: int) -> Column:
     return F.when(n > 0, F.transform(F.slice(grams, F.lit(1), n), lambda x, i: F.xxhash64(x, *(F.get(grams, i + k) for k in places[1:])))).otherwise(F.array().cast("array<bigint>"))
 
 
-class BitArray:
-    """A Bloom filter of hashes, tested without a join: four bits for each, among 64 bits a hash, or among fewer (16 at least) where max_bits asks for it."""
-
-    def __init__(self, hashes: DataFrame, max_bits: int):
-        n = max(1, hashes.count())
-        self.bits = min(max(1 << 14, 1 << math.ceil(math.log2(n * 64))), max_bits)
-        self.fits = n * 16 <= self.bits
-        self.words = [0] * (self.bits // 64)
-        if self.fits:
-            spots = hashes.select(F.explode(F.array(*self._spots(F.col("hash")))).alias("p"))
-            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("p", F.lit(64)).cast("int"))
-            for row in spots.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("v")).collect():
-                self.words[row["w"]] = row["v"]
-
-    def _spots(self, h: Column) -> list[Column]:
-        mask = F.lit(self.bits - 1).cast("bigint")
-        low, high = h.bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint")), F.shiftrightunsigned(h, 32)
-        return [(low + high * i if i else low).bitwiseAND(mask) for i in range(4)]
-
-    def literal(self) -> Column:
-        """The words as one constant; a plan should hold it once, behind _let()."""
-        return F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-
-    def holds(self, words: Column, h: Column) -> Column:
-        tests = [F.call_function("shiftright", F.get(words, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63).cast("bigint")).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1 for p in self._spots(h)]
-        return reduce(lambda a, b: a & b, tests)
-
-
 def _lengths(items: DataFrame, window: int, least: int) -> list[int]:
     """The window, and the lengths of the items that are shorter (least tokens or more)."""
     short = items.where(F.size("tokens").between(least, window - 1)).select(F.size("tokens").alias("n")).distinct()
@@ -116,7 +83,7 @@ def _slots(tokens: Column, at: Column, length: int, named: bool) -> Column:
 
 def _exact(tokens: Column, shape: Column, at: Column, length: int, named: bool) -> Column:
     """A window's hash: of its template (shape) if half of its tokens are literal words, else of its slots' values too."""
-    return _let(_slots(tokens, at, length, named), lambda s: F.when(F.size(s) * 2 > length, F.xxhash64(shape, s)).otherwise(shape))
+    return let(_slots(tokens, at, length, named), lambda s: F.when(F.size(s) * 2 > length, F.xxhash64(shape, s)).otherwise(shape))
 
 
 def _described(tokens: Column, grams: Column, step: int, length: int, named: bool, bits: BitArray | None, words: Column | None) -> Column:
@@ -129,7 +96,7 @@ def _described(tokens: Column, grams: Column, step: int, length: int, named: boo
             places = F.filter(places, lambda i: bits.holds(words, F.get(hashes, i)) & bits.holds(words, exact(i)))
         return F.transform(places, lambda i: F.struct(F.lit(length).alias("length"), F.lit(named).alias("named"), i.alias("at"), F.get(hashes, i).alias("shape"), exact(i).alias("hash"), _slots(tokens, i, length, named).alias("slots")))
 
-    return _let(window_hashes(grams, step, length), of)
+    return let(window_hashes(grams, step, length), of)
 
 
 def _step(lengths: list[int]) -> int:
@@ -153,10 +120,10 @@ def _windows(rows: DataFrame, keys: list[str], lengths: list[int], only: dict[in
                 parts.append(F.when(only[n], part).otherwise(F.filter(part, lambda _: F.lit(False))) if n in only else part)
             return F.concat(*parts)
 
-        return _let(gram_hashes(F.col("tokens"), step, named), of)
+        return let(gram_hashes(F.col("tokens"), step, named), of)
 
     each = lambda words: F.concat(*(reading(words, named) for named in READINGS))
-    found = _let(bits.literal(), each) if bits is not None and bits.fits else each(None)
+    found = let(bits.literal(), each) if bits is not None and bits.fits else each(None)
     return rows.select(*keys, F.explode_outer(found).alias("w")).where("w is not null").select(*keys, "w.*")
 
 
@@ -175,11 +142,11 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, window: int, lea
         return F.exists(window_hashes(g, step, n), lambda h: bits.holds(w, h)) & (F.size(F.filter(window_hashes(g, step, n), lambda h, i: bits.holds(w, h) & bits.holds(w, _exact(t, h, i, n, named)))) > 0)
 
     def held(t: Column, w: Column) -> Column:
-        read = lambda named: _let(gram_hashes(t, step, named), lambda g: either(any_held(t, w, g, n, named) for n in lengths))
+        read = lambda named: let(gram_hashes(t, step, named), lambda g: either(any_held(t, w, g, n, named) for n in lengths))
         return either(map(read, READINGS))
 
     if bits.fits:
-        hit = _let(bits.literal(), lambda w: _let(found, lambda t: held(t, w)))
+        hit = let(bits.literal(), lambda w: let(found, lambda t: held(t, w)))
     else:  # too large a benchmark to test in the scan: every row goes to the join
         hit = F.lit(True)
     return docs.withColumn("_hit", F.coalesce(hit, F.lit(False))), known, lengths, bits

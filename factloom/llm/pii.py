@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import free_name
+from factloom.llm.common import free_name, let
 
 #: The alphabets that characters stay in.
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
@@ -53,11 +53,6 @@ KINDS = (
 )
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _number(seed: Column) -> Column:
     """A number below 2**60 that depends on all of seed."""
     return F.conv(F.substring(F.sha2(F.encode(seed, "UTF-8"), 256), 1, 15), 16, 10).cast("bigint")
@@ -93,14 +88,14 @@ def permute_text(text: Column, key: str, kind: str, alphabets: tuple[str, ...],
 
             return F.array_join(F.transform(F.sequence(F.lit(1), F.length(half)), one), "")
 
-        return F.when(F.length(half) == 0, half).otherwise(_let(F.sha2(F.encode(seed, "UTF-8"), 512), moved))
+        return F.when(F.length(half) == 0, half).otherwise(let(F.sha2(F.encode(seed, "UTF-8"), 512), moved))
 
     def step(now: Column, i: Column) -> Column:
         return F.when(i % 2 == 0, F.struct(shifted(now["l"], now["r"], i).alias("l"), now["r"].alias("r"))).otherwise(F.struct(now["l"].alias("l"), shifted(now["r"], now["l"], i).alias("r")))
 
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substring(text, F.lit(1), half).alias("l"), F.substring(text, half + 1, F.length(text)).alias("r"))
-    return _let(F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step), lambda x: F.concat(x["l"], x["r"]))
+    return let(F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step), lambda x: F.concat(x["l"], x["r"]))
 
 
 def _digits(text: Column) -> Column:
@@ -119,9 +114,9 @@ def _card(m: Column, key: str) -> Column:
         n = F.length(digits)
         body = F.concat(F.substring(digits, 1, 6), permute_text(F.substring(digits, F.lit(7), n - 7), key, "card", (DIGITS,)))
         check = lambda b: F.concat(b, F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")), lambda d: F.call_function("luhn_check", F.concat(b, d))), F.lit(0)))
-        return F.when(F.call_function("luhn_check", digits), _refill(m, _let(body, check))).otherwise(m)
+        return F.when(F.call_function("luhn_check", digits), _refill(m, let(body, check))).otherwise(m)
 
-    return _let(_digits(m), remade)
+    return let(_digits(m), remade)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -130,17 +125,17 @@ def _phone(m: Column, key: str) -> Column:
 
     def remade(t: Column) -> Column:
         pair = permute_pair(F.substring(t, 1, 3).cast("bigint") - 200, F.substring(t, 4, 4).cast("bigint"), 800, 10_000, key, "phone")
-        new = _let(pair, lambda x: F.concat((x["high"] + 200).cast("string"), F.lpad(x["low"].cast("string"), 4, "0")))
+        new = let(pair, lambda x: F.concat((x["high"] + 200).cast("string"), F.lpad(x["low"].cast("string"), 4, "0")))
         fresh = _refill(F.substring(m, -8, 8), new)
         return F.when(F.substring(t, 1, 1) >= "2", F.concat(F.substring(m, F.lit(1), F.length(m) - 8), fresh)).otherwise(m)
 
-    return _let(tail, remade)
+    return let(tail, remade)
 
 
 def _ip(m: Column, key: str) -> Column:
     octet = lambda i: F.get(F.split(m, r"\."), F.lit(i))
     pair = permute_pair(octet(2).cast("bigint"), octet(3).cast("bigint"), 256, 256, key, "ip")
-    return _let(pair, lambda x: F.concat_ws(".", octet(0), octet(1), x["high"].cast("string"), x["low"].cast("string")))
+    return let(pair, lambda x: F.concat_ws(".", octet(0), octet(1), x["high"].cast("string"), x["low"].cast("string")))
 
 
 def _date(m: Column, key: str, shape: str) -> Column:
@@ -150,10 +145,10 @@ def _date(m: Column, key: str, shape: str) -> Column:
     def remade(d: Column) -> Column:
         number = F.datediff(d, F.lit(FIRST_DAY).cast("date"))
         pair = permute_pair(F.floor(number / CYCLE[1]), F.pmod(number, F.lit(CYCLE[1])), *CYCLE, key, "date")
-        new = _let(pair, lambda x: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (x["high"] * CYCLE[1] + x["low"]).cast("int")), shape))
+        new = let(pair, lambda x: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (x["high"] * CYCLE[1] + x["low"]).cast("int")), shape))
         return F.when(d.between(F.lit(FIRST_DAY).cast("date"), F.lit("2199-12-31").cast("date")), new).otherwise(m)
 
-    return _let(day, remade)
+    return let(day, remade)
 
 
 def pseudonym(m: Column, key: str) -> Column:

@@ -15,11 +15,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import free_name
+from factloom.llm.common import bit_of, constant, free_name, gathered_words, let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -45,17 +46,8 @@ class Level:
     words: tuple[int, ...]
 
     def contains(self, key: Column) -> Column:
-        # cast of a split constant folds to one array literal, however many words there are
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
-        tests = [F.element_at(words, (p / 64).cast("int") + 1).bitwiseAND(_bit(p)) != 0 for p in _positions(key, self.seed, self.bits, self.hashes)]
-        found = tests[0]
-        for test in tests[1:]:
-            found = found & test
-        return found
-
-
-def _bit(position: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(position, F.lit(64)).cast("int"))
+        tests = lambda words: [F.element_at(words, (p / 64).cast("int") + 1).bitwiseAND(bit_of(p)) != 0 for p in _positions(key, self.seed, self.bits, self.hashes)]
+        return let(constant(self.words), lambda words: reduce(lambda a, b: a & b, tests(words)))
 
 
 def _positions(key: Column, seed: int, bits: int, hashes: int) -> list[Column]:
@@ -82,11 +74,7 @@ def _level(keys: DataFrame, n: int, bits_per_key: float, seed: int) -> Level:
     bits = max(64, 64 * math.ceil(n * bits_per_key / 64))
     hashes = max(1, min(12, round(0.693 * bits_per_key)))
     spots = keys.select(F.explode(F.array(*_positions(F.col("key"), seed, bits, hashes))).alias("p"))
-    words = spots.groupBy((F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(_bit(F.col("p"))).alias("v")).collect()
-    full = [0] * (bits // 64)
-    for row in words:
-        full[row["w"]] = row["v"]
-    return Level(seed, bits, hashes, tuple(full))
+    return Level(seed, bits, hashes, tuple(gathered_words(spots, bits)))
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 27, max_levels: int = 64) -> Cascade:
