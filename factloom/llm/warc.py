@@ -4,8 +4,9 @@ Reading plans one partition per archive file, takes filters on header fields (re
 digest, ...) into the scan, parses a record's headers first and, where they fail the filter, skips
 the rest of the record: by the length that the gzip member carries in its ``sl`` field (WARC
 1.1, annex D), so that its payload is not even inflated. Writing makes gzip members of one record
-each, rolls files at ``roll_bytes`` and publishes a manifest on commit; files of failed or repeated
-tasks are never in it.
+each, rolls files at ``roll_bytes`` and publishes a manifest of its own on commit; a folder's archives are
+those of all its manifests, so further writes append. Files of failed or repeated tasks are in none,
+and commit and abort delete them.
 
 All access to files goes through pyarrow's file systems, so paths may be local, hdfs:// or object
 stores. Payloads of responses stand behind an HTTP header block; a revisit has that block alone,
@@ -28,14 +29,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, WriterCommitMessage
 
-from factloom.llm.common import fresh_path, small_batches
+from factloom.llm.common import BitArray, cut, fresh_path, let, small_batches
 
 READ_SCHEMA = "record_id string, warc_type string, target_uri string, payload_digest string, refers_to string, payload_bytes long, payload binary, headers map<string,string>"
 WRITE_COLUMNS = ("record_id", "warc_type", "target_uri", "payload_digest", "refers_to", "payload_bytes", "payload")
 #: Column of the source -> WARC header.
 HEADER_OF = {"record_id": "WARC-Record-ID", "warc_type": "WARC-Type", "target_uri": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-MANIFEST = "_MANIFEST.json"
+MANIFEST = "_MANIFEST-"
 
 
 def file_system(path: str):
@@ -150,8 +151,15 @@ class Record:
         return not self.done or bool(out)
 
     def body(self) -> bytes:
-        while len(self.data) < self.size and self._more(1 << 18):
-            pass
+        """The whole block. Pieces are joined once, so a block of many MB costs its length."""
+        parts, n = [self.data], len(self.data)
+        self.data = b""
+        while n < self.size and self._more(1 << 18):
+            parts.append(self.data)
+            n += len(self.data)
+            self.data = b""
+        parts.append(self.data)
+        self.data = b"".join(parts)
         if len(self.data) < self.size:
             raise ValueError("the record is cut short")
         return self.data[: self.size]
@@ -196,6 +204,11 @@ def _read_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_READ, strict=True)], schema=_ARROW_READ)
 
 
+def _listed(fs, path: str) -> list[str]:
+    with fs.open_input_stream(path) as file:
+        return json.loads(file.read())
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, with_payload: bool, pushdown: bool = True):
         self.path, self.with_payload, self.pushdown, self.wanted = path, with_payload, pushdown, {}
@@ -214,11 +227,12 @@ class WarcReader(DataSourceReader):
 
         if fs.get_file_info(root).type == FileType.File:
             return [ArchiveFile(self.path)]
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}") as file:
-                names = json.loads(file.read())
+        names = sorted(x.base_name for x in fs.get_file_info(FileSelector(root)))
+        manifests = [x for x in names if x.startswith(MANIFEST)]
+        if manifests:
+            names = sorted(x for m in manifests for x in _listed(fs, f"{root}/{m}"))
         else:
-            names = sorted(x.base_name for x in fs.get_file_info(FileSelector(root)) if x.base_name.endswith((".warc", ".warc.gz")))
+            names = [x for x in names if x.endswith((".warc", ".warc.gz"))]
         return [ArchiveFile(f"{self.path.rstrip('/')}/{x}") for x in names]
 
     def read(self, partition):
@@ -261,8 +275,10 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, roll_bytes: int):
-        self.path, self.roll_bytes = path, roll_bytes
+    """Its files' names begin with the job's, which commit and abort know them by."""
+
+    def __init__(self, path: str, roll_bytes: int, overwrite: bool = False):
+        self.path, self.roll_bytes, self.overwrite, self.job = path, roll_bytes, overwrite, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]):
         fs, root = file_system(self.path)
@@ -271,7 +287,7 @@ class WarcWriter(DataSourceArrowWriter):
         for batch in small_batches(iterator, "payload", 1 << 20):
             for row in batch.to_pylist():
                 if file is None:
-                    names.append(f"{uuid.uuid4().hex}.warc.gz")
+                    names.append(f"{self.job}-{uuid.uuid4().hex}.warc.gz")
                     file, size = fs.open_output_stream(f"{root}/{names[-1]}", compression=None), 0
                 size += file.write(member := gzip_member(record_bytes(row))) or len(member)
                 if size >= self.roll_bytes:
@@ -281,16 +297,30 @@ class WarcWriter(DataSourceArrowWriter):
             file.close()
         return Written(names)
 
+    def _names(self, fs, root: str) -> list[str]:
+        from pyarrow.fs import FileSelector
+
+        return [x.base_name for x in fs.get_file_info(FileSelector(root, allow_not_found=True))]
+
     def commit(self, messages):
+        """Publish a manifest under its final name in one move; then what it doesn't list of this job (and, when overwriting, all older archives) goes."""
         fs, root = file_system(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/{MANIFEST}") as file:
-            file.write(json.dumps(sorted(x for m in messages if m for x in m.names)).encode())
+        written = sorted(x for m in messages if m for x in m.names)
+        older = self._names(fs, root)
+        with fs.open_output_stream(f"{root}/.{self.job}") as file:
+            file.write(json.dumps(written).encode())
+        fs.move(f"{root}/.{self.job}", f"{root}/{MANIFEST}{self.job}.json")
+        old = lambda x: self.overwrite and (x.startswith(MANIFEST) or x.endswith((".warc", ".warc.gz")))
+        # manifests first: what no manifest lists is not read
+        for name in sorted(x for x in older if x not in written and (x.startswith(self.job) or old(x))):
+            fs.delete_file(f"{root}/{name}")
 
     def abort(self, messages):
         fs, root = file_system(self.path)
-        for name in (x for m in messages if m for x in m.names):
-            fs.delete_file(f"{root}/{name}")
+        for name in self._names(fs, root):
+            if name.startswith((self.job, f".{self.job}")):
+                fs.delete_file(f"{root}/{name}")
 
 
 class WarcDataSource(DataSource):
@@ -307,7 +337,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payload", "true") == "true", self.options.get("pushdown", "false") == "true")
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options["path"], int(self.options.get("roll_bytes", 256 << 20)))
+        return WarcWriter(self.options["path"], int(self.options.get("roll_bytes", 256 << 20)), overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -325,20 +355,25 @@ def _base32(hex_digest: Column) -> Column:
     return F.translate(F.concat(*(F.lpad(d, 4, "0") for d in digits)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def plan_records(pages: DataFrame, key: str, url: str, payload: str, min_revisit_bytes: int = 0, salts: int = 16) -> DataFrame:
+def plan_records(pages: DataFrame, key: str, url: str, payload: str, min_revisit_bytes: int = 0, salts: int = 16, max_bits: int = 1 << 25) -> DataFrame:
     """pages as records to write: of equal payloads of at least min_revisit_bytes the smallest key is the response, the others revisit it.
 
     A null payload is an empty one. Rows that share the smallest key are all responses; a row
     without a key revisits a response that has one, else is a response. Equal means equal
-    SHA-256. Groups are found by a pre-aggregated count; what joins the payloads is one row for
-    each repeated payload and salt, so a payload that a third of all pages share is spread too.
+    SHA-256. Groups are found by a pre-aggregated count. Only rows whose digest a bit array of the repeated
+    ones holds are shuffled: they meet one row for each repeated payload and salt, so a payload that a
+    third of all pages share is spread too. Beyond max_bits all rows are.
     """
     body = F.coalesce(F.encode(F.col(f"`{payload}`"), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{url}`").cast("string").alias("target_uri"), body.alias("payload"))
     rows = rows.withColumns({"same": F.unhex(F.sha2("payload", 256)), "payload_bytes": F.length("payload").cast("long")})
     groups = rows.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("same").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    groups = cut(groups.select("same", "first"))
+    bits = BitArray(groups.select(F.xxhash64("same").alias("hash")), max_bits)
+    repeated = let(bits.literal(), lambda words: bits.holds(words, F.xxhash64("same"))) if bits.fits else F.lit(True)
     spread = groups.select("same", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("key", "target_uri"), F.lit(salts)).cast("int")).join(spread, ["same", "salt"], "left")
+    salted = rows.where(repeated).withColumn("salt", F.pmod(F.xxhash64("key", "target_uri"), F.lit(salts)).cast("int")).join(spread, ["same", "salt"], "left").drop("salt")
+    joined = salted.unionByName(rows.where(~repeated).withColumn("first", F.lit(None).cast("long"))) if bits.fits else salted
     refers = F.when(F.coalesce(F.col("key") != F.col("first"), F.col("first").isNotNull()), F.col("first"))
     return joined.select(
         "key",
@@ -352,9 +387,10 @@ def plan_records(pages: DataFrame, key: str, url: str, payload: str, min_revisit
     )
 
 
-def write_archives(records: DataFrame, path: str, roll_bytes: int = 256 << 20) -> None:
+def write_archives(records: DataFrame, path: str, roll_bytes: int = 256 << 20, mode: str = "append") -> None:
+    """Write records to path: beside the archives that are there, or (mode overwrite) in their place."""
     register(records.sparkSession)
-    records.select(*WRITE_COLUMNS).write.format("warc").mode("append").option("path", path).option("roll_bytes", roll_bytes).save()
+    records.select(*WRITE_COLUMNS).write.format("warc").mode(mode).option("path", path).option("roll_bytes", roll_bytes).save()
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True, where: str | None = None) -> DataFrame:
@@ -371,19 +407,19 @@ def read_archives(spark: SparkSession, path: str, payload: bool = True, where: s
 def archive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", path: str | None = None) -> DataFrame:
     """Write pages to archives under path (default: the shared folder) and return what the archives say of each page.
 
-    The digest and length of a response are taken anew from the payload that was read back; those
-    of a revisit from its headers. An empty table gives empty archives and no rows.
+    Responses and revisits are read apart, by the record type, which the scan takes in: the digest and
+    length of a response are taken anew from the payload that was read back; those of a revisit from
+    its headers, and of a response only headers are parsed then. An empty table gives empty archives
+    and no rows. Archives that path holds already are replaced.
     """
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")
-    write_archives(plan_records(pages, key, url, payload), path)
-    read = read_archives(spark, path)
+    write_archives(plan_records(pages, key, url, payload), path, mode="overwrite")
     number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
-    response = F.col("warc_type") == "response"
-    return read.select(
-        number(F.col("record_id")).alias(key),
-        F.when(response, F.length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
-        F.when(response, _base32(F.upper(F.sha1("payload")))).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        F.col("warc_type").alias("record_type"),
-        number(F.col("refers_to")).alias("refers_to"),
-    )
+
+    def told(records: DataFrame, size: Column, digest: Column) -> DataFrame:
+        return records.select(number(F.col("record_id")).alias(key), size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), F.col("warc_type").alias("record_type"), number(F.col("refers_to")).alias("refers_to"))
+
+    responses = read_archives(spark, path, where="warc_type = 'response'")
+    revisits = read_archives(spark, path, payload=False, where="warc_type = 'revisit'")
+    return told(responses, F.length("payload"), _base32(F.upper(F.sha1("payload")))).unionByName(told(revisits, F.col("payload_bytes"), F.col("payload_digest")))

@@ -10,6 +10,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from factloom.llm import sentencepiece_codec, topk_search, url_filters, warc
 from factloom.llm.queries import ORACLE_SQL, QUERIES, URL_RULES, piece_model
@@ -128,7 +129,6 @@ def test_cascade_is_exact_over_its_universe(spark):
     universe = spark.range(20_000).selectExpr("cast(id as string) as key")
     listed = universe.where("cast(key as int) % 97 = 3")
     cascade = url_filters.build_cascade(listed, universe)
-    from pyspark.sql import functions as F
 
     wrong = universe.where(cascade.contains(F.col("key")) != (F.col("key").cast("int") % 97 == 3))
     assert wrong.count() == 0 and len(cascade.levels) > 1
@@ -177,3 +177,78 @@ def test_queries_match_sql(spark, name):
     got = QUERIES[name](spark, folder)
     columns = sorted(got.columns)
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(repr, db.sql(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()))
+
+
+def test_writes_append(spark, tmp_path):
+    path = f"file://{tmp_path}/a"
+    records = lambda rows: warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), "page_id", "url", "html")
+    warc.write_archives(records([(1, "a", "x"), (2, "b", "y"), (3, "c", "z")]), path)
+    warc.write_archives(records([(4, "d", "x"), (5, "e", None)]), path)
+    assert warc.read_archives(spark, path).count() == 5
+    failing = records([(6, "f", "w")]).withColumn("payload_bytes", F.expr("raise_error('no')").cast("long"))
+    before = sorted(x.name for x in (tmp_path / "a").iterdir())
+    with pytest.raises(Exception, match="no"):
+        warc.write_archives(failing, path)
+    assert sorted(x.name for x in (tmp_path / "a").iterdir()) == before
+    assert sorted(r["record_id"] for r in warc.read_archives(spark, path, payload=False).collect()) == [f"<urn:page:{i}>" for i in range(1, 6)]
+    warc.write_archives(records([(7, "g", "v")]), path, mode="overwrite")
+    assert [r["record_id"] for r in warc.read_archives(spark, path).collect()] == ["<urn:page:7>"]
+    assert sum(x.name.startswith(warc.MANIFEST) for x in (tmp_path / "a").iterdir()) == 1
+
+
+def test_leftovers_of_failed_tasks_go(tmp_path):
+    import pyarrow as pa
+
+    row = {"record_id": "<r>", "warc_type": "response", "target_uri": "u", "payload_digest": "D", "refers_to": None, "payload_bytes": 1, "payload": b"x"}
+    batch = pa.RecordBatch.from_pylist([row])
+    first, second = (warc.WarcWriter(str(tmp_path), 100) for _ in range(2))
+    lost, kept = first.write(iter([batch])), first.write(iter([batch, batch]))
+    first.commit([kept, None])
+    second.write(iter([batch]))
+    second.abort([])
+    names = {x.name for x in tmp_path.iterdir()}
+    assert names == {f"{warc.MANIFEST}{first.job}.json", *kept.names} and not names & set(lost.names)
+
+
+def test_large_payloads_take_linear_time(spark, tmp_path):
+    body = "".join(random.Random(2).choices("abcdef", k=1 << 20)) * 24
+    pages = spark.createDataFrame([(1, "u", body), (2, "v", body)], "page_id long, url string, html string")
+    got = sorted(map(tuple, warc.archive_pages(pages, path=f"file://{tmp_path}/a").collect()))
+    digest = base64.b32encode(hashlib.sha1(body.encode()).digest()).decode()
+    assert got == [(1, len(body), digest, "response", None), (2, len(body), digest, "revisit", 1)]
+    # beyond the bit array all rows meet the repeated digests
+    records = warc.plan_records(spark.createDataFrame(PAGES, "page_id long, url string, html string"), "page_id", "url", "html", max_bits=0)
+    assert sorted((r["key"] or 0, r["warc_type"]) for r in records.collect()) == sorted((k or 0, t) for k, _, _, t, _ in map(eval, expected_records()))
+
+
+def test_vectors_with_clashing_columns_and_shuffled_queries(spark):
+    r = random.Random(9)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(5)], 1, "x") for i in range(90)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, block int, matrix string")
+    queries = vectors.where("vec_id % 9 = 0")
+    for limit in (0, 64 << 20):
+        got = topk_search.top_k_search(vectors, queries, row_block=11, query_block=4, max_broadcast=limit).collect()
+        assert sorted(map(tuple, got)) == brute_top_k([x[:2] for x in rows], [x[:2] for x in rows if x[0] % 9 == 0], 5)
+
+
+def test_odd_tables_of_texts_and_urls(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert sentencepiece_codec.encode_documents(empty, piece_model()).count() == 0
+    clash = spark.createDataFrame([(1, "one two", "k", 3, None)], "doc_id long, text string, key string, n_tokens int, ids string")
+    got = sentencepiece_codec.encode_documents(clash, piece_model()).collect()
+    assert len(got) == 1 and got[0]["n_tokens"] == len(got[0]["ids"]) > 0
+    pages = spark.createDataFrame([], "page_id long, url string")
+    assert url_filters.filter_urls(pages, URL_RULES).count() == 0
+    long = "http://a." + "b" * 200_000 + ".com/en/" + "x" * 500_000
+    got = url_filters.filter_urls(spark.createDataFrame([(1, long)], "page_id long, url string"), URL_RULES).collect()
+    assert (got[0]["host"], got[0]["path"], got[0]["rule"], got[0]["verdict"]) == url_verdict(long)
+
+
+def test_memos_are_bounded_and_emptied(spark):
+    own = sentencepiece_codec.SentencePieceCodec(piece_model(), memo_bytes=20_000, max_pairs=50)
+    r = random.Random(3)
+    text = " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(2000))
+    assert own.digest(text) == sentencepiece_codec.codec(piece_model()).digest(text)
+    assert len(own.memo) < 100 and len(own.older) < 100 and len(own.pairs) <= 50
+    own.forget()
+    assert not own.memo and not own.older and not own.pairs
