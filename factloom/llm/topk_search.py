@@ -10,7 +10,8 @@ scores; each block returns its k best.
 
 Slices of a row lie in one block, so entries of phases 2 and 3 never leave their task; what is
 shuffled are k scores for each query and block. Queries and rows meet in blocks of a bounded number
-of vectors, components as the smallest integers that hold them.
+of vectors, components as the smallest integers that hold them. Phase 2 computes the partial scores
+anew: lists of all of them would be far larger than the vectors.
 """
 
 from __future__ import annotations
@@ -149,7 +150,7 @@ def quantised(vector, scale: int):
     return F.when(vector.isNotNull() & good, x)
 
 
-def top_k_search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, slices: int = 2, row_block: int = 8192, query_block: int = 1024) -> DataFrame:
+def top_k_search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", scale: int = 256, slices: int = 2, row_block: int = 8192, query_block: int = 1024, max_broadcast: int = 64 << 20) -> DataFrame:
     """query_id, rank, vec_id, score: for every row of queries its k best rows of vectors by integer inner product.
 
     Both tables hold key and vector. Ties go to the smaller key; rows with the query's own key are no
@@ -157,6 +158,8 @@ def top_k_search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str =
     of their own length; empty ones score 0. Null keys, null vectors and vectors with a null or
     non-finite component (or one beyond 9e18 after scaling) take no part. Scores beyond 64 bits
     are cut to the largest or smallest long. A query with fewer candidates gets them all.
+
+    Queries' blocks are broadcast if they take at most max_broadcast bytes, else shuffled by block.
     """
     spark = vectors.sparkSession
     shape = "length int, n int, ids binary, matrix binary, kind string"
@@ -168,10 +171,20 @@ def top_k_search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str =
         return cut(spread.mapInPandas(_blocks(limit), shape).withColumn("block", F.monotonically_increasing_id()))
 
     row_blocks, query_blocks = packed(vectors, row_block), packed(queries, query_block)
-    places = row_blocks.select(F.col("length").alias("l"), F.col("block").alias("row_block"))
-    # every query block goes to every row block of its length: the stated all-against-all, block by block
-    sent = query_blocks.join(places, F.col("length") == F.col("l")).drop("l")
-    rows = row_blocks.select(F.col("block").alias("row_block"), F.col("n").alias("rn"), F.col("ids").alias("rids"), F.col("matrix").alias("rmatrix"), F.col("kind").alias("rkind"))
+    rows = row_blocks.select(F.col("block").alias("row_block"), F.col("length").alias("row_length"), F.col("n").alias("rn"), F.col("ids").alias("rids"), F.col("matrix").alias("rmatrix"), F.col("kind").alias("rkind"))
+    size = query_blocks.agg(F.sum(F.octet_length("matrix") + F.octet_length("ids"))).first()[0] or 0
+    n_blocks = row_blocks.count()
+
+    def meet(queries: DataFrame) -> DataFrame:
+        """Every query block beside every row block of its length: the stated all-against-all, block by block."""
+        if size <= max_broadcast:
+            return rows.join(F.broadcast(queries), F.col("row_length") == F.col("length"))
+        # which blocks meet is settled without their data, by length and (as most vectors share one) a salt; data travels by block
+        salts = math.ceil(n_blocks / 1000)
+        here = rows.select("row_block", "row_length", F.pmod("row_block", F.lit(salts)).alias("salt"))
+        there = query_blocks.select("block", "length", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("there"))
+        pairs = here.join(there, (F.col("row_length") == F.col("length")) & (F.col("salt") == F.col("there"))).select("block", "row_block")
+        return pairs.join(queries, "block").join(rows, "row_block")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -191,12 +204,11 @@ def top_k_search(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str =
                 who, row, scores = phases_two_three(q, ids, x, np.frombuffer(r.rids, np.int64), cutoffs, k, slices)
                 yield pd.DataFrame({"block": r.block, "who": who.astype(np.int32), "query_id": ids[who], "vec_id": row, "score": scores})
 
-    meet = sent.join(rows, "row_block")
-    local = meet.mapInPandas(first, "block long, who int, score long")
+    local = meet(query_blocks).mapInPandas(first, "block long, who int, score long")
     ranked = Window.partitionBy("block", "who").orderBy(F.desc("score"))
     cutoffs = local.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k).groupBy("block", "who").agg(F.min("score").alias("cutoff"), F.count("*").alias("n")).where(F.col("n") >= k)
     cutoffs = cut(cutoffs.groupBy("block").agg(F.collect_list(F.struct("who", "cutoff")).alias("cutoffs")))
-    told = query_blocks.join(cutoffs, "block", "left").join(places, F.col("length") == F.col("l")).drop("l")
-    best = told.join(rows, "row_block").mapInPandas(second, "block long, who int, query_id long, vec_id long, score long")
+    told = query_blocks.join(cutoffs, "block", "left")
+    best = meet(told).mapInPandas(second, "block long, who int, query_id long, vec_id long, score long")
     final = Window.partitionBy("block", "who").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
