@@ -7,8 +7,11 @@ offsets, so it is enough to index the anchors, about 2 in (window - anchor + 2)
 The index is made of runs: immutable, sorted by fingerprint, bucketed by it. A new batch becomes a
 run, finds repeats within itself, and is merge-joined with each older run, both ways: new rows
 whose fingerprint an older run has, and older rows that the batch repeats. Beyond ``fanout`` runs the
-older ones are compacted into one. What matches is verified by the full windows' hashes before any
-word is removed.
+older ones are compacted into one, bucket by bucket, before the next batch comes. What matches is
+verified by the full windows' hashes before any word is removed.
+
+An index lives in a folder and can be opened again, so that later documents are checked against
+all that came before.
 """
 
 from __future__ import annotations
@@ -16,16 +19,16 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from factloom.llm import grams
 from factloom.llm.common import batch_texts as _texts
-from factloom.llm.common import bit_filter, cut, small_batches
+from factloom.llm.common import bit_filter, cut, fresh_path, remove, small_batches
 
 
 def anchors(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -60,48 +63,53 @@ def text_keys(texts: list[bytes], hashes: np.ndarray, first: np.ndarray) -> tupl
     return grams.mix(out[0]).view(np.int64), grams.mix(out[1]).view(np.int64)
 
 
-def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, "text"):
-        out = [[], [], []]
-        for _, part in grams.chunks(_texts(batch)):
-            hashes, first = grams.words(part)
-            a, b = text_keys(part, hashes, first)
-            for column, values in zip(out, (a, b, np.diff(first)), strict=True):
-                column.append(values)
-        arrays = [pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *arrays], ["id", "key", "check", "n"])
+ANCHOR = "struct<print:long,place:int,low:int,more:byte,state:byte>"
+#: Repeated anchors that a task remembers.
+TASK_PRINTS = 200_000
+
 
+def _hashes(window: int, anchor: int):
+    """(id, key, check, n, anchors) of every text. A text that stands in a chunk before has no anchors.
 
-def _fingerprints(window: int, anchor: int):
-    """Rows of the index. A fingerprint that stands at two places of a chunk already repeats: all its rows are ``known`` and one of them is the ``witness`` that meets other chunks' rows."""
+    An anchor whose windows all stand at another place of the task's chunks already repeats for sure:
+    state 1, but for the first of them, the ``witness`` (2), which meets other tasks' rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = np.empty(0, np.uint64)  # what has a witness
         for batch in small_batches(batches, "text"):
-            for _, part in grams.chunks(_texts(batch)):
+            for start, part in grams.chunks(_texts(batch)):
                 hashes, first = grams.words(part)
-                keys, _ = text_keys(part, hashes, first)
+                keys, checks = text_keys(part, hashes, first)
                 position, low, high, owner, prints = anchors(hashes, first, window, anchor)
-                if not len(position):
-                    continue
                 place = (position - first[owner]).astype(np.int32)
-                order = np.lexsort((place, keys[owner], prints))
-                prints, owner, place, low, high = prints[order], owner[order], place[order], (low - first[owner])[order], (high - first[owner])[order]
+                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(grams.mix(grams.window_sums(hashes, window)))))
+                alike = grams.mix(grams.mix(total[high + 1] - total[low] + prints) + ((position - low) * 64 + high - low).astype(np.uint64)) if len(position) else prints
+                order = np.lexsort((owner, place, keys[owner], alike))
+                alike, prints, owner, place, low, high = alike[order], prints[order], owner[order], place[order], (low - first[owner])[order], (high - first[owner])[order]
                 own = keys[owner]
-                fresh = np.r_[True, (prints[1:] != prints[:-1]) | (own[1:] != own[:-1]) | (place[1:] != place[:-1])]
-                prints, own, place, low, high = prints[fresh], own[fresh], place[fresh], low[fresh], high[fresh]
-                start = np.flatnonzero(np.r_[True, prints[1:] != prints[:-1]])
-                counts = np.diff(np.r_[start, len(prints)])
-                known = np.repeat(counts > 1, counts)
-                witness = np.zeros(len(prints), bool)
-                witness[start] = True
-                state = np.where(known, np.where(witness, 2, 1), 0).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(own), pa.array(place), pa.array(low.astype(np.int32)), pa.array((high - low).astype(np.int8)), pa.array(state)], ["print", "key", "place", "low", "more", "state"])
+                fresh = np.ones(len(prints), bool)
+                fresh[1:] = (alike[1:] != alike[:-1]) | (own[1:] != own[:-1]) | (place[1:] != place[:-1])
+                alike, prints, owner, place, low, high = alike[fresh], prints[fresh], owner[fresh], place[fresh], low[fresh], high[fresh]
+                begin = np.flatnonzero(np.r_[len(prints) > 0, alike[1:] != alike[:-1]])
+                counts = np.diff(np.r_[begin, len(prints)])
+                before = np.isin(alike[begin], told)
+                state = np.repeat((counts > 1) | before, counts).astype(np.int8)
+                new = begin[(counts > 1) & ~before]
+                state[new] = 2
+                told = np.concatenate((told, alike[new]))[-TASK_PRINTS:]
+                order = np.lexsort((place, owner))
+                offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(part))))).astype(np.int32)
+                rows = pa.StructArray.from_arrays([pa.array(prints[order].view(np.int64)), pa.array(place[order]), pa.array(low[order].astype(np.int32)), pa.array((high - low)[order].astype(np.int8)), pa.array(state[order])], ["print", "place", "low", "more", "state"])
+                ids = batch.column("id").slice(start, len(part))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(checks), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), rows)], ["id", "key", "check", "n", "anchors"])
 
     return run
 
 
 #: real: the fingerprint of a row that is known to repeat and so needn't meet others; its print is a random place.
 ROW = "print long, key long, place int, low int, more byte, state byte"
+STORED = f"{ROW}, real long"
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -111,32 +119,72 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of rows (print, key, place, low, more, state, real) as tables in the warehouse, bucketed and sorted by print.
+    """Runs of rows (print, key, place, low, more, state, real) as tables in a folder, bucketed and sorted by print.
+
+    A run's folder names the batches that it covers, so an index that a lost driver left behind opens in
+    its last whole state: runs without Spark's mark of success, or covered by a compacted one, don't count.
+    All tasks and the driver must see the folder (default: a fresh one in the shared folder).
 
     add() returns the rows, new and old, that repeat because of the batch. Equal (print, key,
     place) is the same place, not a repeat: a batch may bring a text again.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 4):
-        self.spark, self.fanout, self.runs = spark, fanout, []
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"fingerprints_{uuid.uuid4().hex[:12]}"
-        self.made = 0
-
-    def _write(self, rows: DataFrame) -> str:
-        name = f"{self.name}_{self.made}"
-        self.made += 1
-        rows.repartition(self.buckets, "print").write.format("parquet").bucketBy(self.buckets, "print").sortBy("print").saveAsTable(name)
-        return name
+    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 35, anchor: int = 16, buckets: int | None = None, fanout: int = 4):
+        self.spark, self.window, self.anchor, self.fanout = spark, window, anchor, fanout
+        self.folder = folder or fresh_path(spark, "fingerprints")
+        self.session = f"fingerprints_{uuid.uuid4().hex[:12]}"
+        self.runs: list[tuple[int, int]] = []
+        found = self._found()
+        kept = [(a, b) for w, k, _, a, b in found if (w, k) == (window, anchor)]
+        if len(kept) < len(found):
+            raise ValueError("the index was made with another window or anchor")
+        self.buckets = found[0][2] if found else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        for a, b in sorted(kept):
+            if not any(c <= a and b <= d and (a, b) != (c, d) for c, d in kept):
+                self._register((a, b))
+                self.runs.append((a, b))
+
+    def _found(self) -> list[tuple[int, ...]]:
+        """window, anchor, buckets, first and last batch of each whole run in the folder."""
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(target):
+            return []
+        names = [x.getPath() for x in fs.listStatus(target)]
+        mark = lambda p: self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")
+        return [tuple(map(int, p.getName().split("-")[1:])) for p in names if p.getName().startswith("run-") and fs.exists(mark(p))]
+
+    def _path(self, run: tuple[int, int]) -> str:
+        return f"{self.folder}/run-{self.window}-{self.anchor}-{self.buckets}-{run[0]}-{run[1]}"
+
+    def _name(self, run: tuple[int, int]) -> str:
+        return f"{self.session}_{run[0]}_{run[1]}"
+
+    def _register(self, run: tuple[int, int]) -> None:
+        self.spark.sql(f"CREATE TABLE {self._name(run)} ({STORED}) USING parquet CLUSTERED BY (print) SORTED BY (print) INTO {self.buckets} BUCKETS LOCATION '{self._path(run)}'")
+
+    def _write(self, rows: DataFrame, run: tuple[int, int]) -> None:
+        rows.write.format("parquet").mode("overwrite").bucketBy(self.buckets, "print").sortBy("print").option("path", self._path(run)).saveAsTable(self._name(run))
+
+    def table(self, run: tuple[int, int]) -> DataFrame:
+        return self.spark.table(self._name(run))
 
     def add(self, batch: DataFrame) -> DataFrame:
-        name = self._write(spread(batch))
-        new = self.spark.table(name)
-        found = [new.where("state > 0"), self._other(new, new)]
-        for run in self.runs:
-            old = self.spark.table(run)
-            found += [self._other(new, old), self._other(old, new)]
-        self.runs.append(name)
+        """Take in a batch of rows (ROW), and compact first if there are more than fanout runs."""
+        self.compact()
+        number = self.runs[-1][1] + 1 if self.runs else 0
+        run = (number, number)
+        rows = spread(batch).repartition(self.buckets, "print")
+        # a place stands once in a run; the aggregation finds rows where the exchange put them
+        rows = rows.groupBy("print", "key", "place").agg(*(F.max(c).alias(c) for c in ("low", "more", "state", "real")))
+        self._write(rows, run)
+        new = self.table(run)
+        open_rows = new.where("state = 0")
+        found = [new.where("state > 0"), self._other(open_rows, new)]
+        for other in self.runs:
+            old = self.table(other)
+            found += [self._other(open_rows, old), self._other(old.where("state <> 1"), new)]
+        self.runs.append(run)
         return _union(found).withColumn("print", F.coalesce("real", "print")).drop("real", "state")
 
     @staticmethod
@@ -144,22 +192,55 @@ class FingerprintIndex:
         """rows whose fingerprint stands at another place in against: a merge of sorted runs that makes no pairs."""
         spot = F.xxhash64("key", "place")
         ends = against.where("state <> 1").groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b"))
-        return rows.where("state = 0").hint("merge").join(ends, "print").where((F.col("a") != spot) | (F.col("b") != spot)).drop("a", "b")
+        return rows.hint("merge").join(ends, "print").where((F.col("a") != spot) | (F.col("b") != spot)).drop("a", "b")
+
+    def keys(self) -> DataFrame:
+        """Keys of all texts of a window's length or more."""
+        return _union([self.table(r).select("key") for r in self.runs]).distinct()
 
     def compact(self) -> None:
-        """Make one run of all runs if there are more than fanout; the old ones go."""
+        """Make one run of all runs if there are more than fanout; the old ones go.
+
+        Runs are merged by full joins of their sorted buckets: a task reads one bucket of every run and
+        writes that bucket of the new one, and nothing is shuffled. A place that several runs have stays once.
+        """
         if len(self.runs) <= self.fanout:
             return
-        old, rows = self.runs, _union([self.spark.table(r) for r in self.runs])
-        self.runs = [self._write(rows)]
-        for name in old:
-            self.spark.sql(f"DROP TABLE {name}")
+        whole = (self.runs[0][0], self.runs[-1][1])
+        # buckets are by print alone, which is enough for runs to meet by print, key and place
+        setting = "spark.sql.requireAllClusterKeysForCoPartition"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, "false")
+        try:
+            self._write(reduce(self._merged, map(self.table, self.runs)), whole)
+        finally:
+            self.spark.conf.set(setting, before)
+        old, self.runs = self.runs, [whole]
+        for run in old:
+            self._forget(run)
 
-    def drop(self) -> None:
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
+    @staticmethod
+    def _merged(one: DataFrame, other: DataFrame) -> DataFrame:
+        place = ["print", "key", "place"]
+        names = [c for c in one.columns if c not in place]
+        both = one.hint("merge").join(other.toDF(*(c if c in place else f"{c}_" for c in other.columns)), place, "full")
+        return both.select(*place, *(F.greatest(c, f"{c}_").alias(c) for c in names)).select(*one.columns)
+
+    def _forget(self, run: tuple[int, int]) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
+        remove(self.spark, self._path(run))
+
+    def close(self) -> None:
+        """Take the tables out of this session's catalogue; the folder stays."""
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
         self.runs = []
 
+    def drop(self) -> None:
+        """Delete the index, unfinished runs too."""
+        self.close()
+        remove(self.spark, self.folder)
+
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
@@ -173,25 +254,38 @@ def _passes(keys: np.ndarray, bits: np.ndarray, mask: np.uint64) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _keyed(bits: np.ndarray):
-    """(id, key, packed): texts whose key the bit filter lets pass, compressed for the shuffle."""
+#: Keys that a task remembers as sent.
+TASK_KEYS = 1_000_000
+
+
+def _keyed(bits: np.ndarray, whole: np.ndarray | None = None, once: bool = False):
+    """(id, key, packed): texts whose key the bit filter lets pass and whole doesn't hold, compressed for the shuffle. once: equal texts go only once from a task."""
     import zstandard
 
     mask = np.uint64(len(bits) * 64 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack, sent = zstandard.ZstdCompressor(level=1), set()
         for batch in small_batches(batches, "text"):
             for start, part in grams.chunks(_texts(batch)):
                 hashes, first = grams.words(part)
                 keys, _ = text_keys(part, hashes, first)
-                take = np.flatnonzero(_passes(keys, bits, mask))
+                take = np.flatnonzero(_passes(keys, bits, mask) & ~_held(keys, whole))
+                if once:
+                    take = np.array([i for i in take if (k := int(keys[i])) not in sent and (len(sent) >= TASK_KEYS or not sent.add(k))], np.int64)
                 if len(take):
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(take + start)), pa.array(keys[take]), pa.array([pack.compress(part[i]) for i in take], pa.binary())], ["id", "key", "packed"])
 
     return run
 
 
+def _held(keys: np.ndarray, whole: np.ndarray | None) -> np.ndarray:
+    """Whether a sorted array holds the keys."""
+    if whole is None or not len(whole):
+        return np.zeros(len(keys), bool)
+    return whole[np.minimum(np.searchsorted(whole, keys), len(whole) - 1)] == keys
+
+
 def _unpacked(batch: pa.RecordBatch) -> list[bytes]:
     import zstandard
 
@@ -273,23 +367,29 @@ def _strip(window: int):
     return run
 
 
-def _untouched(bits: np.ndarray):
-    """Texts that surely have no repeated window: all their words are kept."""
+def _settled(bits: np.ndarray, whole: np.ndarray | None):
+    """Texts that surely have no repeated window, whose words are all kept, and those that stand elsewhere as a whole, which lose all."""
     mask = np.uint64(len(bits) * 64 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             for start, part in grams.chunks(_texts(batch)):
                 hashes, first = grams.words(part)
-                take = np.flatnonzero(~_passes(text_keys(part, hashes, first)[0], bits, mask))
+                keys = text_keys(part, hashes, first)[0]
+                gone = _held(keys, whole)
+                take = np.flatnonzero(~_passes(keys, bits, mask) | gone)
                 if len(take):
-                    found = [(len(w), b" ".join(w)) for w in (part[i].split() for i in take)]
-                    yield _stripped(batch.column("id").take(pa.array(take + start)), found, [n for n, _ in found])
+                    found = [(len(w), b"" if gone[i] else b" ".join(w)) for i, w in ((i, part[i].split()) for i in take)]
+                    yield _stripped(batch.column("id").take(pa.array(take + start)), found, [0 if gone[i] else n for i, (n, _) in zip(take, found, strict=True)])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, anchor: int = 16, batches: int = 2, keep_text: bool = True) -> DataFrame:
+#: Keys of texts that stand elsewhere as a whole which scans get as a sorted array, 16 MB; beyond, such texts are shuffled with the others.
+MAX_WHOLE = 1 << 21
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 35, anchor: int = 16, batches: int = 3, keep_text: bool = True, fanout: int = 1, index: FingerprintIndex | None = None, history: DataFrame | None = None, max_whole: int = MAX_WHOLE) -> DataFrame:
     """key, n_words, n_removed, kept_sha256 and (keep_text) kept_text of every row of docs.
 
     Words are runs of anything but ASCII white space, unchanged. A word goes if a window that
@@ -297,45 +397,62 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     all windows are judged on the input. Texts with fewer words than a window keep all of them; a
     null text has none. Rows with equal word sequences (repeated rows too) count as other places,
     so all their words go if they have a window. Windows are equal by two 64-bit hashes (anchor
-    and whole window).
+    and whole window). Columns of docs but key and text are not looked at.
 
-    The table enters the index in ``batches`` parts. What is shuffled is one row for each anchor,
-    hashes of the windows whose anchor repeats, and the texts that have any.
+    The table enters the index in ``batches`` parts; by default a fresh index that goes in the end,
+    and with fanout 1 the first two batches are compacted before the third comes. With an index
+    of one's own, which holds the documents of ``history`` (same columns), docs are added to it and judged
+    against these too. What is shuffled is one row for each anchor, hashes of the windows whose
+    anchor repeats, and the texts that have any, but not those that stand elsewhere as a whole.
     """
     if window - anchor + 1 > 31:
         raise ValueError("an anchor may have at most 31 windows")
+    if (index is None) != (history is None):
+        raise ValueError("an index and the documents that it holds go together")
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    survey = rows.mapInArrow(_survey, f"id {kind}, key long, check long, n long")
-    copies = cut(survey.groupBy("key").agg(F.count("*").alias("n_rows"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")).where("n_rows > 1"))
-    if copies.where("low <> high").limit(1).count():
-        raise RuntimeError("two texts share a 64-bit key")
-
-    index = FingerprintIndex(spark)
-    found = []
-    for b in range(batches):
-        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == b)
-        found.append(cut(index.add(part.mapInArrow(_fingerprints(window, anchor), ROW))))
-        index.compact()
-    index.drop()
+    path = fresh_path(spark, "anchors")
+    own = index or FingerprintIndex(spark, None, window, anchor, fanout=fanout)
+    try:
+        if (own.window, own.anchor) != (window, anchor):
+            raise ValueError("the index has another window or anchor")
+        rows.mapInArrow(_hashes(window, anchor), f"id {kind}, key long, check long, n long, anchors array<{ANCHOR}>").drop("id").write.parquet(path)
+        hashed = spark.read.parquet(path)
+        copies = cut(hashed.groupBy("key").agg(F.count("*").alias("n_rows"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")).where("n_rows > 1"))
+        if copies.where("low <> high").limit(1).count():
+            raise RuntimeError("two texts share a 64-bit key")
+        whole = copies.where(F.col("n") >= window).select("key")
+        if own.runs:
+            whole = cut(whole.union(hashed.where(F.col("n") >= window).select("key").join(own.keys(), "key", "left_semi")).distinct())
+        found = []
+        for b in range(batches):
+            part = hashed.where((F.pmod(F.xxhash64("key"), F.lit(batches)) == b) & (F.size("anchors") > 0)).select("key", F.explode("anchors").alias("x"))
+            found.append(cut(own.add(part.select("x.print", "key", "x.place", "x.low", "x.more", "x.state"))))
+    finally:
+        if index is None:
+            own.drop()
+        remove(spark, path)
     # an anchor's rows differ only in how they were found
     spots = _union(found).dropDuplicates(["key", "place"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "print", "low", "more"))).alias("spots"))
     spots = cut(spots)
 
     packed = f"id {kind}, key long, packed binary"
-    texts = rows.mapInArrow(_keyed(bit_filter(spots.select("key"))), packed)
+    texts = rows.select("text") if history is None else rows.select("text").union(history.select(F.col(f"`{text}`").cast("string")))
+    texts = texts.select(F.lit(0).alias("id"), "text").mapInArrow(_keyed(bit_filter(spots.select("key")), once=True), "id int, key long, packed binary")
     windows = texts.select("key", "packed").join(spots, "key").mapInArrow(_windows(window), WINDOWS)
-    matched = _matched(windows)
-    spans = cut(matched.groupBy("key").agg(F.collect_list(F.struct("low", "mask")).alias("spans")))
-
-    whole = copies.where(F.col("n") >= window).select("key", F.lit(True).alias("whole"))
-    spans = spans.join(whole, "key", "full").select("key", F.when(F.col("whole").isNull(), F.col("spans")).alias("spans"), F.coalesce("whole", F.lit(False)).alias("whole"))
-    spans = cut(spans)
+    spans = _matched(windows).groupBy("key").agg(F.collect_list(F.struct("low", "mask")).alias("spans"))
+
+    gone, exact = None, whole.count() <= max_whole
+    if exact:
+        gone = np.sort(whole.toPandas()["key"].to_numpy(np.int64))
+        spans = cut(spans.join(whole, "key", "left_anti").withColumn("whole", F.lit(False)))
+    else:
+        spans = cut(spans.join(whole.withColumn("whole", F.lit(True)), "key", "full").select("key", F.when(F.col("whole").isNull(), F.col("spans")).alias("spans"), F.coalesce("whole", F.lit(False)).alias("whole")))
     bits = bit_filter(spans.select("key"))
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    touched = rows.mapInArrow(_keyed(bits), packed).join(spans, "key", "left").select("id", "packed", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
-    out = touched.mapInArrow(_strip(window), schema).unionByName(rows.mapInArrow(_untouched(bits), schema))
+    touched = rows.mapInArrow(_keyed(bits, gone), packed).join(spans, "key", "left").select("id", "packed", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
+    out = touched.mapInArrow(_strip(window), schema).unionByName(rows.mapInArrow(_settled(bits, gone), schema))
     out = out.withColumnRenamed("id", key)
     return out if keep_text else out.drop("kept_text")
 
@@ -343,11 +460,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 def _matched(windows: DataFrame) -> DataFrame:
     """(key, low, mask): which windows of an anchor start elsewhere too."""
     met = cut(windows)
-    # rows of an anchor meet with their hashes still in arrays; windows of one anchor can only equal each other
-    each = met.where(F.size("sums") > 0).repartition("print").select("print", "key", "low", "offset", F.posexplode("sums").alias("step", "sum"))
+    each = met.where(F.size("sums") > 0).select("print", "key", "low", F.posexplode("sums").alias("step", "sum"))
     spot = F.xxhash64("key", F.col("low") + F.col("step"))
-    group = Window.partitionBy("print", "sum")
-    again = each.withColumns({"a": F.min(spot).over(group), "b": F.max(spot).over(group)}).where("a <> b")
+    # the ends of a window's places are aggregated before they are shuffled, and joining them back lets Spark split a key with very many rows
+    ends = each.groupBy("print", "sum").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("print", "sum")
+    again = each.join(ends, ["print", "sum"])
     bit = F.call_function("shiftleft", F.lit(1), F.col("step"))
     masks = again.select("key", "low", bit.alias("mask")).union(met.where("known <> 0").select("key", "low", "known"))
     return masks.groupBy("key", "low").agg(F.bit_or("mask").alias("mask"))

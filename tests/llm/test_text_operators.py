@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
 
 import pytest
 
@@ -92,7 +93,7 @@ def test_empty_tables(spark):
     assert substring_dedup.remove_repeats(docs).count() == 0
 
 
-def brute_repeats(rows, window):
+def brute_texts(rows, window):
     texts = [words(t) for _, t in rows]
     seen = Counter(tuple(w[i : i + window]) for w in texts for i in range(len(w) - window + 1))
     out = []
@@ -103,7 +104,11 @@ def brute_repeats(rows, window):
                 gone |= set(range(i, i + window))
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((key, len(w), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
-    return Counter(out)
+    return out
+
+
+def brute_repeats(rows, window):
+    return Counter(brute_texts(rows, window))
 
 
 @pytest.mark.parametrize(("window", "anchor", "batches"), [(35, 16, 2), (10, 4, 6), (8, 8, 1)])
@@ -117,16 +122,57 @@ def test_repeats_match_brute_force(spark, window, anchor, batches):
 def test_index_finds_repeats_of_older_runs_and_compacts(spark):
     index = substring_dedup.FingerprintIndex(spark, buckets=2, fanout=2)
     row = lambda p, k, place: (p, k, place, place, 0, 0)
-    batches = [[row(1, 10, 0), row(2, 10, 5)], [row(3, 11, 0)], [row(1, 12, 7), row(3, 11, 0)], [row(2, 13, 1), row(2, 13, 2)]]
+    batches = [[row(1, 10, 0), row(2, 10, 5)], [row(3, 11, 0)], [row(1, 12, 7), row(3, 11, 0)], [row(2, 13, 1), row(2, 13, 2)], [row(1, 10, 0), row(9, 14, 0)]]
     found = []
-    for b in batches:
+    for n, b in enumerate(batches):
         got = index.add(spark.createDataFrame(b, substring_dedup.ROW)).collect()
         found.append({(r["print"], r["key"], r["place"]) for r in got})
-        index.compact()
-        assert len(index.runs) <= 2
-    # the same place again is no repeat
-    assert found == [set(), set(), {(1, 10, 0), (1, 12, 7)}, {(2, 10, 5), (2, 13, 1), (2, 13, 2)}]
+        assert len(index.runs) <= 3
+        if n == 2:  # left and opened again
+            folder = index.folder
+            index.close()
+            index = substring_dedup.FingerprintIndex(spark, folder, buckets=7, fanout=2)
+            assert index.buckets == 2 and index.runs == [(0, 0), (1, 1), (2, 2)]
+    # the same place again is no repeat of itself, but a place elsewhere is
+    assert found == [set(), set(), {(1, 10, 0), (1, 12, 7)}, {(2, 10, 5), (2, 13, 1), (2, 13, 2)}, {(1, 10, 0), (1, 12, 7)}]
+    assert index.runs == [(0, 2), (3, 3), (4, 4)]
+    with pytest.raises(ValueError, match="window"):
+        substring_dedup.FingerprintIndex(spark, folder, window=9)
+    # compaction reads a bucket of every run at a time, without an exchange
+    index.fanout = 1
+    index.compact()
+    assert len(list(Path(index._path((0, 4)).removeprefix("file://")).glob("part-*"))) <= 2
+    assert index.runs == [(0, 4)] and index.table((0, 4)).count() == len({r for b in batches for r in b})
+    assert index.keys().count() == 5
     index.drop()
+    assert not Path(folder.removeprefix("file://")).exists()
+
+
+def test_new_documents_against_an_index(spark):
+    """Day by day against the whole: each day's rows as if all days so far were the input."""
+    rows = corpus(5)
+    days = [rows[0::3], rows[1::3], rows[2::3]]
+    index = substring_dedup.FingerprintIndex(spark, None, 10, 4, buckets=2, fanout=1)
+    schema = "doc_id long, text string"
+    for d, day in enumerate(days):
+        before = [r for x in days[:d] for r in x]
+        got = substring_dedup.remove_repeats(spark.createDataFrame(day, schema), window=10, anchor=4, batches=1, index=index, history=spark.createDataFrame(before, schema)).collect()
+        texts, want = brute_texts(before + day, 10), Counter()
+        for found in texts[len(before) :]:
+            want[found] += 1
+        assert Counter(tuple(r) for r in got) == want
+    assert len(index.runs) == 2
+    index.drop()
+
+
+def test_repeats_with_clashing_columns_and_many_copies(spark):
+    rows = corpus(4) + [(400 + i, "same words " * 30) for i in range(50)]
+    docs = spark.createDataFrame([(*r, 1, "x", 2) for r in rows], "doc_id long, text string, key int, id string, n int")
+    for most in (0, 100):  # texts that stand elsewhere as a whole, shuffled and not
+        got = substring_dedup.remove_repeats(docs, max_whole=most).collect()
+        assert Counter(tuple(r) for r in got) == brute_repeats(rows, 35)
+    small = spark.createDataFrame([(1, "a b c d e f g", 7, "k", 2)], "doc_id long, text string, key int, component string, n_shingles int")
+    assert [tuple(r) for r in jaccard_join.jaccard_components(small).collect()] == [(1, 3, 1)]
 
 
 def test_components_of_a_long_path_and_a_star(spark):
