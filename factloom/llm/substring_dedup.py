@@ -63,7 +63,7 @@ def text_keys(texts: list[bytes], hashes: np.ndarray, first: np.ndarray) -> tupl
     return grams.mix(out[0]).view(np.int64), grams.mix(out[1]).view(np.int64)
 
 
-ANCHOR = "struct<print:long,place:int,low:int,more:byte,state:byte>"
+ANCHOR = "struct<print:long,spot:long,alike:long,state:byte>"
 #: Repeated anchors that a task remembers.
 TASK_PRINTS = 200_000
 
@@ -71,7 +71,8 @@ TASK_PRINTS = 200_000
 def _hashes(window: int, anchor: int):
     """(id, key, check, n, anchors) of every text. A text that stands in a chunk before has no anchors.
 
-    An anchor whose windows all stand at another place of the task's chunks already repeats for sure:
+    An anchor's spot packs its first window, how far the anchor stands behind it, and how many windows follow;
+    alike is a hash of all its windows. An anchor that is alike another one of the task's chunks repeats for sure:
     state 1, but for the first of them, the ``witness`` (2), which meets other tasks' rows.
     """
 
@@ -100,33 +101,36 @@ def _hashes(window: int, anchor: int):
                 told = np.concatenate((told, alike[new]))[-TASK_PRINTS:]
                 order = np.lexsort((place, owner))
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(part))))).astype(np.int32)
-                rows = pa.StructArray.from_arrays([pa.array(prints[order].view(np.int64)), pa.array(place[order]), pa.array(low[order].astype(np.int32)), pa.array((high - low)[order].astype(np.int8)), pa.array(state[order])], ["print", "place", "low", "more", "state"])
+                spot = (low[order] * 32 + place[order] - low[order]) * 32 + (high - low)[order]
+                rows = pa.StructArray.from_arrays([pa.array(prints[order].view(np.int64)), pa.array(spot.astype(np.int64)), pa.array(alike[order].view(np.int64)), pa.array(state[order])], ["print", "spot", "alike", "state"])
                 ids = batch.column("id").slice(start, len(part))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(keys), pa.array(checks), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), rows)], ["id", "key", "check", "n", "anchors"])
 
     return run
 
 
-#: real: the fingerprint of a row that is known to repeat and so needn't meet others; its print is a random place.
-ROW = "print long, key long, place int, low int, more byte, state byte"
-STORED = f"{ROW}, real long"
+ROW = "print long, key long, spot long, alike long, state byte"
+#: As stored: state 1 has its fingerprint in real and a random place as print, state 2 has real equal to print, state 0 null.
+STORED = "print long, key long, spot long, alike long, real long"
+OPEN, KNOWN = "real is null", "real <> print"
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows as the index takes them: those known to repeat are dealt out at random."""
+    """Rows as the index takes them: those known to repeat needn't meet others and are dealt out at random."""
     known = F.col("state") == 1
-    return rows.withColumns({"real": F.when(known, F.col("print")), "print": F.when(known, F.xxhash64("print", "key", "place")).otherwise(F.col("print"))})
+    return rows.select(F.when(known, F.xxhash64("print", "key", "spot")).otherwise(F.col("print")).alias("print"), "key", "spot", "alike", F.when(F.col("state") > 0, F.col("print")).alias("real"))
 
 
 class FingerprintIndex:
-    """Runs of rows (print, key, place, low, more, state, real) as tables in a folder, bucketed and sorted by print.
+    """Runs of rows (STORED) as tables in a folder, bucketed and sorted by print.
 
     A run's folder names the batches that it covers, so an index that a lost driver left behind opens in
     its last whole state: runs without Spark's mark of success, or covered by a compacted one, don't count.
     All tasks and the driver must see the folder (default: a fresh one in the shared folder).
 
-    add() returns the rows, new and old, that repeat because of the batch. Equal (print, key,
-    place) is the same place, not a repeat: a batch may bring a text again.
+    add() returns the rows (print, key, spot, alike), new and old, that repeat because of the batch, and for
+    those of older batches that are all alike one at least. Equal (print, key, spot) is the same
+    place, not a repeat: a batch may bring a text again.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 35, anchor: int = 16, buckets: int | None = None, fanout: int = 4):
@@ -176,23 +180,23 @@ class FingerprintIndex:
         run = (number, number)
         rows = spread(batch).repartition(self.buckets, "print")
         # a place stands once in a run; the aggregation finds rows where the exchange put them
-        rows = rows.groupBy("print", "key", "place").agg(*(F.max(c).alias(c) for c in ("low", "more", "state", "real")))
+        rows = rows.groupBy("print", "key", "spot").agg(F.max("alike").alias("alike"), F.max("real").alias("real"))
         self._write(rows, run)
         new = self.table(run)
-        open_rows = new.where("state = 0")
-        found = [new.where("state > 0"), self._other(open_rows, new)]
+        fresh = new.where(OPEN)
+        found = [new.where("real is not null"), self._other(fresh, new)]
         for other in self.runs:
             old = self.table(other)
-            found += [self._other(open_rows, old), self._other(old.where("state <> 1"), new)]
+            found += [self._other(fresh, old), self._other(old.where(f"not coalesce({KNOWN}, false)"), new)]
         self.runs.append(run)
-        return _union(found).withColumn("print", F.coalesce("real", "print")).drop("real", "state")
+        return _union(found).select(F.coalesce("real", "print").alias("print"), "key", "spot", "alike")
 
     @staticmethod
     def _other(rows: DataFrame, against: DataFrame) -> DataFrame:
         """rows whose fingerprint stands at another place in against: a merge of sorted runs that makes no pairs."""
-        spot = F.xxhash64("key", "place")
-        ends = against.where("state <> 1").groupBy("print").agg(F.min(spot).alias("a"), F.max(spot).alias("b"))
-        return rows.hint("merge").join(ends, "print").where((F.col("a") != spot) | (F.col("b") != spot)).drop("a", "b")
+        place = F.xxhash64("key", "spot")
+        ends = against.where(f"not coalesce({KNOWN}, false)").groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b"))
+        return rows.hint("merge").join(ends, "print").where((F.col("a") != place) | (F.col("b") != place)).drop("a", "b")
 
     def keys(self) -> DataFrame:
         """Keys of all texts of a window's length or more."""
@@ -207,7 +211,7 @@ class FingerprintIndex:
         if len(self.runs) <= self.fanout:
             return
         whole = (self.runs[0][0], self.runs[-1][1])
-        # buckets are by print alone, which is enough for runs to meet by print, key and place
+        # buckets are by print alone, which is enough for runs to meet by print, key and spot
         setting = "spark.sql.requireAllClusterKeysForCoPartition"
         before = self.spark.conf.get(setting)
         self.spark.conf.set(setting, "false")
@@ -221,7 +225,7 @@ class FingerprintIndex:
 
     @staticmethod
     def _merged(one: DataFrame, other: DataFrame) -> DataFrame:
-        place = ["print", "key", "place"]
+        place = ["print", "key", "spot"]
         names = [c for c in one.columns if c not in place]
         both = one.hint("merge").join(other.toDF(*(c if c in place else f"{c}_" for c in other.columns)), place, "full")
         return both.select(*place, *(F.greatest(c, f"{c}_").alias(c) for c in names)).select(*one.columns)
@@ -402,8 +406,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     The table enters the index in ``batches`` parts; by default a fresh index that goes in the end,
     and with fanout 1 the first two batches are compacted before the third comes. With an index
     of one's own, which holds the documents of ``history`` (same columns), docs are added to it and judged
-    against these too. What is shuffled is one row for each anchor, hashes of the windows whose
-    anchor repeats, and the texts that have any, but not those that stand elsewhere as a whole.
+    against these too. What is shuffled is one row for each anchor, hashes of the windows of anchors
+    that repeat among other windows, and the texts that have any, but not those that stand elsewhere as a whole.
     """
     if window - anchor + 1 > 31:
         raise ValueError("an anchor may have at most 31 windows")
@@ -428,20 +432,20 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         found = []
         for b in range(batches):
             part = hashed.where((F.pmod(F.xxhash64("key"), F.lit(batches)) == b) & (F.size("anchors") > 0)).select("key", F.explode("anchors").alias("x"))
-            found.append(cut(own.add(part.select("x.print", "key", "x.place", "x.low", "x.more", "x.state"))))
+            found.append(cut(own.add(part.select("x.print", "key", "x.spot", "x.alike", "x.state"))))
     finally:
         if index is None:
             own.drop()
         remove(spark, path)
-    # an anchor's rows differ only in how they were found
-    spots = _union(found).dropDuplicates(["key", "place"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "print", "low", "more"))).alias("spots"))
-    spots = cut(spots)
+    known, unsure = _alike(_union(found).dropDuplicates(["key", "spot"]))
+    spots = cut(unsure.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "print", "low", "more"))).alias("spots")))
 
     packed = f"id {kind}, key long, packed binary"
     texts = rows.select("text") if history is None else rows.select("text").union(history.select(F.col(f"`{text}`").cast("string")))
     texts = texts.select(F.lit(0).alias("id"), "text").mapInArrow(_keyed(bit_filter(spots.select("key")), once=True), "id int, key long, packed binary")
     windows = texts.select("key", "packed").join(spots, "key").mapInArrow(_windows(window), WINDOWS)
-    spans = _matched(windows).groupBy("key").agg(F.collect_list(F.struct("low", "mask")).alias("spans"))
+    masks = known.unionByName(_matched(windows)).groupBy("key", "low").agg(F.bit_or("mask").alias("mask"))
+    spans = masks.groupBy("key").agg(F.collect_list(F.struct("low", "mask")).alias("spans"))
 
     gone, exact = None, whole.count() <= max_whole
     if exact:
@@ -457,6 +461,21 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     return out if keep_text else out.drop("kept_text")
 
 
+def _alike(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate anchors -> (key, low, mask) of those that are alike another one, so that all their windows repeat, and (key, print, place, low, more) of those whose windows must be compared.
+
+    Windows are compared between anchors of one fingerprint that aren't alike, one of each kind.
+    """
+    rows = cut(found)
+    kinds = rows.groupBy("print", "alike").agg(F.count("*").alias("n"), F.min(F.struct("key", "spot")).alias("first"))
+    several = kinds.groupBy("print").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = kinds.join(several, "print", "left").where("n > 1 or kinds > 1")
+    more, offset, low = F.col("spot").bitwiseAND(31).cast("int"), F.shiftright("spot", 5).bitwiseAND(31).cast("int"), F.shiftright("spot", 10).cast("int")
+    met = rows.join(kinds, ["print", "alike"]).withColumns({"more": more, "low": low, "place": low + offset})
+    full = F.expr("cast(shiftleft(1L, more + 1) - 1 as int)")
+    return met.where("n > 1").select("key", "low", full.alias("mask")), met.where((F.col("kinds") > 1) & (F.col("first.key") == F.col("key")) & (F.col("first.spot") == F.col("spot"))).select("key", "print", "place", "low", "more")
+
+
 def _matched(windows: DataFrame) -> DataFrame:
     """(key, low, mask): which windows of an anchor start elsewhere too."""
     met = cut(windows)
@@ -466,5 +485,4 @@ def _matched(windows: DataFrame) -> DataFrame:
     ends = each.groupBy("print", "sum").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("print", "sum")
     again = each.join(ends, ["print", "sum"])
     bit = F.call_function("shiftleft", F.lit(1), F.col("step"))
-    masks = again.select("key", "low", bit.alias("mask")).union(met.where("known <> 0").select("key", "low", "known"))
-    return masks.groupBy("key", "low").agg(F.bit_or("mask").alias("mask"))
+    return again.select("key", "low", bit.alias("mask")).union(met.where("known <> 0").select("key", "low", "known"))

@@ -121,12 +121,12 @@ def test_repeats_match_brute_force(spark, window, anchor, batches):
 
 def test_index_finds_repeats_of_older_runs_and_compacts(spark):
     index = substring_dedup.FingerprintIndex(spark, buckets=2, fanout=2)
-    row = lambda p, k, place: (p, k, place, place, 0, 0)
+    row = lambda p, k, spot: (p, k, spot, 100 * p + k, 0)
     batches = [[row(1, 10, 0), row(2, 10, 5)], [row(3, 11, 0)], [row(1, 12, 7), row(3, 11, 0)], [row(2, 13, 1), row(2, 13, 2)], [row(1, 10, 0), row(9, 14, 0)]]
     found = []
     for n, b in enumerate(batches):
         got = index.add(spark.createDataFrame(b, substring_dedup.ROW)).collect()
-        found.append({(r["print"], r["key"], r["place"]) for r in got})
+        found.append({(r["print"], r["key"], r["spot"]) for r in got})
         assert len(index.runs) <= 3
         if n == 2:  # left and opened again
             folder = index.folder
