@@ -5,13 +5,14 @@ sets are one class and only one of them takes part. Two sets with Jaccard >= t s
 ceil(t n) elements, so among the first p + l - 1 elements of both, p = n - ceil(t n) + 1, they share
 l or more (the l-prefix scheme).
 
-Which l a document needs depends on what its candidates would cost. Elements that stand in the
-prefixes of more than ``heavy`` classes (shared passages) cost most. With l one larger than the number
-of heavy elements in the prefix a partner shares at least one light element beside all heavy
-ones, so only the short lists of light elements have to be joined. Prefixes are as long as the
-slack allows, and a pair must share as many light elements as its l asks for beyond the heavy ones.
-Documents for which no such l exists within the slack (mostly made of heavy elements: large groups
-of near copies) are compared in blocks.
+Every document chooses its own l by what its candidates would cost: the shared elements' lists that its
+prefix would meet, and the partners among them that would have to be verified. A longer prefix meets more
+lists, but asks for more shared elements. A pair that chose l_a and l_b must share min(l_a, l_b) elements.
+Elements that stand in the prefixes of more than ``heavy`` classes (shared passages) are never joined: with
+l larger than the number of heavy elements in the prefix a partner shares at least one light
+element beside all heavy ones, so only the short lists of light elements are. The largest l is the
+``slack`` of the set's size. Documents for which no such l exists within the slack (mostly made of
+heavy elements: large groups of near copies) are compared in blocks.
 
 Candidates pass a bitmap filter (the Hamming distance of parity bitmaps bounds the symmetric
 difference from below), are gathered into clusters, and each cluster is verified exactly in
@@ -87,9 +88,23 @@ class Measure:
     def prefix(self, n: int) -> int:
         return n - self.overlap(n) + 1
 
+    @property
+    def slack_share(self) -> Fraction:
+        """Slack for each element: three tenths of what two linked sets may differ in."""
+        return (1 - self.t) * Fraction(3, 10)
+
     def slack(self, n: int) -> int:
-        """Largest l: grows with n, so that a partner of 0.8 n elements has one nearly as large."""
-        return (n * 6) // 100 + 3
+        """Largest l: grows with n, so that a partner of t n elements has one nearly as large."""
+        return n * self.slack_share.numerator // self.slack_share.denominator + 3
+
+    def slack_of(self, n):
+        """slack() of a column."""
+        return F.floor(n * self.slack_share.numerator / F.lit(self.slack_share.denominator)).cast("int") + 3
+
+    def prefix_of(self, n):
+        """prefix() of a column, in integers."""
+        num, den = self.t.numerator, self.t.denominator
+        return n - F.floor((n * num + (den - 1)) / F.lit(den)).cast("int") + 1
 
     def linked(self, common, n_a, n_b):
         """common / union >= t in integers; works on arrays too."""
@@ -146,10 +161,10 @@ def _prefixes(n: int, seed: int, measure: Measure, heavy: int):
 
 
 def _shared(heavy: int):
-    """From rows sorted by (element, key): those whose element belongs to two classes or more, and whether it is heavy. Keeps one element's first rows at a time."""
+    """From rows sorted by (element, key): those whose element belongs to two classes or more, whether it is heavy, and else to how many it belongs. Keeps one element's first rows at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "rank", "element", "heavy"]
+        names = ["key", "rank", "element", "heavy", "count"]
         held: pd.DataFrame | None = None  # the last element's rows so far, while it isn't known to be heavy
         last, last_heavy = None, False
         for batch in _with_end(batches):
@@ -157,14 +172,14 @@ def _shared(heavy: int):
             rows = rows.assign(rank=rows["place"] // 4, state=rows["place"] % 4)
             flagged = rows[rows["state"] == 1]
             rows = rows[rows["state"] != 1]
-            out = [flagged.assign(heavy=True)[names]] if len(flagged) else []
+            out = [flagged.assign(heavy=True, count=0)[names]] if len(flagged) else []
             if held is not None and len(held):
                 rows = pd.concat([held, rows], ignore_index=True)
                 held = None
             if last_heavy and len(rows):
                 same = rows["element"].to_numpy() == last
                 if same.any():
-                    out.append(rows[same].assign(heavy=True)[names])
+                    out.append(rows[same].assign(heavy=True, count=0)[names])
                     rows = rows[~same]
             rows = rows.drop_duplicates(["element", "key", "state"]) if len(rows) else rows
             if len(rows):
@@ -180,9 +195,9 @@ def _shared(heavy: int):
                 elif batch is not None:
                     last, last_heavy = element[-1], True
                 keep = np.repeat((counts > 1) | is_heavy, counts)
-                out.append(rows.assign(heavy=np.repeat(is_heavy, counts))[keep][names])
+                out.append(rows.assign(heavy=np.repeat(is_heavy, counts), count=np.repeat(counts, counts))[keep][names])
             if out and len(whole := pd.concat(out, ignore_index=True)):
-                yield pa.RecordBatch.from_arrays([pa.array(whole["key"], pa.int64()), pa.array(whole["rank"], pa.int32()), pa.array(whole["element"], pa.int64()), pa.array(whole["heavy"].astype(bool))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(whole["key"], pa.int64()), pa.array(whole["rank"], pa.int32()), pa.array(whole["element"], pa.int64()), pa.array(whole["heavy"].astype(bool)), pa.array(whole["count"], pa.int32())], names)
 
     return run
 
@@ -332,7 +347,7 @@ def _compare(measure: Measure):
     return run
 
 
-def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fraction, heavy: int, block_rows: int, block_elements: int, seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
+def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fraction, heavy: int, block_rows: int, block_elements: int, seed: int = 0, verify_cost: int = 8) -> tuple[DataFrame, DataFrame, int]:
     """(survey: id, n, key for every row; links: a, b between classes' keys, a spanning forest; the hashes' seed)."""
     measure = Measure(threshold)
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -342,29 +357,15 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
     if classes.where("low <> high").limit(1).count():
         if seed > 8:
             raise RuntimeError("set keys collide under every seed")
-        return link_classes(docs, key, text, n, threshold, heavy, block_rows, block_elements, seed + 1)
+        return link_classes(docs, key, text, n, threshold, heavy, block_rows, block_elements, seed + 1, verify_cost)
 
     prefixes = rows.mapInArrow(_prefixes(n, seed, measure, heavy), "element long, key long, place long")
     # rows that are known to be heavy go anywhere; the rest meet by element
     where = F.when(F.col("place") % 4 == 1, F.xxhash64("element", "key")).otherwise(F.col("element"))
     met = prefixes.withColumn("where", where).repartition(F.col("where")).drop("where").sortWithinPartitions("element", "key")
-    shared = met.mapInArrow(_shared(heavy), "key long, rank int, element long, heavy boolean").repartition("key").dropDuplicates(["key", "rank"])
+    shared = met.mapInArrow(_shared(heavy), "key long, rank int, element long, heavy boolean, count int").repartition("key").dropDuplicates(["key", "rank"])
 
-    order = Window.partitionBy("key").orderBy("rank")
-    whole = Window.partitionBy("key")
-    slack = lambda c: F.floor(c * 6 / 100).cast("int") + 3
-    is_heavy = F.col("heavy").cast("int")
-    ranked = shared.join(classes.select("key", F.col("n").cast("int").alias("n")), "key").withColumn("p", _exact_prefix(threshold))
-    ranked = ranked.withColumn("place", F.col("rank") - F.sum(is_heavy).over(order) + is_heavy)
-    ranked = ranked.withColumns({
-        "heavies": F.sum(is_heavy).over(whole).cast("int"),
-        "met": F.sum((F.col("heavy") & (F.col("place") < F.col("p"))).cast("int")).over(whole),
-        "length": F.least(F.col("n"), F.col("p") + slack(F.col("n")) - 1),
-    })
-    partner = F.col("n") - F.col("p") + 1
-    dense = (F.col("length") - F.col("heavies") < F.col("p")) | (F.col("met") + 1 > slack(partner))
-    ranked = ranked.withColumns({"dense": dense, "l": F.col("length") - F.col("p") + 1})
-    ranked = cut(ranked.where(~F.col("heavy") | F.col("dense") & (F.col("rank") < F.col("p"))).select("key", "n", "element", "heavy", "dense", "l", "heavies"))
+    ranked = cut(_chosen(shared.join(classes.select("key", F.col("n").cast("int").alias("n")), "key"), measure, verify_cost))
 
     light = ranked.where("not heavy").select("element", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("l").alias("l_a"), F.col("heavies").alias("h_a"))
     other = light.toDF("element", "b", "n_b", "l_b", "h_b")
@@ -409,14 +410,37 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
     return survey, links, seed
 
 
-def _exact_prefix(threshold: Fraction):
-    """n - ceil(t n) + 1 in integers."""
-    num, den = threshold.numerator, threshold.denominator
-    ceil = F.floor((F.col("n") * num + (den - 1)) / F.lit(den)).cast("int")
-    return F.col("n") - ceil + 1
+def _chosen(shared: DataFrame, measure: Measure, verify_cost: int) -> DataFrame:
+    """(key, n, element, heavy, dense, l, heavies) of the shared elements in the prefix of the l that each document chooses, and of a dense one's heavy elements.
 
-
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5), heavy: int = 20, block_rows: int = 512, block_elements: int = 200_000) -> DataFrame:
+    A candidate for l is tried before each shared element (the prefix just doesn't take it in) and at the
+    full slack. Its cost: rows of the lists in the prefix, and verify_cost for each partner that could share
+    enough of them. The least l has more light elements than a partner may lack.
+    """
+    whole = Window.partitionBy("key")
+    before = whole.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    is_heavy, n, p, rank = F.col("heavy").cast("int"), F.col("n"), F.col("p"), F.col("rank")
+    rows = shared.withColumns({"p": measure.prefix_of(n), "count": F.when(F.col("heavy"), 0).otherwise(F.col("count"))})
+    rows = rows.withColumns({"heavies_before": F.coalesce(F.sum(is_heavy).over(before), F.lit(0)), "lists_before": F.coalesce(F.sum("count").over(before), F.lit(0))})
+    rows = rows.withColumns({
+        "heavies": F.sum(is_heavy).over(whole).cast("int"),
+        "lists": F.sum("count").over(whole),
+        "met": F.sum((F.col("heavy") & (rank - F.col("heavies_before") < p)).cast("int")).over(whole),
+        "length": F.least(n, p + measure.slack_of(n) - 1),
+    })
+    most = F.col("length") - p + 1
+    # a linked partner, which may be smaller, must be able to choose an l beyond the heavy elements met
+    dense = (F.col("length") - F.col("heavies") < p) | (F.col("met") + 1 > measure.slack_of(n - p + 1))
+    cost = lambda lists, needed: lists * (1 + verify_cost / needed.cast("double"))
+    here = rank - p + 1
+    tried = F.when(here > F.col("met"), F.struct(cost(F.col("lists_before"), here - F.col("heavies_before")).alias("cost"), here.alias("l")))
+    rows = rows.withColumns({"dense": dense, "tried": F.min(tried).over(whole), "last": F.struct(cost(F.col("lists"), F.greatest(most - F.col("heavies"), F.lit(1))).alias("cost"), most.alias("l"))})
+    rows = rows.withColumn("l", F.when(F.col("dense"), most).otherwise(F.least("tried", "last")["l"]))
+    rows = rows.where(rank < p + F.col("l") - 1).withColumn("heavies", F.sum(is_heavy).over(whole).cast("int"))
+    return rows.where(~F.col("heavy") | F.col("dense") & (rank < p)).select("key", "n", "element", "heavy", "dense", "l", "heavies")
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5), heavy: int = 20, block_rows: int = 512, block_elements: int = 200_000, verify_cost: int = 8) -> DataFrame:
     """key, n_shingles, component_id of every row of docs; component_id is the smallest key that links reach.
 
     Words are lower-cased (A-Z) runs of anything but ASCII white space. A null, empty or blank text
@@ -424,7 +448,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     sets are linked. Rows with a null key take part and get their component's smallest key (null
     if it has none). Sets are compared by 64-bit hashes of their shingles.
     """
-    survey, links, _ = link_classes(docs, key, text, n, threshold, heavy, block_rows, block_elements)
+    survey, links, _ = link_classes(docs, key, text, n, threshold, heavy, block_rows, block_elements, verify_cost=verify_cost)
     roots = connected_components(links).withColumnRenamed("node", "key")
     placed = survey.join(roots, "key", "left").withColumn("root", F.coalesce("component", "key"))
     least = placed.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
@@ -432,7 +456,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5), heavy: int = 20, block_rows: int = 512, block_elements: int = 200_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5), heavy: int = 20, block_rows: int = 512, block_elements: int = 200_000, verify_cost: int = 8) -> DataFrame:
     """One row of each group that jaccard_components() finds: one with the smallest key (null keys are the largest).
 
     Rows without shingles all stay. Of each class of equal sets every partition sends on one row,
@@ -441,7 +465,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     columns = docs.columns
     docs = docs.toDF(*(f"c{i}" for i in range(len(columns))))
     key, text = (docs.columns[[c.lower() for c in columns].index(x.lower())] for x in (key, text))
-    survey, links, seed = link_classes(docs, key, text, n, threshold, heavy, block_rows, block_elements)
+    survey, links, seed = link_classes(docs, key, text, n, threshold, heavy, block_rows, block_elements, verify_cost=verify_cost)
     roots = connected_components(links).withColumnRenamed("node", "key")
     classes = survey.where("n > 0").groupBy("key").agg(F.min("id").alias("rep")).join(roots, "key", "left")
     first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "key"))

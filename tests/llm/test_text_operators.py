@@ -9,6 +9,7 @@ from fractions import Fraction
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import grams, jaccard_join, substring_dedup
 from factloom.llm.components import connected_components
@@ -39,7 +40,7 @@ def words(text):
     return (text or "").encode().split()
 
 
-def brute_components(rows, n=5):
+def brute_components(rows, n=5, threshold=Fraction(4, 5)):
     def lower(w):
         return bytes(b + 32 if 65 <= b <= 90 else b for b in w)
 
@@ -57,7 +58,7 @@ def brute_components(rows, n=5):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            if a and b and len(a & b) >= threshold * len(a | b):
                 up[root(i)] = root(j)
     groups = {}
     for i, (key, _) in enumerate(rows):
@@ -201,3 +202,28 @@ def test_bitmaps_never_rule_out_a_link():
         rows = [(1, len(base), base.tobytes(), jaccard_join.parity_bitmap(base).tobytes()), (2, len(other), other.tobytes(), jaccard_join.parity_bitmap(other).tobytes())]
         linked = 5 * common >= 4 * (len(base) + len(other) - common)
         assert (jaccard_join.verify_blocks(rows, None, measure) == [(1, 2)]) == linked
+
+
+def test_documents_choose_prefixes_by_cost(spark):
+    """A document whose first elements stand in long lists chooses a shorter prefix or a larger l than one without; pairs still all meet."""
+    measure = jaccard_join.Measure(Fraction(4, 5))
+    rows = lambda key, lists: [(key, r, 1000 + r, c > 20, c, 100) for r, c in lists]
+    # p = 21, slack = 9: prefixes of 21 to 29 elements
+    found = spark.createDataFrame(rows(1, [(3, 2), (25, 15)]) + rows(2, [(r, 30) for r in range(4)] + [(10, 2)]) + rows(3, [(r, 30) for r in range(25)]) + rows(4, [(22, 15)]) + rows(5, [(0, 2), (21, 2)]), "key long, rank int, element long, heavy boolean, count int, n int")
+    got = jaccard_join._chosen(found, measure, 8).collect()
+    chosen = {r["key"]: (r["l"], r["heavies"], r["dense"]) for r in got}
+    # 1: stops before the long list at rank 25; 2: four heavy elements ask for l of 5 at least; 3: mostly heavy;
+    # 4: no list in the shortest prefixes, so nothing to join; 5: a second short list is cheaper than a weak demand
+    assert chosen[1] == (5, 0, False) and chosen[2][0] >= 5 and chosen[2][1] == 4 and chosen[3][2] and 4 not in chosen and chosen[5][0] == 9
+    for t in (Fraction(4, 5), Fraction(1, 2), Fraction(9, 10)):
+        m = jaccard_join.Measure(t)
+        ns = spark.range(1, 400).select("id", m.slack_of(F.col("id").cast("int")).alias("s"), m.prefix_of(F.col("id").cast("int")).alias("p")).collect()
+        assert all((r["s"], r["p"]) == (m.slack(r["id"]), m.prefix(r["id"])) for r in ns)
+
+
+@pytest.mark.parametrize(("threshold", "verify_cost"), [(Fraction(4, 5), 0), (Fraction(1, 2), 8), (Fraction(9, 10), 100)])
+def test_links_at_other_thresholds(spark, threshold, verify_cost):
+    rows = corpus(6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs, threshold=threshold, heavy=4, block_rows=16, verify_cost=verify_cost).collect()
+    assert Counter(tuple(r) for r in got) == brute_components(rows, threshold=threshold)
