@@ -207,23 +207,29 @@ def _with_end(batches):
     yield None
 
 
+#: Keys that a task remembers as sent.
+TASK_KEYS = 1_000_000
+
+
 def _fetch(n: int, seed: int, bits: np.ndarray):
-    """Sets and bitmaps of the documents that the bit filter lets pass."""
+    """Sets and bitmaps of the documents that the bit filter lets pass, each class once from a task."""
     mask = np.uint64(len(bits) * 64 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()
         for batch in small_batches(batches, "text"):
-            ids, rows = batch.column("id").to_pylist(), []
-            for doc, elements in zip(ids, shingle_sets(_texts(batch), n, seed), strict=True):
-                if not len(elements):
+            rows = []
+            for elements in shingle_sets(_texts(batch), n, seed):
+                if not len(elements) or (key := set_key(elements)[0]) in sent:
                     continue
-                key = set_key(elements)[0]
                 at = np.uint64(key & 0xFFFFFFFFFFFFFFFF) & mask
                 if int(bits[int(at >> np.uint64(6))]) >> int(at & np.uint64(63)) & 1:
-                    rows.append((key, doc, len(elements), elements.tobytes(), parity_bitmap(elements).tobytes()))
+                    rows.append((key, len(elements), elements.tobytes(), parity_bitmap(elements).tobytes()))
+                    if len(sent) < TASK_KEYS:
+                        sent.add(key)
             for at in range(0, len(rows), 1000):
                 part = list(zip(*rows[at : at + 1000], strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], batch.schema.field("id").type), pa.array(part[2], pa.int64()), pa.array(part[3], pa.binary()), pa.array(part[4], pa.binary())], ["key", "id", "n", "elements", "bitmap"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary()), pa.array(part[3], pa.binary())], ["key", "n", "elements", "bitmap"])
 
     return run
 
@@ -347,7 +353,7 @@ def _compare(measure: Measure):
     return run
 
 
-def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fraction, heavy: int, block_rows: int, block_elements: int, seed: int = 0, verify_cost: int = 8) -> tuple[DataFrame, DataFrame, int]:
+def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fraction, heavy: int, block_rows: int, block_elements: int, seed: int = 0, verify_cost: int = 100) -> tuple[DataFrame, DataFrame, int]:
     """(survey: id, n, key for every row; links: a, b between classes' keys, a spanning forest; the hashes' seed)."""
     measure = Measure(threshold)
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -375,9 +381,9 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
     crowd = ranked.where("heavy and dense").select(F.col("key").alias("a"), F.col("element").alias("b"))
 
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(crowd.select("a")).distinct()
-    wanted = cut(wanted.join(classes.select("key", F.col("rep").alias("id")), "key"))
-    fetched = rows.mapInArrow(_fetch(n, seed, bit_filter(wanted)), f"key long, id {kind}, n long, elements binary, bitmap binary")
-    sets = cut(fetched.join(wanted, (fetched["key"] == wanted["key"]) & fetched["id"].eqNullSafe(wanted["id"]), "left_semi").dropDuplicates(["key"]))
+    wanted = cut(wanted)
+    fetched = rows.select("text").mapInArrow(_fetch(n, seed, bit_filter(wanted)), "key long, n long, elements binary, bitmap binary")
+    sets = cut(fetched.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
 
     maps = sets.select("key", "n", "bitmap")
     both = pairs.join(maps.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("map_a")), "a").join(maps.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("map_b")), "b")
@@ -386,9 +392,9 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
     named = likely.select(F.concat(F.lit("d"), "a").alias("a"), F.concat(F.lit("d"), "b").alias("b")).union(crowd.select(F.concat(F.lit("d"), "a"), F.concat(F.lit("e"), "b")))
     clusters = connected_components(named).where("node like 'd%'").select(F.substring("node", 2, 20).cast("long").alias("key"), "component")
     grouped = sets.join(clusters, "key").withColumn("cluster", F.xxhash64("component"))
-    # a large cluster is packed into blocks by several tasks: by size class, and salted beyond 4,096 rows
-    sizes = grouped.groupBy("cluster").count().where("count > 4096")
-    salt = F.pmod(F.xxhash64("key"), F.coalesce(F.ceil(F.col("count") / 4096), F.lit(1))).cast("int")
+    # a large cluster is packed into blocks by several tasks: by size class, and salted beyond some blocks' elements
+    sizes = grouped.groupBy("cluster").agg(F.sum("n").alias("size")).where(F.col("size") > 2 * block_elements)
+    salt = F.pmod(F.xxhash64("key"), F.coalesce(F.ceil(F.col("size") / (2 * block_elements)), F.lit(1))).cast("int")
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.1)).cast("int")
     blocks = cut(
         grouped.join(sizes, "cluster", "left")
@@ -440,7 +446,7 @@ def _chosen(shared: DataFrame, measure: Measure, verify_cost: int) -> DataFrame:
     return rows.where(~F.col("heavy") | F.col("dense") & (rank < p)).select("key", "n", "element", "heavy", "dense", "l", "heavies")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5), heavy: int = 20, block_rows: int = 512, block_elements: int = 200_000, verify_cost: int = 8) -> DataFrame:
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5), heavy: int = 20, block_rows: int = 512, block_elements: int = 200_000, verify_cost: int = 100) -> DataFrame:
     """key, n_shingles, component_id of every row of docs; component_id is the smallest key that links reach.
 
     Words are lower-cased (A-Z) runs of anything but ASCII white space. A null, empty or blank text
@@ -456,7 +462,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5), heavy: int = 20, block_rows: int = 512, block_elements: int = 200_000, verify_cost: int = 8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: Fraction = Fraction(4, 5), heavy: int = 20, block_rows: int = 512, block_elements: int = 200_000, verify_cost: int = 100) -> DataFrame:
     """One row of each group that jaccard_components() finds: one with the smallest key (null keys are the largest).
 
     Rows without shingles all stay. Of each class of equal sets every partition sends on one row,
