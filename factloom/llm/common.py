@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -81,6 +85,36 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4
             yield batch.slice(start)
 
 
+#: Bytes of an Arrow batch on its way to Python; Spark's own limit of 64 MB would be held several times over by each task.
+ARROW_BYTES = 4 << 20
+
+
+def give_back() -> None:
+    """Free what allocators keep: Python workers outlive their tasks, and later stages need the memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of bounded bytes (a longer row is one batch), and memory given back after each task.
+
+    Lowers spark.sql.execution.arrow.maxBytesPerBatch of the session to ARROW_BYTES if it is larger.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.match(r"-?\d+", conf.get(name)).group()) <= ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def batch_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """A string column in UTF-8; null is empty."""
     return [b"" if t is None else t for t in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from factloom.llm import grams
 from factloom.llm.common import batch_texts as _texts
-from factloom.llm.common import bit_filter, cut, small_batches
+from factloom.llm.common import bit_filter, cut, map_arrow, small_batches
 from factloom.llm.components import connected_components
 
 
@@ -358,18 +358,18 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
     measure = Measure(threshold)
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    survey = cut(rows.mapInArrow(_survey(n, seed), f"id {kind}, n long, key long, check long"))
+    survey = cut(map_arrow(rows, _survey(n, seed), f"id {kind}, n long, key long, check long"))
     classes = survey.where("n > 0").groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high"))
     if classes.where("low <> high").limit(1).count():
         if seed > 8:
             raise RuntimeError("set keys collide under every seed")
         return link_classes(docs, key, text, n, threshold, heavy, block_rows, block_elements, seed + 1, verify_cost)
 
-    prefixes = rows.mapInArrow(_prefixes(n, seed, measure, heavy), "element long, key long, place long")
+    prefixes = map_arrow(rows, _prefixes(n, seed, measure, heavy), "element long, key long, place long")
     # rows that are known to be heavy go anywhere; the rest meet by element
     where = F.when(F.col("place") % 4 == 1, F.xxhash64("element", "key")).otherwise(F.col("element"))
     met = prefixes.withColumn("where", where).repartition(F.col("where")).drop("where").sortWithinPartitions("element", "key")
-    shared = met.mapInArrow(_shared(heavy), "key long, rank int, element long, heavy boolean, count int").repartition("key").dropDuplicates(["key", "rank"])
+    shared = map_arrow(met, _shared(heavy), "key long, rank int, element long, heavy boolean, count int").repartition("key").dropDuplicates(["key", "rank"])
 
     ranked = cut(_chosen(shared.join(classes.select("key", F.col("n").cast("int").alias("n")), "key"), measure, verify_cost))
 
@@ -382,7 +382,7 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
 
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(crowd.select("a")).distinct()
     wanted = cut(wanted)
-    fetched = rows.select("text").mapInArrow(_fetch(n, seed, bit_filter(wanted)), "key long, n long, elements binary, bitmap binary")
+    fetched = map_arrow(rows.select("text"), _fetch(n, seed, bit_filter(wanted)), "key long, n long, elements binary, bitmap binary")
     sets = cut(fetched.join(wanted, "key", "left_semi").dropDuplicates(["key"]))
 
     maps = sets.select("key", "n", "bitmap")
@@ -396,15 +396,10 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
     sizes = grouped.groupBy("cluster").agg(F.sum("n").alias("size")).where(F.col("size") > 2 * block_elements)
     salt = F.pmod(F.xxhash64("key"), F.coalesce(F.ceil(F.col("size") / (2 * block_elements)), F.lit(1))).cast("int")
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.1)).cast("int")
-    blocks = cut(
-        grouped.join(sizes, "cluster", "left")
-        .select("cluster", size_class.alias("class"), salt.alias("salt"), "key", "n", "elements", "bitmap")
-        .repartition("cluster", "class", "salt")
-        .sortWithinPartitions("cluster", "class", "salt", "n")
-        .select("cluster", "key", "n", "elements", "bitmap")
-        .mapInArrow(_pack(block_rows, block_elements), "cluster long, block int, least long, most long, data binary")
-        .withColumn("id", F.monotonically_increasing_id())
-    )
+    placed = grouped.join(sizes, "cluster", "left").select("cluster", size_class.alias("class"), salt.alias("salt"), "key", "n", "elements", "bitmap")
+    placed = placed.repartition("cluster", "class", "salt").sortWithinPartitions("cluster", "class", "salt", "n").select("cluster", "key", "n", "elements", "bitmap")
+    blocks = map_arrow(placed, _pack(block_rows, block_elements), "cluster long, block int, least long, most long, data binary")
+    blocks = cut(blocks.withColumn("id", F.monotonically_increasing_id()))
     # which blocks meet is settled without their data, which then travels by block, not by cluster
     here = blocks.select("cluster", "id", "least", "most")
     there = here.toDF("cluster", "id_b", "least_b", "most_b")
@@ -412,7 +407,7 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
     meet = here.join(there, "cluster").where((F.col("id") <= F.col("id_b")) & near).select("id", "id_b", (F.col("id") == F.col("id_b")).alias("same"))
     data = blocks.select("id", "data")
     compared = meet.join(data, "id").join(data.toDF("id_b", "other"), "id_b").withColumn("other", F.when(~F.col("same"), F.col("other")))
-    links = cut(compared.repartition("id", "id_b").mapInArrow(_compare(measure), "a long, b long"))
+    links = cut(map_arrow(compared.repartition("id", "id_b"), _compare(measure), "a long, b long"))
     return survey, links, seed
 
 
@@ -483,7 +478,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
             sets = [set_key(x)[0] if len(x) else None for x in shingle_sets(_texts(batch, text), n, seed)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.int64())], names=[*batch.schema.names, "_set"])
 
-    rows = docs.mapInArrow(marked, mark)
+    rows = map_arrow(docs, marked, mark)
     order = Window.partitionBy("_set").orderBy(F.col(f"`{key}`").asc_nulls_last())
     one = rows.where("_set is not null").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place").join(kept, "_set", "left_semi")
     return one.drop("_set").unionByName(rows.where("_set is null").drop("_set")).toDF(*columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import grams
-from factloom.llm.common import batch_texts, small_batches
+from factloom.llm.common import batch_texts, map_arrow, small_batches
 from factloom.llm.sampling import held_out, labelled_sample
 
 _IS = {name: np.isin(np.arange(256), list(chars)) for name, chars in {
@@ -207,7 +207,7 @@ def score_documents(docs: DataFrame, field: QualityField, key: str = "doc_id", t
             scores = field.scores(batch_texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores)], ["id", "score"])
 
-    scored = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    scored = map_arrow(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
     return scored.select(F.col("id").alias(key), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm import grams
 from factloom.llm.common import batch_texts as _texts
-from factloom.llm.common import bit_filter, cut, fresh_path, remove, small_batches
+from factloom.llm.common import bit_filter, cut, fresh_path, map_arrow, remove, small_batches
 
 
 def anchors(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -421,7 +421,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     try:
         if (own.window, own.anchor) != (window, anchor):
             raise ValueError("the index has another window or anchor")
-        rows.mapInArrow(_hashes(window, anchor), f"id {kind}, key long, check long, n long, anchors array<{ANCHOR}>").drop("id").write.parquet(path)
+        map_arrow(rows, _hashes(window, anchor), f"id {kind}, key long, check long, n long, anchors array<{ANCHOR}>").drop("id").write.parquet(path)
         hashed = spark.read.parquet(path)
         copies = cut(hashed.groupBy("key").agg(F.count("*").alias("n_rows"), F.max("n").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")).where("n_rows > 1"))
         if copies.where("low <> high").limit(1).count():
@@ -442,8 +442,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     packed = f"id {kind}, key long, packed binary"
     texts = rows.select("text") if history is None else rows.select("text").union(history.select(F.col(f"`{text}`").cast("string")))
-    texts = texts.select(F.lit(0).alias("id"), "text").mapInArrow(_keyed(bit_filter(spots.select("key")), once=True), "id int, key long, packed binary")
-    windows = texts.select("key", "packed").join(spots, "key").mapInArrow(_windows(window), WINDOWS)
+    texts = map_arrow(texts.select(F.lit(0).alias("id"), "text"), _keyed(bit_filter(spots.select("key")), once=True), "id int, key long, packed binary")
+    windows = map_arrow(texts.select("key", "packed").join(spots, "key"), _windows(window), WINDOWS)
     masks = known.unionByName(_matched(windows)).groupBy("key", "low").agg(F.bit_or("mask").alias("mask"))
     spans = masks.groupBy("key").agg(F.collect_list(F.struct("low", "mask")).alias("spans"))
 
@@ -455,8 +455,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         spans = cut(spans.join(whole.withColumn("whole", F.lit(True)), "key", "full").select("key", F.when(F.col("whole").isNull(), F.col("spans")).alias("spans"), F.coalesce("whole", F.lit(False)).alias("whole")))
     bits = bit_filter(spans.select("key"))
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    touched = rows.mapInArrow(_keyed(bits, gone), packed).join(spans, "key", "left").select("id", "packed", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
-    out = touched.mapInArrow(_strip(window), schema).unionByName(rows.mapInArrow(_settled(bits, gone), schema))
+    touched = map_arrow(rows, _keyed(bits, gone), packed).join(spans, "key", "left").select("id", "packed", "spans", F.coalesce("whole", F.lit(False)).alias("whole"))
+    out = map_arrow(touched, _strip(window), schema).unionByName(map_arrow(rows, _settled(bits, gone), schema))
     out = out.withColumnRenamed("id", key)
     return out if keep_text else out.drop("kept_text")
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import grams
-from factloom.llm.common import batch_texts, small_batches
+from factloom.llm.common import batch_texts, map_arrow, small_batches
 from factloom.llm.sampling import held_out, labelled_sample
 
 #: Bytes of a word's beginning that are features of their own, for compounds and inflections.
@@ -210,7 +210,7 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_
             found = chain.probabilities(batch_texts(batch, text))
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, i]) for i in range(len(names)))], names=[*batch.schema.names, *names])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = GENERAL, max_docs: int = 4000, max_chars: int = 100_000, key: str = "doc_id", text: str = "text") -> Chain:
