@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import small_batches
+from factloom.llm.common import map_arrow, small_batches
 
 SPACE = "▁"
 NO_TOKEN = -1
@@ -39,7 +39,7 @@ class SentencePieceCodec:
     unremoved white space and byte fallback; these are checked by a probe of the library.
     """
 
-    def __init__(self, path: str, memo_bytes: int = 64 << 20, max_pairs: int = 100_000):
+    def __init__(self, path: str, memo_bytes: int = 96 << 20, max_pairs: int = 250_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -58,9 +58,11 @@ class SentencePieceCodec:
         self.texts = [p.replace(SPACE, " ") for p in self.pieces]
         self.splits = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.pairs: dict[tuple[str, str], bool] = {}
-        #: Two generations: what the older one holds moves up when it is met again, and else goes.
-        self.memo: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        #: Part -> its ids in decimal, in two generations: what the older one holds moves up when it is met again, and else goes.
+        self.memo: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        #: Decodings that are not just the part with spaces for its marks.
+        self.odd: dict[str, str] = {}
         self.used, self.memo_bytes, self.max_pairs = 0, memo_bytes, max_pairs
         automaton = ahocorasick.Automaton()
         #: Pieces that are not their own encoding are never produced by merging.
@@ -181,37 +183,40 @@ class SentencePieceCodec:
     def digest_and_ids(self, text: str, keep_ids: bool = False) -> tuple[int, str, str, np.ndarray | None]:
         """As digest(), and the ids themselves if they are to be kept."""
         memo, parts = self.memo, self._parts(text) if text else []
+        self.odd.clear()
         try:
             known = [memo[p] for p in parts]
         except KeyError:
             known = [self._part(p) for p in parts]
-        ids = ",".join([k[1] for k in known])
-        decoded = "".join([k[2] for k in known])
+        ids = ",".join(known)
+        decoded = "".join([self.odd.get(p) or p for p in parts] if self.odd else parts).replace(SPACE, " ")
         if self.splits or not parts:
             decoded = decoded.removeprefix(" ")
         flat = np.fromstring(ids, np.int32, sep=",") if keep_ids else None
-        return sum([k[0] for k in known]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest(), flat
+        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest(), flat
 
-    def _part(self, part: str) -> tuple[int, str, str]:
-        """Of a part: number of ids, the ids in decimal, their decoding with the prefix's space. Long parts aren't kept."""
+    def _part(self, part: str) -> str:
+        """A part's ids in decimal. Long parts and those whose decoding is odd aren't kept."""
         if (known := self.memo.get(part)) is not None:
             return known
         if (known := self.older.get(part)) is not None:
-            self._keep(part, known)
-            return known
+            return self._keep(part, known)
         ids = [i for token in self.tokens(part) for i in self._token_ids(token)]
+        known = ",".join(map(str, ids))
         # a part starts with a space mark; another mark before it keeps that space in decode()
-        known = len(ids), ",".join(map(str, ids)), self.decode([self.ids[SPACE], *ids])
-        if len(part) <= 64:
-            self._keep(part, known)
-        return known
+        decoded = self.decode([self.ids[SPACE], *ids])
+        if decoded != part.replace(SPACE, " "):
+            self.odd[part] = decoded
+            return known
+        return self._keep(part, known) if len(part) <= 64 else known
 
-    def _keep(self, part: str, known: tuple[int, str, str]) -> None:
+    def _keep(self, part: str, known: str) -> str:
         """Note a part's encoding; a generation may hold half of memo_bytes, by an estimate of what its objects take."""
-        self.used += 320 + 2 * len(part) + len(known[1]) + 2 * len(known[2])
+        self.used += 230 + 2 * len(part) + len(known)
         if self.used > self.memo_bytes // 2:
             self.older, self.memo, self.used = self.memo, {}, 0
         self.memo[part] = known
+        return known
 
     def forget(self) -> None:
         """Empty the memos: workers outlive the stage, and other stages need the memory."""
@@ -266,7 +271,7 @@ def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str
             own.forget()
 
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return map_arrow(rows, run, schema).withColumnRenamed("key", key)
 
 
 def decode_documents(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") -> DataFrame:
