@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import decontamination, jaccard_join, pii, sentencepiece_codec, toxicity
-from factloom.llm.common import fresh_path, table
+from factloom.llm.common import fresh_path, remove, table
 from factloom.llm.queries import PII_KEY, piece_model
 
 
@@ -53,9 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What the stages leave of sf_dir's documents, as the last one returns it: a row each with ids and digests.
+
+    Rows without text or words pass all stages (an empty text has no tokens), repeated rows are near
+    duplicates of one another, texts of any length are read whole, further columns pass up to the
+    last stage; an empty table gives no rows. A stage's files go when the next one's are written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

@@ -7,8 +7,9 @@ categories before it. In fitting, those probabilities come from models that have
 links themselves. A link looks at a bounded number of features: those of the sample whose share
 among positive rows is most surely larger than among negative ones, or smaller.
 
-Where labels hold only the general mark, a category's rows are those that are marked and hold one
-of its seed words; seeds are parameters.
+Where labels hold only the general mark, the categories come from the sample itself: marked rows are
+grouped by the telling features that they share (spherical k-means), and a category's rows are those
+of a group. Seed words of categories can be given instead.
 """
 
 from __future__ import annotations
@@ -28,12 +29,6 @@ from factloom.llm.sampling import held_out, labelled_sample
 
 #: Bytes of a word's beginning that are features of their own, for compounds and inflections.
 PREFIXES = (4, 5)
-#: Seeds of the categories that come before the general label.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid"),
-    "degradation": ("scum", "trash", "worthless"),
-    "contempt": ("disgusting", "pathetic"),
-}
 GENERAL = "toxic"
 _EDGES = np.isin(np.arange(256), list(b".,;:!?'\"()[]{}*#$%&|"))
 
@@ -82,17 +77,64 @@ class Link:
         return odds
 
 
-def _choose(owner: np.ndarray, ids: np.ndarray, n_ids: int, y: np.ndarray, most: int, least: int) -> np.ndarray:
-    """Features in at least ``least`` texts, the ``most`` with the largest z-score of the log odds ratio (3.5 or more)."""
+def _telling(owner: np.ndarray, ids: np.ndarray, n_ids: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each feature the number of texts that have it, and the z-score of its log odds ratio."""
     counts = np.bincount(ids, minlength=n_ids)
     positive = np.bincount(ids, weights=y[owner], minlength=n_ids)
     a, b = positive + 0.5, counts - positive + 0.5
     p, q = max(int(y.sum()), 1), max(int((1 - y).sum()), 1)
-    z = np.abs(np.log(a / (p - positive + 0.5)) - np.log(b / (q - (counts - positive) + 0.5))) / np.sqrt(1 / a + 1 / b)
+    return counts, (np.log(a / (p - positive + 0.5)) - np.log(b / (q - (counts - positive) + 0.5))) / np.sqrt(1 / a + 1 / b)
+
+
+def _choose(owner: np.ndarray, ids: np.ndarray, n_ids: int, y: np.ndarray, most: int, least: int) -> np.ndarray:
+    """Features in at least ``least`` texts, the ``most`` with the z-scores furthest from 0 (3.5 or more)."""
+    counts, z = _telling(owner, ids, n_ids, y)
+    z = np.abs(z)
     ok = np.flatnonzero((counts >= least) & (z >= 3.5))
     return np.sort(ok[np.argsort(-z[ok], kind="stable")[:most]])
 
 
+def _groups(owner: np.ndarray, ids: np.ndarray, n_ids: int, y: np.ndarray, k: int, least: int, most: int = 256) -> np.ndarray:
+    """The group (0 to k - 1) of each marked row, by the features that speak for the mark; -1 for other rows and marked ones without such features.
+
+    Groups of fewer than least rows are none. The first centre is the row with the most telling features, each
+    further one the row least like the centres before it, so equal samples give equal groups.
+    """
+    out = np.full(len(y), -1)
+    counts, z = _telling(owner, ids, n_ids, y)
+    ok = np.flatnonzero((counts >= least) & (z >= 3.5))
+    ok = np.sort(ok[np.argsort(-z[ok], kind="stable")[:most]])
+    marked = np.flatnonzero(y)
+    if k < 1 or len(ok) == 0 or len(marked) < k * least:
+        return out
+    column, row = np.full(n_ids, -1), np.full(len(y), -1)
+    column[ok], row[marked] = np.arange(len(ok)), np.arange(len(marked))
+    hit = (column[ids] >= 0) & (row[owner] >= 0)
+    x = np.zeros((len(marked), len(ok)))
+    x[row[owner[hit]], column[ids[hit]]] = 1
+    x *= np.log(1 + len(marked) / np.maximum(x.sum(axis=0), 1))
+    norm = np.linalg.norm(x, axis=1)
+    full = norm > 0
+    x[full] /= norm[full, None]
+    centres = x[[int(np.argmax(norm))]]
+    while len(centres) < k:
+        near = np.where(full, (x @ centres.T).max(axis=1), 2)
+        centres = np.concatenate((centres, x[[int(np.argmin(near))]]))
+    for _ in range(30):
+        group = (x @ centres.T).argmax(axis=1)
+        means = np.stack([x[full & (group == g)].sum(axis=0) for g in range(k)])
+        size = np.linalg.norm(means, axis=1, keepdims=True)
+        fresh = np.where(size > 0, means / np.maximum(size, 1e-12), centres)
+        if np.allclose(fresh, centres):
+            break
+        centres = fresh
+    for g in range(k):
+        rows = marked[full & (group == g)]
+        if len(rows) >= least:
+            out[rows] = g
+    return out
+
+
 def _frequent(texts: list[bytes], least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """features() of the texts, but for those in fewer than least or more than most texts, which no link would choose.
 
@@ -160,9 +202,12 @@ class Chain:
         return self._kept
 
 
-def fit(sample: list[tuple[bytes, int]], categories: dict[str, tuple[str, ...]] | None = None, folds: int = 3, most: int = 512, least: int = 4, rounds: int = 200, ridge: float = 1e-4) -> Chain:
-    """A chain of categories, then the general label, from (text, general label) rows."""
-    categories = CATEGORIES if categories is None else categories
+def fit(sample: list[tuple[bytes, int]], categories: dict[str, tuple[str, ...]] | int = 3, folds: int = 3, most: int = 512, least: int = 4, rounds: int = 200, ridge: float = 1e-4) -> Chain:
+    """A chain of categories, then the general label, from (text, general label) rows.
+
+    categories: how many groups of marked rows to look for (group_1, group_2, ...), or names with seed
+    words, of which a marked row of the category holds one. A group that isn't found is no link.
+    """
     toxic = np.array([y for _, y in sample], np.int64)
     n = len(toxic)
     owner, values = _frequent([t for t, _ in sample], least, max(least, int(n * 0.4)))
@@ -172,7 +217,18 @@ def fit(sample: list[tuple[bytes, int]], categories: dict[str, tuple[str, ...]]
     del values
     fold = np.random.default_rng(7).permutation(n) % folds
     out_of_fold = np.zeros((n, 0))
-    names, links = [*categories, GENERAL], []
+    marks: dict[str, np.ndarray] = {}
+    if isinstance(categories, int):
+        group = _groups(owner, ids, len(vocabulary), toxic, categories, max(least, 8))
+        marks = {f"group_{g + 1}": (group == g).astype(np.int64) for g in range(categories)}
+        marks = {name: y for name, y in marks.items() if y.any()}
+    else:
+        for name, seeds in categories.items():
+            holds = np.zeros(n, np.int64)
+            holds[owner[np.isin(vocabulary, _seed_hashes(seeds))[ids]]] = 1
+            marks[name] = toxic * holds
+    marks[GENERAL] = toxic
+    links = []
 
     def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Owners (renumbered) and features of some rows."""
@@ -181,12 +237,7 @@ def fit(sample: list[tuple[bytes, int]], categories: dict[str, tuple[str, ...]]
         inside = number[owner] >= 0
         return number[owner[inside]], ids[inside]
 
-    for name in names:
-        y = toxic
-        if name != GENERAL:
-            holds = np.zeros(n, np.int64)
-            holds[owner[np.isin(vocabulary, _seed_hashes(categories[name]))[ids]]] = 1
-            y = toxic * holds
+    for y in marks.values():
         fresh = np.zeros(n)
         for f in range(folds):
             rows, other = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
@@ -195,7 +246,7 @@ def fit(sample: list[tuple[bytes, int]], categories: dict[str, tuple[str, ...]]
             fresh[other] = 1 / (1 + np.exp(-np.clip(link.odds(who, vocabulary[what], len(other), out_of_fold[other]), -500, 500)))
         links.append(_train(owner, ids, vocabulary, y, out_of_fold, most, least, rounds, ridge))
         out_of_fold = np.column_stack((out_of_fold, fresh))
-    return Chain(names, links)
+    return Chain(list(marks), links)
 
 
 def predict(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
