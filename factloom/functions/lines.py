@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.functions.numbers import AMOUNT, NUMERIC, to_number
+from factloom.functions.labels import repair_stutter
+from factloom.functions.numbers import AMOUNT, adjacent_repeats, digits_of
 
 
 def label_before_amounts(chunk: Column) -> Column:
@@ -15,10 +16,9 @@ def label_before_amounts(chunk: Column) -> Column:
 
 
 def before_liabilities(chunk: Column) -> Column:
-    """Cut where the word Liabilities stands alone behind character 20."""
-    tail = F.substring(chunk, F.lit(21), F.length(chunk))
-    at = F.regexp_instr(tail, F.lit(r"(?<![A-Za-z])Liabilities(?![A-Za-z])"))
-    return F.when(at > 0, F.substring(chunk, F.lit(1), at + 19)).otherwise(chunk)
+    """Cut before the heading Liabilities where it first stands behind character 20; ``Total liabilities`` and ``liabilities and`` are no headings."""
+    at = F.regexp_instr(chunk, F.lit(r"(?i)(?<!total\s)\s+Liabilities\b(?!\s+and\b)"))
+    return F.when(at > 21, F.substring(chunk, F.lit(1), at - 1)).otherwise(chunk)
 
 
 def basic_part(chunk: Column) -> Column:
@@ -27,30 +27,36 @@ def basic_part(chunk: Column) -> Column:
     return F.when(at > 1, F.regexp_replace(F.substring(chunk, F.lit(1), at - 1), r"[\s—–-]+$", "")).otherwise(chunk)
 
 
+#: What may stand before a per-share line's numbers, in the order in which it goes.
+FOOTNOTES = (r"(?i)^\([^)]*(?:rmb|yuan|us\$|hkd|share|million)[^)]*\)\s*", r"^[\s–\-—:]+", r"(?i)^(\d{1,3}[()a-z]*)(?!\.\d)\s*", r"(?i)^(?:us\$?|rmb|hkd|hk\$)\s*")
+
+
 def without_footnote(text: Column) -> Column:
     """Without a leading currency note, dash, note number and currency token."""
-    out = F.regexp_replace(text, r"^\s*\((?:in |expressed in )?[A-Za-z$¥ ]{2,30}\)\s*", "")
-    out = F.regexp_replace(out, r"^[\s—–:-]+", "")
-    out = F.regexp_replace(out, r"^\d{1,2}\s+(?=\S)", "")
-    return F.regexp_replace(out, r"^(?:RMB|HK\$|US\$|USD|EUR|[$¥€£])\s*", "")
+    out = F.trim(text)
+    for pattern in FOOTNOTES:
+        out = F.regexp_replace(out, pattern, "")
+    return out
 
 
 def cell_amount(text: Column, per_share: bool = False) -> Column:
-    """A statement cell's amount: negative in parentheses at any size; per share only with decimals; other values under 1,000 are no amounts."""
-    fixed = F.when(text.rlike(r"^\s*[({].*[)}]\s*$"), F.translate(F.translate(text, "{}", "()"), "Il", "11")).otherwise(text)
-    value = to_number(fixed)
+    """A statement cell's amount: negative in parentheses at any size; per share only with decimals; else the first number if it is 1,000 or more. Braces count as parentheses, I and l in them as 1."""
+    raw = F.translate(repair_stutter(F.trim(text)), "{}", "()")
+    inside = F.regexp_extract(raw, r"\(\s*([^)]+)\)", 1)
+    fixed = F.regexp_replace(F.translate(inside, "Il", "11"), r"[\s,]", "")
+    inner = F.when(fixed.rlike(r"^\d+$"), fixed).otherwise(F.regexp_extract(raw, r"\(\s*([\d,]+(?:\.\d+)?)\s*\)", 1))
+    number = lambda t: F.replace(t, F.lit(","), F.lit("")).try_cast("double")
+    negative = F.when(inner != "", -number(doubled_digits(inner)))
+    plain = doubled_digits(raw)
     if per_share:
-        return F.when(text.contains("."), value)
-    return F.when(F.abs(value) >= 1000, value)
+        value = number(F.regexp_extract(plain, r"\$?\s*-?([\d,]+\.\d+)", 1))
+        return F.coalesce(negative, F.when(plain.rlike(r"^-|^\(-|\$ -"), -value).otherwise(value))
+    value = F.regexp_extract(F.regexp_replace(plain, r"[$,]", ""), r"-?\d+(?:\.\d+)?", 0).try_cast("double")
+    return F.coalesce(negative, F.when(F.abs(value) >= 1000, value))
 
 
 def doubled_digits(text: Column) -> Column:
-    """A number of eight or more digits of which at least 35 % repeat the one before: every second of a pair goes."""
-    digits = F.regexp_replace(text, r"[^0-9]", "")
-    pairs = F.length(digits) - F.length(F.regexp_replace(digits, r"([0-9])\1", "$1"))
-    return F.when((F.length(digits) >= 8) & (pairs * 2 >= F.length(digits) * 0.35) & digits.rlike(NUMERIC), F.regexp_replace(digits, r"([0-9])\1", "$1")).otherwise(text)
-
-
-def packed_amounts(text: Column) -> Column:
-    """The amounts of a cell that holds several, in order."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\(?\d{1,3}(?:,\d{3})+(?:\.\d+)?\)?|\(?\d+(?:\.\d+)?\)?"), F.lit(0))
+    """A number of eight or more digits of which at least 35 % repeat the one before: one of each pair goes. Else the text without stutter and without spaces between digits."""
+    clean = F.regexp_replace(repair_stutter(F.trim(text)), r"(?<=\d)[ \u00a0\u202f\u2009]+(?=\d)", "")
+    digits = digits_of(clean)
+    return F.when((F.length(digits) >= 8) & (adjacent_repeats(digits) >= F.length(digits) * 0.35), F.regexp_replace(digits, r"([0-9])\1", "$1")).otherwise(clean)

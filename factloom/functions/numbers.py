@@ -82,7 +82,8 @@ def amount_pair(text: Column) -> Column:
 def table_density(text: Column) -> Column:
     """How table-like a page is: twice its comma numbers, its money marks, its parenthesised numbers and up to 12 plain ones."""
     count = lambda p: F.regexp_count(text, F.lit(p))
-    return 2 * count(r"\d{1,3}(?:,\d{3})+") + count(r"\$\s*\d") + count(r"\(\d[\d,]*\)") + F.least(count(r"(?<![\d,])\d{4,7}(?![\d,])"), F.lit(12))
+    plain = F.least(count(r"(?<![\d.])\d{4,7}(?!\d)"), F.lit(12))
+    return 2 * count(r"\b\d{1,3}(?:,\d{3})+\b") + count(r"\$\s*[\d,]+") + count(r"\(\s*[\d,]+\s*\)") + plain
 
 
 def display_number(value: Column, per_share: Column) -> Column:
@@ -95,3 +96,60 @@ def smart_value(text: Column) -> Column:
     """(kind, text, number): number if the text is digits with thousands marks and decimals, else text; a minus keeps it text."""
     shaped = F.trim(text).rlike(r"^[$¥]?\s*\(?\d[\d,]*(?:\.\d+)?\)?%?$")
     return F.struct(F.when(shaped, "number").otherwise("text").alias("kind"), text.alias("text"), F.when(shaped, to_number(F.regexp_replace(text, "%", ""))).alias("number"))
+
+
+#: Thousands set apart by a space, and the numbers of a cell that holds several.
+SPACED = r"\(?\s*-?\d{1,3}(?:[ \u00a0\u202f\u2009]\d{3})+(?:\.\d+)?\s*\)?"
+NUMBERS = r"\(\s*-?[\d,]+(?:\.\d+)?\s*\)|-?[\d,]+(?:\.\d+)?"
+
+
+def has_digit(text: Column) -> Column:
+    return F.coalesce(text, F.lit("")).rlike(r"\d")
+
+
+def digits_of(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\d]", "")
+
+
+def looks_like_amount(text: Column) -> Column:
+    """Whether a cell is an amount rather than a label or a note's number such as 2(z)."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return t.rlike(f"^(?:{SPACED})$") | t.rlike(r"\d{1,3}(?:,\d{3})+") | (t.rlike(r"\d") & t.rlike(r"^[()$\s-]*[\d,]+(?:\.\d+)?[()$\s-]*$"))
+
+
+def amount_tokens(text: Column) -> Column:
+    """The amounts that a packed cell holds: those with spaced thousands if there are any, else numbers of four digits, with a comma or in parentheses."""
+    t = F.coalesce(text, F.lit(""))
+    spaced = F.transform(F.regexp_extract_all(t, F.lit(SPACED), F.lit(0)), lambda x: F.trim(x))
+    plain = F.filter(F.transform(F.regexp_extract_all(t, F.lit(NUMBERS), F.lit(0)), lambda x: F.trim(x)), lambda x: (F.length(digits_of(x)) >= 4) | x.rlike("[,(]"))
+    return F.when(F.size(spaced) > 0, spaced).otherwise(plain)
+
+
+def split_values(texts: Column) -> Column:
+    """A row's value cells with those that hold several numbers split up."""
+    one = lambda t: F.when(F.trim(t).rlike(f"^(?:{SPACED})$"), F.array(t)).otherwise(_several(t))
+    return F.flatten(F.transform(texts, one))
+
+
+def _several(text: Column) -> Column:
+    spaced = F.regexp_extract_all(text, F.lit(SPACED), F.lit(0))
+    found = F.filter(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(0)), lambda x: x.rlike(r"\d"))
+    return F.when(F.size(spaced) > 1, F.transform(spaced, lambda x: F.trim(x))).when(F.size(found) > 1, F.transform(found, lambda x: F.trim(x))).otherwise(F.array(text))
+
+
+def display_amount(text: Column) -> Column:
+    """The first number of a printed cell at any size; negative in parentheses."""
+    inner = F.regexp_extract(text, r"\(\s*([\d,]+(?:\.\d+)?)\s*\)", 1)
+    plain = F.regexp_extract(F.trim(F.regexp_replace(text, r"[$,]", "")), r"-?\d+(?:\.\d+)?", 0)
+    return F.when(inner != "", -F.replace(inner, F.lit(","), F.lit("")).try_cast("double")).otherwise(plain.try_cast("double"))
+
+
+def spaced_density(text: Column) -> Column:
+    """table_density() for statements that set thousands apart by spaces."""
+    return table_density(text) + 2 * F.regexp_count(text, F.lit(r"\b\d{1,3}(?: \d{3})+\b"))
+
+
+def adjacent_repeats(digits: Column) -> Column:
+    """How many characters equal the one behind them."""
+    same = lambda i: (F.substring(digits, i, F.lit(1)) == F.substring(digits, i + 1, F.lit(1))) & (F.substring(digits, i + 1, F.lit(1)) != "")
+    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), same))

@@ -143,3 +143,22 @@ def derive_liabilities(facts: DataFrame) -> DataFrame:
     equation, parts = F.col("a") - F.col("e"), F.col("c") + F.col("n")
     far = F.abs(equation - parts) > F.greatest(F.lit(1.0), F.abs(equation) * 0.02)
     return wide.select("entity", "period_end", F.round(F.when(parts.isNull() | far, equation).otherwise(parts), 2).alias("liabilities")).dropna()
+
+
+def keep_periods(facts: DataFrame, periods: DataFrame, matched: DataFrame | None = None, by_year: bool = True) -> DataFrame:
+    """facts on the wanted periods (entity, period_end) alone: a fact's own, else the one that its period was matched with (entity, x_period, d_period), else (by_year) the entity's period of its year, the last of several."""
+    wanted = periods.select("entity", "period_end").distinct()
+    rows = facts.join(wanted.select("entity", "period_end", F.lit(True).alias("own")), ["entity", "period_end"], "left")
+    if matched is not None:
+        rows = rows.join(matched.select("entity", F.col("d_period").alias("period_end"), F.col("x_period").alias("other")), ["entity", "period_end"], "left")
+    else:
+        rows = rows.withColumn("other", F.lit(None).cast("string"))
+    years = wanted.groupBy("entity", F.substring("period_end", 1, 4).alias("y")).agg(F.max("period_end").alias("same_year"))
+    rows = rows.withColumn("y", F.substring("period_end", 1, 4)).join(years, ["entity", "y"], "left")
+    end = F.when(F.col("own"), F.col("period_end")).otherwise(F.coalesce("other", F.col("same_year") if by_year else F.lit(None).cast("string")))
+    return rows.withColumn("period_end", end).where("period_end is not null").select(*facts.columns)
+
+
+def of_statement(facts: DataFrame, statement: str) -> DataFrame:
+    """The facts whose field belongs to a statement."""
+    return facts.where(F.col("field_id").isin(*(f for f, s, _ in FIELDS if s == statement)))

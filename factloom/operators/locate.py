@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from factloom.functions import pages
+from factloom.functions.numbers import table_density
+
 
 def into_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lines: int = 5) -> DataFrame:
     """(doc_id, page_num, text): every ``lines`` lines a page, from 1."""
@@ -19,14 +22,53 @@ def into_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lines:
     return docs.select(F.col(key).alias("doc_id"), F.posexplode(pages).alias("p", "text")).select("doc_id", (F.col("p") + 1).alias("page_num"), "text")
 
 
-def candidates(pages: DataFrame, titles: DataFrame, density: Column, head_chars: int = 1500) -> DataFrame:
-    """(doc_id, statement, page_num, score): pages whose head holds a title (pattern, strength): density, nearness of the title to the top and its strength."""
+def candidates(pages: DataFrame, titles: DataFrame, density: Column, head_chars: int = 1500, most: int = 200) -> DataFrame:
+    """(doc_id, statement, page_num, score): pages whose head holds a title (pattern, strength): density, nearness of the title to the top and its strength.
+
+    The titles, ``most`` at most, become expressions of the scan, so pages are not multiplied by them.
+    """
+    rows = titles.select("statement", "pattern", "strength").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} titles")
+    if not rows:
+        return pages.select("doc_id", F.lit("").alias("statement"), "page_num", F.lit(0).alias("score")).limit(0)
     head = F.lower(F.substring("text", 1, head_chars))
-    met = pages.withColumns({"head": head, "density": density}).join(F.broadcast(titles), F.expr("regexp_instr(head, pattern) > 0"))
-    best = met.withColumn("pos", F.expr("regexp_instr(head, pattern)")).groupBy("doc_id", "statement", "page_num", "density").agg(F.max(F.struct("strength", (-F.col("pos")).alias("p"))).alias("b"))
+    at = lambda r: F.regexp_instr(F.col("head"), F.lit(r["pattern"]))
+    found = F.array_compact(F.array(*(F.when(at(r) > 0, F.struct(F.lit(r["statement"]).alias("statement"), F.lit(r["strength"]).alias("strength"), (-at(r)).alias("p"))) for r in rows)))
+    met = pages.withColumns({"head": head, "density": density}).select("doc_id", "page_num", "density", F.explode(found).alias("b"))
+    best = met.groupBy("doc_id", F.col("b.statement").alias("statement"), "page_num", "density").agg(F.max(F.struct("b.strength", "b.p")).alias("b"))
     return best.select("doc_id", "statement", "page_num", (F.col("density") + F.floor(F.greatest(F.lit(0), 500 + F.col("b.p")) / 2) + F.col("b.strength") * 50).cast("int").alias("score"))
 
 
+def statement_candidates(found: DataFrame, weak: bool = False, least: int = 8) -> DataFrame:
+    """(doc_id, statement, page_num, score) of pages (doc_id, page_num, text) that have amounts and a valid title in their head and are no contents, audit report or notes.
+
+    Score: density of amounts, nearness of the title to the top (up to 250) and 50 for each step of its strength.
+    """
+    plain = pages.page_text(F.col("text"))
+    rows = found.select("doc_id", "page_num", plain.alias("plain")).withColumns({"head": F.lower(F.substring("plain", 1, pages.HEAD)), "density": table_density(F.col("plain"))})
+    rows = rows.where(~pages.is_excluded(F.col("head")) & (F.col("density") >= least))
+    each = F.array(*(F.struct(F.lit(k).alias("statement"), pages.best_title(F.col("head"), v).alias("t")) for k, v in pages.titles(weak).items()))
+    met = rows.select("doc_id", "page_num", "density", F.explode(each).alias("x")).where("x.t is not null")
+    bonus = F.floor(F.greatest(F.lit(0), pages.TITLE_ZONE - F.col("x.t.pos")) / 2)
+    return met.select("doc_id", F.col("x.statement").alias("statement"), "page_num", (F.col("density") + bonus + F.col("x.t.strength") * 50).cast("int").alias("score"))
+
+
+def search_ranges(found: DataFrame, before: int = 2, after: int = 130, audit: int = 15, long: int = 30) -> DataFrame:
+    """(doc_id, kind, start, end): pages (from 1, end excluded) in which statements are looked for: around the first page that names an index of statements, behind audit reports, and the last third of long documents."""
+    low = F.lower(pages.page_text(F.col("text")))
+    rows = found.select("doc_id", "page_num", F.substring(low, 1, 3000).rlike(pages.INDEX).alias("index"), F.substring(low, 1, 3500).rlike(pages.AUDIT).alias("audit"))
+    whole = rows.groupBy("doc_id").agg(F.max("page_num").alias("n"), F.min(F.when(F.col("index"), F.col("page_num"))).alias("anchor"), F.collect_list(F.when(F.col("audit"), F.col("page_num"))).alias("audits"))
+    span = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("start"), b.cast("int").alias("end"))
+    n = F.col("n")
+    ranges = F.concat(
+        F.array_compact(F.array(F.when(F.col("anchor").isNotNull(), span("index", F.greatest(F.lit(1), F.col("anchor") - before), F.least(n + 1, F.col("anchor") + after))))),
+        F.transform("audits", lambda p: span("audit", p, F.least(n + 1, p + audit))),
+        F.array_compact(F.array(F.when(n >= long, span("tail", F.floor(n * 2 / 3) + 1, n + 1)))),
+    )
+    return whole.select("doc_id", F.explode(ranges).alias("r")).select("doc_id", "r.*")
+
+
 def pick_pages(found: DataFrame, share: float = 0.92, top: int = 1) -> DataFrame:
     """Of pages within ``share`` of a statement's best score the first ones."""
     per = Window.partitionBy("doc_id", "statement")
@@ -48,10 +90,10 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-def label_scores(labels: DataFrame, aliases: DataFrame) -> DataFrame:
+def label_scores(labels: DataFrame, aliases: DataFrame, accept: float = 0.55) -> DataFrame:
     """labels (row_id, label) against aliases (field_id, alias): 1 if equal, 0.92 if one holds the other, else the ratio.
 
-    Labels are made distinct before the ratio, which is the one slow step.
+    Labels are made distinct before the ratio, which is the one slow step; pairs whose lengths alone keep it below ``accept`` are left out.
     """
     distinct = labels.select("label").distinct()
     pairs = distinct.join(F.broadcast(aliases), F.lit(True))
@@ -59,7 +101,8 @@ def label_scores(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     easy = F.when(low == F.col("alias"), 1.0).when(low.contains(F.col("alias")) | F.col("alias").contains(low), 0.92)
     known = pairs.withColumn("easy", easy)
     done = known.where("easy is not null").withColumn("score", F.col("easy"))
-    slow = known.where("easy is null").withColumn("score", F.round(similarity(low, F.col("alias")), 6))
+    bound = 2 * F.least(F.length(low), F.length("alias")) / (F.length(low) + F.length("alias"))
+    slow = known.where(F.col("easy").isNull() & (bound >= accept)).withColumn("score", F.round(similarity(low, F.col("alias")), 6))
     best = done.unionByName(slow).groupBy("label", "field_id").agg(F.max("score").alias("score"))
     return labels.join(best, "label")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from factloom.functions.labels import garbled_total
 from factloom.functions.numbers import amount_pair, to_number
 
 
@@ -96,3 +97,29 @@ def greedy_pairs(scores: DataFrame) -> DataFrame:
         return F.when(free, F.struct(F.array_append(acc["xs"], r["a"]).alias("xs"), F.array_append(acc["ys"], r["b"]).alias("ys"), F.array_append(acc["out"], F.struct(r["a"].alias("a"), r["b"].alias("b"), (-r["minus"]).alias("score"))).alias("out"))).otherwise(acc)
 
     return rows.select("doc_id", "page_num", F.explode(F.aggregate("rows", start, step)["out"]).alias("m")).select("doc_id", "page_num", "m.a", "m.b", "m.score")
+
+
+def total_label(rows: DataFrame, keys: list[str], label: str = "合计", tolerance: float = 0.02) -> DataFrame:
+    """The last row's first cell becomes the label of a total if it is garbled or says total or sum, and the row holds the columns' sums in at least half of the columns that have numbers above; a garbled one also if any other cell is a number."""
+    above = Window.partitionBy(*keys, "c").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.select(*keys, "row_no", F.posexplode("cells").alias("c", "t")).withColumn("v", to_number(F.col("t")).cast("decimal(20,4)"))
+    cells = cells.withColumns({"s": F.sum("v").over(above), "last": F.max("row_no").over(Window.partitionBy(*keys))}).where(F.col("row_no") == F.col("last"))
+    checked = F.col("v").isNotNull() & F.col("s").isNotNull()
+    facts = cells.groupBy(*keys).agg(F.count_if(checked).alias("checked"), F.count_if(checked & (F.abs(F.col("v") - F.col("s")) <= tolerance)).alias("hits"), F.count_if((F.col("c") > 0) & F.col("v").isNotNull()).alias("numeric"), F.max("last").alias("last"))
+    first = F.trim(F.coalesce(F.get("cells", F.lit(0)), F.lit("")))
+    garbled = garbled_total(first)
+    fix = ((garbled | first.rlike("total|sum")) & (F.col("checked") > 0) & (F.col("hits") * 2 >= F.col("checked"))) | (garbled & (F.col("numeric") >= 1))
+    own = rows.join(facts, keys).withColumn("several", F.count("*").over(Window.partitionBy(*keys)) >= 2)
+    named = F.concat(F.array(F.lit(label)), F.slice("cells", F.lit(2), F.greatest(F.size("cells") - 1, F.lit(0))))
+    return own.withColumn("cells", F.when(F.col("several") & (F.col("row_no") == F.col("last")) & fix, named).otherwise(F.col("cells"))).select(*rows.columns)
+
+
+def refine_tables(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """All repairs of a table in their fixed order: blank rows, parentheses, fragments, headers (row 0), the total row, whole numbers, blank rows again."""
+    from factloom.operators.tables import integral_text
+
+    out = drop_empty_rows(rows.withColumn("cells", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))))))
+    out = merge_fragments(out.withColumn("cells", join_parentheses(F.col("cells"))), keys)
+    head, body = out.where("row_no = 0"), out.where("row_no > 0")
+    body = total_label(body, keys).withColumn("cells", F.transform("cells", integral_text))
+    return drop_empty_rows(head.withColumn("cells", repair_headers(F.col("cells"))).unionByName(body))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from factloom.functions import labels, lines, numbers, periods
 from factloom.operators import facts as fx
 from factloom.operators import align, glyphs, locate, markets, reconcile, refine, tables
-from factloom.plans import oracles
+from factloom.plans import oracles, statements
 from factloom.streaming import usage
 
 QUERIES: dict = {}
@@ -342,7 +342,7 @@ def numeric_consistency(spark, sf_dir):
 @query
 def cross_engine_jaccard(spark, sf_dir):
     cells = _cells(spark, sf_dir)
-    return tables.column_agreement(cells.where("engine = 'docling'"), cells.where("engine = 'pdfplumber'"), ["doc_id", "page_num"]).select("doc_id", F.round("agreement", 6).alias("agreement"))
+    return tables.column_agreement(cells.where("engine = 'docling'"), cells.where("engine = 'pdfplumber'")).select("doc_id", F.round("agreement", 6).alias("agreement"))
 
 
 @query
@@ -353,7 +353,7 @@ def table_quality(spark, sf_dir):
 @query
 def merge_best_table(spark, sf_dir):
     cells = _cells(spark, sf_dir)
-    cross = tables.column_agreement(cells.where("engine = 'docling'"), cells.where("engine = 'pdfplumber'"), ["doc_id", "page_num"])
+    cross = tables.column_agreement(cells.where("engine = 'docling'"), cells.where("engine = 'pdfplumber'"))
     return tables.best_tables(tables.table_scores(cells), cross).select("doc_id", "engine")
 
 
@@ -606,3 +606,7 @@ def industry_skips(spark, sf_dir):
     codes = F.array(*(F.lit(c) for c in ("5.hk", "0700.HK", "2318", "883", "AAPL", "1211")))
     companies = fx.read(spark, sf_dir, "supplier").select(F.get(codes, (F.col("s_suppkey") % 6).cast("int")).alias("ticker"))
     return markets.industry_skips(companies)
+
+
+QUERIES |= statements.QUERIES
+ORACLE_SQL |= statements.ORACLE_SQL

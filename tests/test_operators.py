@@ -50,7 +50,7 @@ def test_pairs_units_and_density(spark):
 def test_labels(spark):
     assert column(spark, ["NNeett rreevveennuuee", "Net revenue", "aabb", "ok"], labels.repair_stutter) == ["Net revenue", "Net revenue", "ab", "ok"]
     assert column(spark, ["··", "", "Total", "ab", "x1"], labels.garbled_total) == [True, True, False, False, True]
-    assert column(spark, ["Net income attributable to A", "Net income per share", "Net earnings", "Rent"], labels.net_income_score) == [60_000, -1, 50_000, 0]
+    assert column(spark, ["Net income attributable to A", "Net income per share", "Net earnings", "Rent", "Net income before tax", "Net income attributable to common stock", "Other net income items", "Net income"], labels.net_income_score) == [60_000, -1, 50_000, 0, -1, 30_000, 0, 55_000]
     assert column(spark, ["Net cash from operating activities", "Net cash from investing activities"], lambda v: labels.cashflow_score(v, "operating")) == [20_000, -1]
     assert column(spark, ["RMB", "us$", None, "€"], lambda v: labels.currency_of(v, "HKD")) == ["CNY", "USD", "HKD", "EUR"]
     assert column(spark, ["<p>a&amp;b</p><script>x<y</script> c"], labels.html_blocks_text) == ["a&b c"]
@@ -58,13 +58,13 @@ def test_labels(spark):
 
 def test_lines(spark):
     assert column(spark, ["Total revenue $ 1,000", "no amount here at all, only a label that goes on and on"], lines.label_before_amounts) == ["Total revenue ", "no amount here at all, only a label that goes on a"]
-    assert column(spark, ["Total liabilities and equity 5 Liabilities 7", "Liabilities 5"], lines.before_liabilities) == ["Total liabilities and equity 5 ", "Liabilities 5"]
+    assert column(spark, ["Total liabilities and equity 5 Liabilities 7", "Liabilities 5"], lines.before_liabilities) == ["Total liabilities and equity 5", "Liabilities 5"]
     assert column(spark, ["Basic 1.20 — Diluted 1.10", "Basic and diluted 1.20"], lines.basic_part) == ["Basic 1.20", "Basic and diluted 1.20"]
     assert column(spark, ["(in RMB) — 12 RMB 0.55", "0.55"], lines.without_footnote) == ["0.55", "0.55"]
     assert column(spark, ["(1,234)", "{2,l00}", "12", "$ 5,000", "—"], lines.cell_amount) == [-1234.0, -2100.0, None, 5000.0, None]
     assert column(spark, ["1.21", "5"], lambda v: lines.cell_amount(v, per_share=True)) == [1.21, None]
     assert column(spark, ["11223344", "12345678", "1122"], lines.doubled_digits) == ["1234", "12345678", "1122"]
-    assert column(spark, ["1,234 (5) 7.5", None], lines.packed_amounts) == [["1,234", "(5)", "7.5"], []]
+    assert column(spark, ["1,234 (5) 7.5", None], numbers.amount_tokens) == [["1,234", "(5)"], []]
 
 
 def test_alignment(spark):
@@ -137,7 +137,7 @@ def test_tables(spark):
     assert (total["row_no"], total["matched"], total["numeric"], total["garbled"]) == (3, 2, 2, True)
     assert tables.numeric_consistency(df).first()["numeric"] == 1.0
     assert {(r["col_no"], r["total"], r["mean"]) for r in tables.column_summary(df).collect()} == {(1, 8.0, 2.67), (2, 4.0, 2.0)}
-    assert tables.column_agreement(df, df, ["doc_id"]).first()["agreement"] == 1.0
+    assert tables.column_agreement(df, df).first()["agreement"] == 1.0
     part = df.where("row_no > 0 and col_no > 0").select("doc_id", (F.col("row_no") - 1).alias("row_no"), (F.col("col_no") - 1).alias("col_no"), "text")
     assert tables.compare_grids(part, df.select("doc_id", "row_no", "col_no", "text"), ["doc_id"]).first()["accuracy"] == 1.0
     twice = df.unionByName(df.withColumn("table_index", F.lit(1)))
