@@ -253,8 +253,9 @@ def fiscal_calendar(spark, sf_dir):
 
 @query
 def period_headers(spark, sf_dir):
-    """Dates parsed out of headers that were printed from ship dates."""
-    rows = fx.read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Year ended "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" and "), F.date_format(F.add_months("o_orderdate", -12), "MMMM d, yyyy")).alias("head"))
+    """Dates parsed out of headers that were printed from order dates, moved into this century."""
+    day = F.add_months("o_orderdate", 120)
+    rows = fx.read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Year ended "), F.date_format(day, "MMMM d, yyyy"), F.lit(" and "), F.date_format(F.add_months(day, -12), "MMMM d, yyyy")).alias("head"))
     return rows.select("o_orderkey", F.array_join(periods.dates_in(F.col("head")), ",").alias("found"))
 
 

@@ -137,7 +137,7 @@ SQL: dict[str, str] = {
         SELECT entity, period_end, round(CASE WHEN s IS NULL OR abs(q - s) > greatest(1.0, abs(q) * 0.02) THEN q ELSE s END, 2) AS liabilities FROM p WHERE q IS NOT NULL OR s IS NOT NULL""",
     "fiscal_calendar": """WITH r AS (SELECT o_orderkey, year(o_orderdate) AS y, CASE o_orderkey % 5 WHEN 0 THEN 'December 31, ' || year(o_orderdate) WHEN 1 THEN 'FY ' || year(o_orderdate) ELSE CAST(year(o_orderdate) AS VARCHAR) END AS label, CASE o_orderkey % 5 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS power FROM orders)
         SELECT CAST(y AS INT) AS y, arg_max(label, (power, -o_orderkey)) AS label, max(power) AS power FROM r GROUP BY y""",
-    "period_headers": "WITH r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate - INTERVAL 12 MONTH AS DATE) AS b FROM orders) SELECT o_orderkey, a || ',' || b AS found FROM r",
+    "period_headers": "WITH r AS (SELECT o_orderkey, CAST(o_orderdate + INTERVAL 120 MONTH AS DATE) AS a FROM orders), d AS (SELECT *, CAST(a - INTERVAL 12 MONTH AS DATE) AS b FROM r) SELECT o_orderkey, CASE WHEN month(a) = 1 AND day(a) <= 3 THEN year(a) || '-12-31,' || (year(a) - 1) || '-12-31' ELSE a || ',' || b END AS found FROM d",
     "parse_amounts_roundtrip": "WITH v AS (SELECT o_orderkey, floor(o_totalprice) AS v FROM orders) SELECT o_orderkey, CASE WHEN v < 100 THEN NULL WHEN o_orderkey % 3 = 0 THEN -v ELSE v END AS amount FROM v",
     "amount_pair_split": "SELECT p_partkey, CAST(p_size * 1000 AS DOUBLE) AS a, CAST(p_partkey AS DOUBLE) AS b FROM part",
     "stutter_repair": "SELECT p_partkey, p_name AS repaired FROM part",
