@@ -471,18 +471,23 @@ def _alike(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     several = kinds.groupBy("print").agg(F.count("*").alias("kinds")).where("kinds > 1")
     kinds = kinds.join(several, "print", "left").where("n > 1 or kinds > 1")
     more, offset, low = F.col("spot").bitwiseAND(31).cast("int"), F.shiftright("spot", 5).bitwiseAND(31).cast("int"), F.shiftright("spot", 10).cast("int")
-    met = rows.join(kinds, ["print", "alike"]).withColumns({"more": more, "low": low, "place": low + offset})
+    met = _by_key(rows, "print", "alike").join(_by_key(kinds, "print", "alike"), ["print", "alike", "_k"]).withColumns({"more": more, "low": low, "place": low + offset})
     full = F.expr("cast(shiftleft(1L, more + 1) - 1 as int)")
     return met.where("n > 1").select("key", "low", full.alias("mask")), met.where((F.col("kinds") > 1) & (F.col("first.key") == F.col("key")) & (F.col("first.spot") == F.col("spot"))).select("key", "print", "place", "low", "more")
 
 
+def _by_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with one more key, which makes a join of an aggregate shuffle both sides anew: only such joins does Spark split where a key has very many rows."""
+    return rows.withColumn("_k", F.xxhash64(*keys))
+
+
 def _matched(windows: DataFrame) -> DataFrame:
     """(key, low, mask): which windows of an anchor start elsewhere too."""
     met = cut(windows)
     each = met.where(F.size("sums") > 0).select("print", "key", "low", F.posexplode("sums").alias("step", "sum"))
     spot = F.xxhash64("key", F.col("low") + F.col("step"))
-    # the ends of a window's places are aggregated before they are shuffled, and joining them back lets Spark split a key with very many rows
+    # the ends of a window's places are aggregated before they are shuffled
     ends = each.groupBy("print", "sum").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("print", "sum")
-    again = each.join(ends, ["print", "sum"])
+    again = _by_key(each, "print", "sum").join(_by_key(ends, "print", "sum"), ["print", "sum", "_k"])
     bit = F.call_function("shiftleft", F.lit(1), F.col("step"))
     return again.select("key", "low", bit.alias("mask")).union(met.where("known <> 0").select("key", "low", "known"))
