@@ -210,6 +210,9 @@ def _with_end(batches):
 #: Keys that a task remembers as sent.
 TASK_KEYS = 1_000_000
 
+#: Up to so many pairs of blocks, the ids in them (16 bytes a pair) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
 
 def _fetch(n: int, seed: int, bits: np.ndarray):
     """Sets and bitmaps of the documents that the bit filter lets pass, each class once from a task."""
@@ -400,14 +403,16 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
     placed = placed.repartition("cluster", "class", "salt").sortWithinPartitions("cluster", "class", "salt", "n").select("cluster", "key", "n", "elements", "bitmap")
     blocks = map_arrow(placed, _pack(block_rows, block_elements), "cluster long, block int, least long, most long, data binary")
     blocks = cut(blocks.withColumn("id", F.monotonically_increasing_id()))
-    # which blocks meet is settled without their data, which then travels by block, not by cluster
+    # a block is compared with itself where it lies; which others it meets is settled without data, and only those travel
+    alone = blocks.select(F.lit(True).alias("same"), "data", F.lit(None).cast("binary").alias("other"))
     here = blocks.select("cluster", "id", "least", "most")
     there = here.toDF("cluster", "id_b", "least_b", "most_b")
     near = (F.col("least_b") * threshold.numerator <= F.col("most") * threshold.denominator) & (F.col("least") * threshold.numerator <= F.col("most_b") * threshold.denominator)
-    meet = here.join(there, "cluster").where((F.col("id") <= F.col("id_b")) & near).select("id", "id_b", (F.col("id") == F.col("id_b")).alias("same"))
-    data = blocks.select("id", "data")
-    compared = meet.join(data, "id").join(data.toDF("id_b", "other"), "id_b").withColumn("other", F.when(~F.col("same"), F.col("other")))
-    links = cut(map_arrow(compared.repartition("id", "id_b"), _compare(measure), "a long, b long"))
+    meet = cut(here.join(there, "cluster").where((F.col("id") < F.col("id_b")) & near).select("id", "id_b"))
+    met_ids = meet.select("id").union(meet.select("id_b")).distinct()
+    data = blocks.select("id", "data").join(F.broadcast(met_ids) if meet.count() <= BROADCAST_IDS else met_ids, "id", "left_semi")
+    compared = meet.join(data, "id").join(data.toDF("id_b", "other"), "id_b").repartition("id", "id_b").select(F.lit(False).alias("same"), "data", "other")
+    links = cut(map_arrow(alone, _compare(measure), "a long, b long").union(map_arrow(compared, _compare(measure), "a long, b long")))
     return survey, links, seed
 
 
