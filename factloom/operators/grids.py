@@ -134,26 +134,42 @@ def period_columns(cells: DataFrame, pages: DataFrame) -> DataFrame:
     return best.select(*TABLE, (F.row_number().over(Window.partitionBy(*TABLE).orderBy("first")) - 1).alias("ord"), "col_no", "period_end")
 
 
-def packed_grids(cells: DataFrame) -> DataFrame:
-    """(table, header_packed, packed_rows, n_rows, n_cols, packed): grids whose amounts stand several in a cell."""
+def _row_facts() -> list[Column]:
+    """Of a row's cells with their tokens: the most amounts in one, the most years in a header, the last column."""
     years = F.size(F.regexp_extract_all(F.coalesce("header", F.lit("")), F.lit(r"\b(20\d{2})\b"), F.lit(1)))
-    rows = cells.groupBy(*TABLE, "row_no").agg(F.max(F.size(amount_tokens(F.col("text")))).alias("most"), F.max(years).alias("years"), F.max("col_no").alias("last"))
-    out = rows.groupBy(*TABLE).agg((F.max("years") >= 3).alias("header_packed"), F.count_if(F.col("most") >= 3).alias("packed_rows"), F.count("*").alias("n_rows"), (F.max("last") + 1).alias("n_cols"))
+    return [F.max(F.size("tokens")).alias("most"), F.max(years).alias("years"), F.max("col_no").alias("last")]
+
+
+def _table_facts() -> dict[str, Column]:
+    """Of a table's rows, as aggregates or, each over a window of whole tables, as columns."""
+    return {"years": F.max("years"), "packed_rows": F.count_if(F.col("most") >= 3), "n_rows": F.count("*"), "last": F.max("last")}
+
+
+def _with_packed(tables: DataFrame) -> DataFrame:
+    out = tables.withColumns({"header_packed": F.col("years") >= 3, "n_cols": F.col("last") + 1})
     narrow = (F.col("n_cols") <= 2) & (F.col("packed_rows") >= F.greatest(F.lit(2), F.floor(F.col("n_rows") / 6)))
     return out.withColumn("packed", (F.col("header_packed") & (F.col("packed_rows") >= 2)) | ((F.col("header_packed") | (F.col("n_cols") <= 3)) & narrow))
 
 
+def packed_grids(cells: DataFrame) -> DataFrame:
+    """(table, header_packed, packed_rows, n_rows, n_cols, packed): grids whose amounts stand several in a cell."""
+    rows = cells.withColumn("tokens", amount_tokens(F.col("text"))).groupBy(*TABLE, "row_no").agg(*_row_facts())
+    out = _with_packed(rows.groupBy(*TABLE).agg(*(v.alias(k) for k, v in _table_facts().items())))
+    return out.select(*TABLE, "header_packed", "packed_rows", "n_rows", "n_cols", "packed")
+
+
 def unpacked(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """(table, row_no, label, amounts) of packed grids: each row's amounts from all its cells, filled up to the widest row.
 
     Rows without a label or amounts, and those of years, currencies or notes, go; a grid with fewer than four rows left has none.
+    Cells are shuffled once, by table; labels outgrow what is estimated from the files, so they may not be broadcast.
     """
-    packed = packed_grids(cells).where("packed").select(*TABLE)
-    own = cells.join(packed, TABLE).join(labels, TABLE)
+    own = cells.join(labels.hint("merge"), TABLE).withColumn("tokens", amount_tokens(F.col("text")))
     is_label = F.col("col_no") == F.col("label_col")
-    tokens = F.sort_array(F.collect_list(F.when(~is_label, F.struct("col_no", amount_tokens(F.col("text")).alias("t")))))
-    rows = own.groupBy(*TABLE, "row_no").agg(F.trim(F.first(F.when(is_label, F.col("text")), ignorenulls=True)).alias("label"), F.flatten(F.transform(tokens, lambda x: x["t"])).alias("amounts"))
+    tokens = F.sort_array(F.collect_list(F.when(~is_label, F.struct("col_no", F.col("tokens").alias("t")))))
+    rows = own.groupBy(*TABLE, "row_no").agg(F.trim(F.first(F.when(is_label, F.col("text")), ignorenulls=True)).alias("label"), F.flatten(F.transform(tokens, lambda x: x["t"])).alias("amounts"), *_row_facts())
     whole = Window.partitionBy(*TABLE)
+    rows = _with_packed(rows.withColumns({k: v.over(whole) for k, v in _table_facts().items()})).where("packed")
     rows = rows.withColumn("widest", F.max(F.size("amounts")).over(whole)).where("widest >= 2")
     good = (F.col("label") != "") & ~F.col("label").rlike(r"^20\d{2}(?:\s+20\d{2})*$|(?i)^(?:RMB|USD|notes?)\b") & (F.size("amounts") > 0)
     rows = rows.where(good).withColumn("left", F.count("*").over(whole)).where("left >= 4")
