@@ -77,11 +77,14 @@ def pick_pages(found: DataFrame, share: float = 0.92, top: int = 1) -> DataFrame
 
 
 def page_spans(pages: DataFrame, starts: DataFrame, stop: Column, most: int = 4) -> DataFrame:
-    """Pages from each start up to the page before the next that meets stop, ``most`` at most: a range join on page numbers."""
+    """Pages from each start up to the page before the next that meets stop, ``most`` at most: a range join on page numbers.
+
+    Pages, and starts, outgrow what is estimated from the files, so no side may be broadcast.
+    """
     marks = pages.where(stop).select("doc_id", F.col("page_num").alias("mark"))
-    ends = starts.join(marks, (starts["doc_id"] == marks["doc_id"]) & (marks["mark"] > starts["page_num"]), "left").groupBy(starts["doc_id"], starts["page_num"]).agg(F.min("mark").alias("mark"))
+    ends = starts.join(marks.hint("merge"), (starts["doc_id"] == marks["doc_id"]) & (marks["mark"] > starts["page_num"]), "left").groupBy(starts["doc_id"], starts["page_num"]).agg(F.min("mark").alias("mark"))
     ends = ends.select(F.col("doc_id").alias("d"), F.col("page_num").alias("start"), F.least(F.coalesce(F.col("mark") - 1, F.col("page_num") + most - 1), F.col("page_num") + most - 1).alias("end"))
-    return pages.join(ends, (F.col("doc_id") == F.col("d")) & F.col("page_num").between(F.col("start"), F.col("end"))).select("doc_id", "start", "page_num", "text")
+    return pages.join(ends.hint("merge"), (F.col("doc_id") == F.col("d")) & F.col("page_num").between(F.col("start"), F.col("end"))).select("doc_id", "start", "page_num", "text")
 
 
 @F.pandas_udf(T.DoubleType())

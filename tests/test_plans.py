@@ -9,7 +9,7 @@ from factloom.plans import catalogue
 from tests.test_catalogue import SF
 
 
-@pytest.mark.parametrize("name", ["best_cell_accuracy", "unpacked_grid_rows"])
+@pytest.mark.parametrize("name", ["best_cell_accuracy", "unpacked_grid_rows", "statement_page_spans"])
 def test_nothing_is_broadcast(spark, name):
     got = catalogue.QUERIES[name](spark, SF)
     assert got.collect()
