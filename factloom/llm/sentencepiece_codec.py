@@ -64,10 +64,14 @@ class SentencePieceCodec:
         #: Decodings that are not just the part with spaces for its marks.
         self.odd: dict[str, str] = {}
         self.used, self.memo_bytes, self.max_pairs = 0, memo_bytes, max_pairs
-        automaton = ahocorasick.Automaton()
         #: Pieces that are not their own encoding are never produced by merging.
-        for piece in self.ids:
-            if len(piece) == 1 or self._merge(list(piece)) == [piece]:
+        made = {p for p in self.ids if len(p) == 1 or self._merge(list(p)) == [p]}
+        #: Piece -> the next shorter one that it begins with.
+        self.shorter = {p: q for p in made if (q := next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in made), ""))}
+        self.decimal = {p: str(i) for p, i in self.ids.items()}
+        automaton = ahocorasick.Automaton()
+        for piece in made:
+            if len(piece) > 1:
                 automaton.add_word(piece, piece)
         automaton.make_automaton()
         self.automaton = automaton
@@ -92,32 +96,36 @@ class SentencePieceCodec:
 
     def tokens(self, text: str) -> list[str]:
         """The tokens of an escaped text; a character outside the vocabulary is a token of its own."""
-        starts: list[list[str]] = [[] for _ in text]
+        longest = list(text)
         for end, piece in self.automaton.iter(text):
-            starts[end - len(piece) + 1].append(piece)  # ends only grow, so each list is by length
-        failed = bytearray((len(text) >> 3) + 1)
+            longest[end - len(piece) + 1] = piece  # ends only grow, so the last is the longest
+        shorter, pairs = self.shorter, self.pairs
+        failed = bytearray()  # a bit for each position, from the first failure on
         out: list[str] = []
-        choice: list[int] = []  # which of the pieces at its start each token of out is
-        at, next_choice, size, last, fits = 0, None, len(text), None, self._fits
+        at, size, last, piece = 0, len(text), None, None
         while at < size:
-            options = starts[at] or [text[at]]
-            k = len(options) - 1 if next_choice is None else next_choice
-            while k >= 0:
-                piece = options[k]
+            if piece is None:
+                piece = longest[at]
+            while piece:
                 end = at + len(piece)
-                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or fits(last, piece)):
-                    break
-                k -= 1
-            if k >= 0:
+                if not (failed and failed[end >> 3] >> (end & 7) & 1):
+                    if last is None:
+                        break
+                    known = pairs.get((last, piece))
+                    if known or known is None and self._fits(last, piece):
+                        break
+                piece = shorter.get(piece, "")
+            if piece:
                 out.append(piece)
-                choice.append(k)
-                at, next_choice, last = end, None, piece
+                at, last, piece = end, piece, None
             else:
                 if not out:
                     raise ValueError("no encoding")
+                failed = failed or bytearray((size >> 3) + 1)
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(out.pop())
-                next_choice = choice.pop() - 1
+                piece = out.pop()
+                at -= len(piece)
+                piece = shorter.get(piece, "")
                 last = out[-1] if out else None
         return out
 
@@ -182,12 +190,11 @@ class SentencePieceCodec:
 
     def digest_and_ids(self, text: str, keep_ids: bool = False) -> tuple[int, str, str, np.ndarray | None]:
         """As digest(), and the ids themselves if they are to be kept."""
-        memo, parts = self.memo, self._parts(text) if text else []
+        parts, known = self._parts(text) if text else [], []
         self.odd.clear()
-        try:
-            known = [memo[p] for p in parts]
-        except KeyError:
-            known = [self._part(p) for p in parts]
+        for i in range(0, len(parts), 4096):  # a generation that was dropped meanwhile is let go
+            get = self.memo.get
+            known += [get(p) or self._part(p) for p in parts[i : i + 4096]]
         ids = ",".join(known)
         decoded = "".join([self.odd.get(p) or p for p in parts] if self.odd else parts).replace(SPACE, " ")
         if self.splits or not parts:
@@ -201,7 +208,14 @@ class SentencePieceCodec:
             return known
         if (known := self.older.get(part)) is not None:
             return self._keep(part, known)
-        ids = [i for token in self.tokens(part) for i in self._token_ids(token)]
+        tokens, decimal = self.tokens(part), self.decimal
+        try:
+            known = ",".join([decimal[t] for t in tokens])
+        except KeyError:
+            pass
+        else:  # pieces alone decode to the part with spaces for its marks
+            return self._keep(part, known) if len(part) <= 64 else known
+        ids = [i for token in tokens for i in self._token_ids(token)]
         known = ",".join(map(str, ids))
         # a part starts with a space mark; another mark before it keeps that space in decode()
         decoded = self.decode([self.ids[SPACE], *ids])
