@@ -210,8 +210,11 @@ def _with_end(batches):
 #: Keys that a task remembers as sent.
 TASK_KEYS = 1_000_000
 
-#: Up to so many pairs of blocks, the ids in them (16 bytes a pair) are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Blocks of a group: a block is sent to each group that it meets, once, not to each block in it.
+TILE = 4
+
+#: Up to so many visits of blocks to groups, they (some 50 bytes each, without data) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_VISITS = 200_000
 
 
 def _fetch(n: int, seed: int, bits: np.ndarray):
@@ -274,17 +277,17 @@ class _Forest:
         return True
 
 
-def verify_blocks(a: list, b: list | None, measure: Measure) -> list[tuple[int, int]]:
+def verify_blocks(a: list, b: list | None, measure: Measure, forest: _Forest | None = None) -> list[tuple[int, int]]:
     """Links between the rows (key, n, elements, bitmap) of two blocks, or within one (b None): a spanning forest of them.
 
-    Pairs are tried from the likeliest on; those whose ends are already connected are skipped.
+    Pairs are tried from the likeliest on; those whose ends are already connected, in the forest given too, are skipped.
     """
     left, right = a, a if b is None else b
     words = min(len(x[3]) for x in (*left, *right)) // 8
     maps = [np.stack([fold(np.frombuffer(x[3], np.uint64), words) for x in side]) for side in ((left,) if b is None else (left, right))]
     n = [np.array([x[1] for x in side], np.int64) for side in (left, right)]
     sets: dict[int, np.ndarray] = {}
-    forest, out = _Forest(), []
+    forest, out = _Forest() if forest is None else forest, []
     t = measure.t
     found = []
     for i in range(len(left)):
@@ -323,7 +326,8 @@ def _pack(limit_rows: int, limit_elements: int):
         cluster, number, size = None, 0, 0
 
         def block() -> pa.RecordBatch:
-            values = (cluster, number, held[0][1], held[-1][1], pickle.dumps(held))
+            n = [x[1] for x in held]  # in order within a salt alone
+            values = (cluster, number, min(n), max(n), pickle.dumps(held))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in small_batches(batches, "elements", 1 << 20):
@@ -342,20 +346,61 @@ def _pack(limit_rows: int, limit_elements: int):
     return run
 
 
+def _links(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+
 def _compare(measure: Measure):
-    """One pair of blocks in memory at a time."""
+    """Each block with itself, one in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield from _links(verify_blocks(pickle.loads(batch.column("data")[i].as_py()), None, measure))
+
+    return run
+
+
+def _compare_tiles(measure: Measure):
+    """Rows sorted by (cluster, tile, other, place): the blocks of two groups, or of one (other the same), each with those of the other that are near. One group in memory at a time, and a block."""
+    t = measure.t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        visit, held, forest = None, [], _Forest()
         for batch in batches:
             for i in range(batch.num_rows):
-                same, data, other = (batch.column(c)[i].as_py() for c in ("same", "data", "other"))
-                found = verify_blocks(pickle.loads(data), None if same else pickle.loads(other), measure)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+                cluster, tile, other, own, least, most, data = (batch.column(c)[i].as_py() for c in ("cluster", "tile", "other", "own", "least", "most", "data"))
+                if (cluster, tile, other) != visit:
+                    visit, held, forest = (cluster, tile, other), [], _Forest()
+                block = pickle.loads(data)
+                if own == other:
+                    for least_b, most_b, b in held:
+                        if least * t.numerator <= most_b * t.denominator and least_b * t.numerator <= most * t.denominator:
+                            yield from _links(verify_blocks(block, b, measure, forest))
+                if own == tile:
+                    held.append((least, most, block))
 
     return run
 
 
+def _visits(blocks: DataFrame, threshold: Fraction, size: int) -> DataFrame:
+    """Blocks (cluster, id, least, most) in groups of ``size`` neighbours in length -> id, cluster, tile, other, own, place: to which pairs of groups each block goes, as one of group ``own``."""
+
+    def near(least_a, most_a, least_b, most_b):
+        return (F.col(least_b) * threshold.numerator <= F.col(most_a) * threshold.denominator) & (F.col(least_a) * threshold.numerator <= F.col(most_b) * threshold.denominator)
+
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy("least", "most", "id"))
+    placed = cut(blocks.select("cluster", "id", "least", "most", place.alias("place")).withColumn("own", F.floor((F.col("place") - 1) / size).cast("int")))
+    tiles = placed.groupBy("cluster", "own").agg(F.min("least").alias("low"), F.max("most").alias("high"), F.count("*").alias("blocks"))
+    left, right = tiles.toDF("cluster", "tile", "low", "high", "blocks"), tiles.toDF("cluster", "other", "low_b", "high_b", "blocks_b")
+    pairs = left.join(right, "cluster").where((F.col("tile") < F.col("other")) & near("low", "high", "low_b", "high_b") | (F.col("tile") == F.col("other")) & (F.col("blocks") > 1))
+    # a block of either group goes, if it is near the other one
+    there = pairs.select("cluster", F.col("tile").alias("own"), "tile", "other", "low_b", "high_b")
+    back = pairs.where("tile < other").select("cluster", F.col("other").alias("own"), "tile", "other", F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    return placed.join(there.union(back), ["cluster", "own"]).where(near("least", "most", "low_b", "high_b")).select("id", "cluster", "tile", "other", "own", "place")
+
+
 def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fraction, heavy: int, block_rows: int, block_elements: int, seed: int = 0, verify_cost: int = 100) -> tuple[DataFrame, DataFrame, int]:
     """(survey: id, n, key for every row; links: a, b between classes' keys, a spanning forest; the hashes' seed)."""
     measure = Measure(threshold)
@@ -399,20 +444,16 @@ def link_classes(docs: DataFrame, key: str, text: str, n: int, threshold: Fracti
     sizes = grouped.groupBy("cluster").agg(F.sum("n").alias("size")).where(F.col("size") > 2 * block_elements)
     salt = F.pmod(F.xxhash64("key"), F.coalesce(F.ceil(F.col("size") / (2 * block_elements)), F.lit(1))).cast("int")
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(1.1)).cast("int")
-    placed = grouped.join(sizes, "cluster", "left").select("cluster", size_class.alias("class"), salt.alias("salt"), "key", "n", "elements", "bitmap")
+    # a row of sizes stands for 2 * block_elements * 8 bytes of sets at least
+    placed = grouped.join(F.broadcast(sizes), "cluster", "left").select("cluster", size_class.alias("class"), salt.alias("salt"), "key", "n", "elements", "bitmap")
     placed = placed.repartition("cluster", "class", "salt").sortWithinPartitions("cluster", "class", "salt", "n").select("cluster", "key", "n", "elements", "bitmap")
     blocks = map_arrow(placed, _pack(block_rows, block_elements), "cluster long, block int, least long, most long, data binary")
     blocks = cut(blocks.withColumn("id", F.monotonically_increasing_id()))
-    # a block is compared with itself where it lies; which others it meets is settled without data, and only those travel
-    alone = blocks.select(F.lit(True).alias("same"), "data", F.lit(None).cast("binary").alias("other"))
-    here = blocks.select("cluster", "id", "least", "most")
-    there = here.toDF("cluster", "id_b", "least_b", "most_b")
-    near = (F.col("least_b") * threshold.numerator <= F.col("most") * threshold.denominator) & (F.col("least") * threshold.numerator <= F.col("most_b") * threshold.denominator)
-    meet = cut(here.join(there, "cluster").where((F.col("id") < F.col("id_b")) & near).select("id", "id_b"))
-    met_ids = meet.select("id").union(meet.select("id_b")).distinct()
-    data = blocks.select("id", "data").join(F.broadcast(met_ids) if meet.count() <= BROADCAST_IDS else met_ids, "id", "left_semi")
-    compared = meet.join(data, "id").join(data.toDF("id_b", "other"), "id_b").repartition("id", "id_b").select(F.lit(False).alias("same"), "data", "other")
-    links = cut(map_arrow(alone, _compare(measure), "a long, b long").union(map_arrow(compared, _compare(measure), "a long, b long")))
+    # a block is compared with itself where it lies; which others it meets is settled without data, and it travels to groups of them
+    visits = cut(_visits(blocks.select("cluster", "id", "least", "most"), threshold, TILE))
+    sent = blocks.select("id", "least", "most", "data").join(F.broadcast(visits) if visits.count() <= BROADCAST_VISITS else visits, "id")
+    met = sent.repartition("cluster", "tile", "other").sortWithinPartitions("cluster", "tile", "other", "place").select("cluster", "tile", "other", "own", "least", "most", "data")
+    links = cut(map_arrow(blocks.select("data"), _compare(measure), "a long, b long").union(map_arrow(met, _compare_tiles(measure), "a long, b long")))
     return survey, links, seed
 
 

@@ -227,3 +227,42 @@ def test_links_at_other_thresholds(spark, threshold, verify_cost):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard_join.jaccard_components(docs, threshold=threshold, heavy=4, block_rows=16, verify_cost=verify_cost).collect()
     assert Counter(tuple(r) for r in got) == brute_components(rows, threshold=threshold)
+
+
+def test_blocks_know_their_least_and_most():
+    """Rows of two salts in one block: the last set isn't the largest."""
+    import pyarrow as pa
+
+    ns = [107, 108, 100, 101]  # sorted by salt, then by size
+    rows = pa.RecordBatch.from_arrays([pa.array([1] * 4), pa.array(range(4)), pa.array(ns), pa.array([b"x"] * 4), pa.array([b"y"] * 4)], ["cluster", "key", "n", "elements", "bitmap"])
+    (block,) = jaccard_join._pack(512, 200_000)(iter([rows]))
+    assert (block["least"][0].as_py(), block["most"][0].as_py()) == (100, 108)
+
+
+@pytest.mark.parametrize("spread", [30, 400])
+def test_blocks_meet_in_groups(spark, spread):
+    """Every two blocks that are near meet once, and a block is sent once for each group, not for each block."""
+    r, t, size = random.Random(7), Fraction(4, 5), 4
+    rows = [(r.choice([1, 1, 1, 2]), i * 7, n := r.randint(100, 100 + spread), n + r.randint(0, 20)) for i in range(60)] + [(3, 999, 5, 6)]
+    blocks = spark.createDataFrame(rows, "cluster long, id long, least long, most long")
+    sent = jaccard_join._visits(blocks, t, size).collect()
+    own = {i: (a, b) for _, i, a, b in rows}
+    near = lambda x, y: own[x][0] * t <= own[y][1] and own[y][0] * t <= own[x][1]
+    met = Counter()
+    for visit in {(s["cluster"], s["tile"], s["other"]) for s in sent}:
+        there = sorted(((s["place"], s["own"], s["id"]) for s in sent if (s["cluster"], s["tile"], s["other"]) == visit))
+        for k, (_, a, x) in enumerate(there):
+            met.update(frozenset((x, y)) for _, b, y in there[:k] if a == visit[2] and b == visit[1] and near(x, y))
+    want = Counter(frozenset((x, y)) for c, x, *_ in rows for d, y, *_ in rows if c == d and x < y and near(x, y))
+    assert met == want
+    for c in (1, 2):
+        assert max(Counter(s["id"] for s in sent if s["cluster"] == c).values()) <= -(-sum(x[0] == c for x in rows) // size)
+
+
+@pytest.mark.parametrize("block_elements", [150, 200_000])
+def test_many_small_blocks(spark, block_elements):
+    """Clusters of many blocks, salted ones too: several groups of blocks meet."""
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.jaccard_components(docs, heavy=2, block_rows=2, block_elements=block_elements).collect()
+    assert Counter(tuple(r) for r in got) == brute_components(rows)
