@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.llm import grams
-from factloom.llm.common import batch_texts, map_arrow, small_batches
+from factloom.llm.common import batch_texts, give_back, map_arrow, small_batches
 from factloom.llm.sampling import held_out, labelled_sample
 
 #: Bytes of a word's beginning that are features of their own, for compounds and inflections.
@@ -266,7 +266,9 @@ def predict(docs: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = GENERAL, max_docs: int = 4000, max_chars: int = 100_000, key: str = "doc_id", text: str = "text") -> Chain:
     """Fit on at most max_docs labelled rows that aren't held out."""
-    return fit(labelled_sample(docs, labels, label, max_docs, max_chars, key, text))
+    chain = fit(labelled_sample(docs, labels, label, max_docs, max_chars, key, text))
+    give_back()
+    return chain
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -266,3 +266,25 @@ def test_many_small_blocks(spark, block_elements):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = jaccard_join.jaccard_components(docs, heavy=2, block_rows=2, block_elements=block_elements).collect()
     assert Counter(tuple(r) for r in got) == brute_components(rows)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_small_graphs_take_few_jobs(spark, kind):
+    """One task instead of rounds of joins, with the same components as the rounds; null is linked with nothing."""
+    r = random.Random(11)
+    edges = [(r.randint(-200, 200), r.randint(-200, 200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, 5000), (None, 6000)]
+    table = spark.createDataFrame(edges, "a long, b long").selectExpr(f"cast(a as {kind}) a", f"cast(b as {kind}) b")
+    context = spark.sparkContext
+    context.setJobGroup(f"components-{kind}", "")
+    try:
+        got = connected_components(table).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup(f"components-{kind}")) <= 8
+    assert Counter(map(tuple, got)) == Counter(map(tuple, connected_components(table, local_edges=0).collect()))
+
+
+def test_rounds_reach_along_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 300)] + [(500, 500)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), local_edges=0).collect()}
+    assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(100, 300)} == {100} and got[500] == 500
