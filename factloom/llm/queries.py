@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import decontamination, jaccard_join, pii, quality_crf, sentencepiece_codec, substring_dedup, topk_search, toxicity, url_filters, warc
+from factloom.llm import byte_bpe, decontamination, jaccard_join, pii, quality_crf, sentencepiece_codec, substring_dedup, topk_search, toxicity, url_filters, warc
 from factloom.llm.common import table
 
 URL_RULES = (
@@ -64,10 +64,20 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def byte_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op11_byte_bpe(spark, sf_dir):
+    return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), byte_model(), keep_ids=False)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk_search, op2_warc, op3_decontamination, op4_substring_dedup, op5_sentencepiece, op6_url_filters, op7_quality_crf, op8_toxicity, op9_pii, op10_jaccard_join)
-}
+    for f in (op1_topk_search, op2_warc, op3_decontamination, op4_substring_dedup, op5_sentencepiece, op6_url_filters, op7_quality_crf, op8_toxicity, op9_pii, op10_jaccard_join, op11_byte_bpe)
+}
 
 #: DuckDB: a text's words, as the contracts define them.
 WORDS = r"list_filter(string_split_regex({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
