@@ -133,6 +133,20 @@ def batch_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [b"" if t is None else t for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+#: A-Z to a-z, for bytes.translate.
+LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
+
+
+def word_pieces(text: bytes, word: re.Pattern, border: re.Pattern, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """A text's words, those of about size bytes at a time; border matches a byte that is part of no word."""
+    at = 0
+    while at < len(text):
+        stop = border.search(text, at + size)
+        end = stop.start() if stop else len(text)
+        yield word.findall(text, at, end)
+        at = end
+
+
 def bit_filter(keys: DataFrame) -> np.ndarray:
     """A one-hash Bloom filter of the keys as 64-bit words; its size follows their number up to MAX_FILTER_BITS."""
     n = keys.count()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.llm import byte_bpe, decontamination, jaccard_join, pii, quality_crf, sentencepiece_codec, substring_dedup, topk_search, toxicity, url_filters, warc
+from factloom.llm import byte_bpe, decontamination, divergence, jaccard_join, pii, quality_crf, resampling, sentencepiece_codec, substring_dedup, topk_search, toxicity, url_filters, warc
 from factloom.llm.common import table
 
 URL_RULES = (
@@ -74,9 +74,18 @@ def op11_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_documents(table(spark, sf_dir, "documents"), byte_model(), keep_ids=False)
 
 
+def op12_importance_resampling(spark, sf_dir):
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_topk_search, op2_warc, op3_decontamination, op4_substring_dedup, op5_sentencepiece, op6_url_filters, op7_quality_crf, op8_toxicity, op9_pii, op10_jaccard_join, op11_byte_bpe)
+    for f in (op1_topk_search, op2_warc, op3_decontamination, op4_substring_dedup, op5_sentencepiece, op6_url_filters, op7_quality_crf, op8_toxicity, op9_pii, op10_jaccard_join, op11_byte_bpe, op12_importance_resampling, op13_source_divergence)
 }
 
 #: DuckDB: a text's words, as the contracts define them.
@@ -86,7 +95,41 @@ _LOWER_WORDS = WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNO
 #: Five hex digits are four base32 digits.
 _BASE32 = ", ".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(floor(v[{g}] / {32**k}) AS BIGINT) % 32 + 1]" for g in range(1, 9) for k in (3, 2, 1, 0))
 
+#: DuckDB: words of lower-cased letters, digits and whatever isn't ASCII.
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE_SQL = {
+    "op13_source_divergence": f"""
+        WITH docs AS (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERMS.replace("2F", "40").replace("3A-", "5B-")} AS ts FROM documents),
+        words AS (SELECT d, lang, source, unnest(ts) AS t FROM docs),
+        vocab AS (SELECT lang, t FROM words GROUP BY lang, t HAVING count(DISTINCT d) >= 30),
+        v AS (SELECT lang, count(t) AS v FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN vocab USING (lang) GROUP BY lang),
+        g AS (SELECT DISTINCT lang, source FROM docs),
+        n AS (SELECT lang, source, t, count(*) AS c FROM words JOIN vocab USING (lang, t) GROUP BY ALL),
+        cells AS (SELECT g.lang, g.source, vocab.t, coalesce(c, 0) AS c FROM g JOIN vocab USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.t = vocab.t),
+        p AS (SELECT lang, source, t, c, 1 + (CAST(1000000000 AS HUGEINT) * (c + 5)) // (sum(c) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM cells JOIN v USING (lang)),
+        q AS (SELECT lang, t, 1 + (CAST(1000000000 AS HUGEINT) * (sum(c) + 5)) // (sum(sum(c)) OVER (PARTITION BY lang) + 5 * any_value(v)) AS q FROM cells JOIN v USING (lang) GROUP BY lang, t),
+        apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source),
+        terms AS (SELECT p.lang, p.source, 'term' AS part, p.t AS item, p - q AS value FROM p JOIN q ON p.lang = q.lang AND p.t = q.t WHERE c > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= 50""",
+    "op12_importance_resampling": f"""
+        WITH docs AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+        word AS (SELECT doc_id, unnest(ws) AS w FROM docs),
+        goal AS (SELECT unnest({_TERMS}) AS w FROM benchmark),
+        crc_table AS (SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS ct FROM range(256) r(i)),
+        spelt AS (SELECT w, list_transform(range(CAST(strlen(w) AS BIGINT)), lambda i: CAST('0x' || substr(hex(w), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)) AS bytes FROM (SELECT w FROM word UNION SELECT w FROM goal)),
+        bucket AS (SELECT w, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, ct[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM spelt, crc_table),
+        s AS (SELECT b, count(*) AS n FROM word JOIN bucket USING (w) GROUP BY b),
+        t AS (SELECT b, count(*) AS n FROM goal JOIN bucket USING (w) GROUP BY b),
+        total AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) + 10000 AS sn, (SELECT coalesce(sum(n), 0) FROM t) + 10000 AS tn),
+        gain AS (SELECT s.b, CAST(floor(1000 * ln(CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * CAST(sn AS DOUBLE) / (CAST(s.n + 1 AS DOUBLE) * CAST(tn AS DOUBLE)))) AS BIGINT) AS g FROM s LEFT JOIN t ON s.b = t.b, total),
+        sums AS (SELECT doc_id, count(*) AS n, sum(g) AS g FROM word JOIN bucket USING (w) JOIN gain USING (b) GROUP BY doc_id),
+        scored AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(CAST(floor(CAST(g AS DOUBLE) / n) AS BIGINT), 0) AS weight, CAST('0x' || substr(sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM docs d LEFT JOIN sums ON d.doc_id = sums.doc_id),
+        final AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM scored),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM final)
+        SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN n_features >= 20 AND r <= floor(n / 10) THEN r END AS rank FROM placed""",
     "op1_topk_search": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
