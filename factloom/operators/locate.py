@@ -55,7 +55,7 @@ def statement_candidates(found: DataFrame, weak: bool = False, least: int = 8) -
 
 
 def search_ranges(found: DataFrame, before: int = 2, after: int = 130, audit: int = 15, long: int = 30) -> DataFrame:
-    """(doc_id, kind, start, end): pages (from 1, end excluded) in which statements are looked for: around the first page that names an index of statements, behind audit reports, and the last third of long documents."""
+    """(doc_id, ord, kind, start, end): pages (from 1, end excluded) in which statements are looked for, in this order (ord from 0): around the first page that names an index of statements, behind audit reports, and the last third of long documents."""
     low = F.lower(pages.page_text(F.col("text")))
     rows = found.select("doc_id", "page_num", F.substring(low, 1, 3000).rlike(pages.INDEX).alias("index"), F.substring(low, 1, 3500).rlike(pages.AUDIT).alias("audit"))
     whole = rows.groupBy("doc_id").agg(F.max("page_num").alias("n"), F.min(F.when(F.col("index"), F.col("page_num"))).alias("anchor"), F.collect_list(F.when(F.col("audit"), F.col("page_num"))).alias("audits"))
@@ -63,10 +63,10 @@ def search_ranges(found: DataFrame, before: int = 2, after: int = 130, audit: in
     n = F.col("n")
     ranges = F.concat(
         F.array_compact(F.array(F.when(F.col("anchor").isNotNull(), span("index", F.greatest(F.lit(1), F.col("anchor") - before), F.least(n + 1, F.col("anchor") + after))))),
-        F.transform("audits", lambda p: span("audit", p, F.least(n + 1, p + audit))),
+        F.transform(F.array_sort("audits"), lambda p: span("audit", p, F.least(n + 1, p + audit))),
         F.array_compact(F.array(F.when(n >= long, span("tail", F.floor(n * 2 / 3) + 1, n + 1)))),
     )
-    return whole.select("doc_id", F.explode(ranges).alias("r")).select("doc_id", "r.*")
+    return whole.select("doc_id", F.posexplode(ranges).alias("ord", "r")).select("doc_id", "ord", "r.*")
 
 
 def pick_pages(found: DataFrame, share: float = 0.92, top: int = 1) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from factloom.functions import labels, lines, numbers, periods
 from factloom.operators import facts as fx
 from factloom.operators import align, glyphs, locate, markets, reconcile, refine, tables
-from factloom.plans import oracles, statements
+from factloom.plans import oracles, reports, statements
 from factloom.streaming import usage
 
 QUERIES: dict = {}
@@ -611,3 +611,5 @@ def industry_skips(spark, sf_dir):
 
 QUERIES |= statements.QUERIES
 ORACLE_SQL |= statements.ORACLE_SQL
+QUERIES |= reports.QUERIES
+ORACLE_SQL |= reports.ORACLE_SQL

@@ -136,7 +136,7 @@ def _documents(spark, sf_dir):
     UNION ALL SELECT doc_id, 'audit', 6, CAST(least(n + 1, 21) AS INTEGER) FROM d WHERE doc_id % 3 = 0 AND n >= 6
     UNION ALL SELECT doc_id, 'tail', CAST(n * 2 // 3 + 1 AS INTEGER), CAST(n + 1 AS INTEGER) FROM d WHERE n >= 30""")
 def statement_search_ranges(spark, sf_dir):
-    return locate.search_ranges(_documents(spark, sf_dir))
+    return locate.search_ranges(_documents(spark, sf_dir)).drop("ord")
 
 
 @query("""WITH d AS (SELECT c_custkey AS doc_id, c_custkey % 50 + 1 AS n FROM customer), s AS (SELECT doc_id, n, CASE WHEN doc_id % 3 = 0 AND n >= 6 THEN least(5, 5) ELSE 5 END AS last FROM d WHERE n >= 2)
