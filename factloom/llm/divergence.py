@@ -30,7 +30,7 @@ from factloom.llm.common import LOWER, batch_texts, cut, map_arrow, small_batche
 TERM, NO_TERM = re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[^a-z\x80-\xff]")
 SCALE, SMOOTH = 1_000_000_000, 5
 #: Terms that a task counts before it hands them on; groups of a block; shares of a tile; terms of a tile.
-MAX_COUNTED, BLOCK, CELLS, WIDTH = 250_000, 512, 2_000_000, 4096
+MAX_COUNTED, BLOCK, CELLS, WIDTH = 250_000, 512, 2_000_000, 512
 
 
 def counted_terms(docs: DataFrame, group: list[str], text: str) -> DataFrame:
