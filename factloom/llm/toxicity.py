@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,9 @@ from factloom.llm.sampling import held_out, labelled_sample
 #: Bytes of a word's beginning that are features of their own, for compounds and inflections.
 PREFIXES = (4, 5)
 GENERAL = "toxic"
+#: A general mark on a larger share of the sample counts as if it were on this share: how often labels were given
+#: says little of how often the corpus deserves them, and a text without telling features must not pass the threshold.
+REFERENCE_SHARE = 0.125
 _EDGES = np.isin(np.arange(256), list(b".,;:!?'\"()[]{}*#$%&|"))
 
 
@@ -135,20 +138,23 @@ def _groups(owner: np.ndarray, ids: np.ndarray, n_ids: int, y: np.ndarray, k: in
     return out
 
 
-def _frequent(texts: list[bytes], least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """features() of the texts, but for those in fewer than least or more than most texts, which no link would choose.
+def _frequent(texts: list[bytes], marked: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """features() of the texts, but for those in fewer than least texts or more than most unmarked ones, which no link would choose.
 
     Two passes over chunks: counts by the hashes' low bits, then the features whose count allows them.
     """
     slots = np.uint64((1 << 20) - 1)
-    counts = np.zeros(1 << 20, np.int32)
-    for _, part in grams.chunks(texts, 1 << 18):
-        counts += np.bincount((features(part)[1] & slots).astype(np.int64), minlength=len(counts)).astype(np.int32)
+    counts, plain = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, np.int32)
+    for start, part in grams.chunks(texts, 1 << 18):
+        owner, value = features(part)
+        slot = (value & slots).astype(np.int64)
+        counts += np.bincount(slot, minlength=len(counts)).astype(np.int32)
+        plain += np.bincount(slot[marked[owner + start] == 0], minlength=len(plain)).astype(np.int32)
     owners, values = [np.empty(0, np.int32)], [np.empty(0, np.uint64)]
     for start, part in grams.chunks(texts, 1 << 18):
         owner, value = features(part)
-        held = counts[(value & slots).astype(np.int64)]
-        keep = (held >= least) & (held <= most)
+        slot = (value & slots).astype(np.int64)
+        keep = (counts[slot] >= least) & (plain[slot] <= most)
         owners.append((owner[keep] + start).astype(np.int32))
         values.append(value[keep])
     return np.concatenate(owners), np.concatenate(values)
@@ -206,11 +212,12 @@ def fit(sample: list[tuple[bytes, int]], categories: dict[str, tuple[str, ...]]
     """A chain of categories, then the general label, from (text, general label) rows.
 
     categories: how many groups of marked rows to look for (group_1, group_2, ...), or names with seed
-    words, of which a marked row of the category holds one. A group that isn't found is no link.
+    words, of which a marked row of the category holds one. A group that isn't found is no link. A sample
+    without rows, or of one label alone, marks nothing.
     """
     toxic = np.array([y for _, y in sample], np.int64)
     n = len(toxic)
-    owner, values = _frequent([t for t, _ in sample], least, max(least, int(n * 0.4)))
+    owner, values = _frequent([t for t, _ in sample], toxic, least, max(least, int((n - toxic.sum()) * 0.4)))
     # the features by number from here on: small integers that are counted, never sorted again
     vocabulary = np.unique(values)
     ids = np.searchsorted(vocabulary, values).astype(np.int32)
@@ -246,6 +253,9 @@ def fit(sample: list[tuple[bytes, int]], categories: dict[str, tuple[str, ...]]
             fresh[other] = 1 / (1 + np.exp(-np.clip(link.odds(who, vocabulary[what], len(other), out_of_fold[other]), -500, 500)))
         links.append(_train(owner, ids, vocabulary, y, out_of_fold, most, least, rounds, ridge))
         out_of_fold = np.column_stack((out_of_fold, fresh))
+    share = float(np.clip(toxic.mean() if n else 0.5, 1e-4, 1 - 1e-4))
+    if share > REFERENCE_SHARE:
+        links[-1].bias += float(np.log(REFERENCE_SHARE / (1 - REFERENCE_SHARE)) - np.log(share / (1 - share)))
     return Chain(list(marks), links)
 
 
@@ -272,16 +282,25 @@ def fit_on(docs: DataFrame, labels: DataFrame, label: str = GENERAL, max_docs: i
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, held_out, p_<category>..., toxic (1 if the general probability reaches threshold) of every row of docs."""
+    """key, held_out, p_<category>..., toxic (1 if the general probability reaches threshold) of every row of docs.
+
+    Null and empty texts, and others without a letter or digit, are not toxic, whatever their probability; texts of any
+    length are read whole. A probability equal to threshold counts as toxic. Equal texts get equal rows, repeated rows
+    stay, an empty table gives none; without labels nothing is toxic. Other columns are dropped.
+    """
     chain = fit_on(docs, labels, key=key, text=text)
-    scored = predict(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), chain, text).drop(text)
-    return scored.withColumns({"held_out": held_out(F.col(f"`{key}`")), "toxic": (F.col(f"p_{GENERAL}") >= threshold).cast("int")})
+    scored = predict(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), chain, text)
+    return scored.withColumns({"held_out": held_out(F.col(f"`{key}`")), "toxic": _flagged(text, threshold).cast("int")}).drop(text)
+
+
+def _flagged(text: str, threshold: float) -> Column:
+    return (F.col(f"p_{GENERAL}") >= threshold) & F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"[\p{L}\p{N}]"), F.lit(False))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose general probability stays below threshold, with docs' own columns."""
+    """The rows of docs that toxicity() calls not toxic, with docs' own columns: see there for nulls, empty and long texts, ties and repeated rows."""
     chain = fit_on(docs, labels, key=key, text=text)
     columns = docs.columns
     docs = docs.toDF(*(f"c{i}" for i in range(len(columns))))
     text = docs.columns[[c.lower() for c in columns].index(text.lower())]
-    return predict(docs, chain, text).where(F.col(f"p_{GENERAL}") < threshold).drop(*(f"p_{x}" for x in chain.names)).toDF(*columns)
+    return predict(docs, chain, text).where(~_flagged(text, threshold)).drop(*(f"p_{x}" for x in chain.names)).toDF(*columns)

@@ -377,3 +377,18 @@ def test_clashing_columns_stay(spark):
         assert out.columns == names and sorted(map(tuple, out.collect())) == rows
     judged = url_filters.filter_urls(docs, URL_RULES, url="text")
     assert [c for c in judged.columns if c in names] == names and judged.count() == 4
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8, 1.0])
+def test_any_share_of_toxic_labels_leaves_clean_rows(spark, share):
+    """Texts that say something vile go, all others stay, the null and the empty one included; where all labels say toxic nothing is known to be."""
+    toxic_rows = int(200 * share)
+    words = ["river", "stone", "garden", "letter", "window", "market", "summer", "bridge"]
+    plain = lambda i: " ".join(words[(i * 7 + k * k) % len(words)] for k in range(12))
+    rows = [(i, f"{plain(i)} vile scum {plain(i + 3)}" if i < toxic_rows else plain(i)) for i in range(200)] + [(900, None), (901, ""), (902, " ... ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i < toxic_rows)) for i in range(200)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).collect()}
+    assert kept == {i for i, _ in rows if i >= toxic_rows or share == 1.0}
+    flags = {r["doc_id"]: r["toxic"] for r in toxicity.toxicity(docs, labels).collect()}
+    assert {i for i, f in flags.items() if not f} == kept
