@@ -30,11 +30,15 @@ def plain_header(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(text)), r"(?U)\s+", "")
 
 
+#: Characters of a page's head, and what names the unit of its amounts there.
+UNIT_HEAD, IN_MILLIONS, IN_THOUSANDS = 2500, r"\bin\s+millions\b", r"in\s+thousands"
+SHARES_IN_THOUSANDS = r"shares?.{0,40}(?:are\s+)?(?:reflected\s+|denominated\s+)?in\s+thousands|except\s+(?:number\s+of\s+)?shares?.{0,30}thousands"
+
+
 def unit_divisor(page_text: Column) -> Column:
-    """1 for statements in millions, 1000 for those in thousands; ``shares in thousands`` is no unit; millions win."""
-    text = F.lower(page_text)
-    thousands = F.regexp_replace(text, r"shares[^.\n]{0,40}in thousands", "")
-    return F.when(text.rlike(r"in millions|\(millions"), 1.0).when(thousands.rlike(r"in thousands|\(thousands|000s"), 1000.0).otherwise(1.0)
+    """1000 for statements whose head (2,500 characters) says thousands, else 1: also where it says millions as well, or thousands of shares in the same breath."""
+    head = F.lower(F.substring(page_text, 1, UNIT_HEAD))
+    return F.when(head.rlike(IN_THOUSANDS) & ~head.rlike(IN_MILLIONS) & ~head.rlike(SHARES_IN_THOUSANDS), 1000.0).otherwise(1.0)
 
 
 #: Fixed value: the five shapes of an amount in a line, in the order in which they are tried.

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from factloom.functions.labels import normal_label
 from factloom.functions.lines import cell_amount
 from factloom.functions.numbers import amount_tokens, has_digit, looks_like_amount, split_values
-from factloom.functions.periods import MONTH, period_of_header
+from factloom.functions.periods import MONTH, let, period_of_header
 from factloom.operators.tables import TABLE
 
 #: Fixed values.
@@ -39,7 +39,7 @@ def column_facts(cells: DataFrame) -> DataFrame:
     density: cells that look like amounts; currency: of the lowest of the first eight rows that names one;
     is_note: a column of note numbers; is_header: at least half of its first cells are years, dates or currencies.
     """
-    text = F.trim(F.coalesce("text", F.lit("")))
+    cells, text = cells.where("col_no is not null"), F.trim(F.coalesce("text", F.lit("")))
     top = F.col("row_no") <= 8
     code = F.when(top, currency_code(F.regexp_extract(text, CURRENCY, 1)))
     shown = F.sort_array(F.collect_list(F.when(top & (text != ""), F.struct("row_no", text.alias("t")))))
@@ -116,6 +116,7 @@ def period_columns(cells: DataFrame, pages: DataFrame) -> DataFrame:
 
     pages: (doc_id, page_num, text, periods, calendar). Of several columns of one period the first in the page's currency stays, else the first.
     """
+    cells = cells.where("col_no is not null")
     facts = column_facts(cells)
     whole = cells.groupBy(*TABLE).agg(F.max("row_no").alias("n_rows"), (F.max("col_no") + 1).cast("int").alias("n_cols"))
     folded = facts.groupBy(*TABLE).agg(
@@ -176,6 +177,34 @@ def unpacked(cells: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select(*TABLE, "row_no", "label", F.concat("amounts", F.array_repeat(F.lit(""), F.col("widest") - F.size("amounts"))).alias("amounts"))
 
 
+def packed_years(cells: DataFrame, pages: DataFrame) -> DataFrame:
+    """(table, years): the years, ascending, that the headers, the first four rows and the page's first 800 characters name. pages: (doc_id, page_num, text)."""
+    named = lambda text: F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b(20\d{2})\b"), F.lit(1)), lambda y: y.cast("int"))
+    own = cells.where("row_no <= 4").select(*TABLE, F.explode(F.array_distinct(F.concat(named(F.col("header")), named(F.col("text"))))).alias("y")).unionByName(cells.select(*TABLE, F.explode(F.array_distinct(named(F.col("header")))).alias("y")))
+    found = own.groupBy(*TABLE).agg(F.collect_set("y").alias("own"))
+    heads = pages.select("doc_id", "page_num", named(F.substring("text", 1, 800)).alias("page"))
+    tables = cells.select(*TABLE).distinct().join(found.hint("merge"), TABLE, "left").join(heads.hint("merge"), ["doc_id", "page_num"], "left")
+    return tables.select(*TABLE, F.array_sort(F.array_distinct(F.concat(F.coalesce("own", F.array().cast("array<int>")), F.coalesce("page", F.array().cast("array<int>"))))).alias("years"))
+
+
+def expanded(cells: DataFrame, labels: DataFrame, pages: DataFrame) -> DataFrame:
+    """cells with every packed grid that unpacked() opens replaced by its label column and one column for each amount; all others are unchanged.
+
+    The columns' headers are the last years that the grid or its page names; where these are fewer, the further ones are
+    extra1, extra2 and so on by their place, and without any year col0, col1. Rows are numbered anew from 1.
+    """
+    rows = unpacked(cells, labels)
+    opened = rows.join(packed_years(cells, pages).hint("merge"), TABLE).withColumn("row_no", F.row_number().over(Window.partitionBy(*TABLE).orderBy("row_no")))
+    n = F.size("amounts")
+    own_years = F.when(F.size("years") >= n, F.slice("years", F.size("years") - n + 1, n)).otherwise(F.col("years"))
+    header = lambda i: F.coalesce(F.get(own_years, i).cast("string"), F.concat(F.when(F.size("years") > 0, "extra").otherwise("col"), i.cast("string")))
+    columns = F.transform("amounts", lambda t, i: F.struct((i + 1).alias("col_no"), header(i).alias("header"), t.alias("text")))
+    label = F.array(F.struct(F.lit(0).alias("col_no"), F.lit("label").alias("header"), F.col("label").alias("text")))
+    fresh = opened.select(*TABLE, "row_no", F.explode(F.concat(label, columns)).alias("x")).select(*TABLE, "row_no", "x.*")
+    kept = cells.join(rows.select(*TABLE).distinct().hint("merge"), TABLE, "left_anti")
+    return kept.select(*TABLE, "row_no", "col_no", "header", "text").unionByName(fresh)
+
+
 def statement_rows(cells: DataFrame, columns: DataFrame, labels: DataFrame) -> DataFrame:
     """(table, row_no, label, values) of rows with amounts, values in the order of the grid's periods.
 
@@ -184,11 +213,13 @@ def statement_rows(cells: DataFrame, columns: DataFrame, labels: DataFrame) -> D
     ``Diluted`` takes the last heading with ``per share``, once.
     """
     spans = columns.groupBy(*TABLE).agg(F.sort_array(F.collect_list(F.struct("ord", F.col("col_no").cast("int").alias("c")))).alias("cols"), F.min("col_no").alias("first_data"))
-    own = cells.join(spans, TABLE).join(labels, TABLE)
+    own = cells.where("col_no is not null").join(spans, TABLE).join(labels, TABLE)
     text = F.trim(F.coalesce("text", F.lit("")))
     in_label = (F.col("col_no") == F.col("label_col")) | ((F.col("col_no") > F.col("label_col")) & (F.col("col_no") < F.col("first_data")))
-    parts = F.sort_array(F.collect_list(F.when(in_label & (text != "") & ~looks_like_amount(F.col("text")), F.struct("col_no", text.alias("t")))))
-    filled = F.map_from_entries(F.collect_list(F.struct(F.col("col_no").cast("int"), text)))
+    parts = F.sort_array(F.collect_set(F.when(in_label & (text != "") & ~looks_like_amount(F.col("text")), F.struct("col_no", text.alias("t")))))
+    # of a cell that is given more than once the first text in order counts
+    given = F.sort_array(F.collect_list(F.struct(F.col("col_no").cast("int").alias("c"), text.alias("t"))))
+    filled = F.map_from_entries(let(given, lambda own: F.filter(own, lambda x, i: (i == 0) | (F.get(own, i - 1)["c"] != x["c"]))))
     rows = own.groupBy(*TABLE, "row_no", "cols").agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("label"), filled.alias("at"))
     rows = rows.withColumn("values", F.transform("cols", lambda x: F.coalesce(F.try_element_at(F.col("at"), x["c"]), F.lit("")))).where(~F.col("label").rlike(r"^(20\d{2})?$"))
     amounts = F.exists("values", has_digit)

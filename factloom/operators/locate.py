@@ -76,7 +76,7 @@ def pick_pages(found: DataFrame, share: float = 0.92, top: int = 1) -> DataFrame
     return near.withColumn("rank", F.row_number().over(per.orderBy("page_num"))).where(F.col("rank") <= top).drop("best")
 
 
-def page_spans(pages: DataFrame, starts: DataFrame, stop: Column, most: int = 4) -> DataFrame:
+def page_spans(pages: DataFrame, starts: DataFrame, stop: Column, most: int = 5) -> DataFrame:
     """Pages from each start up to the page before the next that meets stop, ``most`` at most: a range join on page numbers.
 
     Pages, and starts, outgrow what is estimated from the files, so no side may be broadcast.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from factloom.functions.labels import garbled_total
+from factloom.functions.labels import financial_header, garbled_total
 from factloom.functions.numbers import amount_pair, to_number
 
 
@@ -52,10 +52,23 @@ def split_year_headers(header: Column) -> Column:
     return F.flatten(F.transform(header, lambda h: F.when(F.size(years(h)) >= 2, years(h)).otherwise(F.array(h))))
 
 
+#: Names of columns that are written in one way.
+UNIT_PRICE = r"unit.*pri.*ce|^unitpri$"
+TITLE_HEADERS, QUANTITY_HEADERS = ("item", "name", "region", "department", "budget", "actual", "variance", "score"), ("qty", "quantity")
+
+
 def repair_headers(header: Column) -> Column:
-    """Spaces collapsed, quarters as Q1 to Q4, words with a capital first letter."""
-    tidy = lambda h: F.regexp_replace(F.trim(F.coalesce(h, F.lit(""))), r"(?U)\s+", " ")
-    return F.transform(header, lambda h: F.when(tidy(h).rlike(r"(?i)^[qo0]\s?[1-4]$"), F.concat(F.lit("Q"), F.regexp_extract(tidy(h), r"([1-4])$", 1))).otherwise(F.initcap(tidy(h))))
+    """Financial headers with their spaces collapsed, or cut to the one year of a longer date; others by the common names of columns, and else only trimmed."""
+
+    def repair(h: Column) -> Column:
+        own = F.trim(F.coalesce(h, F.lit("")))
+        low = F.regexp_replace(F.lower(own), r"(?U)\s+", "")
+        years = F.regexp_extract_all(own, F.lit(r"(20\d{2})"), F.lit(1))
+        financial = F.when((F.size(years) == 1) & (F.length(own) > 10), F.get(years, F.lit(0))).otherwise(F.regexp_replace(own, r"(?U)\s+", " "))
+        named = F.when(low.rlike(UNIT_PRICE), "Unit Price").when(low.rlike("amount"), "Amount").when(low.isin(*TITLE_HEADERS), F.initcap(own)).when(low.isin(*QUANTITY_HEADERS), "Qty").when(low.rlike("^q[1-4]$"), F.upper(own))
+        return F.when(financial_header(own), financial).otherwise(F.coalesce(named, own))
+
+    return F.transform(header, repair)
 
 
 def merge_fragments(rows: DataFrame, keys: list[str], most: int = 8) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import pages, rules
 from factloom.functions import statement_rules as sr
+from factloom.functions.labels import cash_statement_complete
 from factloom.functions.numbers import spaced_density, table_density
 from factloom.functions.periods import let
 from factloom.operators.locate import search_ranges
@@ -29,6 +30,21 @@ EU_SCAN, EU_UNTITLED_HEAD = 870, 600
 UNTITLED_LEAST, ABOUT_THE_SAME, HK_HEAD = 40, 0.92, 1200
 
 
+#: Titles that a page must have to be one statement's earlier page, what opens the next statement, and how many pages may follow the first.
+SPAN_TITLES = {
+    "income": (r"statements?\s+of\s+operations", r"statements?\s+of\s+comprehensive\s+income", r"statements?\s+of\s+comprehensive\s+loss", r"consolidated\s+income\s+statements?"),
+    "balance": (r"consolidated\s+balance\s+sheets?", r"statements?\s+of\s+financial\s+position"),
+    "cashflow": (r"statements?\s+of\s+cash\s+flows?",),
+}
+NEXT_STATEMENT = {
+    "income": (r"\bbalance sheets?\b", r"statements?\s+of\s+financial\s+position", r"综合(?:财务)?状况表", r"资产负债表", r"december 31,\s+\d{4}.{0,120}intangible assets", r"total non-current assets", r"statements of cash flows?", r"changes in (?:shareholders?.?\s+equity|stockholders?.?\s+equity)", r"statement of changes in equity"),
+    "balance": (r"consolidated statements of cash flows?", r"\bcash flows?\s+statements?\b", r"\bcash flows?\s+from\s+operating", r"consolidated\s+statements?\s+of\s+comprehensive\s+income", r"statements?\s+of\s+operations"),
+    "cashflow": (r"notes to consolidated", r"see accompanying notes"),
+}
+CONTINUED, SPAN_HEAD, MARK_HEAD = r"\(continued\)", 600, 400
+FOLLOWING = {"income": 4, "balance": 4, "cashflow": 6}
+
+
 @dataclass(frozen=True)
 class Phase:
     """Candidates of one kind: titles or none, least density, whole document or search ranges, and how the best page is chosen ('near': ranks among about equal scores; 'best': score, then place)."""
@@ -206,3 +222,58 @@ def locate_statements(found: DataFrame) -> DataFrame:
     own = F.min(F.when(F.col("step.phase") >= FIRST_OWN, F.struct("step", "page_num", "own_valid")))
     chosen = best.groupBy("doc_id", "statement").agg(common.alias("common"), own.alias("own")).select("doc_id", "statement", F.when(F.col("common.own_valid"), F.col("common")).otherwise(F.col("own")).alias("c"))
     return chosen.where("c is not null").select("doc_id", "statement", "c.page_num", F.col("c.step.phase").alias("phase"))
+
+
+def _by_statement(statement: Column, values: dict[str, Column | int]) -> Column:
+    return F.coalesce(*(F.when(statement == s, v) for s, v in values.items()))
+
+
+def statement_spans(found: DataFrame, starts: DataFrame) -> DataFrame:
+    """(doc_id, statement, page_num, start, end): first and last page of each statement that starts (doc_id, statement, page_num) name.
+
+    From a page marked (continued) back to one that isn't; from there once more to a titled page
+    before it, and on over those that are titled and continued. Then forward, up to the page before
+    one that opens the next statement, but no more than FOLLOWING pages. Pages count from 1 without gaps;
+    a document's marks travel as one row of a few bits a page. Starts beyond the document give no row.
+    """
+    line, head = F.lower(F.substring(pages.page_text(F.col("text")), 1, SPAN_HEAD)), F.lower(F.substring(F.coalesce("text", F.lit("")), 1, MARK_HEAD))
+    any_of = lambda text, patterns: text.rlike("|".join(patterns))
+    marks = F.struct("page_num", line.rlike(CONTINUED).alias("goes_on"), *(any_of(line, SPAN_TITLES[s]).alias(f"titled_{s}") for s in sr.STATEMENTS), *(any_of(head, NEXT_STATEMENT[s]).alias(f"next_{s}") for s in sr.STATEMENTS))
+    whole = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(marks)).alias("marks"))
+    at = lambda p: F.get(F.col("marks"), p - 1)
+    pick = lambda p, kind: _by_statement(F.col("statement"), {s: at(p)[f"{kind}_{s}"] for s in sr.STATEMENTS})
+    down = lambda last: F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    n = F.size("marks")
+    own = starts.select("doc_id", "statement", F.col("page_num").cast("int").alias("page_num")).join(whole.hint("merge"), "doc_id").where(F.col("page_num").between(1, n))
+    first = F.coalesce(F.array_max(F.filter(down(F.col("page_num")), lambda p: ~at(p)["goes_on"])), F.lit(1))
+    own = own.withColumn("first", first)
+    before = F.col("first") - 1
+    gap = F.coalesce(F.array_max(F.filter(down(before), lambda p: ~(pick(p, "titled") & at(p)["goes_on"]))), F.lit(0))
+    start = F.when((before >= 1) & pick(before, "titled") & ~at(before)["goes_on"], before).otherwise(gap + 1)
+    own = own.withColumn("start", start).withColumn("most", F.least(n, F.col("start") + _by_statement(F.col("statement"), FOLLOWING)))
+    ahead = F.when(F.col("most") > F.col("start"), F.sequence(F.col("start") + 1, F.col("most"))).otherwise(F.array().cast("array<int>"))
+    end = F.coalesce(F.array_min(F.filter(ahead, lambda p: pick(p, "next"))) - 1, F.col("most"))
+    return own.select("doc_id", "statement", "page_num", F.col("start").cast("int").alias("start"), end.cast("int").alias("end"))
+
+
+def statement_texts(found: DataFrame, starts: DataFrame, walk_back: bool = True) -> DataFrame:
+    """(doc_id, statement, start, end, text): the pages of each statement's span, in order, a line break between them.
+
+    Without walk_back (documents that aren't laid out in pages) a span begins where it starts, and
+    a statement of cash flows ends with the page that completes its totals.
+    """
+    spans = statement_spans(found, starts)
+    if not walk_back:
+        marks = spans.select("doc_id", "statement", "page_num").withColumnsRenamed({"doc_id": "d", "statement": "s", "page_num": "p"})
+        heads = found.select("doc_id", F.col("page_num").alias("q"), F.lower(F.substring(F.coalesce("text", F.lit("")), 1, MARK_HEAD)).alias("head"))
+        near = marks.join(heads.hint("merge"), (F.col("d") == F.col("doc_id")) & (F.col("q") >= F.col("p")) & (F.col("q") <= F.col("p") + _by_statement(F.col("s"), FOLLOWING)))
+        stops = _by_statement(F.col("s"), {s: F.col("head").rlike("|".join(NEXT_STATEMENT[s])) for s in sr.STATEMENTS}) & (F.col("q") > F.col("p"))
+        spans = near.groupBy("d", "s", "p").agg(F.coalesce(F.min(F.when(stops, F.col("q"))) - 1, F.max("q")).alias("end")).select(F.col("d").alias("doc_id"), F.col("s").alias("statement"), F.col("p").alias("page_num"), F.col("p").alias("start"), F.col("end").cast("int").alias("end"))
+    own = spans.withColumnRenamed("doc_id", "d").drop("page_num").distinct()
+    rows = found.join(own.hint("merge"), (F.col("doc_id") == F.col("d")) & F.col("page_num").between(F.col("start"), F.col("end")))
+    texts = rows.groupBy("doc_id", "statement", "start", "end").agg(F.transform(F.sort_array(F.collect_list(F.struct("page_num", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]).alias("t"))
+    if not walk_back:
+        done = F.array_min(F.filter(F.sequence(F.lit(1), F.size("t")), lambda k: cash_statement_complete(F.array_join(F.slice("t", F.lit(1), k), "\n"))))
+        kept = F.when((F.col("statement") == "cashflow") & (F.size("t") > 1), F.coalesce(F.greatest(done, F.lit(2)), F.size("t"))).otherwise(F.size("t"))
+        texts = texts.withColumn("t", F.slice("t", F.lit(1), kept)).withColumn("end", F.col("start") + F.size("t") - 1)
+    return texts.select("doc_id", "statement", "start", "end", F.array_join("t", "\n").alias("text"))

@@ -259,3 +259,55 @@ def statement_page_checks(spark, sf_dir):
 
 QUERIES |= {f.__name__: f for f in (located_statements, statement_page_checks)}
 ORACLE_SQL |= {"located_statements": _located_sql(), "statement_page_checks": _checked_sql()}
+
+
+# spans ---------------------------------------------------------------------------------------
+
+#: Fixed kinds of pages around a statement; {s} is its title, {n} what opens the next one.
+SPAN_KINDS = ("{s} {b}", "{s} (continued) {b}", "Amounts (continued) {b}", "Amounts {b}", "More amounts {b}", "Further amounts {b}", "Rest {b}", "{n} {b}")
+SPAN_NAMES = {"income": ("Statements of Operations", "Balance Sheet"), "balance": ("Consolidated Balance Sheets", "Statements of Operations"), "cashflow": ("Statements of Cash Flows", "Notes to Consolidated Statements")}
+SPAN_PAGES = 12
+
+
+def _span_pages(spark, sf_dir):
+    """Twelve pages for each customer: kinds that its key deals out, amounts of its own."""
+    rows = _customers(spark, sf_dir).withColumn("page_num", F.explode(F.sequence(F.lit(1), F.lit(SPAN_PAGES))))
+    kind = F.get(F.array(*map(F.lit, SPAN_KINDS)), _dealt(F.col("doc_id"), F.col("page_num")).cast("int"))
+    names = F.get(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(a).alias("a"), F.lit(b).alias("b")) for s, (a, b) in SPAN_NAMES.items())), (F.col("doc_id") % 3).cast("int"))
+    text = _printed(F.replace(F.replace(kind, F.lit("{s}"), names["a"]), F.lit("{n}"), names["b"]), F.col("amount") + F.col("page_num"))
+    return rows.select("doc_id", "page_num", names["s"].alias("statement"), text.alias("text"))
+
+
+def _dealt(doc, page):
+    """A kind for each page: blocks of alike pages and single ones, as the key has it."""
+    return (doc * 31 + F.floor((page + doc % 5) / (1 + doc % 3)) * 13 + F.floor(doc / 7)) % len(SPAN_KINDS)
+
+
+_SPAN_SQL = f"""{_CUSTOMERS_SQL},
+    kinds(k, template) AS (VALUES {_values(enumerate(SPAN_KINDS))}),
+    names(m, statement, own, following) AS (VALUES {_values([(i, s, a, b) for i, (s, (a, b)) in enumerate(SPAN_NAMES.items())])}),
+    dealt AS (SELECT c.*, CAST(page_num AS INTEGER) AS page_num, (doc_id * 31 + (page_num + doc_id % 5) // (1 + doc_id % 3) * 13 + doc_id // 7) % {len(SPAN_KINDS)} AS k FROM customers c, unnest(range(1, {SPAN_PAGES + 1})) AS u(page_num)),
+    p AS (SELECT doc_id, page_num, statement, {_printed_sql("replace(replace(template, '{s}', own), '{n}', following)", "(amount + page_num)")} AS text FROM dealt JOIN kinds USING (k) JOIN names ON m = doc_id % 3),
+    marks AS (SELECT *, contains(lower(text), '(continued)') AS goes_on, CASE statement {" ".join(f"WHEN '{s}' THEN {_matches('lower(text)', '|'.join(st.SPAN_TITLES[s]))}" for s in sr.STATEMENTS)} END AS titled,
+        CASE statement {" ".join(f"WHEN '{s}' THEN {_matches('lower(text)', '|'.join(st.NEXT_STATEMENT[s]))}" for s in sr.STATEMENTS)} END AS opens FROM p)"""
+_WALKED_SQL = f"""WITH RECURSIVE {_SPAN_SQL},
+    back(doc_id, q) AS (SELECT doc_id, CAST(1 + doc_id % {SPAN_PAGES} AS INTEGER) FROM customers UNION ALL SELECT doc_id, q - 1 FROM back JOIN marks USING (doc_id) WHERE page_num = q AND goes_on AND q > 1),
+    first AS (SELECT doc_id, min(q) AS q FROM back GROUP BY doc_id),
+    earlier(doc_id, q, stop) AS (SELECT doc_id, q, false FROM first UNION ALL
+        SELECT e.doc_id, q - 1, NOT b.goes_on FROM earlier e JOIN marks b ON b.doc_id = e.doc_id AND b.page_num = q - 1 JOIN marks c ON c.doc_id = e.doc_id AND c.page_num = q WHERE NOT stop AND b.titled AND (b.goes_on OR NOT c.goes_on)),
+    starts AS (SELECT doc_id, min(q) AS a FROM earlier GROUP BY doc_id),
+    onward(doc_id, a, q) AS (SELECT doc_id, a, a FROM starts UNION ALL
+        SELECT o.doc_id, a, q + 1 FROM onward o JOIN marks m ON m.doc_id = o.doc_id AND m.page_num = q + 1 WHERE NOT opens AND q + 1 - a <= CASE statement {" ".join(f"WHEN '{s}' THEN {n}" for s, n in st.FOLLOWING.items())} END),
+    spans AS (SELECT doc_id, a, max(q) AS b FROM onward GROUP BY doc_id, a)
+    SELECT s.doc_id, statement, a AS start, b AS "end", string_agg(text, chr(10) ORDER BY page_num) AS text FROM spans s JOIN p ON p.doc_id = s.doc_id AND page_num BETWEEN a AND b GROUP BY ALL"""
+
+
+def statement_texts(spark, sf_dir):
+    """Each customer's statement from the page that its key names: back over continued pages, on to the next statement."""
+    found = _span_pages(spark, sf_dir)
+    starts = _customers(spark, sf_dir).select("doc_id", F.get(F.array(*map(F.lit, SPAN_NAMES)), (F.col("doc_id") % 3).cast("int")).alias("statement"), (1 + F.col("doc_id") % SPAN_PAGES).alias("page_num"))
+    return st.statement_texts(found.drop("statement"), starts)
+
+
+QUERIES["statement_texts"] = statement_texts
+ORACLE_SQL["statement_texts"] = _WALKED_SQL

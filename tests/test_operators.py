@@ -43,6 +43,8 @@ def test_line_amounts(spark):
 def test_pairs_units_and_density(spark):
     assert column(spark, ["$ 1,000 $ 2,000", "$ 10 20", "(5) (6)", "7 8", "9"], numbers.amount_pair) == [["1,000", "2,000"], ["10", "20"], ["(5)", "(6)"], ["7", "8"], []]
     assert column(spark, ["(in millions)", "In thousands", "shares in thousands", "in thousands, except in millions"], numbers.unit_divisor) == [1.0, 1000.0, 1.0, 1.0]
+    units = ["(in thousands, except number of shares in thousands)", "amounts in thousands; shares reflected in thousands", "All amounts in thousands" + " " * 4000 + "in millions", "(000s)"]
+    assert column(spark, units, numbers.unit_divisor) == [1.0, 1.0, 1000.0, 1.0]
     assert column(spark, ["1,000 and $ 5 and (7) 12345"], numbers.table_density) == [2 + 1 + 1 + 1]
     assert [x["kind"] for x in column(spark, ["-5", "1,000", "a", "12.5%"], numbers.smart_value)] == ["text", "number", "text", "number"]
 
@@ -149,7 +151,7 @@ def test_refining(spark):
     assert column(spark, rows, refine.join_parentheses, "array<string>") == [["(125)", "", "x"], ["a", "", "(3)"], ["()", "", ""]]
     assert column(spark, [["a", "$ 1 $ 2", ""], ["a", "1 2", "3"]], refine.split_amounts, "array<string>") == [["a", "1", "2"], ["a", "1 2", "3"]]
     assert column(spark, [["item", "2024 2023", "note 2020"]], refine.split_year_headers, "array<string>") == [["item", "2024", "2023", "note 2020"]]
-    assert column(spark, [["o1", " net  sales "]], refine.repair_headers, "array<string>") == [["Q1", "Net Sales"]]
+    assert column(spark, [["o1", " net  sales ", "q2", "As of December 31, 2024"]], refine.repair_headers, "array<string>") == [["o1", "net sales", "Q2", "2024"]]
     assert column(spark, [["Cash", "$", "1,234", "", "$ 5", ")"], ["x", "y"]], refine.compact_statement_rows, "array<string>") == [["Cash", "1,234", "5"], ["x", "y"]]
     wide = spark.createDataFrame([("t", 0, ["a", "b", "1", "c", "d", "2", "3", "4", "5"]), ("t", 1, ["e", "f", "1", "g", "h", "2", "3", "4", "5"])], "t string, row_no int, cells array<string>")
     assert [r["cells"] for r in refine.merge_fragments(wide, ["t"]).orderBy("row_no").collect()] == [["a b", "1", "c d", "2", "3", "4", "5"], ["e f", "1", "g h", "2", "3", "4", "5"]]
