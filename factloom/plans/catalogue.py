@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from factloom.functions import labels, lines, numbers, periods
 from factloom.operators import facts as fx
 from factloom.operators import align, glyphs, locate, markets, reconcile, refine, tables
-from factloom.plans import oracles, reports, statements
+from factloom.plans import oracles, printed, reports, statements
 from factloom.streaming import usage
 
 QUERIES: dict = {}
@@ -301,19 +301,6 @@ def html_block_scores(spark, sf_dir):
     return rows.select("page_id", F.length("shown").alias("shown_chars"), F.regexp_count("html", F.lit("<p>")).alias("paragraphs"), F.regexp_count("html", F.lit("<a ")).alias("links"))
 
 
-@query
-def unit_divisor(spark, sf_dir):
-    head = F.when(F.col("o_orderkey") % 4 == 0, "Amounts in millions").when(F.col("o_orderkey") % 4 == 1, "(in thousands)").when(F.col("o_orderkey") % 4 == 2, "shares outstanding in thousands").otherwise("none")
-    return fx.read(spark, sf_dir, "orders").select("o_orderkey", numbers.unit_divisor(head).alias("divisor"))
-
-
-@query
-def line_label_scores(spark, sf_dir):
-    words = F.array(*(F.lit(x) for x in ("Net income attributable to parent", "Net income per share", "Net earnings", "Other income", "Total revenue", "Segment revenue")))
-    rows = fx.read(spark, sf_dir, "part").select("p_partkey", F.get(words, (F.col("p_partkey") % 6).cast("int")).alias("label"))
-    return rows.select("p_partkey", labels.net_income_score(F.col("label")).alias("net_income"), labels.revenue_priority(F.col("label")).alias("revenue"), labels.cashflow_score(F.lit("Net cash from operating activities"), "operating").alias("cfo"))
-
-
 # tables -------------------------------------------------------------------------------------
 
 
@@ -613,3 +600,5 @@ QUERIES |= statements.QUERIES
 ORACLE_SQL |= statements.ORACLE_SQL
 QUERIES |= reports.QUERIES
 ORACLE_SQL |= reports.ORACLE_SQL
+QUERIES |= printed.QUERIES
+ORACLE_SQL |= printed.ORACLE_SQL

@@ -146,8 +146,6 @@ SQL: dict[str, str] = {
     "html_block_scores": r"""WITH a AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages),
         b AS (SELECT page_id, html, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM a)
         SELECT page_id, CAST(length(t) AS INT) AS shown_chars, CAST((length(html) - length(replace(html, '<p>', ''))) / 3 AS INT) AS paragraphs, CAST((length(html) - length(replace(html, '<a ', ''))) / 3 AS INT) AS links FROM b""",
-    "unit_divisor": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 1 THEN 1000.0 ELSE 1.0 END::DOUBLE AS divisor FROM orders",
-    "line_label_scores": "SELECT p_partkey, [60000, -1, 50000, 0, 0, 0][p_partkey % 6 + 1] AS net_income, [0, 0, 0, 0, 2, 1][p_partkey % 6 + 1] AS revenue, 20000 AS cfo FROM part",
     "table_structure_score": f"""WITH {CELLS}, n AS (SELECT doc_id, engine, max(row_no) + 1 AS n FROM cells GROUP BY ALL), w AS (SELECT c.*, CASE WHEN row_no < CASE WHEN n > 10 THEN 5 ELSE 3 END THEN 5 WHEN row_no >= n - 2 THEN 7 ELSE 10 END AS w FROM cells c JOIN n USING (doc_id, engine))
         SELECT doc_id, engine, round(1.0 - least(2.0 * sum(CASE WHEN text IS NULL THEN w ELSE 0 END)::DOUBLE / sum(w), 0.5), 6) AS structure FROM w GROUP BY ALL""",
     "numeric_consistency": f"WITH {CELLS}, b AS (SELECT doc_id, label, row_no, t, max(abs(t)) OVER (PARTITION BY doc_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM rr) SELECT doc_id, CASE WHEN bool_or(label = 'Total' AND abs(t) < 0.01 AND coalesce(most, 0) >= 0.01) THEN 0.3 ELSE 1.0 END::DOUBLE AS numeric FROM b GROUP BY doc_id",
