@@ -150,19 +150,21 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     rows (one row for each group of a language is ordered in one task); all else is dealt by terms.
     """
     by_lang = Window.partitionBy("lang")
-    counts = counted_terms(docs, [lang, source], text).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    lists = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("posts"))
-    # a language's row with a null term lists all its groups
-    kept = cut(lists.where((F.col("docs") >= min_docs) | F.col("term").isNull()).select("lang", "term", "posts", F.monotonically_increasing_id().alias("id")))
-    posts = kept.select("lang", "term", "id", F.inline("posts"))
-    sizes = kept.groupBy("lang").agg(F.count("term").alias("terms"))
+    # tasks have summed already, so rows are dealt out before they are summed again; a term's rows are one for each group then
+    rows = counted_terms(docs, [lang, source], text).repartition("lang", "source", "term")
+    counts = rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).repartition("lang", "term")
+    by_term = Window.partitionBy("lang", "term")
+    every = counts.withColumn("m", F.monotonically_increasing_id())
+    every = every.withColumns({"in_docs": F.sum("docs").over(by_term), "lang_n": F.sum("n").over(by_term), "id": F.min("m").over(by_term)})
+    # a language's rows with a null term are its groups
+    kept = cut(every.where((F.col("in_docs") >= min_docs) | F.col("term").isNull()).select("lang", "source", "term", "id", "n", "lang_n", (F.col("m") == F.col("id")).alias("first")))
+    sizes = kept.groupBy("lang").agg(F.count_if(F.col("first") & F.col("term").isNotNull()).alias("terms"))
     order = Window.partitionBy("lang").orderBy("source")
-    groups = posts.groupBy("lang", "source").agg(F.sum("n").alias("total")).join(sizes, "lang")
+    groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("total")).join(sizes, "lang")
     groups = groups.select("*", F.sum("total").over(by_lang).alias("lang_total"), F.count("*").over(by_lang).alias("groups"), (F.row_number().over(order) - 1).alias("g"))
     groups = cut(groups.withColumn("z", share(F.lit(0), F.col("total"), F.col("terms"))))
 
-    lang_n = F.aggregate("posts", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("lang_n")
-    found = kept.where("term is not null").select("lang", "term", "id", lang_n, F.inline("posts")).join(groups, ["lang", "source"])
+    found = kept.where("term is not null").join(groups, ["lang", "source"])
     found = found.withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
 
     over = F.col("p") - share(F.col("lang_n"), F.col("lang_total"), F.col("terms"))
