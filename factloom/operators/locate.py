@@ -1,13 +1,9 @@
-"""Finding statements in paged text, and ranking lines against the fields they may report."""
+"""Finding statements in paged text."""
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from factloom.functions import pages
@@ -85,32 +81,3 @@ def page_spans(pages: DataFrame, starts: DataFrame, stop: Column, most: int = 5)
     ends = starts.join(marks.hint("merge"), (starts["doc_id"] == marks["doc_id"]) & (marks["mark"] > starts["page_num"]), "left").groupBy(starts["doc_id"], starts["page_num"]).agg(F.min("mark").alias("mark"))
     ends = ends.select(F.col("doc_id").alias("d"), F.col("page_num").alias("start"), F.least(F.coalesce(F.col("mark") - 1, F.col("page_num") + most - 1), F.col("page_num") + most - 1).alias("end"))
     return pages.join(ends.hint("merge"), (F.col("doc_id") == F.col("d")) & F.col("page_num").between(F.col("start"), F.col("end"))).select("doc_id", "start", "page_num", "text")
-
-
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp ratio; no built-in is equivalent."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
-
-
-def label_scores(labels: DataFrame, aliases: DataFrame, accept: float = 0.55) -> DataFrame:
-    """labels (row_id, label) against aliases (field_id, alias): 1 if equal, 0.92 if one holds the other, else the ratio.
-
-    Labels are made distinct before the ratio, which is the one slow step; pairs whose lengths alone keep it below ``accept`` are left out.
-    """
-    distinct = labels.select("label").distinct()
-    pairs = distinct.join(F.broadcast(aliases), F.lit(True))
-    low = F.lower(F.trim("label"))
-    easy = F.when(low == F.col("alias"), 1.0).when(low.contains(F.col("alias")) | F.col("alias").contains(low), 0.92)
-    known = pairs.withColumn("easy", easy)
-    done = known.where("easy is not null").withColumn("score", F.col("easy"))
-    bound = 2 * F.least(F.length(low), F.length("alias")) / (F.length(low) + F.length("alias"))
-    slow = known.where(F.col("easy").isNull() & (bound >= accept)).withColumn("score", F.round(similarity(low, F.col("alias")), 6))
-    best = done.unionByName(slow).groupBy("label", "field_id").agg(F.max("score").alias("score"))
-    return labels.join(best, "label")
-
-
-def best_rows(scored: DataFrame, accept: float = 0.55) -> DataFrame:
-    """Per document and field the row with the best score (more values, then the earlier row, break ties)."""
-    order = Window.partitionBy("doc_id", "field_id").orderBy(F.desc(F.col("score") + 0.01 * F.col("n_values")), "row_no")
-    return scored.where(F.col("score") >= accept).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

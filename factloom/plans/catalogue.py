@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from factloom.functions import labels, lines, numbers, periods
 from factloom.operators import facts as fx
 from factloom.operators import align, glyphs, locate, markets, reconcile, refine, tables
-from factloom.plans import oracles, printed, reports, statements
+from factloom.plans import oracles, printed, reports, rows, statements
 from factloom.streaming import usage
 
 QUERIES: dict = {}
@@ -450,15 +450,6 @@ def locate_pages_topk(spark, sf_dir):
     return locate.pick_pages(locate.candidates(pages, titles, F.length("text")), top=2).select("doc_id", "statement", "page_num", "score")
 
 
-@query
-def best_label_row(spark, sf_dir):
-    """Part names against aliases by similarity; no SQL has this ratio."""
-    rows = fx.read(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("doc_id"), F.col("p_partkey").alias("row_no"), F.col("p_name").alias("label"), F.lit(2).alias("n_values"))
-    names = rows.select(F.lower("label").alias("alias")).distinct()
-    aliases = names.select(F.concat(F.lit("f_"), "alias").alias("field_id"), "alias")
-    return locate.best_rows(locate.label_scores(rows, aliases)).select("doc_id", "field_id", "row_no", "label", "score")
-
-
 # usage --------------------------------------------------------------------------------------
 
 
@@ -602,3 +593,5 @@ QUERIES |= reports.QUERIES
 ORACLE_SQL |= reports.ORACLE_SQL
 QUERIES |= printed.QUERIES
 ORACLE_SQL |= printed.ORACLE_SQL
+QUERIES |= rows.QUERIES
+ORACLE_SQL |= rows.ORACLE_SQL
