@@ -174,6 +174,11 @@ SQL: dict[str, str] = {
         r AS (SELECT *, max(score) OVER (PARTITION BY doc_id, statement) AS best FROM s),
         k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, statement ORDER BY page_num) AS n FROM r WHERE score >= best * 0.92) SELECT doc_id, statement, page_num, score FROM k WHERE n <= 2""",
     "usage_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS v FROM events GROUP BY ALL",
+    "rate_limit_stateful": """WITH RECURSIVE o AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE ts IS NOT NULL),
+        passed(user_id, r, ts) AS (SELECT user_id, r, ts FROM o WHERE r = 1 UNION ALL
+            SELECT p.user_id, min(o.r), arg_min(o.ts, o.r) FROM passed p JOIN o ON o.user_id = p.user_id AND o.r > p.r AND o.ts > p.ts + INTERVAL 3600 SECONDS GROUP BY p.user_id),
+        n AS (SELECT user_id, count(*) AS accepted FROM passed GROUP BY user_id)
+        SELECT user_id, accepted, count(*) - accepted AS rejected FROM o JOIN n USING (user_id) GROUP BY user_id, accepted""",
     "rate_limit_sliding": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events",
     "session_usage": """WITH l AS (SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events), s AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM l)
         SELECT user_id, session, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM s GROUP BY user_id, session""",

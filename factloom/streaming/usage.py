@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -30,31 +31,87 @@ def sliding_counts(events: DataFrame, seconds: int = 60) -> DataFrame:
     return events.select("event_id", "user_id", F.expr(frame).alias("recent"))
 
 
+def admit(accepted: list[int], t: int, seconds: int, limit: int) -> bool:
+    """Whether a request at t (microseconds) passes, after the last accepted ones, which are kept up to date in place: no more than limit of them, as older ones can't matter. A limit below 1 is none."""
+    if limit < 1:
+        return True
+    if len(accepted) == limit and accepted[0] >= t - seconds * 1_000_000:
+        return False
+    accepted.append(t)
+    del accepted[:-limit]
+    return True
+
+
 def rate_limited(events: DataFrame, seconds: int = 60, limit: int = 2) -> DataFrame:
-    """Each event with whether it is let through: at most ``limit`` accepted ones of a user in a sliding span. Rejected ones don't count.
+    """Each event with whether it is let through: at most ``limit`` accepted ones of a user within seconds, both ends included. Rejected ones don't count.
 
-    State is the accepted times of one span, so a user's events stream through in order; users are spread by key.
+    Whether a request passes hangs on all before it, so a user's events go through one task in order, with
+    ``limit`` times as state; users are spread by key. Null users count as one; events without a time are left out.
     """
-
-    ordered = events.select("event_id", "user_id", "ts").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    ordered = events.where("ts is not null").select("event_id", "user_id", micros.alias("t")).repartition("user_id").sortWithinPartitions("user_id", "t", "event_id")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, recent = None, []
+        user, accepted = object(), []
         for batch in batches:
             out = []
-            for event, who, t in zip(batch["event_id"], batch["user_id"], batch["ts"], strict=True):
+            users = batch["user_id"].astype(object).where(batch["user_id"].notna(), None)
+            for who, t in zip(users, batch["t"], strict=True):
                 if who != user:
-                    user, recent = who, []
-                recent = [x for x in recent if (t - x).total_seconds() < seconds]
-                ok = len(recent) < limit
-                if ok:
-                    recent.append(t)
-                out.append(ok)
+                    user, accepted = who, []
+                out.append(admit(accepted, t, seconds, limit))
             yield pd.DataFrame({"event_id": batch["event_id"], "user_id": batch["user_id"], "accepted": out})
 
     return ordered.mapInPandas(stream, "event_id long, user_id long, accepted boolean")
 
 
+class _Limiter(StatefulProcessor):
+    """A user's state: the last accepted times, and the events that wait for the watermark, by millisecond, each with a timer."""
+
+    def __init__(self, seconds: int, limit: int):
+        self.seconds, self.limit = seconds, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.accepted = handle.getValueState("accepted", "t array<long>")
+        self.waiting = handle.getMapState("waiting", "ms long", "t array<long>, id array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            micros = batch["ts"].astype("datetime64[us]").astype("int64")
+            for ms, part in pd.DataFrame({"t": micros, "id": batch["event_id"]}).groupby(micros // 1000):
+                # a timer fires once the watermark has passed it
+                if self.waiting.containsKey((int(ms),)):
+                    t, ids = self.waiting.getValue((int(ms),))
+                else:
+                    t, ids = [], []
+                    self.handle.registerTimer(int(ms) + 1)
+                self.waiting.updateValue((int(ms),), ([*t, *map(int, part["t"])], [*ids, *map(int, part["id"])]))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ms = expiredTimerInfo.getExpiryTimeInMs() - 1
+        t, ids = self.waiting.getValue((ms,))
+        self.waiting.removeKey((ms,))
+        accepted = list(self.accepted.get()[0]) if self.accepted.exists() else []
+        out = [(i, key[0], admit(accepted, at, self.seconds, self.limit)) for at, i in sorted(zip(t, ids, strict=True))]
+        self.accepted.update((accepted,))
+        yield pd.DataFrame(out, columns=["event_id", "user_id", "accepted"])
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limited_stream(events: DataFrame, seconds: int = 60, limit: int = 2) -> DataFrame:
+    """rate_limited() of a stream with a watermark on ts (read_stream): an event is decided once the watermark has passed it, so that earlier ones may still come in.
+
+    Later events than the watermark allows are left out, as everywhere in streams. Needs Spark's RocksDB state store
+    (spark.sql.streaming.stateStore.providerClass); state survives a restart with the query's checkpoint.
+    """
+    rows = events.where("ts is not null and user_id is not null").select("user_id", "event_id", "ts")
+    return rows.groupBy("user_id").transformWithStateInPandas(statefulProcessor=_Limiter(seconds, limit), outputStructType="event_id long, user_id long, accepted boolean", outputMode="append", timeMode="eventTime")
+
+
 def sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
     """(user_id, session, started, ended, n): a new session after a pause longer than minutes; lag and a running sum."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
