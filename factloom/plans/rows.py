@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factloom.operators import facts as fx
-from factloom.operators import ranking
+from factloom.operators import matches, ranking
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -68,3 +68,49 @@ ORACLE_SQL["reported_rows"] = f"""WITH lines AS (SELECT l_orderkey AS doc_id, CA
     ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, field_id ORDER BY tie DESC, CASE WHEN field_id = 'net_income' THEN CASE WHEN contains(norm, 'attributable to') THEN 2 WHEN ends_with(norm, 'holding limited') AND regexp_full_match(f, 'net income(?: \\(loss\\))?') THEN 1 ELSE 0 END
         WHEN field_id = 'revenue' THEN CASE WHEN regexp_matches(norm, '{ranking.TOTAL_REVENUE}') THEN 2 WHEN regexp_matches(norm, '{ranking.SEGMENT_REVENUE}') THEN 1 ELSE 0 END ELSE 0 END DESC, row_no) AS r FROM named)
     SELECT doc_id, field_id, row_no, label, CAST(score AS DOUBLE) AS score FROM ranked WHERE r = 1 AND score >= {SURE}"""
+
+
+# lines of statements ---------------------------------------------------------------------------
+
+#: Statements printed for each order: {a} and {b} are amounts of the order; of each the fields that are found, the words at which, and their amounts.
+STATEMENTS = {
+    ("income", 0): ("Net sales {a} {b} Cost of sales {b} Gross profit {b} {a} Operating income {a} {b} {a} Net income {b} {a}", {"revenue": ("net sales", "abb"), "gross_profit": ("gross profit", "baa"), "operating_income": ("operating income", "aba"), "net_income": ("net income", "ba")}),
+    ("income", 1): ("Other operating income {b} {a} {a} Total net revenues {a} {b} {a} Net income before income taxes {a} and then what is left to all of the owners of the company and to the others, with all of the parts of it. Net income attributable to Acme {b} {a} {b}", {"revenue": ("total net revenues", "aba"), "net_income": ("net income attributable", "bab")}),
+    ("income", 2): ("Sales, without a total. Net sales {b} {b} {b} Non-operating income {a} Gross margin {a} {b} 1995", {"revenue": ("net sales", "bbb"), "gross_profit": ("gross margin", "ab")}),
+    ("income", 3): ("Comprehensive income {a} and nothing else", {}),
+    ("balance", 0): ("Cash and cash equivalents {a} {b} Total assets {b} {a} Total liabilities {a} {b} Total liabilities and equity {b}", {"cash": ("cash and cash", "ab"), "total_assets": ("total assets", "ba")}),
+    ("balance", 1): ("Cash and cash equivalents 150 and {a} Total assets {a} Total liabilities {b} {b} and that is all that there is to be said of the things that are owed to others, as of the end of the year", {"total_assets": ("total assets", "a"), "total_liabilities": ("total liabilities", "bb")}),
+    ("balance", 2): ("Total assets of the year: none", {}),
+    ("balance", 3): ("Total\nassets\t{b}   {a}", {"total_assets": ("total assets", "ba")}),
+    ("cashflow", 0): ("Net cash provided by operating activities {a} {b}", {"cfo": ("net cash", "ab")}), ("cashflow", 1): ("Net cash (used in) operating activities ({a}) and ({b})", {"cfo": ("net cash", "AB")}),
+    ("cashflow", 2): ("Net cash from investing activities {a}", {}), ("cashflow", 3): ("First {a}. Net cash from operating activities {b} {a} {a} {b}", {"cfo": ("net cash", "baa")}),
+}
+
+
+def _statement_texts(spark, sf_dir):
+    orders = fx.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    a, b = F.format_number(F.col("o_custkey") + 10_000, 0), F.format_number(F.floor("o_totalprice") + 10_000, 0)
+    kinds = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(t).alias("t")) for (s, _), (t, _) in STATEMENTS.items()))
+    kind = F.get(kinds, (F.col("o_orderkey") % len(STATEMENTS)).cast("int"))
+    return orders.select(F.col("o_orderkey").alias("doc_id"), kind["s"].alias("statement"), F.replace(F.replace(kind["t"], F.lit("{a}"), a), F.lit("{b}"), b).alias("text"))
+
+
+def located_lines(spark, sf_dir):
+    """The line of each field in orders' statements: where it stands and its amounts."""
+    found = matches.best_lines(matches.line_matches(_statement_texts(spark, sf_dir)))
+    return found.select("doc_id", "field_id", "place", F.array_join(F.transform("amounts", lambda x: x.cast("long").cast("string")), "|").alias("amounts"))
+
+
+def _located_lines_sql() -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    known = {"a": "a", "b": "b", "A": "-a", "B": "-b"}
+    each = []
+    for k, (text, fields) in enumerate(STATEMENTS.values()):
+        shown = f"replace(replace({quoted(' '.join(text.split()))}, '{{a}}', format('{{:,}}', a)), '{{b}}', format('{{:,}}', b))"
+        for field, (words, amounts) in fields.items():
+            each.append(f"SELECT doc_id, '{field}' AS field_id, CAST(strpos(lower({shown}), {quoted(words)}) - 1 AS INTEGER) AS place, concat_ws('|', {', '.join(known[x] for x in amounts)}) AS amounts FROM v WHERE k = {k}")
+    return f"WITH v AS (SELECT o_orderkey AS doc_id, o_orderkey % {len(STATEMENTS)} AS k, CAST(o_custkey + 10000 AS BIGINT) AS a, CAST(floor(o_totalprice) + 10000 AS BIGINT) AS b FROM orders) " + " UNION ALL ".join(each)
+
+
+QUERIES["located_lines"] = located_lines
+ORACLE_SQL["located_lines"] = _located_lines_sql()
