@@ -46,8 +46,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def connected_components(edges: DataFrame, max_rounds: int = 60, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """edges (a, b) of one orderable type -> (node, component), component the smallest node reachable.
 
-    Self-loops keep a node in the result. Up to local_edges rows go to one task. Beyond, each round pre-aggregates the smallest neighbour and
-    joins it back, so a node with very many neighbours is never gathered in one task; rounds are
+    Self-loops keep a node in the result. Up to local_edges rows, a bounded number, go to one task. Beyond, each round pre-aggregates the smallest
+    neighbour and joins it back; the edges of one node, two ids each, then meet in one task's sorted rows, but no task holds them at once. Rounds are
     checkpointed, and their number grows with the logarithm of the longest path.
     """
     kind = edges.schema["a"].dataType

@@ -184,7 +184,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     Items of fewer than window template tokens are matched whole, those of fewer than least never
     (they are common phrases); windows of which more than half are slots count with the item's own
     values only. Null texts
-    have no tokens. Repeated rows give a row each; an empty table gives none.
+    have no tokens. Repeated rows give a row each; an empty table gives none. A text of any length is
+    read whole by one task, which holds its tokens and window hashes (some 30 bytes for each token).
     """
     marked, known, lengths, bits = with_hits(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("text")), benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")), "text", window, least, max_bits)
     rows = cut(marked.where("_hit").drop("_hit").withColumn("_row", F.monotonically_increasing_id()))
@@ -193,7 +194,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, least: int = 6, max_bits: int = 1 << 25) -> DataFrame:
-    """docs without the rows that find_leaks() would name; only rows with a possible hit are joined. Columns keep their names."""
+    """docs without the rows that find_leaks() would name; only rows with a possible hit are joined. Columns keep their names.
+
+    Null and empty texts stay, repeated rows stay or go together, an empty table stays empty; long texts are read as in find_leaks().
+    """
     names = [f"c{i}" for i in range(len(docs.columns))]
     body = names[[c.lower() for c in docs.columns].index(text.lower())]
     marked, known, lengths, bits = with_hits(docs.toDF(*names), benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")), body, window, least, max_bits)

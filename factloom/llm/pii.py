@@ -177,7 +177,8 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_
     Equal values get equal pseudonyms under one key, in every document; within a kind no two get
     the same. A null text stays null and counts 0; other columns stay as they are, but for one called
     like count. Text around the values is kept to the byte. Only texts with a digit or an @ are
-    searched.
+    searched. Repeated rows are rewritten alike, an empty table stays empty; a text of any length is
+    rewritten whole, and its values are held at once.
     """
     whole = "|".join(f"(?:{k.pattern})" for k in KINDS)
     # the one back reference must point at its group's number in the joint pattern

@@ -212,5 +212,10 @@ def score_documents(docs: DataFrame, field: QualityField, key: str = "doc_id", t
 
 
 def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_docs: int = 3000, max_chars: int = 100_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fit on at most max_docs labelled rows that aren't held out, and score every row of docs."""
+    """Fit on at most max_docs labelled rows that aren't held out, and score every row of docs.
+
+    Null and empty texts have one empty line and are scored as such; texts of any length are scored whole.
+    A score of 0.7 exactly predicts 1. Repeated rows are scored alike, an empty table gives no rows; rows
+    without labels, and columns other than key and text, are no input.
+    """
     return score_documents(docs, fit(labelled_sample(docs, labels, label, max_docs, max_chars, key, text)), key, text)

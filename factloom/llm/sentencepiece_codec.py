@@ -264,7 +264,7 @@ def codec(path: str) -> SentencePieceCodec:
 
 
 def encode_documents(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 and (keep_ids) ids of every row of docs; a null text is an empty one. Other columns are dropped.
+    """key, n_tokens, ids_sha256, decoded_sha256 and (keep_ids) ids of every row of docs; a null text is an empty one. Other columns are dropped; repeated rows give repeated rows, an empty table none.
 
     The model's path must be readable on all executors; tokens of a document stay in one row.
     """
