@@ -205,9 +205,10 @@ def refined_tables(spark, sf_dir):
     return refine.refine_tables(found, ["doc_id"]).select("doc_id", "row_no", F.array_join("cells", "|").alias("cells"))
 
 
-@query("""SELECT o_orderkey AS doc_id, 'a b|c d|1|x|2|3|4' AS cells FROM orders""")
+@query("""SELECT o_orderkey AS doc_id, o_orderstatus || ' b|c ' || o_orderstatus || '|' || o_custkey || '|x|' || CAST(floor(o_totalprice) AS BIGINT) || '|3|' || o_orderkey AS cells FROM orders""")
 def merged_fragments(spark, sf_dir):
-    row = F.array(*(F.lit(x) for x in ("a", "b", "c", "d", "1", "x", "2", "3", "4")))
+    """Nine columns, of which those without digits are joined in pairs."""
+    row = F.array("o_orderstatus", F.lit("b"), F.lit("c"), "o_orderstatus", F.col("o_custkey").cast("string"), F.lit("x"), F.floor("o_totalprice").cast("string"), F.lit("3"), F.col("o_orderkey").cast("string"))
     found = fx.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("row_no"), row.alias("cells"))
     return refine.merge_fragments(found, ["doc_id"]).select("doc_id", F.array_join("cells", "|").alias("cells"))
 
