@@ -49,7 +49,19 @@ def merge_grids(rows: DataFrame) -> DataFrame:
     return rows.withColumn("filled", filled).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def statement_scores(pages: DataFrame, signals: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, page_num, statement, score): for each signal (statement, pattern, points) found in a page its points."""
-    met = pages.join(F.broadcast(signals), F.expr(f"{text} rlike pattern"))
-    return met.groupBy("doc_id", "page_num", "statement").agg(F.sum("points").alias("score"))
+def statement_scores(pages: DataFrame, signals: DataFrame, text: str = "text", most: int = 500) -> DataFrame:
+    """(doc_id, page_num, statement, score): for each signal (statement, pattern, points) found in a page its points; pages without any signal of a statement give no row for it.
+
+    The signals, ``most`` at most, become expressions of the scan, so pages meet no join and no shuffle.
+    """
+    rows = signals.select("statement", "pattern", "points").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} signals")
+    each = []
+    for statement in dict.fromkeys(r["statement"] for r in rows):
+        points = F.array_compact(F.array(*(F.when(F.col(text).rlike(r["pattern"]), F.lit(r["points"]).cast("long")) for r in rows if r["statement"] == statement)))
+        each.append(F.struct(F.lit(statement).alias("statement"), F.when(F.size(points) > 0, F.aggregate(points, F.lit(0).cast("long"), lambda a, x: a + x)).alias("score")))
+    if not each:
+        return pages.select("doc_id", "page_num", F.lit("").alias("statement"), F.lit(0).cast("long").alias("score")).limit(0)
+    met = pages.select("doc_id", "page_num", F.explode(F.array(*each)).alias("x")).where("x.score is not null")
+    return met.select("doc_id", "page_num", "x.statement", "x.score")
