@@ -24,21 +24,26 @@ YEAR = r"\b(20\d{2})\b"
 PERIOD = "struct<period_end:string,label:string,year:int>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once and named once in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def iso_date(year: Column, month: Column, day: Column) -> Column:
     """yyyy-MM-dd with the day cut to the month's end; months outside 1 to 12 are null."""
-    first = F.when(month.between(1, 12) & year.between(1, 9999), F.make_date(year.cast("int"), F.when(month.between(1, 12), month).otherwise(1).cast("int"), F.lit(1)))
-    return F.date_format(F.date_add(first, F.least(day.cast("int"), F.dayofmonth(F.last_day(first))) - 1), "yyyy-MM-dd")
 
+    def in_month(x: Column) -> Column:
+        first = F.when(x["m"].between(1, 12) & x["y"].between(1, 9999), F.make_date(x["y"].cast("int"), F.when(x["m"].between(1, 12), x["m"]).otherwise(1).cast("int"), F.lit(1)))
+        return let(first, lambda f: F.date_format(F.date_add(f, F.least(x["d"].cast("int"), F.dayofmonth(F.last_day(f))) - 1), "yyyy-MM-dd"))
 
-def month_number(name: Column) -> Column:
-    """Of a month's name, short or long, or of its number in digits."""
-    at = F.call_function("instr", F.lit("".join(m[:3] for m in MONTHS)), F.lower(F.substring(name, 1, 3)))
-    return F.when(name.rlike("^[0-9]+$"), name.cast("int")).when(F.length(name) >= 3, F.when(at % 3 == 1, ((at + 2) / 3).cast("int")))
+    # inside of other lambdas nothing is computed once by itself
+    return let(F.struct(year.alias("y"), month.alias("m"), day.alias("d")), in_month)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once and named once in the plan."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def month_number(name: Column) -> Column:
+    """Of a month's name, short or long, or of its number in digits."""
+    at = lambda n: F.call_function("instr", F.lit("".join(m[:3] for m in MONTHS)), F.lower(F.substring(n, 1, 3)))
+    return let(name, lambda n: F.when(n.rlike("^[0-9]+$"), n.cast("int")).when(F.length(n) >= 3, let(at(n), lambda i: F.when(i % 3 == 1, ((i + 2) / 3).cast("int")))))
 
 
 def _ends(periods: Column) -> Column:
@@ -53,7 +58,8 @@ def _first_of_each(periods: Column) -> Column:
 def _dated(head: Column, shape: tuple) -> Column:
     pattern, (y, m, d) = shape
     part = lambda x, i: F.regexp_extract(x, pattern, i)
-    one = lambda x: F.struct(iso_date(part(x, y).cast("int"), month_number(part(x, m)), part(x, d).cast("int")).alias("period_end"), F.trim(x).alias("label"), part(x, y).cast("int").alias("year"))
+    dated = lambda x, year: F.struct(iso_date(year, month_number(part(x, m)), part(x, d).cast("int")).alias("period_end"), F.trim(x).alias("label"), year.alias("year"))
+    one = lambda x: let(part(x, y).cast("int"), lambda year: dated(x, year))
     found = F.transform(F.regexp_extract_all(head, F.lit(pattern), F.lit(0)), one)
     return _first_of_each(F.filter(found, lambda x: x["period_end"].isNotNull()))
 
@@ -92,8 +98,9 @@ def statement_periods(text: Column, most: int = 5) -> Column:
     def read(head: Column) -> Column:
         chinese = F.when(head.rlike(CHINESE_ENDED[0]), _dated(head, CHINESE_ENDED)).otherwise(_dated(head, CHINESE))
         years = F.transform(F.array_distinct(F.regexp_extract_all(F.substring(head, 1, 1000), F.lit(YEAR), F.lit(1))), bare)
-        ways = F.transform(F.array(_dated(head, MONTH_FIRST), _dated(head, MONTH_FIRST_LOOSE), chinese, _dated(head, DAY_FIRST)), _reporting)
-        found = F.get(F.filter(ways, lambda w: F.size(w) >= 2), F.lit(0))
+        ways = (_dated(head, MONTH_FIRST), _dated(head, MONTH_FIRST_LOOSE), chinese, _dated(head, DAY_FIRST))
+        # coalesce stops at the first way that is good; the others are not read
+        found = F.coalesce(*(let(_reporting(w), lambda r: F.when(F.size(r) >= 2, r)) for w in ways))
         return F.struct(found.alias("found"), _reporting(year_columns(head)).alias("block"), years.alias("years"))
 
     def chosen(x: Column) -> Column:

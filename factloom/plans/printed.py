@@ -16,6 +16,8 @@ from factloom.operators import grids, refine, tables
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+#: A rule takes up to half a millisecond a part, so one task takes few.
+PARTS_A_TASK = 4000
 
 #: What templates may name: k 1 to 50, n a number of four digits or more with commas (i plain, n1 the next one), y a year and the two before, w a word, M a month with its day d.
 def _values():
@@ -50,7 +52,8 @@ def printed(name: str, kind: str, rule, templates: dict[str, str]) -> None:
     def run(spark, sf_dir):
         known = _values()
         chosen = F.get(F.array(*(text(x, known) for x in templates)), (F.col("p_partkey") % n).cast("int"))
-        return fx.read(spark, sf_dir, "part").select("p_partkey", chosen.alias("text")).select("p_partkey", rule(F.col("text")).alias("found"))
+        parts = fx.dealt(fx.read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey", PARTS_A_TASK)
+        return parts.select("p_partkey", chosen.alias("text")).select("p_partkey", rule(F.col("text")).alias("found"))
 
     run.__name__ = name
     shown = {"M": "mname"}
