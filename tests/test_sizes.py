@@ -16,7 +16,7 @@ def one_file(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["balance_sheet_periods", "ends_of_wanted_years", "header_dates"])
+@pytest.mark.parametrize("name", ["balance_sheet_periods", "ends_of_wanted_years", "header_dates", "header_periods_of_columns"])
 def test_parts_are_dealt_to_tasks(spark, one_file, name):
     got = catalogue.QUERIES[name](spark, one_file)
     assert got.count() == 12_000 and got.rdd.getNumPartitions() >= 3
