@@ -18,7 +18,7 @@ def to_number(text: Column, junk: str = r"[,\s¥$€£]|CHF") -> Column:
 
 def clean_cell(text: Column) -> Column:
     """A cell's text for comparison: no thousands marks, spaces or currency; null is empty."""
-    return F.coalesce(F.regexp_replace(F.regexp_replace(F.trim(text), r"[,\s¥$]", ""), "−", "-"), F.lit(""))
+    return F.coalesce(F.translate(F.trim(text), "−, \t\n\x0b\f\r¥$", "-"), F.lit(""))
 
 
 def grid_cell(text: Column) -> Column:

@@ -100,16 +100,21 @@ def compact_statement_rows(cells: Column) -> Column:
     return F.when(F.size(amounts) >= 2, F.concat(F.array(F.coalesce(label, F.lit(""))), amounts)).otherwise(cells)
 
 
-def greedy_pairs(scores: DataFrame) -> DataFrame:
-    """(page..., a, b, score) one-to-one: a's tables in order take the best unused table of b; a fold over a page's few tables."""
-    rows = scores.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("a", (-F.col("score")).alias("minus"), "b"))).alias("rows"))
+def greedy(rows: Column) -> Column:
+    """Of a page's pairs (a, minus, b), sorted, an array of (a, b, score): a's tables in order take the best unused table of b."""
     start = F.struct(F.array().cast("array<int>").alias("xs"), F.array().cast("array<int>").alias("ys"), F.array().cast("array<struct<a:int,b:int,score:double>>").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:
         free = ~F.array_contains(acc["xs"], r["a"]) & ~F.array_contains(acc["ys"], r["b"])
         return F.when(free, F.struct(F.array_append(acc["xs"], r["a"]).alias("xs"), F.array_append(acc["ys"], r["b"]).alias("ys"), F.array_append(acc["out"], F.struct(r["a"].alias("a"), r["b"].alias("b"), (-r["minus"]).alias("score"))).alias("out"))).otherwise(acc)
 
-    return rows.select("doc_id", "page_num", F.explode(F.aggregate("rows", start, step)["out"]).alias("m")).select("doc_id", "page_num", "m.a", "m.b", "m.score")
+    return F.aggregate(rows, start, step)["out"]
+
+
+def greedy_pairs(scores: DataFrame) -> DataFrame:
+    """(page..., a, b, score) one-to-one: a's tables in order take the best unused table of b; a fold over a page's few tables."""
+    rows = scores.groupBy("doc_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("a", (-F.col("score")).alias("minus"), "b"))).alias("rows"))
+    return rows.select("doc_id", "page_num", F.explode(greedy(F.col("rows"))).alias("m")).select("doc_id", "page_num", "m.a", "m.b", "m.score")
 
 
 def total_label(rows: DataFrame, keys: list[str], label: str = "合计", tolerance: float = 0.02) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -304,22 +305,39 @@ def html_block_scores(spark, sf_dir):
 # tables -------------------------------------------------------------------------------------
 
 
-def _cells(spark, sf_dir):
-    """Orders of up to 7 lines as tables of two engines: quantity, price and tax, then a total row. The second engine loses some cells."""
+#: A line becomes ten cells or so; the tables of so many lines are one task's.
+LINES_A_TASK = 75_000
+
+
+def _tables(spark, sf_dir):
+    """Orders of up to 7 lines as tables of two engines: quantity, price and tax, then a total row. The second engine loses some cells.
+
+    A table is a row with its cells as an array; an order's lines are dealt to one task, which then has all of its tables.
+    """
     lines = fx.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round("l_quantity").cast("bigint").alias("q"), F.floor("l_extendedprice").cast("bigint").alias("p"), F.round(F.col("l_tax") * 100).cast("bigint").alias("t"))
-    one = lines.groupBy("l_orderkey", "l_linenumber").agg(F.sum("q").alias("q"), F.sum("p").alias("p"), F.sum("t").alias("t"))
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
-    rows = one.withColumn("row_no", F.row_number().over(order).cast("int")).select("l_orderkey", "row_no", F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("label"), "q", "p", "t")
-    totals = rows.groupBy("l_orderkey").agg((F.max("row_no") + 1).alias("row_no"), F.sum("q").alias("q"), F.sum("p").alias("p"), F.when(F.col("l_orderkey") % 60 == 0, 0).otherwise(F.sum("t")).alias("t")).select("l_orderkey", "row_no", F.lit("Total").alias("label"), "q", "p", "t")
-    text = F.array(F.struct(F.lit(0).alias("col_no"), F.lit("item").alias("header"), F.col("label").alias("text")), *(F.struct(F.lit(i).alias("col_no"), F.lit(h).alias("header"), F.col(c).cast("string").alias("text")) for i, (c, h) in enumerate((("q", "qty"), ("p", "price"), ("t", "tax")), 1)))
-    cells = rows.unionByName(totals).select(F.col("l_orderkey").alias("doc_id"), "row_no", F.explode(text).alias("c")).select("doc_id", F.lit(1).alias("page_num"), F.lit(0).alias("table_index"), "row_no", "c.col_no", "c.header", "c.text")
-    lost = (F.col("doc_id") + F.col("row_no") * 3 + F.col("col_no")) % 11 == 0
-    return cells.withColumn("engine", F.lit("docling")).unionByName(cells.withColumns({"engine": F.lit("pdfplumber"), "text": F.when(~lost, F.col("text"))}))
+    one = fx.dealt(lines, "l_orderkey", LINES_A_TASK).groupBy("l_orderkey", "l_linenumber").agg(F.sum("q").alias("q"), F.sum("p").alias("p"), F.sum("t").alias("t"))
+    orders = one.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "q", "p", "t"))).alias("lines"), F.sum("q").alias("q"), F.sum("p").alias("p"), F.when(F.col("doc_id") % 60 == 0, 0).otherwise(F.sum("t")).alias("t"))
+    named = lambda **parts: F.named_struct(*(x for k, v in parts.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))))
+    body = F.transform("lines", lambda x, i: named(row_no=i + 1, label=F.concat(F.lit("line "), x["l_linenumber"].cast("string")), q=x["q"], p=x["p"], t=x["t"]))
+    rows = F.concat(body, F.array(named(row_no=F.size("lines") + 1, label="Total", q=F.col("q"), p=F.col("p"), t=F.col("t"))))
+    engines = orders.select("doc_id", rows.alias("rows")).select("doc_id", "rows", F.explode(F.array(F.lit("docling"), F.lit("pdfplumber"))).alias("engine"))
+
+    def cell(row, c, header, text):
+        lost = (F.col("engine") == "pdfplumber") & ((F.col("doc_id") + row["row_no"] * 3 + c) % 11 == 0)
+        return named(row_no=row["row_no"], col_no=c, header=header, text=F.when(~lost, text))
+
+    cells = F.flatten(F.transform("rows", lambda x: F.array(cell(x, 0, "item", x["label"]), *(cell(x, c, h, x[h[0]].cast("string")) for c, h in enumerate(("qty", "price", "tax"), 1)))))
+    return engines.select("doc_id", F.lit(1).alias("page_num"), F.lit(0).alias("table_index"), "engine", cells.alias("cells"))
+
+
+def _cells(spark, sf_dir):
+    """The cells of _tables(), a row each. No table is empty; an outer explode has no filter, which would print every table twice."""
+    return _tables(spark, sf_dir).select("doc_id", "page_num", "table_index", "engine", F.explode_outer("cells").alias("c")).select("doc_id", "page_num", "table_index", "c.row_no", "c.col_no", "c.header", "c.text", "engine")
 
 
 @query
 def table_structure_score(spark, sf_dir):
-    return tables.structure_scores(_cells(spark, sf_dir)).select("doc_id", "engine", F.round("structure", 6).alias("structure"))
+    return tables.structure_scores(_tables(spark, sf_dir)).select("doc_id", "engine", F.round("structure", 6).alias("structure"))
 
 
 @query
@@ -329,18 +347,18 @@ def numeric_consistency(spark, sf_dir):
 
 @query
 def cross_engine_jaccard(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
+    cells = _tables(spark, sf_dir)
     return tables.column_agreement(cells.where("engine = 'docling'"), cells.where("engine = 'pdfplumber'")).select("doc_id", F.round("agreement", 6).alias("agreement"))
 
 
 @query
 def table_quality(spark, sf_dir):
-    return tables.table_scores(_cells(spark, sf_dir)).select("doc_id", "engine", "n_rows", "n_cols", F.round("score", 6).alias("score"))
+    return tables.table_scores(_tables(spark, sf_dir)).select("doc_id", "engine", "n_rows", "n_cols", F.round("score", 6).alias("score"))
 
 
 @query
 def merge_best_table(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
+    cells = _tables(spark, sf_dir)
     cross = tables.column_agreement(cells.where("engine = 'docling'"), cells.where("engine = 'pdfplumber'"))
     return tables.best_tables(tables.table_scores(cells), cross).select("doc_id", "engine")
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.plans import catalogue
+from tests.test_catalogue import SF
 
 
 @pytest.fixture(scope="module")
@@ -20,3 +21,13 @@ def one_file(spark, tmp_path_factory):
 def test_parts_are_dealt_to_tasks(spark, one_file, name):
     got = catalogue.QUERIES[name](spark, one_file)
     assert got.count() == 12_000 and got.rdd.getNumPartitions() >= 3
+
+
+@pytest.mark.parametrize("name", ["merge_best_table"])
+def test_lines_are_dealt_once(spark, monkeypatch, name):
+    """An order's tables stay in the task that its lines were dealt to: nothing asks for a further shuffle."""
+    monkeypatch.setattr(catalogue, "LINES_A_TASK", 500)
+    got = catalogue.QUERIES[name](spark, SF)
+    assert got.count() > 1000 and got.rdd.getNumPartitions() == 12
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan and "Broadcast" not in plan
