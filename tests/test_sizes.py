@@ -23,7 +23,7 @@ def test_parts_are_dealt_to_tasks(spark, one_file, name):
     assert got.count() == 12_000 and got.rdd.getNumPartitions() >= 3
 
 
-@pytest.mark.parametrize("name", ["merge_best_table", "cross_engine_jaccard", "total_row_check", "numeric_consistency", "column_summary", "table_quality"])
+@pytest.mark.parametrize("name", ["merge_best_table", "cross_engine_jaccard", "total_row_check", "numeric_consistency", "column_summary", "table_quality", "table_structure_score"])
 def test_lines_are_dealt_once(spark, monkeypatch, name):
     """An order's tables stay in the task that its lines were dealt to: nothing asks for a further shuffle."""
     monkeypatch.setattr(catalogue, "LINES_A_TASK", 500)
