@@ -33,7 +33,7 @@ def test_lines_are_dealt_once(spark, monkeypatch, name):
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["refined_tables", "statement_page_candidates", "table_similarity"])
+@pytest.mark.parametrize("name", ["refined_tables", "statement_page_candidates", "table_similarity", "unpacked_grid_rows"])
 def test_orders_are_dealt(spark, monkeypatch, name):
     monkeypatch.setattr(statements, "ORDERS_A_TASK", 100)
     assert "REPARTITION_BY_NUM" in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
