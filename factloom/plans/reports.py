@@ -83,9 +83,13 @@ def _printed_sql(template: str, amount: str) -> str:
     return f"replace(replace({template}, '{{a}}', concat_ws(' ', {', '.join(shown)})), '{{b}}', {shown[0]})"
 
 
+#: A customer's pages take some five milliseconds.
+CUSTOMERS_A_TASK = 500
+
+
 def _customers(spark, sf_dir):
-    # the table is one small file here, and printing should not be one task
-    rows = fx.read(spark, sf_dir, "customer").repartition("c_custkey").select("c_custkey", (F.floor(F.abs("c_acctbal")) + 10_000).cast("long").alias("amount"))
+    # the table is one small file here, and printing should not be one task, nor adaptive execution make it one again
+    rows = fx.dealt(fx.read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_custkey", CUSTOMERS_A_TASK).select("c_custkey", (F.floor(F.abs("c_acctbal")) + 10_000).cast("long").alias("amount"))
     market = F.get(F.array(*map(F.lit, sr.MARKETS)), (F.col("c_custkey") % 3).cast("int"))
     return rows.select(F.col("c_custkey").alias("doc_id"), market.alias("market"), F.floor(F.col("c_custkey") / 3).cast("long").alias("n"), "amount")
 

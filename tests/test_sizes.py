@@ -37,3 +37,11 @@ def test_lines_are_dealt_once(spark, monkeypatch, name):
 def test_orders_are_dealt(spark, monkeypatch, name):
     monkeypatch.setattr(statements, "ORDERS_A_TASK", 100)
     assert "REPARTITION_BY_NUM" in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_customers_are_dealt(spark, monkeypatch):
+    """located_statements: adaptive execution leaves the dealing as it is."""
+    monkeypatch.setattr(reports, "CUSTOMERS_A_TASK", 10)
+    assert reports._customers(spark, SF).rdd.getNumPartitions() == 15
+
+
