@@ -45,3 +45,6 @@ def test_customers_are_dealt(spark, monkeypatch):
     assert reports._customers(spark, SF).rdd.getNumPartitions() == 15
 
 
+def test_few_labels_go_to_the_rows(spark):
+    """reported_rows: rows aren't gathered by a few labels."""
+    assert "BroadcastHashJoin" in catalogue.QUERIES["reported_rows"](spark, SF)._jdf.queryExecution().executedPlan().toString()
