@@ -322,12 +322,16 @@ def _tables(spark, sf_dir):
     rows = F.concat(body, F.array(named(row_no=F.size("lines") + 1, label="Total", q=F.col("q"), p=F.col("p"), t=F.col("t"))))
     engines = orders.select("doc_id", rows.alias("rows")).select("doc_id", "rows", F.explode(F.array(F.lit("docling"), F.lit("pdfplumber"))).alias("engine"))
 
-    def cell(row, c, header, text):
+    def text(row, c, value):
         lost = (F.col("engine") == "pdfplumber") & ((F.col("doc_id") + row["row_no"] * 3 + c) % 11 == 0)
-        return named(row_no=row["row_no"], col_no=c, header=header, text=F.when(~lost, text))
+        return F.when(~lost, value)
 
-    cells = F.flatten(F.transform("rows", lambda x: F.array(cell(x, 0, "item", x["label"]), *(cell(x, c, h, x[h[0]].cast("string")) for c, h in enumerate(("qty", "price", "tax"), 1)))))
-    return engines.select("doc_id", F.lit(1).alias("page_num"), F.lit(0).alias("table_index"), "engine", cells.alias("cells"))
+    heads = ("item", "qty", "price", "tax")
+    every = lambda values: F.flatten(F.array_repeat(F.array(*(F.lit(v) for v in values)), F.size("rows")))
+    texts = F.transform("rows", lambda x: F.array(text(x, 0, x["label"]), *(text(x, c, x[h[0]].cast("string")) for c, h in enumerate(heads[1:], 1))))
+    # cells are zipped from a table's arrays: structs made one by one in a lambda take most of the time
+    parts = engines.withColumns({"row_no": F.flatten(F.transform("rows", lambda x: F.array_repeat(x["row_no"], len(heads)))), "col_no": every(range(len(heads))), "header": every(heads), "text": F.flatten(texts)})
+    return parts.select("doc_id", F.lit(1).alias("page_num"), F.lit(0).alias("table_index"), "engine", F.arrays_zip("row_no", "col_no", "header", "text").alias("cells"))
 
 
 def _cells(spark, sf_dir):
@@ -347,8 +351,7 @@ def numeric_consistency(spark, sf_dir):
 
 @query
 def cross_engine_jaccard(spark, sf_dir):
-    cells = _tables(spark, sf_dir)
-    return tables.column_agreement(cells.where("engine = 'docling'"), cells.where("engine = 'pdfplumber'")).select("doc_id", F.round("agreement", 6).alias("agreement"))
+    return tables.engine_agreement(_tables(spark, sf_dir), "docling", "pdfplumber").select("doc_id", F.round("agreement", 6).alias("agreement"))
 
 
 @query
@@ -359,7 +362,7 @@ def table_quality(spark, sf_dir):
 @query
 def merge_best_table(spark, sf_dir):
     cells = _tables(spark, sf_dir)
-    cross = tables.column_agreement(cells.where("engine = 'docling'"), cells.where("engine = 'pdfplumber'"))
+    cross = tables.engine_agreement(cells, "docling", "pdfplumber")
     return tables.best_tables(tables.table_scores(cells), cross).select("doc_id", "engine")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.operators import tables
 from factloom.plans import catalogue, reports, statements
 from tests.test_catalogue import SF
 
@@ -48,3 +49,18 @@ def test_customers_are_dealt(spark, monkeypatch):
 def test_few_labels_go_to_the_rows(spark):
     """reported_rows: rows aren't gathered by a few labels."""
     assert "BroadcastHashJoin" in catalogue.QUERIES["reported_rows"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["cross_engine_jaccard", "merge_best_table"])
+def test_engines_meet_in_one_pass(spark, name):
+    """A page's tables of two engines are worked out once for their agreement; only best_tables() joins."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == plan.count("SortMergeJoin") + 1 == (2 if name == "merge_best_table" else 1)
+
+
+def test_one_pass_agrees_with_the_join(spark):
+    """Pages with several tables, with one engine, with header rows alone, and without a number."""
+    rows = [(d, p, i, e, r, c, f"h{c}", str(r * c + (i if e == "b" else 0))) for d, p, i, e, n in ((1, 1, 0, "a", 3), (1, 1, 0, "b", 3), (1, 1, 1, "b", 4), (1, 2, 0, "a", 2), (2, 1, 0, "b", 2), (3, 1, 0, "a", 0), (3, 1, 0, "b", 3), (4, None, 0, "a", 2), (4, None, 0, "b", 2), (5, 1, 0, "a", 2), (5, 1, 0, "c", 2)) for r in range(n + 1) for c in range(3)]
+    cells = spark.createDataFrame(rows, "doc_id int, page_num int, table_index int, engine string, row_no int, col_no int, header string, text string")
+    want = tables.column_agreement(cells.where("engine = 'a'"), cells.where("engine = 'b'")).collect()
+    assert sorted(tables.engine_agreement(cells, "a", "b").collect()) == sorted(want) and [r["doc_id"] for r in want] == [1]
