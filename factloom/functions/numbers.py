@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,20 @@ def to_number(text: Column, junk: str = r"[,\s¥$€£]|CHF") -> Column:
     return F.regexp_extract(signed, NUMERIC, 0).try_cast("double")
 
 
+#: A whole number without marks, and all characters that a text of to_number() may have (the last three, as $ takes them for a line's end).
+WHOLE, MAYBE = r"^[0-9]+\z", r"^[0-9.,\s¥$€£CHF−()eE+\u0085\u2028\u2029-]*\z"
+
+
+def plain_or(rule: Callable[[Column], Column], text: Column) -> Column:
+    """rule(text), but whole numbers without marks stay as they are."""
+    return F.when(text.rlike(WHOLE), text).otherwise(rule(text))
+
+
+def cell_number(text: Column) -> Column:
+    """to_number() with its default marks, for cells, most of which are whole numbers or words: it names the text three times, so give it a column."""
+    return F.when(text.rlike(WHOLE), text.try_cast("double")).when(text.rlike(MAYBE), to_number(text))
+
+
 def clean_cell(text: Column) -> Column:
     """A cell's text for comparison: no thousands marks, spaces or currency; null is empty."""
     return F.coalesce(F.translate(F.trim(text), "−, \t\n\x0b\f\r¥$", "-"), F.lit(""))

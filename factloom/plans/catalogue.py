@@ -379,10 +379,10 @@ def column_summary(spark, sf_dir):
 @query
 def grid_compare_offsets(spark, sf_dir):
     """The second engine's grid against the first's without its first row, over all shifts."""
-    cells = _cells(spark, sf_dir).withColumn("row_no", F.col("row_no") - 1)
-    first = cells.where("engine = 'docling'").select("doc_id", "row_no", "col_no", "text")
-    second = cells.where("engine = 'pdfplumber' and row_no > 0").select("doc_id", (F.col("row_no") - 1).alias("row_no"), "col_no", F.coalesce("text", F.lit("?")).alias("text"))
-    return tables.compare_grids(second, first, ["doc_id"])
+    both = tables.side_by_side(_tables(spark, sf_dir), ["doc_id"], "pdfplumber", "docling")
+    up = lambda cells, n, text: F.transform(cells, lambda c: F.struct((c["row_no"] - n).alias("row_no"), c["col_no"].alias("col_no"), text(c["text"]).alias("text")))
+    second = up(F.filter("expected", lambda c: c["row_no"] > 1), 2, lambda t: F.coalesce(t, F.lit("?")))
+    return tables.grid_accuracy(both.select("doc_id", second.alias("expected"), up("actual", 1, lambda t: t).alias("actual")), ["doc_id"])
 
 
 @query
