@@ -121,6 +121,8 @@ def smart_value(text: Column) -> Column:
 #: Thousands set apart by a space, and the numbers of a cell that holds several.
 SPACED = r"\(?\s*-?\d{1,3}(?:[ \u00a0\u202f\u2009]\d{3})+(?:\.\d+)?\s*\)?"
 NUMBERS = r"\(\s*-?[\d,]+(?:\.\d+)?\s*\)|-?[\d,]+(?:\.\d+)?"
+#: What a cell without amount_tokens() lacks (a comma, a parenthesis or four digits), and what it has where and only where SPACED is found in it.
+SOME_AMOUNT, HAS_SPACED = r"[,(]|[0-9](?:[^0-9]*+[0-9]){3}", r"\d[ \u00a0\u202f\u2009]\d{3}"
 
 
 def has_digit(text: Column) -> Column:
@@ -140,9 +142,10 @@ def looks_like_amount(text: Column) -> Column:
 def amount_tokens(text: Column) -> Column:
     """The amounts that a packed cell holds: those with spaced thousands if there are any, else numbers of four digits, with a comma or in parentheses."""
     t = F.coalesce(text, F.lit(""))
-    spaced = F.transform(F.regexp_extract_all(t, F.lit(SPACED), F.lit(0)), lambda x: F.trim(x))
-    plain = F.filter(F.transform(F.regexp_extract_all(t, F.lit(NUMBERS), F.lit(0)), lambda x: F.trim(x)), lambda x: (F.length(digits_of(x)) >= 4) | x.rlike("[,(]"))
-    return F.when(F.size(spaced) > 0, spaced).otherwise(plain)
+    found = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    # what has neither comma nor parenthesis is digits with a sign and a point at most
+    plain = F.filter(found(NUMBERS), lambda x: x.contains(",") | x.contains("(") | (F.length(F.translate(x, "-.", "")) >= 4))
+    return F.when(~t.rlike(SOME_AMOUNT), F.array().cast("array<string>")).when(t.rlike(HAS_SPACED), F.transform(found(SPACED), lambda x: F.trim(x))).otherwise(plain)
 
 
 def split_values(texts: Column) -> Column:

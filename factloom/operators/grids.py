@@ -1,7 +1,7 @@
 """From extracted grids to statement rows: which columns hold amounts of which period, labels, packed cells.
 
 Grids are cells as in ``tables``; row_no counts from 1 below the header row. Arrays hold a table's columns or
-a row's cells, so their length is bounded by a page's table.
+cells, so their length is bounded by a page's table. Packed grids are opened as whole tables; folded() ones are taken as well.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from factloom.functions.labels import normal_label
 from factloom.functions.lines import cell_amount
 from factloom.functions.numbers import amount_tokens, has_digit, looks_like_amount, split_values
 from factloom.functions.periods import MONTH, let, period_of_header
-from factloom.operators.tables import TABLE
+from factloom.operators.tables import TABLE, folded
 
 #: Fixed values.
 CURRENCY = r"(?i)\b(RMB|CNY|USD|US\$|HKD|HK\$|EUR|GBP)(?![A-Za-z])"
@@ -33,6 +33,17 @@ def preferred_currency(page_text: Column) -> Column:
     return F.when(head.rlike(CHINESE_MONEY), "CNY").when(head.rlike(r"\bHKD\b|港元|港幣"), "HKD").when(head.rlike(r"\bUSD\b|US\$"), "USD").otherwise("CNY")
 
 
+def _is_text(row_no: Column, text: Column) -> Column:
+    """Whether a trimmed cell near a table's top is text."""
+    return (row_no <= 12) & (text != "") & ~text.rlike(r"^[\d$,.\s()-]+$")
+
+
+def _is_header(texts: Column) -> Column:
+    """Of a column's first cells that aren't blank."""
+    like = F.size(F.filter(texts, lambda x: x.rlike(HEADER_CELL)))
+    return F.array_join(texts, " ").rlike(r"20\d{2}") & (F.size(texts) > 0) & (like >= F.greatest(F.lit(1), F.floor(F.size(texts) / 2)))
+
+
 def column_facts(cells: DataFrame) -> DataFrame:
     """(table, col_no, density, currency, is_note, is_header, text_rows) of every column.
 
@@ -48,14 +59,13 @@ def column_facts(cells: DataFrame) -> DataFrame:
         F.max_by(code, F.when(code.isNotNull(), F.col("row_no"))).alias("currency"),
         F.first("header", ignorenulls=True).alias("header"),
         shown.alias("shown"),
-        F.count_if((F.col("row_no") <= 12) & (text != "") & ~text.rlike(r"^[\d$,.\s()-]+$")).alias("text_rows"),
+        F.count_if(_is_text(F.col("row_no"), text)).alias("text_rows"),
     )
-    sample = F.lower(F.array_join(F.transform("shown", lambda x: x["t"]), " "))
-    like = F.size(F.filter("shown", lambda x: x["t"].rlike(HEADER_CELL)))
+    sample = F.lower(F.array_join("shown.t", " "))
     return out.select(
         *TABLE, "col_no", "density", "currency",
         (F.lower(F.coalesce("header", F.lit(""))).rlike(r"\bnote\b") | (sample == "note") | sample.startswith("note ")).alias("is_note"),
-        (sample.rlike(r"20\d{2}") & (F.size("shown") > 0) & (like >= F.greatest(F.lit(1), F.floor(F.size("shown") / 2)))).alias("is_header"),
+        _is_header(F.col("shown.t")).alias("is_header"),
         "text_rows",
     )
 
@@ -66,6 +76,15 @@ def label_columns(facts: DataFrame) -> DataFrame:
     return facts.groupBy(*TABLE).agg(F.coalesce(F.min(F.when(good, F.col("col_no"))), F.lit(0)).alias("label_col"))
 
 
+def table_label_columns(cells: DataFrame) -> DataFrame:
+    """label_columns(column_facts(cells)) of whole tables, each worked out where it stands; label_col is null where no cell has a column."""
+    text = lambda c: F.trim(F.coalesce(c["text"], F.lit("")))
+    text_rows = lambda at: F.size(F.filter("cells", lambda c: (c["col_no"] == at) & _is_text(c["row_no"], text(c))))
+    shown = lambda at: F.transform(F.filter("cells", lambda c: (c["col_no"] == at) & (c["row_no"] <= 8) & (text(c) != "")), text)
+    good = F.filter(F.sort_array(F.array_distinct("cells.col_no")), lambda at: (text_rows(at) >= 3) & ~((at > 0) & let(shown(at), _is_header)))
+    return folded(cells).select(*TABLE, F.when(F.array_max("cells.col_no").isNotNull(), F.coalesce(F.get(good, F.lit(0)), F.lit(0))).alias("label_col"))
+
+
 def header_periods(cells: DataFrame, pages: DataFrame) -> DataFrame:
     """(table, headers): (col_no, period_end) of the header row, or of the first of six rows below it, that stands for two periods or more.
 
@@ -135,46 +154,41 @@ def period_columns(cells: DataFrame, pages: DataFrame) -> DataFrame:
     return best.select(*TABLE, (F.row_number().over(Window.partitionBy(*TABLE).orderBy("first")) - 1).alias("ord"), "col_no", "period_end")
 
 
-def _row_facts() -> list[Column]:
-    """Of a row's cells with their tokens: the most amounts in one, the most years in a header, the last column."""
-    years = F.size(F.regexp_extract_all(F.coalesce("header", F.lit("")), F.lit(r"\b(20\d{2})\b"), F.lit(1)))
-    return [F.max(F.size("tokens")).alias("most"), F.max(years).alias("years"), F.max("col_no").alias("last")]
-
-
-def _table_facts() -> dict[str, Column]:
-    """Of a table's rows, as aggregates or, each over a window of whole tables, as columns."""
-    return {"years": F.max("years"), "packed_rows": F.count_if(F.col("most") >= 3), "n_rows": F.count("*"), "last": F.max("last")}
-
-
-def _with_packed(tables: DataFrame) -> DataFrame:
-    out = tables.withColumns({"header_packed": F.col("years") >= 3, "n_cols": F.col("last") + 1})
+def _rows_of_tables(cells: DataFrame, label_col: Column) -> DataFrame:
+    """cells as whole tables, and beside what packed_grids() says of them rows: (row_no, label, amounts, several), several where a cell holds three amounts or more."""
+    years = lambda h: F.size(F.regexp_extract_all(F.coalesce(h, F.lit("")), F.lit(r"\b(20\d{2})\b"), F.lit(1)))
+    several = lambda tokens: F.size(tokens) >= 3
+    text = lambda r: F.get(F.filter(r, lambda c: (c["col_no"] == label_col) & c["text"].isNotNull()), F.lit(0))["text"]
+    tokens = lambda r: F.sort_array(F.transform(F.filter(r, lambda c: c["col_no"] != label_col), lambda c: F.struct(c["col_no"].alias("col_no"), amount_tokens(c["text"]).alias("tokens"))))["tokens"]
+    # the other cells' amounts are looked for only where these have too few
+    others = lambda r: F.exists(r, lambda c: (c["col_no"].isNull() | (c["col_no"] == label_col)) & several(amount_tokens(c["text"])))
+    row = lambda r: let(tokens(r), lambda ts: F.struct(F.get(r, F.lit(0))["row_no"].alias("row_no"), F.trim(text(r)).alias("label"), F.flatten(ts).alias("amounts"), (F.exists(ts, several) | others(r)).alias("several")))
+    begins = lambda own: F.array_compact(F.transform(own, lambda c, i: F.when((i == 0) | ~F.get(own, i - 1)["row_no"].eqNullSafe(c["row_no"]), i + 1)))
+    cut = lambda own: let(begins(own), lambda ats: F.transform(ats, lambda at, i: let(F.slice(own, at, F.coalesce(F.get(ats, i + 1), F.size(own) + 1) - at), row)))
+    out = cells.select(*TABLE, let(F.sort_array("cells"), cut).alias("rows"), F.array_max(F.transform(F.array_distinct("cells.header"), years)).alias("years"), F.array_max("cells.col_no").alias("last"))
+    out = out.withColumns({"packed_rows": F.size(F.filter("rows.several", lambda x: x)).cast("bigint"), "n_rows": F.size("rows").cast("bigint"), "header_packed": F.col("years") >= 3, "n_cols": F.col("last") + 1})
     narrow = (F.col("n_cols") <= 2) & (F.col("packed_rows") >= F.greatest(F.lit(2), F.floor(F.col("n_rows") / 6)))
     return out.withColumn("packed", (F.col("header_packed") & (F.col("packed_rows") >= 2)) | ((F.col("header_packed") | (F.col("n_cols") <= 3)) & narrow))
 
 
 def packed_grids(cells: DataFrame) -> DataFrame:
     """(table, header_packed, packed_rows, n_rows, n_cols, packed): grids whose amounts stand several in a cell."""
-    rows = cells.withColumn("tokens", amount_tokens(F.col("text"))).groupBy(*TABLE, "row_no").agg(*_row_facts())
-    out = _with_packed(rows.groupBy(*TABLE).agg(*(v.alias(k) for k, v in _table_facts().items())))
-    return out.select(*TABLE, "header_packed", "packed_rows", "n_rows", "n_cols", "packed")
+    return _rows_of_tables(folded(cells), F.lit(0)).select(*TABLE, "header_packed", "packed_rows", "n_rows", "n_cols", "packed")
 
 
 def unpacked(cells: DataFrame, labels: DataFrame) -> DataFrame:
     """(table, row_no, label, amounts) of packed grids: each row's amounts from all its cells, filled up to the widest row.
 
     Rows without a label or amounts, and those of years, currencies or notes, go; a grid with fewer than four rows left has none.
-    Cells are shuffled once, by table; labels outgrow what is estimated from the files, so they may not be broadcast.
+    A table travels as one row; labels outgrow what is estimated from the files, so they may not be broadcast.
     """
-    own = cells.join(labels.hint("merge"), TABLE).withColumn("tokens", amount_tokens(F.col("text")))
-    is_label = F.col("col_no") == F.col("label_col")
-    tokens = F.sort_array(F.collect_list(F.when(~is_label, F.struct("col_no", F.col("tokens").alias("t")))))
-    rows = own.groupBy(*TABLE, "row_no").agg(F.trim(F.first(F.when(is_label, F.col("text")), ignorenulls=True)).alias("label"), F.flatten(F.transform(tokens, lambda x: x["t"])).alias("amounts"), *_row_facts())
-    whole = Window.partitionBy(*TABLE)
-    rows = _with_packed(rows.withColumns({k: v.over(whole) for k, v in _table_facts().items()})).where("packed")
-    rows = rows.withColumn("widest", F.max(F.size("amounts")).over(whole)).where("widest >= 2")
-    good = (F.col("label") != "") & ~F.col("label").rlike(r"^20\d{2}(?:\s+20\d{2})*$|(?i)^(?:RMB|USD|notes?)\b") & (F.size("amounts") > 0)
-    rows = rows.where(good).withColumn("left", F.count("*").over(whole)).where("left >= 4")
-    return rows.select(*TABLE, "row_no", "label", F.concat("amounts", F.array_repeat(F.lit(""), F.col("widest") - F.size("amounts"))).alias("amounts"))
+    own = _rows_of_tables(folded(cells).join(labels.hint("merge"), TABLE), F.col("label_col"))
+    good = lambda r: (F.size(r["amounts"]) > 0) & (r["label"] != "") & ~r["label"].rlike(r"^20\d{2}(?:\s+20\d{2})*$|(?i)^(?:RMB|USD|notes?)\b")
+    widest = F.array_max(F.transform("rows.amounts", lambda a: F.size(a)))
+    left = let(F.filter("rows", good), lambda rows: F.when(F.size(rows) >= 4, rows))
+    # tables go here, as a filter would be pushed down and everything below be worked out twice
+    found = own.withColumn("widest", widest).select(*TABLE, "widest", F.explode(F.when(F.col("packed") & (F.col("widest") >= 2), left)).alias("x")).select(*TABLE, "widest", "x.*")
+    return found.select(*TABLE, "row_no", "label", F.concat("amounts", F.array_repeat(F.lit(""), F.col("widest") - F.size("amounts"))).alias("amounts"))
 
 
 def packed_years(cells: DataFrame, pages: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import tables
+from factloom.functions import numbers
+from factloom.operators import grids, tables
 from factloom.plans import catalogue, reports, statements
 from tests.test_catalogue import SF
 
@@ -64,3 +65,43 @@ def test_one_pass_agrees_with_the_join(spark):
     cells = spark.createDataFrame(rows, "doc_id int, page_num int, table_index int, engine string, row_no int, col_no int, header string, text string")
     want = tables.column_agreement(cells.where("engine = 'a'"), cells.where("engine = 'b'")).collect()
     assert sorted(tables.engine_agreement(cells, "a", "b").collect()) == sorted(want) and [r["doc_id"] for r in want] == [1]
+
+
+@pytest.mark.parametrize("name", ["unpacked_grid_rows", "packed_grid_flags"])
+def test_packed_tables_travel_as_rows(spark, name):
+    """Cells aren't gathered by row and column and again by table."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan
+
+
+def test_labels_of_whole_tables_are_those_of_columns(spark):
+    """Columns of years, of text, of blanks, repeated cells, cells without a place, and long columns."""
+    own = [(1, r, c, t) for r in range(1, 5) for c, t in enumerate(("12", "2024" if r < 3 else "Cash", "Debt"))]
+    own += [(2, r, c, t) for r in range(1, 5) for c, t in enumerate(("1,000", "notes", f"Line {r}"))]
+    own += [(3, r, None, "Cash") for r in range(1, 5)] + [(4, None, 0, "Cash"), (4, 1, None, "Cash"), (4, 1, 1, " ")]
+    own += [(5, r, 1, "Rest" if r > 9 else None) for r in range(1, 14)] + [(6, 1, 2, "Cash")] * 3 + [(7, r, 1, ("2024", "2023", "RMB", "Cash", "Debt", "Rest")[r % 6]) for r in range(12)]
+    cells = spark.createDataFrame([(d, 1, 0, "e", r, c, None, t) for d, r, c, t in own], "doc_id int, page_num int, table_index int, engine string, row_no int, col_no int, header string, text string")
+    want = {r["doc_id"]: r["label_col"] for r in grids.label_columns(grids.column_facts(cells)).collect()}
+    got = {r["doc_id"]: r["label_col"] for r in grids.table_label_columns(cells).collect()}
+    assert got == want | {3: None} and want == {1: 2, 2: 1, 4: 0, 5: 1, 6: 2, 7: 0}
+
+
+def test_rows_of_odd_tables(spark):
+    """Repeated cells count each, in the order of their amounts; cells without a place count for packing alone; rows without a number are one row."""
+    own = [(r, 0, f"Line {r}") for r in (3, 1, 4, 2, 5, 6)] + [(r, 1, f"{r},000 {r},100 {r},200") for r in (6, 2, 1, 3)] + [(1, 1, "$ 1,900"), (2, 2, "12 345"), (5, None, "7,000 8,000 9,000"), (4, 1, "7"), (None, 1, "1,000"), (None, 0, "Rest"), (None, 0, None)]
+    cells = spark.createDataFrame([(1, 1, 0, "e", r, c, "2024 2023 2022", t) for r, c, t in own], "doc_id int, page_num int, table_index int, engine string, row_no int, col_no int, header string, text string")
+    flags = grids.packed_grids(cells).drop(*tables.TABLE).first()
+    assert tuple(flags) == (True, 5, 7, 3, True)
+    for given in (cells, tables.folded(cells)):
+        got = {r["row_no"]: (r["label"], r["amounts"]) for r in grids.unpacked(given, grids.table_label_columns(given)).collect()}
+        assert got == {None: ("Rest", ["1,000", "", "", ""]), 1: ("Line 1", ["1,000", "1,100", "1,200", "1,900"]), 2: ("Line 2", ["2,000", "2,100", "2,200", "12 345"]), 3: ("Line 3", ["3,000", "3,100", "3,200", ""]), 6: ("Line 6", ["6,000", "6,100", "6,200", ""])}
+
+
+def test_short_ways_of_tokens_are_exact(spark):
+    """amount_tokens() against its rule without short ways, over all texts of a few characters that matter."""
+    found = lambda p: F.transform(F.regexp_extract_all("t", F.lit(p), F.lit(0)), lambda x: F.trim(x))
+    plain = F.filter(found(numbers.NUMBERS), lambda x: (F.length(numbers.digits_of(x)) >= 4) | x.rlike("[,(]"))
+    rule = F.when(F.size(found(numbers.SPACED)) > 0, found(numbers.SPACED)).otherwise(plain)
+    parts = F.array(*(F.lit(x) for x in ("1", "23", "456", "7890", " ", "\u00a0", ",", ".", "-", "(", ")", "a", "\n")))
+    texts = spark.range(13**4).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.element_at(parts, (F.floor(F.col("id") / F.pow(F.lit(13), i)) % 13 + 1).cast("int"))), "").alias("t"))
+    assert texts.where(~numbers.amount_tokens(F.col("t")).eqNullSafe(rule)).count() == 0
