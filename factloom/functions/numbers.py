@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.quick import quick
+
 NUMERIC = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -101,7 +103,7 @@ def amount_pair(text: Column) -> Column:
 
 def table_density(text: Column) -> Column:
     """How table-like a page is: twice its comma numbers, its money marks, its parenthesised numbers and up to 12 plain ones."""
-    count = lambda p: F.regexp_count(text, F.lit(p))
+    count = lambda p: F.regexp_count(text, F.lit(quick(p)))
     plain = F.least(count(r"(?<![\d.])\d{4,7}(?!\d)"), F.lit(12))
     return 2 * count(r"\b\d{1,3}(?:,\d{3})+\b") + count(r"\$\s*[\d,]+") + count(r"\(\s*[\d,]+\s*\)") + plain
 
@@ -169,7 +171,7 @@ def display_amount(text: Column) -> Column:
 
 def spaced_density(text: Column) -> Column:
     """table_density() for statements that set thousands apart by spaces."""
-    return table_density(text) + 2 * F.regexp_count(text, F.lit(r"\b\d{1,3}(?: \d{3})+\b"))
+    return table_density(text) + 2 * F.regexp_count(text, F.lit(quick(r"\b\d{1,3}(?: \d{3})+\b")))
 
 
 def adjacent_repeats(digits: Column) -> Column:

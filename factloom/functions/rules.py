@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from factloom.functions.quick import quick
+
 
 @dataclass(frozen=True)
 class Cue:
@@ -82,6 +84,24 @@ def leaves(rule) -> list:
     return leaves(rule.part) if isinstance(rule, Not) else [rule]
 
 
+def needed(rule, titles: tuple[str, ...]) -> tuple[str, ...]:
+    """Patterns of which one stands in the page wherever the tree holds; none where no such are known.
+
+    titles are those that make a page titled. Zones may cut words, so edges of words don't count;
+    patterns bound to a zone's start or end, and texts other than parts of the page, tell nothing.
+    """
+    if isinstance(rule, (Cue, Titled)):
+        own = titles if isinstance(rule, Titled) else (rule.pattern,) if rule.at != "before" else ()
+        bound = any(mark in p.replace("(?:", "") for p in own for mark in ("^", "$", "(?"))
+        return () if bound else tuple(p.replace(r"\b", "") for p in own)
+    if isinstance(rule, Any):
+        each = [needed(p, titles) for p in rule.parts]
+        return tuple(dict.fromkeys(p for own in each for p in own)) if all(each) else ()
+    if isinstance(rule, All):
+        return min(filter(None, (needed(p, titles) for p in rule.parts)), key=len, default=())
+    return ()
+
+
 def _zone(text: Column, start: int, end: int) -> Column:
     return F.substring(text, start + 1, end - start)
 
@@ -90,10 +110,10 @@ def holds(rule, texts: dict[str, Column]) -> Column:
     """The tree over the texts (page, title, before) as one boolean column; a text that is null meets no cue."""
     if isinstance(rule, Cue):
         zone = _zone(texts[rule.at], rule.start, rule.end)
-        return F.coalesce(zone.rlike(rule.pattern) if rule.least == 1 else F.regexp_count(zone, F.lit(rule.pattern)) >= rule.least, F.lit(False))
+        return F.coalesce(zone.rlike(quick(rule.pattern)) if rule.least == 1 else F.regexp_count(zone, F.lit(quick(rule.pattern))) >= rule.least, F.lit(False))
     if isinstance(rule, Before):
         zone = _zone(texts["page"], 0, rule.end)
-        own, other = F.regexp_instr(zone, F.lit(rule.pattern)), F.regexp_instr(zone, F.lit(rule.other))
+        own, other = F.regexp_instr(zone, F.lit(quick(rule.pattern))), F.regexp_instr(zone, F.lit(quick(rule.other)))
         return (own > 0) & ((other == 0) | (own < other))
     if isinstance(rule, Beyond):
         zone = _zone(texts["page"], 0, rule.end)

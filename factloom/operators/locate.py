@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from factloom.functions import pages
 from factloom.functions.numbers import table_density
+from factloom.functions.quick import quick
 
 
 def into_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", lines: int = 5) -> DataFrame:
@@ -50,19 +51,35 @@ def statement_candidates(found: DataFrame, weak: bool = False, least: int = 8) -
     return met.select("doc_id", F.col("x.statement").alias("statement"), "page_num", (F.col("density") + bonus + F.col("x.t.strength") * 50).cast("int").alias("score"))
 
 
+def names_index(low: Column) -> Column:
+    return F.substring(low, 1, 3000).rlike(quick(pages.INDEX))
+
+
+def is_audit(low: Column) -> Column:
+    return F.substring(low, 1, 3500).rlike(pages.AUDIT)
+
+
 def search_ranges(found: DataFrame, before: int = 2, after: int = 130, audit: int = 15, long: int = 30) -> DataFrame:
     """(doc_id, ord, kind, start, end): pages (from 1, end excluded) in which statements are looked for, in this order (ord from 0): around the first page that names an index of statements, behind audit reports, and the last third of long documents."""
     low = F.lower(pages.page_text(F.col("text")))
-    rows = found.select("doc_id", "page_num", F.substring(low, 1, 3000).rlike(pages.INDEX).alias("index"), F.substring(low, 1, 3500).rlike(pages.AUDIT).alias("audit"))
-    whole = rows.groupBy("doc_id").agg(F.max("page_num").alias("n"), F.min(F.when(F.col("index"), F.col("page_num"))).alias("anchor"), F.collect_list(F.when(F.col("audit"), F.col("page_num"))).alias("audits"))
+    rows = found.select("doc_id", "page_num", names_index(low).alias("index"), is_audit(low).alias("audit"))
+    return rows.groupBy("doc_id").agg(*range_marks()).select("doc_id", F.posexplode(ranges(before, after, audit, long)).alias("ord", "r")).select("doc_id", "ord", "r.*")
+
+
+def range_marks() -> list[Column]:
+    """A document's pages (page_num, index, audit) as ranges() takes them."""
+    return [F.max("page_num").alias("n"), F.min(F.when(F.col("index"), F.col("page_num"))).alias("anchor"), F.collect_list(F.when(F.col("audit"), F.col("page_num"))).alias("audits")]
+
+
+def ranges(before: int = 2, after: int = 130, audit: int = 15, long: int = 30) -> Column:
+    """The search ranges (kind, start, end) of a document's range_marks(), in order."""
     span = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("int").alias("start"), b.cast("int").alias("end"))
     n = F.col("n")
-    ranges = F.concat(
+    return F.concat(
         F.array_compact(F.array(F.when(F.col("anchor").isNotNull(), span("index", F.greatest(F.lit(1), F.col("anchor") - before), F.least(n + 1, F.col("anchor") + after))))),
         F.transform(F.array_sort("audits"), lambda p: span("audit", p, F.least(n + 1, p + audit))),
         F.array_compact(F.array(F.when(n >= long, span("tail", F.floor(n * 2 / 3) + 1, n + 1)))),
     )
-    return whole.select("doc_id", F.posexplode(ranges).alias("ord", "r")).select("doc_id", "ord", "r.*")
 
 
 def pick_pages(found: DataFrame, share: float = 0.92, top: int = 1) -> DataFrame:

@@ -10,6 +10,7 @@ with their own rules before their own phases count.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ from factloom.functions import statement_rules as sr
 from factloom.functions.labels import cash_statement_complete
 from factloom.functions.numbers import spaced_density, table_density
 from factloom.functions.periods import let
-from factloom.operators.locate import search_ranges
+from factloom.functions.quick import quick
+from factloom.operators import locate
 
 #: Characters of a page that any rule reads; of its head, by which pages are ranked.
 READ, NEAR_HEAD = 4000, 900
@@ -77,20 +79,21 @@ def opening(page: Column, statement: str, market: str) -> Column:
     Outside Europe a heading "table of contents" is left out of the count, and mentions in running text don't count.
     """
     patterns = (sr.EUROPE_OPENING if market == "eu" else sr.OPENING)[statement]
+    any_of = quick("|".join(patterns))
     if market == "eu":
-        scan = F.substring(page, 1, EU_SCAN)
-        return F.array_min(F.array(*(F.nullif(F.regexp_instr(scan, F.lit(p)), F.lit(0)) - 1 for p in patterns)))
+        return F.nullif(F.regexp_instr(F.substring(page, 1, EU_SCAN), F.lit(any_of)), F.lit(0)) - 1
     most = OPENS_WITHIN[statement]
     scan = F.regexp_replace(F.substring(page, 1, most + 120), r"^table of contents\s+", "")
 
     def place(whole: Column) -> Column:
         part = F.substring(whole, 1, most + 80)
-        spots = []
-        for p in patterns:
-            at = F.regexp_instr(part, F.lit(p))
-            tail = F.substring(whole, at + F.length(F.regexp_extract(part, p, 0)), F.lit(48))
-            spots.append(F.when(at.between(1, most + 1) & ~tail.rlike(pages.MENTIONED), at - 1))
-        return F.array_min(F.array(*spots))
+
+        def spot(p: str) -> Column:
+            tail = lambda at: F.substring(whole, at + F.length(F.regexp_extract(part, p, 0)), F.lit(48))
+            return let(F.regexp_instr(part, F.lit(quick(p))), lambda at: F.when(at.between(1, most + 1) & ~tail(at).rlike(pages.MENTIONED), at - 1))
+
+        # most pages hold none of them
+        return F.when(part.rlike(any_of), F.array_min(F.array(*map(spot, patterns))))
 
     return let(scan, place)
 
@@ -105,12 +108,19 @@ def opening_column(statement: str, market: str) -> str:
     return f"at_{statement}_{'eu' if market == 'eu' else 'us'}"
 
 
-def read_pages(found: DataFrame, markets: tuple[str, ...] = sr.MARKETS) -> DataFrame:
-    """Pages (doc_id, market, page_num, text) with page (one lower-cased line), densities and places of opening titles."""
-    plain = found.select("doc_id", "market", "page_num", "text", pages.page_text(F.col("text")).alias("plain"))
-    rows = plain.select("doc_id", "market", "page_num", "text", F.lower("plain").alias("low"), table_density(F.col("plain")).alias("us_density"), spaced_density(F.col("plain")).alias("eu_density"))
+def read_pages(found: DataFrame, prefilter: bool = False) -> DataFrame:
+    """Pages (doc_id, market, page_num, text) with plain, low and page (one line, lower-cased, and its part that rules read), head and places of opening titles.
+
+    Opening titles of Europe are looked for in its pages alone; with prefilter all of them only where the
+    columns may_us and may_eu say that one of the markets' rules may hold.
+    """
+    rows = found.select("doc_id", "market", "page_num", "text", pages.page_text(F.col("text")).alias("plain")).withColumn("low", F.lower("plain"))
     rows = rows.withColumns({"page": F.substring("low", 1, READ), "head": F.substring("low", 1, pages.HEAD)})
-    kinds = {opening_column(s, m): opening(F.col("page"), s, m) for m in markets for s in sr.STATEMENTS}
+    own = {"us": F.col("market").isin(*sr.MARKETS), "eu": F.col("market") == "eu"}
+    if prefilter:
+        rows = rows.withColumns({f"may_{m}": F.coalesce(own[m] & may_hold(F.col("page"), m), F.lit(False)) for m in own})
+        own = {m: F.col(f"may_{m}") for m in own}
+    kinds = {opening_column(s, m): F.when(own[m], opening(F.col("page"), s, m)) for m in own for s in sr.STATEMENTS}
     parts = {}
     for at in kinds:
         parts[f"{at}_title"] = F.when(F.col(at).isNotNull(), F.substring("page", F.col(at) + 1, F.lit(READ)))
@@ -118,6 +128,13 @@ def read_pages(found: DataFrame, markets: tuple[str, ...] = sr.MARKETS) -> DataF
     return rows.withColumns(kinds).withColumns(parts)
 
 
+def may_hold(page: Column, market: str) -> Column:
+    """False only where none of a market's rules holds: one pattern of what its pages must have."""
+    titles = sr.EUROPE_OPENING if market == "eu" else sr.OPENING
+    each = [rules.needed(sr.RULES[market][s], titles[s]) for s in sr.STATEMENTS]
+    return page.rlike(quick("|".join(dict.fromkeys(p for own in each for p in own)))) if all(each) else F.lit(True)
+
+
 def check_pages(found: DataFrame) -> DataFrame:
     """(doc_id, market, page_num, statement, valid, failing): whether a page may be that statement by its market's rules, and else the first rule that fails. Pages of other markets are left out; a null text is an empty page."""
     rows = read_pages(found.where(F.col("market").isin(*sr.MARKETS)))
@@ -130,34 +147,46 @@ def check_pages(found: DataFrame) -> DataFrame:
     return out.select("doc_id", "market", "page_num", "x.statement", F.col("x.failing").isNull().alias("valid"), "x.failing")
 
 
-def _titled(market: str, titles: tuple[str, ...]) -> Column:
-    """(strength, pos) of the best title in a page's head; Europe's are never too low on the page, and strong where they say consolidated."""
-    if market != "eu":
-        return pages.best_title(F.col("head"), titles)
+def _title_patterns(market: str, s: str) -> tuple[str, ...]:
+    """All titles of the phases that read pages as this market's; Hong Kong's are those that the common phases don't have."""
+    common = sr.merged(sr.STRICT, sr.REPORT)[s]
+    return {"us": common, "hk": tuple(p for p in sr.merged(sr.REPORT, sr.HONG_KONG)[s] if p not in common), "eu": OWN["eu"][0].titles[s]}[market]
+
+
+def _title_places(market: str, s: str) -> Column:
+    """(weak, pos) in a page's head for each of _title_patterns(), null where the title isn't valid; Europe's are never too low on the page, and strong where they say consolidated."""
     head, spots = F.col("head"), []
-    for p in titles:
-        at = F.regexp_instr(head, F.lit(p))
-        tail = F.substring(head, at + F.length(F.regexp_extract(head, p, 0)), F.lit(48))
-        spots.append(F.when((at > 0) & ~tail.rlike(pages.MENTIONED), F.struct(F.lit(-3 if "consolid" in p else -2).alias("weak"), (at - 1).alias("pos"))))
-    best = F.array_min(F.array_compact(F.array(*spots)))
-    return F.when(best.isNotNull(), F.struct((-best["weak"]).alias("strength"), best["pos"].alias("pos")))
+    for p in _title_patterns(market, s):
+        if market == "eu":
+            at = F.regexp_instr(head, F.lit(p))
+            tail = F.substring(head, at + F.length(F.regexp_extract(head, p, 0)), F.lit(48))
+            spots.append(F.when((at > 0) & ~tail.rlike(pages.MENTIONED), F.struct(F.lit(-3 if "consolid" in p else -2).alias("weak"), (at - 1).alias("pos"))))
+        else:
+            spots.append(pages.weak_title(head, p))
+    return F.array(*spots)
+
+
+def _titled(phase: Phase, s: str) -> Column:
+    """(weak, pos) of the best title of a phase: the strongest, the first of equals; null without one."""
+    places = {p: (m, i) for m in (("eu",) if phase.market == "eu" else ("us", "hk")) for i, p in enumerate(_title_patterns(m, s))}
+    return F.array_min(F.array(*(F.get(f"titles_{m}_{s}", F.lit(i)) for m, i in (places[p] for p in phase.titles[s]))))
 
 
 def _score(phase: Phase, s: str) -> Column:
     """A page's score in a phase, null where it is no candidate; validity apart."""
     density = F.col(f"{'eu' if phase.market == 'eu' else 'us'}_density")
     if phase.kind == "titles":
-        bonus = lambda t: F.floor(F.greatest(F.lit(0), pages.TITLE_ZONE - t["pos"]) / 2) + t["strength"] * 50
-        return F.when(~F.col("excluded") & (density >= phase.least), density + let(_titled(phase.market, phase.titles[s]), bonus))
+        bonus = lambda t: F.floor(F.greatest(F.lit(0), pages.TITLE_ZONE - t["pos"]) / 2) - t["weak"] * 50
+        return F.when(~F.col("excluded") & (density >= phase.least), density + let(_titled(phase, s), bonus))
     if phase.kind == "named":
         head = F.substring("page", 1, HK_HEAD)
-        return F.when(~F.col("excluded") & head.rlike("|".join(phase.titles[s])), F.regexp_count(F.col("text"), F.lit(sr.GROUPED)))
-    points = [F.when(F.substring("page", 1, n).rlike(p), k).otherwise(0) for p, n, k in sr.BONUS[phase.market][s]]
+        return F.when(~F.col("excluded") & head.rlike(quick("|".join(phase.titles[s]))), F.regexp_count(F.col("text"), F.lit(quick(sr.GROUPED))))
+    points = [F.when(F.substring("page", 1, n).rlike(quick(p)), k).otherwise(0) for p, n, k in sr.BONUS[phase.market][s]]
     if s == "cashflow":
         (a, n), (b, m) = sr.BOTH[phase.market]
         points.append(F.when(F.substring("page", 1, n).rlike(a) & F.substring("page", 1, m).rlike(b), 150).otherwise(0))
     total = density + sum(points, F.lit(0))
-    return F.when(~F.col("eu_excluded" if phase.market == "eu" else "excluded") & (total >= phase.least), total)
+    return F.when(~F.col("eu_excluded" if phase.market == "eu" else "excluded"), let(total, lambda n: F.when(n >= phase.least, n)))
 
 
 def _ranks(market: str, s: str) -> list[Column]:
@@ -169,30 +198,64 @@ def _ranks(market: str, s: str) -> list[Column]:
         tests = [zone(600).rlike(company), zone(NEAR_HEAD).rlike(contents), plain & ~zone(700).rlike(sr.EU_WORDS) if s != "cashflow" else plain]
     else:
         goes_on = ~zone(500).rlike(sr.PRIMARY_HEAD) if s != "cashflow" else F.lit(False)
-        alone = zone(500).rlike(r"comprehensive\s+income") & ~zone(3000).rlike(sr.REVENUE_BODY) if s == "income" else F.lit(False)
+        alone = zone(500).rlike(r"comprehensive\s+income") & ~zone(3000).rlike(quick(sr.REVENUE_BODY)) if s == "income" else F.lit(False)
         tests = [zone(500).rlike(sr.NOTES_HEAD), goes_on, alone]
     return [t.cast("int") for t in tests]
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """(doc_id, market, page_num, statement, phase, ranged, choose, score, own_valid, ranks) of pages in every phase of their market that takes them."""
-    rows = read_pages(found.where(F.col("market").isin(*sr.MARKETS))).withColumns({"excluded": pages.is_excluded(F.col("head")), "eu_excluded": pages.is_excluded(F.substring("head", 1, EU_UNTITLED_HEAD))})
-    # a market's rules matter for its own documents, the common ones for all; Hong Kong's are the common ones and two more
-    rows = rows.withColumns({f"us_{s}": rules.holds(sr.US_RULES[s], texts_of(s, "us")) for s in sr.STATEMENTS})
+def _any(names: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(F.col(n), F.lit(False)) for n in names])
+
+
+def _shared(market_rules: dict) -> tuple:
+    """The parts that all statements' trees of a market have."""
+    first, *others = market_rules.values()
+    return tuple(p for p in first.parts if all(p in tree.parts for tree in others))
+
+
+def _valid_pages(rows: DataFrame) -> DataFrame:
+    """read_pages() with us_, hk_ and eu_ by statement: whether a market's rules take the page; of other markets than a page's own, only the common ones (us) are worked out.
+
+    What a statement asks for comes first; what the statements have in common is read once, of pages that passed.
+    """
+    for m, trees in (("us", sr.US_RULES), ("eu", sr.EU_RULES)):
+        own = {f"{m}_has_{s}": F.col(f"may_{m}") & rules.holds(rules.All(s, tuple(reversed([p for p in trees[s].parts if p not in _shared(trees)]))), texts_of(s, m)) for s in sr.STATEMENTS}
+        rows = rows.withColumns(own).withColumn(f"{m}_rest", F.when(_any(list(own)), rules.holds(rules.All("shared", _shared(trees)), {"page": F.col("page")})))
+        valid = {s: F.coalesce(F.col(f"{m}_has_{s}") & F.col(f"{m}_rest"), F.lit(False)) for s in sr.STATEMENTS}
+        rows = rows.withColumns({f"{m}_{s}": v if m == "us" else F.when(F.col("market") == "eu", v) for s, v in valid.items()})
+    # Hong Kong's are the common ones and two more
     more = rules.holds(rules.All("more", sr.HK_RULES["income"].parts[:2]), {"page": F.col("page")})
-    rows = rows.withColumns({f"hk_{s}": F.when(F.col("market") == "hk", F.col(f"us_{s}") & more) for s in sr.STATEMENTS} | {f"eu_{s}": F.when(F.col("market") == "eu", rules.holds(sr.EU_RULES[s], texts_of(s, "eu"))) for s in sr.STATEMENTS})
+    rows = rows.withColumn("hk_more", F.when((F.col("market") == "hk") & _any([f"us_{s}" for s in sr.STATEMENTS]), more))
+    return rows.withColumns({f"hk_{s}": F.when(F.col("market") == "hk", F.col(f"us_{s}") & F.col("hk_more")) for s in sr.STATEMENTS})
+
+
+def marked_pages(found: DataFrame) -> DataFrame:
+    """(doc_id, page_num, index, audit, found): whether a page names an index or is an audit report, and, as an array of (market, page_num, statement, phase, ranged, choose, score, own_valid, ranks), every phase of its market that takes it.
+
+    A page is read once. Each step is worked out only where the ones before it leave something to find: most pages are no statements.
+    """
+    phases = (*COMMON, *OWN["hk"], *OWN["eu"])
+    rows = _valid_pages(read_pages(found, prefilter=True))
+    common, europe = _any([f"us_{s}" for s in sr.STATEMENTS]), _any([f"eu_{s}" for s in sr.STATEMENTS])
+    plain = F.col("plain")
+    rows = rows.withColumns({"excluded": F.when(common | europe, pages.is_excluded(F.col("head"))), "eu_excluded": F.when(europe, pages.is_excluded(F.substring("head", 1, EU_UNTITLED_HEAD))), "us_density": F.when(common, table_density(plain)), "eu_density": F.when(europe, spaced_density(plain))})
+    rows = rows.withColumns({f"titles_{m}_{s}": F.when(F.col(f"{m}_{s}"), _title_places(m, s)) for m in sr.MARKETS for s in sr.STATEMENTS})
+    fits = {(p.number, s): F.col(f"{p.market}_{s}") if p.number < FIRST_OWN else (F.col("market") == p.market) & F.col(f"{p.market}_{s}") for p in phases for s in sr.STATEMENTS}
+    rows = rows.withColumns({f"score_{p.number}_{s}": F.when(fits[p.number, s], _score(p, s)).cast("long") for p in phases for s in sr.STATEMENTS})
+    scores = {(m, s): F.coalesce(*(F.col(f"score_{p.number}_{s}") for p in phases if (p.market == "eu") == (m == "eu"))) for m in ("us", "eu") for s in sr.STATEMENTS}
+    rows = rows.withColumns({f"ranks_{m}_{s}": F.when(score.isNotNull(), F.array(*_ranks(m, s))) for (m, s), score in scores.items()})
     each = []
     for s in sr.STATEMENTS:
         own_valid = F.coalesce(*(F.when(F.col("market") == m, F.col(f"{m}_{s}")) for m in sr.MARKETS))
-        for phase in (*COMMON, *OWN["hk"], *OWN["eu"]):
-            fits = F.col(f"{phase.market}_{s}") if phase.number < FIRST_OWN else (F.col("market") == phase.market) & F.col(f"{phase.market}_{s}")
+        for p in phases:
+            score = F.col(f"score_{p.number}_{s}")
             one = F.struct(
-                F.lit(s).alias("statement"), F.lit(phase.number).alias("phase"), F.lit(phase.ranged).alias("ranged"), F.lit(phase.choose).alias("choose"),
-                F.when(fits, _score(phase, s)).cast("long").alias("score"), own_valid.alias("own_valid"), F.array(*_ranks(phase.market, s)).alias("ranks"),
+                "market", "page_num", F.lit(s).alias("statement"), F.lit(p.number).alias("phase"), F.lit(p.ranged).alias("ranged"), F.lit(p.choose).alias("choose"),
+                score.alias("score"), own_valid.alias("own_valid"), F.col(f"ranks_{'eu' if p.market == 'eu' else 'us'}_{s}").alias("ranks"),
             )
-            each.append(one)
-    out = rows.select("doc_id", "market", "page_num", F.explode(F.filter(F.array(*each), lambda x: x["score"].isNotNull())).alias("x"))
-    return out.select("doc_id", "market", "page_num", "x.*")
+            each.append(F.when(score.isNotNull(), one))
+    some = F.coalesce(*scores.values()).isNotNull()
+    return rows.select("doc_id", "page_num", locate.names_index(F.col("low")).alias("index"), locate.is_audit(F.col("low")).alias("audit"), F.when(some, F.filter(F.array(*each), lambda x: x.isNotNull())).alias("found"))
 
 
 def locate_statements(found: DataFrame) -> DataFrame:
@@ -200,15 +263,15 @@ def locate_statements(found: DataFrame) -> DataFrame:
 
     Markets are us, hk and eu; documents of others, and statements without a page, give no row.
     Page numbers start at 1 and should be distinct in a document; of repeated pages either may win.
-    Null texts are empty pages. No side of the join with search ranges is broadcast: pages are dealt
-    by document once, and the windows keep that.
+    Null texts are empty pages. Pages are dealt by document once, and the windows keep that; a
+    document's candidates meet its search ranges in one row.
     """
-    steps = candidates(found)
-    ranges = search_ranges(found).select(F.col("doc_id").alias("d"), "ord", "start", "end")
-    # what isn't bound to ranges meets the whole document as one, so that candidates are found once
-    ranges = ranges.unionByName(found.select(F.col("doc_id").alias("d")).distinct().select("d", F.lit(-1).alias("ord"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
-    inside = F.when(F.col("ranged"), (F.col("page_num") >= F.col("start")) & (F.col("page_num") < F.col("end"))).otherwise(F.col("ord") == -1)
-    rows = steps.join(ranges.hint("merge"), F.col("doc_id") == F.col("d")).where(inside).drop("d", "start", "end")
+    marks = marked_pages(found.where(F.col("doc_id").isNotNull()))
+    whole = marks.groupBy("doc_id").agg(*locate.range_marks(), F.collect_list("found").alias("found"))
+    rows = whole.select("doc_id", locate.ranges().alias("ranges"), F.flatten("found").alias("found")).select("doc_id", "ranges", F.explode("found").alias("x")).select("doc_id", "ranges", "x.*")
+    # what isn't bound to ranges meets the whole document as one
+    inside = F.array_compact(F.transform("ranges", lambda r, i: F.when((F.col("page_num") >= r["start"]) & (F.col("page_num") < r["end"]), i)))
+    rows = rows.withColumn("ord", F.explode(F.when(F.col("ranged"), inside).otherwise(F.array(F.lit(-1))))).drop("ranges")
     # untitled pages of all ranges compete in one step
     step = F.struct("phase", F.when((F.col("choose") == "best") & F.col("phase").isin(3, 7), 0).otherwise(F.col("ord")).alias("range"))
     rows = rows.withColumn("step", step)

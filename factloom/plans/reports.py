@@ -99,7 +99,9 @@ def report_pages(spark, sf_dir):
     layouts = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(i).alias("i"), F.array(*(F.lit(KINDS[k]) for k in layout_pages(m, i))).alias("p")) for m in sr.MARKETS for i in range(len(LAYOUTS[m]))))
     own = F.get(F.filter(layouts, lambda x: (x["m"] == F.col("market")) & (x["i"] == F.col("n") % len(_US))), F.lit(0))["p"]
     rows = _customers(spark, sf_dir).select("doc_id", "market", "amount", F.posexplode(own).alias("p", "template"))
-    return rows.select("doc_id", "market", (F.col("p") + 1).alias("page_num"), _printed(F.col("template"), F.col("amount") + 1000 * F.col("p")).alias("text"))
+    # most pages have no amounts
+    text = F.when(F.col("template").contains("{"), _printed(F.col("template"), F.col("amount") + 1000 * F.col("p"))).otherwise(F.col("template"))
+    return rows.select("doc_id", "market", (F.col("p") + 1).alias("page_num"), text.alias("text"))
 
 
 def _values(rows) -> str:

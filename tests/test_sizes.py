@@ -47,6 +47,12 @@ def test_customers_are_dealt(spark, monkeypatch):
     assert reports._customers(spark, SF).rdd.getNumPartitions() == 15
 
 
+def test_pages_are_read_once(spark):
+    """located_statements: candidates, search ranges and documents come from one pass over the pages, which meet without a join."""
+    plan = catalogue.QUERIES["located_statements"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_few_labels_go_to_the_rows(spark):
     """reported_rows: rows aren't gathered by a few labels."""
     assert "BroadcastHashJoin" in catalogue.QUERIES["reported_rows"](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -6,9 +6,11 @@ from collections import defaultdict
 
 import pytest
 import regex as re
+from pyspark.sql import functions as F
 
 from factloom.functions import pages, rules
 from factloom.functions import statement_rules as sr
+from factloom.functions.quick import quick
 from factloom.operators import statements as st
 from factloom.plans import reports
 
@@ -223,6 +225,32 @@ def test_every_leaf_is_met_and_missed_and_trees_are_walked_alike(spark):
     assert not unmet
 
 
+def test_pages_that_rules_take_pass_the_prefilter(spark):
+    kinds = [re.sub(r"\{a\}", "12,345 12,346 12,347 12,348 12,349", k).replace("{b}", "12,345") for k in reports.check_kinds()]
+    docs = spark.createDataFrame([(i, m, 1, k) for i, k in enumerate(kinds) for m in sr.MARKETS], "doc_id int, market string, page_num int, text string")
+    may = {(r["doc_id"], r["market"]): (r["may_us"], r["may_eu"]) for r in st.read_pages(docs, prefilter=True).select("doc_id", "market", "may_us", "may_eu").collect()}
+    for i, k in enumerate(kinds):
+        for m in sr.MARKETS:
+            assert may[i, m][0] or not any(valid(k, s, "us") for s in sr.STATEMENTS)
+            assert may[i, m][1] or m != "eu" or not any(valid(k, s, "eu") for s in sr.STATEMENTS)
+    assert not may[kinds.index(reports.KINDS["filler"]), "us"][0]
+
+
+def test_quick_patterns_match_alike(spark):
+    """Every pattern that is searched for quickly, over pages, and pieces of them that cut words."""
+    leaves = [leaf for m in sr.MARKETS for s in sr.STATEMENTS for leaf in rules.leaves(sr.RULES[m][s])]
+    patterns = {p for leaf in leaves for p in (getattr(leaf, "pattern", None), getattr(leaf, "other", None)) if p} | {"|".join(o[s]) for o in (sr.OPENING, sr.EUROPE_OPENING, sr.HONG_KONG) for s in sr.STATEMENTS}
+    patterns |= {"|".join(pages.EXCLUDED), pages.INDEX, sr.GROUPED, sr.SPACED, r"(?<![\d.])\d{4,7}(?!\d)", r"\(\s*[\d,]+\s*\)", *(p for m in sr.BONUS.values() for own in m.values() for p, *_ in own)}
+    changed = [(p, quick(p)) for p in patterns if quick(p) != p]
+    assert len(changed) > 50 and quick(r"\b(?:revenue|net)s?") == r"(?=[nr])(?:\b(?:revenue|net)s?)" and quick("a b|c") == "(?=[ac])(?:a b|c)"
+    assert all(quick(p) == p for p in (r"^note\s+\d+", r"assets|", r"(?i)a|b", r"\w+x|y", r".a|b", "assets? of (?:us|them)"))
+    texts = [re.sub(r"\{a\}", "12,345 (1234) 84 683 x12345", k.lower()) for k in reports.check_kinds()]
+    texts = spark.createDataFrame([(t[i:j],) for t in texts for i, j in ((0, 9000), (3, 40), (7, 90))], "t string")
+    both = texts.crossJoin(spark.createDataFrame(changed, "p string, q string"))
+    found = lambda c: F.struct(F.regexp_extract_all("t", c, F.lit(0)), F.regexp_instr("t", c))
+    assert both.where(found(F.col("p")) != found(F.col("q"))).count() == 0
+
+
 def tree_parts(rule):
     return [leaf for p in rule.parts for leaf in tree_parts(p)] if isinstance(rule, rules.All) else [rule]
 
